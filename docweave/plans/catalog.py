@@ -177,3 +177,63 @@ def q_level_label(spark, sf_dir):
     lv = (F.col("o_orderkey") % 5).cast("int")
     return orders.select(F.col("o_orderkey").alias("req_id"), lv.alias("level"),
                          T.level_label(lv).alias("label"))
+
+
+# ---------------------------------------------------------------------------
+# HTML over `pages`
+# (the oracle decodes the references present in the supplied pages; &amp; last)
+def _d_unescape(x: str) -> str:
+    for ent, ch in (("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"),
+                    ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"),
+                    ("&amp;", "'&'")):
+        x = f"replace({x}, '{ent}', {ch})"
+    return x
+
+
+_D_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+@register("html_strip_tags", """
+SELECT page_id,
+       regexp_replace(regexp_replace(regexp_replace(html, '(?i)<script[\\s\\S]*?</script>', '', 'g'),
+                                     '(?i)<style[\\s\\S]*?</style>', '', 'g'),
+                      '<[^>]+>', '', 'g') AS text
+FROM pages
+""")
+def q_html_strip_tags(spark, sf_dir):
+    from docweave.functions.html import html_strip_tags
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", html_strip_tags("html").alias("text"))
+
+
+_D_MARKED = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, "
+             "'(?i)<script\\b[^>]*>[\\s\\S]*?</script\\s*>', chr(1), 'g'), "
+             "'(?i)<style\\b[^>]*>[\\s\\S]*?</style\\s*>', chr(1), 'g'), "
+             "'<!--[\\s\\S]*?-->', chr(1), 'g'), '<[!?][^>]*>', chr(1), 'g')")
+_D_MARKED = f"regexp_replace({_D_MARKED}, '</?[A-Za-z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>', chr(1), 'g')"
+
+
+@register("html_visible_text", f"""
+SELECT page_id,
+       array_to_string(list_filter(list_transform(string_split({_d_unescape(_D_MARKED)}, chr(1)),
+                                                  lambda n: trim(n, {_D_WS})),
+                                   lambda n: n <> ''), chr(10)) AS text
+FROM pages
+""")
+def q_html_visible_text(spark, sf_dir):
+    from docweave.functions.html import html_visible_text
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", html_visible_text("html").alias("text"))
+
+
+# JSON pretty printing over events.props (always {"k": <int>})
+@register("json_pretty", """
+SELECT event_id, '{' || chr(10) || '  "k": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR)
+                 || chr(10) || '}' AS text,
+       CAST(NULL AS VARCHAR) AS error
+FROM events
+""")
+def q_json_pretty(spark, sf_dir):
+    from docweave.functions.jsontext import json_pretty
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", json_pretty("props").alias("p")).select("event_id", "p.text", "p.error")
