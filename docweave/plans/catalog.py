@@ -237,3 +237,196 @@ def q_json_pretty(spark, sf_dir):
     from docweave.functions.jsontext import json_pretty
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", json_pretty("props").alias("p")).select("event_id", "p.text", "p.error")
+
+
+# ---------------------------------------------------------------------------
+# XML documents built from `nation` rows (every 5th key from 3 malformed,
+# tail text after <name> is dropped by the outline rule)
+def _xml_doc_spark(n):
+    return F.concat(
+        F.lit('<nation key="'), n.n_nationkey.cast("string"), F.lit('" region="'),
+        n.n_regionkey.cast("string"), F.lit('"><name> '), n.n_name, F.lit(' </name> and more'),
+        F.when(n.n_nationkey % 4 == 0, F.lit("")).otherwise(F.lit("<note>ok</note>")),
+        F.when(n.n_nationkey % 5 == 3, F.lit("<broken>")).otherwise(F.lit("")),
+        F.lit("</nation>"))
+
+
+_D_XML = ("'<nation key=\"' || n_nationkey || '\" region=\"' || n_regionkey || '\"><name> ' || n_name"
+          " || ' </name> and more' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '<note>ok</note>' END"
+          " || CASE WHEN n_nationkey % 5 = 3 THEN '<broken>' ELSE '' END || '</nation>'")
+
+
+@register("xml_outline", f"""
+SELECT n_nationkey AS doc_id,
+  CASE WHEN n_nationkey % 5 = 3 THEN {_D_XML}
+  ELSE '<nation key="' || n_nationkey || '" region="' || n_regionkey || '">' || chr(10)
+       || '  <name>' || chr(10) || '    ' || trim(n_name) || chr(10) || '  </name>'
+       || CASE WHEN n_nationkey % 4 = 0 THEN ''
+               ELSE chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END
+       || chr(10) || '</nation>' END AS outline
+FROM nation
+""")
+def q_xml_outline(spark, sf_dir):
+    from docweave.operators.structured import xml_outline
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("doc_id"), xml_outline(_xml_doc_spark(n)).alias("outline"))
+
+
+@register("xml_elements", f"""
+SELECT * FROM (
+  SELECT n_nationkey AS doc_id, 0 AS seq, 0 AS level, 'raw' AS kind, NULL AS tag, NULL AS attrs,
+         {_D_XML} AS text FROM nation WHERE n_nationkey % 5 = 3
+  UNION ALL
+  SELECT n_nationkey, s.seq, s.level, s.kind, s.tag, s.attrs, s.text
+  FROM nation, (SELECT unnest([
+      {{'seq': 0, 'level': 0, 'kind': 'open', 'tag': 'nation', 'attrs': 'key,region', 'text': NULL}},
+      {{'seq': 1, 'level': 1, 'kind': 'open', 'tag': 'name', 'attrs': '', 'text': NULL}},
+      {{'seq': 2, 'level': 1, 'kind': 'text', 'tag': 'name', 'attrs': NULL, 'text': 'NAME'}},
+      {{'seq': 3, 'level': 1, 'kind': 'close', 'tag': 'name', 'attrs': NULL, 'text': NULL}},
+      {{'seq': 4, 'level': 1, 'kind': 'open', 'tag': 'note', 'attrs': '', 'text': NULL}},
+      {{'seq': 5, 'level': 1, 'kind': 'text', 'tag': 'note', 'attrs': NULL, 'text': 'ok'}},
+      {{'seq': 6, 'level': 1, 'kind': 'close', 'tag': 'note', 'attrs': NULL, 'text': NULL}},
+      {{'seq': 7, 'level': 0, 'kind': 'close', 'tag': 'nation', 'attrs': NULL, 'text': NULL}}
+    ], recursive := true)) s
+  WHERE n_nationkey % 5 <> 3 AND (n_nationkey % 4 <> 0 OR s.seq NOT IN (4, 5, 6))
+) x
+""".replace("s.seq, s.level, s.kind, s.tag, s.attrs, s.text",
+            "CAST(CASE WHEN n_nationkey % 4 = 0 AND s.seq = 7 THEN 4 ELSE s.seq END AS INTEGER), "
+            "CAST(s.level AS INTEGER), s.kind, s.tag, s.attrs, "
+            "CASE WHEN s.text = 'NAME' THEN trim(n_name) ELSE s.text END")
+  .replace("SELECT n_nationkey AS doc_id, 0 AS seq, 0 AS level",
+           "SELECT n_nationkey AS doc_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS level")
+  .replace("NULL AS tag, NULL AS attrs", "CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS attrs"))
+def q_xml_elements(spark, sf_dir):
+    from docweave.operators.structured import xml_elements
+    n = table(spark, sf_dir, "nation")
+    docs = n.select(F.col("n_nationkey").alias("doc_id"), _xml_doc_spark(n).alias("text"))
+    el = xml_elements(docs)
+    return el.select("doc_id", "seq", "level", "kind", "tag",
+                     F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attrs"), "text")
+
+
+# Every document read as a CSV file (records = lines, cells = commas)
+@register("csv_preview", """
+SELECT doc_id,
+  array_to_string(list_transform(
+      list_slice(CASE WHEN suffix(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2)
+                      ELSE string_split(text, chr(10)) END, 1, 20),
+      lambda l: array_to_string(list_filter(string_split(l, ','), lambda c: c <> ''), ', ')),
+    chr(10)) AS preview
+FROM documents
+""")
+def q_csv_preview(spark, sf_dir):
+    from docweave.operators.structured import csv_preview
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", csv_preview("text").alias("preview"))
+
+
+# First 20 events of every user as CSV-style lines
+@register("table_preview", """
+SELECT user_id, string_agg(line, chr(10) ORDER BY rn) AS preview
+FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+             array_to_string(list_filter([CAST(event_id AS VARCHAR), event_type, props],
+                                         lambda c: c <> ''), ', ') AS line
+      FROM events) t
+WHERE rn <= 20 GROUP BY user_id
+""")
+def q_table_preview(spark, sf_dir):
+    from docweave.operators.structured import table_preview
+    ev = table(spark, sf_dir, "events")
+    return table_preview(ev, ["user_id"], ["event_id"], ["event_id", "event_type", "props"])
+
+
+# One notebook per conversation turn: each line of the text is a cell,
+# every third line a code cell, sources alternate list and string form
+def _nb_json_spark(text):
+    lines = F.split(text, "\n")
+    cell = lambda ln, i: F.when(
+        i % 2 == 0,
+        F.to_json(F.struct(F.when(i % 3 == 0, F.lit("code")).otherwise(F.lit("markdown")).alias("cell_type"),
+                           F.array(ln, F.lit("\n")).alias("source"))))\
+        .otherwise(F.to_json(F.struct(F.when(i % 3 == 0, F.lit("code")).otherwise(F.lit("markdown")).alias("cell_type"),
+                                      ln.alias("source"))))
+    return F.concat(F.lit('{"cells": ['), F.array_join(F.transform(lines, cell), ", "), F.lit("]}"))
+
+
+@register("notebook_text", r"""
+SELECT conv_id, turn,
+  COALESCE(array_to_string(flatten(list_transform(
+      list_filter(list_transform(string_split(text, chr(10)),
+                                 lambda l, i: {'t': CASE WHEN (i - 1) % 3 = 0 THEN 'code' ELSE 'markdown' END,
+                                               's': CASE WHEN (i - 1) % 2 = 0 THEN l || chr(10) ELSE l END}),
+                  lambda c: trim(c.s, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+      lambda c: CASE WHEN c.t = 'code' THEN ['# code cell', c.s] ELSE [c.s] END)),
+    chr(10) || chr(10)), '') AS text
+FROM conversations
+""")
+def q_notebook_text(spark, sf_dir):
+    from docweave.operators.structured import notebook_text
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", notebook_text(_nb_json_spark(F.col("text"))).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# A1-A4: assembly
+@register("assemble_paragraphs", r"""
+SELECT conv_id AS doc_id,
+       COALESCE(string_agg(text, chr(10) || chr(10) ORDER BY turn)
+                  FILTER (WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''), '') AS text
+FROM conversations GROUP BY conv_id
+""")
+def q_assemble_paragraphs(spark, sf_dir):
+    from docweave.operators.assemble import assemble_paragraphs
+    conv = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("part_no"), "text")
+    return assemble_paragraphs(conv)
+
+
+@register("assemble_slides", f"""
+SELECT conv_id AS doc_id,
+       COALESCE(string_agg('Slide ' || (turn + 1) || ': ' || array_to_string(s, chr(10)),
+                           chr(10) || chr(10) ORDER BY turn) FILTER (WHERE len(s) > 0), '') AS text
+FROM (SELECT conv_id, turn, {_d_sentences(_d_norm('text'))} AS s FROM conversations) t
+GROUP BY conv_id
+""")
+def q_assemble_slides(spark, sf_dir):
+    # slide = turn (numbered from 1), shapes = the turn's sentences
+    from docweave.operators.assemble import assemble_slides
+    conv = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("slide_no"),
+        T.split_sentences("text").alias("shapes"))
+    return assemble_slides(conv)
+
+
+@register("assemble_pages", r"""
+SELECT doc_id,
+       array_to_string(list_filter(string_split(text, chr(10)),
+                                   lambda p: trim(p, ' ' || chr(9) || chr(13)) <> ''),
+                       chr(10) || chr(10)) AS text
+FROM documents
+""")
+def q_assemble_pages(spark, sf_dir):
+    # pages = the lines of each document, kept inside the row (no shuffle)
+    from docweave.operators.assemble import join_parts
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", join_parts(F.split("text", "\n")).alias("text"))
+
+
+@register("assemble_sheets", """
+SELECT doc_id, string_agg(preview, chr(10) || chr(10) ORDER BY sheet) AS text
+FROM (SELECT doc_id, sheet, 'Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS preview
+      FROM (SELECT o_custkey AS doc_id, o_orderstatus AS sheet,
+                   row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn,
+                   array_to_string([CAST(o_orderkey AS VARCHAR), o_orderpriority], ', ') AS line
+            FROM orders) r
+      WHERE rn <= 20 GROUP BY doc_id, sheet) s
+GROUP BY doc_id
+""")
+def q_assemble_sheets(spark, sf_dir):
+    # workbook = customer, sheet = order status, rows = orders by key
+    from docweave.operators.assemble import assemble_sheets
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("sheet"),
+        F.col("o_orderstatus").alias("sheet_no"), "o_orderkey", "o_orderpriority")
+    return assemble_sheets(o, ["doc_id"], "sheet", "sheet_no", ["o_orderkey"],
+                           ["o_orderkey", "o_orderpriority"])
