@@ -430,3 +430,264 @@ def q_assemble_sheets(spark, sf_dir):
         F.col("o_orderstatus").alias("sheet_no"), "o_orderkey", "o_orderpriority")
     return assemble_sheets(o, ["doc_id"], "sheet", "sheet_no", ["o_orderkey"],
                            ["o_orderkey", "o_orderpriority"])
+
+
+# ---------------------------------------------------------------------------
+# Requests derived from `orders` (see requests_from_orders)
+from docweave.operators import inference as M  # noqa: E402
+from docweave.operators import requests as R  # noqa: E402
+
+
+def _sq(s: str) -> str:
+    """A SQL string literal (newlines as chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+_D_REQ = """(SELECT o_orderkey AS req_id, o_custkey AS doc_id, (o_orderkey % 4 <> 0) AS use_model,
+  CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 300 - 20 END AS INTEGER) AS sentences,
+  CASE WHEN starts_with(o_orderpriority, '1') THEN 'high' WHEN starts_with(o_orderpriority, '2') THEN 'mid'
+       WHEN starts_with(o_orderpriority, '5') THEN 'low' WHEN starts_with(o_orderpriority, '4') THEN 'max'
+  END AS effort,
+  CASE WHEN o_orderstatus = 'O' THEN 'md' WHEN o_orderstatus = 'P' THEN 'json'
+       WHEN o_orderkey % 97 = 0 THEN 'pdf' END AS output_format,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'out/s_' || o_orderkey || '.md'
+       WHEN o_orderkey % 11 = 1 THEN 'out/s_' || o_orderkey END AS target,
+  CAST(CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 5 END AS INTEGER) AS desc_level,
+  CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 4 END AS INTEGER) AS sum_level
+FROM orders)"""
+
+
+def _d_p2() -> str:
+    eff = ", ".join(f"'{e}'" for e in R.EFFORTS)
+    out = ", ".join(f"'{e}'" for e in R.OUTPUT_FORMATS)
+    return (f"CASE WHEN effort IS NOT NULL AND effort NOT IN ({eff}) THEN "
+            f"'invalid effort value: ''' || effort || ''' (choose from {', '.join(R.EFFORTS)})' "
+            f"WHEN output_format IS NOT NULL AND output_format NOT IN ({out}) THEN "
+            f"'invalid output_format value: ''' || output_format || ''' (choose from "
+            f"{', '.join(R.OUTPUT_FORMATS)})' END")
+
+
+def _d_p1(exists: str) -> str:
+    need = R._needs_model
+    lv_lo, lv_hi = R.LEVEL_MIN, R.LEVEL_MAX
+    return f"""CASE WHEN NOT ({exists}) THEN 'File not found: ' || doc_id
+  WHEN sentences IS NOT NULL AND NOT use_model THEN '{need("sentences")}'
+  WHEN sentences IS NOT NULL AND (sentences < {R.SENTENCES_MIN} OR sentences > {R.SENTENCES_MAX})
+    THEN 'Sentences cannot be less than {R.SENTENCES_MIN} and more than {R.SENTENCES_MAX}! Current amount: ' || sentences
+  WHEN effort IS NOT NULL AND NOT use_model THEN '{need("effort")}'
+  WHEN target IS NOT NULL AND NOT use_model THEN '{need("target")}'
+  WHEN output_format IS NOT NULL AND output_format <> '{R.DEFAULT_OUTPUT}' AND NOT use_model
+    THEN '{need("output_format")}'
+  WHEN desc_level IS NOT NULL AND desc_level <> 0 AND NOT use_model THEN '{need("desc_level")}'
+  WHEN desc_level IS NOT NULL AND (desc_level < {lv_lo} OR desc_level > {lv_hi})
+    THEN 'Description level must be between {lv_lo} and {lv_hi}. Got: ' || desc_level
+  WHEN sum_level IS NOT NULL AND sum_level <> 0 AND NOT use_model THEN '{need("sum_level")}'
+  WHEN sum_level IS NOT NULL AND (sum_level < {lv_lo} OR sum_level > {lv_hi})
+    THEN 'Summary level must be between {lv_lo} and {lv_hi}. Got: ' || sum_level
+END"""
+
+
+_D_VALIDATED = f"""(SELECT r.*, COALESCE(p2, p1) AS error,
+       CASE WHEN p2 IS NOT NULL THEN 'invalid_value' WHEN p1 IS NOT NULL THEN 'rejected' END AS error_class
+FROM (SELECT q.*, {_d_p2()} AS p2, {_d_p1('d.doc_id IS NOT NULL')} AS p1, d.text AS _text
+      FROM {_D_REQ} q LEFT JOIN documents d USING (doc_id)) r)"""
+
+
+def _d_map(col: str, table: dict, default) -> str:
+    whens = " ".join(f"WHEN {_sq(str(k)) if isinstance(k, str) else k} THEN {_sq(v)}" for k, v in table.items())
+    return f"COALESCE(CASE {col} {whens} END, {_sq(default)})"
+
+
+_D_RESOLVED = f"""(SELECT req_id, doc_id, use_model, target, _text,
+   {_d_map('effort', R.EFFORT_TO_MODEL, R.EFFORT_TO_MODEL[R.DEFAULT_EFFORT])} AS model,
+   CAST(COALESCE(sentences, {R.DEFAULT_SENTENCES}) AS INTEGER) AS sentences,
+   COALESCE(output_format, '{R.DEFAULT_OUTPUT}') AS output_format,
+   CAST(COALESCE(desc_level, {R.DEFAULT_LEVEL}) AS INTEGER) AS desc_level,
+   CAST(COALESCE(sum_level, {R.DEFAULT_LEVEL}) AS INTEGER) AS sum_level,
+   {R.DEFAULT_MAX_RETRIES} AS max_retries,
+   {_d_map('COALESCE(desc_level, 2)', R.DESCRIPTION_LEVELS, R.DESCRIPTION_LEVELS[R.DEFAULT_LEVEL])} AS desc_instruction,
+   {_d_map('COALESCE(sum_level, 2)', R.SUMMARY_LEVELS, R.SUMMARY_LEVELS[R.DEFAULT_LEVEL])} AS sum_instruction
+ FROM {_D_VALIDATED} v WHERE error_class IS NULL)"""
+
+_D_STRIP_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _d_prompt_for(fmt: str) -> str:
+    parts = []
+    for item in M.template(fmt):
+        k = item[0]
+        if k == "lit":
+            parts.append(_sq(item[1]))
+        elif k == "cap":
+            parts.append(f"{_sq(item[1])} || sentences || {_sq(item[2])}")
+        elif k == "desc":
+            parts.append(f"{_sq(item[1])} || desc_instruction")
+        elif k == "summ":
+            parts.append(f"{_sq(item[1])} || sum_instruction || '.'")
+        else:
+            parts.append(f"{_sq(M.TEXT_MARK)} || trim(_text, {_D_STRIP_WS})")
+    return "concat_ws(chr(10) || chr(10), " + ", ".join(parts) + ")"
+
+
+_D_PROMPT = (f"CASE output_format WHEN 'txt' THEN {_d_prompt_for('txt')} WHEN 'md' THEN {_d_prompt_for('md')} "
+             f"WHEN 'json' THEN {_d_prompt_for('json')} ELSE {_d_prompt_for('other')} END")
+
+
+def _req_pipeline(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    docs = table(spark, sf_dir, "documents")
+    return R.requests_from_orders(orders), docs
+
+
+@register("check_allowed_values", f"""
+SELECT req_id, CASE WHEN p2 IS NOT NULL THEN 'invalid_value' END AS error_class, p2 AS error
+FROM (SELECT req_id, {_d_p2()} AS p2 FROM {_D_REQ} q) t
+""")
+def q_check_allowed(spark, sf_dir):
+    req, _ = _req_pipeline(spark, sf_dir)
+    return R.check_allowed_values(req).select("req_id", "error_class", "error")
+
+
+@register("validate_requests", f"""
+SELECT req_id, doc_id, error_class, error FROM {_D_VALIDATED} v
+""")
+def q_validate(spark, sf_dir):
+    req, docs = _req_pipeline(spark, sf_dir)
+    return R.validate_requests(req, docs.select("doc_id")).select("req_id", "doc_id", "error_class", "error")
+
+
+def _valid_resolved(spark, sf_dir):
+    req, docs = _req_pipeline(spark, sf_dir)
+    valid, _ = R.split_valid(R.validate_requests(req, docs.select("doc_id")))
+    return R.resolve_levels(R.resolve_options(valid.drop("error_class", "error"))), docs
+
+
+@register("resolve_model", f"SELECT req_id, model FROM {_D_RESOLVED} x")
+def q_resolve_model(spark, sf_dir):
+    res, _ = _valid_resolved(spark, sf_dir)
+    return res.select("req_id", "model")
+
+
+@register("resolve_options", f"""
+SELECT req_id, model, sentences, output_format, desc_level, sum_level, max_retries FROM {_D_RESOLVED} x
+""")
+def q_resolve_options(spark, sf_dir):
+    res, _ = _valid_resolved(spark, sf_dir)
+    return res.select("req_id", "model", "sentences", "output_format", "desc_level", "sum_level",
+                      "max_retries")
+
+
+@register("resolve_levels", f"SELECT req_id, desc_instruction, sum_instruction FROM {_D_RESOLVED} x")
+def q_resolve_levels(spark, sf_dir):
+    res, _ = _valid_resolved(spark, sf_dir)
+    return res.select("req_id", "desc_instruction", "sum_instruction")
+
+
+def _model_calls(spark, sf_dir):
+    res, docs = _valid_resolved(spark, sf_dir)
+    model = res.where(F.col("use_model"))
+    from docweave.operators.output import resolve_target
+    model = model.withColumn("_t", resolve_target("target", "output_format"))
+    withtext = model.where(F.col("_t.error").isNull()).join(docs.select("doc_id", "text"), "doc_id")
+    return withtext.withColumn("prompt", M.build_prompt("text"))
+
+
+_D_TARGET_ERR = ("(target IS NOT NULL AND regexp_extract(target, '^.+(\\.[^.]+)$', 1) <> '' "
+                 "AND regexp_extract(target, '^.+(\\.[^.]+)$', 1) <> '.' || output_format)")
+_D_CALLS = f"(SELECT x.*, {_D_PROMPT} AS prompt FROM {_D_RESOLVED} x WHERE use_model AND NOT {_D_TARGET_ERR})"
+
+
+@register("build_prompt", f"SELECT req_id, prompt FROM {_D_CALLS} c")
+def q_build_prompt(spark, sf_dir):
+    return _model_calls(spark, sf_dir).select("req_id", "prompt")
+
+
+def _d_reply() -> str:
+    lead = _d_lead("_text", 0).replace("list_slice(", "list_slice(").replace(", 1, 0)", ", 1, sentences)")
+    body = f"CASE WHEN output_format = 'json' THEN '```json' || chr(10) || '{{\"full_summary\": ' || to_json({lead}) || '}}' || chr(10) || '```' ELSE {lead} END"
+    return body
+
+
+_D_INFER = f"""(SELECT req_id, doc_id, output_format, target, _text, sentences,
+   CAST(CASE WHEN length(prompt) % 4 = 3 THEN 3 ELSE length(prompt) % 4 + 1 END AS INTEGER) AS attempts,
+   CASE WHEN length(prompt) % 4 = 3 THEN '{M.API_ERROR}' ELSE '{M.OK}' END AS status,
+   CASE WHEN length(prompt) % 4 = 3 THEN NULL ELSE {_d_reply()} END AS content,
+   CASE WHEN length(prompt) % 4 = 3 THEN 'provider failed after 3 attempts: transient failure 3' END AS error
+ FROM {_D_CALLS} c)"""
+
+
+@register("infer_batch", f"SELECT req_id, content, attempts, status, error FROM {_D_INFER} i")
+def q_infer_batch(spark, sf_dir):
+    calls = _model_calls(spark, sf_dir)
+    out = M.infer_batch(calls, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+                        initial_delay=0.0)
+    return out.select("req_id", "content", "attempts", "status", "error")
+
+
+@register("degrade_errors", f"""
+SELECT req_id, CASE WHEN status = 'ok' THEN content ELSE 'Model summarization failed: ' || error END AS summary
+FROM {_D_INFER} i
+""")
+def q_degrade(spark, sf_dir):
+    calls = _model_calls(spark, sf_dir)
+    out = M.infer_batch(calls, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+                        initial_delay=0.0)
+    return out.select("req_id", M.degrade_errors().alias("summary"))
+
+
+@register("check_reply", """
+SELECT conv_id, turn, CASE WHEN trim(r, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'bad_reply' ELSE 'ok' END
+         AS status
+FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\s.!?]', '', 'g') AS r FROM conversations) t
+""")
+def q_check_reply(spark, sf_dir):
+    # replies = each turn reduced to its punctuation and spacing (some blank)
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", M.check_reply(
+        F.regexp_replace("text", r"[^\s.!?]", "")).alias("status"))
+
+
+@register("resolve_target", f"""
+SELECT req_id,
+  CASE WHEN target IS NULL THEN NULL
+       WHEN regexp_extract(target, '^.+(\\.[^.]+)$', 1) = '' THEN target || '.' || fmt
+       WHEN regexp_extract(target, '^.+(\\.[^.]+)$', 1) = '.' || fmt THEN target END AS target_path,
+  CASE WHEN target IS NOT NULL AND regexp_extract(target, '^.+(\\.[^.]+)$', 1) NOT IN ('', '.' || fmt)
+       THEN 'Output file extension ''' || regexp_extract(target, '^.+(\\.[^.]+)$', 1)
+            || ''' does not match requested format ''' || fmt || '''' END AS error
+FROM (SELECT req_id, target, COALESCE(output_format, 'txt') AS fmt FROM {_D_REQ} q) t
+""")
+def q_resolve_target(spark, sf_dir):
+    from docweave.operators.output import resolve_target
+    req, _ = _req_pipeline(spark, sf_dir)
+    t = resolve_target("target", F.coalesce("output_format", F.lit("txt")))
+    return req.select("req_id", t["path"].alias("target_path"), t["error"].alias("error"))
+
+
+# O1: replies shaped from documents: fenced JSON, bare JSON, broken JSON, text
+def _replies_spark(docs):
+    k = F.col("doc_id") % 4
+    content = (F.when(k == 0, F.concat(F.lit('```json\n{"doc": '), F.col("doc_id").cast("string"),
+                                       F.lit(', "lang": "'), F.col("lang"), F.lit('"}\n```')))
+                .when(k == 1, F.concat(F.lit('  {"n_chars": '), F.col("n_chars").cast("string"), F.lit("} ")))
+                .when(k == 2, F.concat(F.lit("```json\n{broken "), F.col("source"), F.lit("\n```")))
+                .otherwise(F.col("text")))
+    fmt = F.when(k == 3, F.lit("txt")).otherwise(F.lit("json"))
+    return docs.select("doc_id", content.alias("content"), fmt.alias("output_format"))
+
+
+@register("normalize_output", f"""
+SELECT doc_id,
+  CASE doc_id % 4
+    WHEN 0 THEN '{{' || chr(10) || '  "doc": ' || doc_id || ',' || chr(10) || '  "lang": ' || to_json(lang)
+                || chr(10) || '}}' || chr(10)
+    WHEN 1 THEN '{{' || chr(10) || '  "n_chars": ' || n_chars || chr(10) || '}}' || chr(10)
+    WHEN 2 THEN '{{broken ' || source
+    ELSE trim(text, {_D_STRIP_WS}) END AS saved_content
+FROM documents
+""")
+def q_normalize_output(spark, sf_dir):
+    from docweave.operators.output import normalize_output
+    rep = _replies_spark(table(spark, sf_dir, "documents"))
+    return rep.select("doc_id", normalize_output("content", "output_format").alias("saved_content"))

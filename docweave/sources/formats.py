@@ -106,4 +106,7 @@ def route_by_extension(df: DataFrame, path_col: str = "path", formats=FORMATS,
                   F.concat(F.lit("Unsupported file type: "), F.col("suffix"),
                            F.lit(". Supported: " + listed)))
             .when(~F.col("has_extractor"), hints[F.col("kind")]))
-    return joined.withColumn("error_class", err_class).withColumn("error", err)
+    if "error_class" in df.columns:  # errors found earlier (missing file) win
+        err_class = F.when(F.col("error_class").isNotNull(), F.col("error_class")).otherwise(err_class)
+        err = F.when(F.col("error_class").isNotNull(), F.col("error")).otherwise(err)
+    return joined.withColumn("error", err).withColumn("error_class", err_class)
