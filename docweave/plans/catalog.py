@@ -691,3 +691,184 @@ def q_normalize_output(spark, sf_dir):
     from docweave.operators.output import normalize_output
     rep = _replies_spark(table(spark, sf_dir, "documents"))
     return rep.select("doc_id", normalize_output("content", "output_format").alias("saved_content"))
+
+
+# ---------------------------------------------------------------------------
+# G1: the supplied tables seen as a folder of files, one file per row
+def _corpus_spark(spark, sf_dir):
+    def rows(name, path, content):
+        return table(spark, sf_dir, name).select(path.alias("path"), content.alias("content"))
+
+    c = F.col
+    n = table(spark, sf_dir, "nation")
+    parts = [
+        rows("documents", F.concat(F.lit("documents/"), c("doc_id").cast("string"), F.lit(".txt")), c("text")),
+        rows("pages", F.concat(F.lit("pages/"), c("page_id").cast("string"), F.lit(".html")), c("html")),
+        rows("events", F.concat(F.lit("events/"), c("event_id").cast("string"), F.lit(".json")), c("props")),
+        rows("conversations", F.concat(F.lit("conversations/"), c("conv_id").cast("string"), F.lit("-"),
+                                       c("turn").cast("string"), F.lit(".docx")), c("text")),
+        rows("labels", F.concat(F.lit("labels/"), c("doc_id").cast("string"), F.lit(".parquet")),
+             c("quality").cast("string")),
+        n.select(F.concat(F.lit("nation/"), c("n_nationkey").cast("string"), F.lit(".xml")).alias("path"),
+                 _xml_doc_spark(n).alias("content")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_D_HTML_TEXT = (f"array_to_string(list_filter(list_transform(string_split({_d_unescape(_D_MARKED)}, chr(1)), "
+                f"lambda n: trim(n, {_D_WS})), lambda n: n <> ''), chr(10))")
+_D_XML_OUTLINE = ("CASE WHEN n_nationkey % 5 = 3 THEN " + _D_XML + " ELSE '<nation key=\"' || n_nationkey || "
+                  "'\" region=\"' || n_regionkey || '\">' || chr(10) || '  <name>' || chr(10) || '    ' || "
+                  "trim(n_name) || chr(10) || '  </name>' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE "
+                  "chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END || chr(10) || "
+                  "'</nation>' END")
+_D_UNSUPPORTED = f"'Unsupported file type: .parquet. Supported: {FMT.supported_list()}'"
+
+
+@register("loader_report", f"""
+WITH t AS (
+  SELECT '.txt' AS ext, 'documents/' || doc_id || '.txt' AS path, text, NULL AS error_class, NULL AS error
+  FROM documents
+  UNION ALL SELECT '.html', 'pages/' || page_id || '.html', {_D_HTML_TEXT}, NULL, NULL FROM pages
+  UNION ALL SELECT '.json', 'events/' || event_id || '.json',
+     '{{' || chr(10) || '  "k": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || chr(10) || '}}',
+     NULL, NULL FROM events
+  UNION ALL SELECT '.docx', 'conversations/' || conv_id || '-' || turn || '.docx', NULL, 'missing_dependency',
+     {_sq(FMT.MISSING_DEPENDENCY_HINT['docx'])} FROM conversations
+  UNION ALL SELECT '.parquet', 'labels/' || doc_id || '.parquet', NULL, 'unsupported_type', {_D_UNSUPPORTED}
+  FROM labels
+  UNION ALL SELECT '.xml', 'nation/' || n_nationkey || '.xml', {_D_XML_OUTLINE}, NULL, NULL FROM nation
+)
+SELECT ext, count(*) AS n_files, count(*) FILTER (WHERE error_class IS NULL) AS n_ok,
+       CAST(COALESCE(sum(length(text)) FILTER (WHERE error_class IS NULL), 0) AS BIGINT) AS n_chars,
+       arg_min(substring(text, 1, 200), CASE WHEN error_class IS NULL THEN path END) AS preview,
+       arg_min(error_class, CASE WHEN error_class IS NOT NULL THEN path END) AS error_class,
+       arg_min(error, CASE WHEN error_class IS NOT NULL THEN path END) AS error,
+       bool_and(count(*) = count(*) FILTER (WHERE error_class IS NULL)) OVER () AS all_ok
+FROM t GROUP BY ext
+""")
+def q_loader_report(spark, sf_dir):
+    from docweave.operators.report import loader_report
+    from docweave.sources.files import load_corpus_text
+    texts = load_corpus_text(_corpus_spark(spark, sf_dir))
+    return loader_report(texts)
+
+
+# M5: every request routed, summarised and degraded where it failed
+def _d_summarize() -> str:
+    need = f"""(SELECT x.*, {_D_TARGET_ERR} AS bad_target,
+       CASE WHEN {_D_TARGET_ERR} THEN 'Output file extension ''' || regexp_extract(target, '^.+(\\.[^.]+)$', 1)
+            || ''' does not match requested format ''' || output_format || '''' END AS target_error,
+       CASE WHEN target IS NULL THEN NULL
+            WHEN regexp_extract(target, '^.+(\\.[^.]+)$', 1) = '' THEN target || '.' || output_format
+            ELSE target END AS target_path
+     FROM {_D_RESOLVED} x)"""
+    local = (f"array_to_string(list_transform({_d_chunks('_text')}, lambda c: {_d_lead('c', 2)}), "
+             f"chr(10) || chr(10))")
+    lead = _d_lead("_text", 0).replace(", 1, 0)", ", 1, sentences)")
+    norm_json = (f"'{{' || chr(10) || '  \"full_summary\": ' || to_json({lead}) || chr(10) || '}}' || chr(10)")
+    return f"""
+SELECT req_id, doc_id, 'rejected' AS route, output_format, NULL AS content, NULL AS saved_content,
+       NULL AS target_path, 0 AS attempts, 'rejected' AS status, error_class, error
+FROM {_D_VALIDATED} v WHERE error_class IS NOT NULL
+UNION ALL
+SELECT req_id, doc_id, 'local', output_format, {local}, NULL, NULL, 0, 'ok', NULL, NULL
+FROM {_D_RESOLVED} x WHERE NOT use_model
+UNION ALL
+SELECT req_id, doc_id, 'model', output_format, 'Model configuration error: ' || target_error, NULL, NULL, 0,
+       'config_error', 'config_error', target_error
+FROM {need} n WHERE use_model AND bad_target
+UNION ALL
+SELECT req_id, doc_id, 'model', output_format,
+       CASE WHEN status = 'ok' THEN content ELSE 'Model summarization failed: ' || error END,
+       CASE WHEN status = 'ok' AND target_path IS NOT NULL THEN
+            CASE WHEN output_format = 'json' THEN {norm_json} ELSE content END END,
+       target_path, attempts, status, CASE WHEN status <> 'ok' THEN status END, error
+FROM (SELECT i.*, CASE WHEN target IS NULL THEN NULL
+            WHEN regexp_extract(target, '^.+(\\.[^.]+)$', 1) = '' THEN target || '.' || output_format
+            ELSE target END AS target_path FROM {_D_INFER} i) m
+"""
+
+
+@register("summarize", _d_summarize())
+def q_summarize(spark, sf_dir):
+    from docweave.plans.summarize import summarize
+    req, docs = _req_pipeline(spark, sf_dir)
+    return summarize(req, docs, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+                     initial_delay=0.0)
+
+
+# ---------------------------------------------------------------------------
+# S1, S3, U1, S7 (files), O3: files written by Spark from the supplied tables
+# into the shared checkpoint folder, then read back as a corpus.
+FILE_DOCS = 64  # documents per written file
+
+
+def _write_document_files(spark, sf_dir) -> str:
+    from docweave.sources.scratch import scratch_dir
+    out = scratch_dir(spark, "corpus")
+    (table(spark, sf_dir, "documents").select("lang", "text")
+     .write.mode("overwrite").option("maxRecordsPerFile", FILE_DOCS)
+     .partitionBy("lang").text(out))
+    return out
+
+
+@register("read_corpus")
+def q_read_corpus(spark, sf_dir):
+    from docweave.sources.files import read_corpus
+    root = _write_document_files(spark, sf_dir)
+    files = read_corpus(spark, root, glob="*.txt", wanted=[root + "/lang=xx/missing.txt"])
+    return files.select(F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"),
+                        "length", "error_class")
+
+
+@register("decode_text")
+def q_decode_text(spark, sf_dir):
+    from docweave.sources.files import decode_text, read_corpus
+    files = read_corpus(spark, _write_document_files(spark, sf_dir), glob="*.txt")
+    text = decode_text("content")
+    return files.select(F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"),
+                        F.char_length(text).alias("n_chars"),
+                        F.size(T.split_sentences(text)).alias("n_sentences"))
+
+
+def _word_join(b: bytes) -> str:
+    """A user extractor: whitespace-separated words, one space apart."""
+    return " ".join(b.decode("utf-8", "replace").split())
+
+
+@register("custom_extractor")
+def q_custom_extractor(spark, sf_dir):
+    from docweave.sources.files import load_corpus_text, read_corpus
+    files = read_corpus(spark, _write_document_files(spark, sf_dir), glob="*.txt")
+    texts = load_corpus_text(files, extractors={".txt": _word_join})
+    return texts.select("ext", "kind", F.char_length("text").alias("n_chars"), "error_class")
+
+
+@register("csv_file_preview")
+def q_csv_file_preview(spark, sf_dir):
+    from docweave.operators.structured import csv_file_preview
+    from docweave.sources.scratch import scratch_dir
+    out = scratch_dir(spark, "csv")
+    (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+     .write.mode("overwrite").option("maxRecordsPerFile", 5000).csv(out))
+    return csv_file_preview(spark, out + "/*.csv").select(
+        F.char_length("preview").alias("n_chars"),
+        F.size(F.split("preview", "\n")).alias("n_lines"))
+
+
+@register("write_summaries", _d_summarize())
+def q_write_summaries(spark, sf_dir):
+    from docweave.operators.output import write_summaries
+    from docweave.plans.summarize import OUT_COLS, summarize
+    from docweave.sources.scratch import scratch_dir
+    req, docs = _req_pipeline(spark, sf_dir)
+    out = scratch_dir(spark, "summaries")
+    write_summaries(summarize(req, docs, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+                              initial_delay=0.0), out)
+    back = spark.read.parquet(out)
+    return back.select(*[F.col(c).cast("string").alias(c) if c == "output_format" else F.col(c)
+                         for c in OUT_COLS])

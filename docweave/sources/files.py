@@ -103,13 +103,17 @@ def extract_text(routed: DataFrame, content_col: str = "content",
 
     is_custom = ext.isin(*custom.keys()) if custom else F.lit(False)
     js = json_pretty(only("json", folded))
-    cust = _custom_udf(custom)(F.when(is_custom, ext), F.when(is_custom, raw_bytes)) if custom else None
+    if custom:
+        cust = _custom_udf(custom)(F.when(is_custom, ext), F.when(is_custom, raw_bytes))
+        cust_text, cust_err = cust["text"], cust["error"]
+    else:
+        cust_text = cust_err = F.lit(None).cast("string")
     html = html_visible_text(only("html", folded))
     csvp = csv_preview(only("csv", unfolded))
     xml = xml_outline(only("xml", folded))
     pre_error = F.col("error_class").isNotNull() & ~is_custom
     text = (F.when(pre_error, F.lit(None).cast("string"))
-             .when(is_custom, cust["text"] if cust is not None else F.lit(None))
+             .when(is_custom, cust_text)
              .when(kind == "text", folded)
              .when(kind == "html", html)
              .when(kind == "json", js["text"])
@@ -120,12 +124,11 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     nb_bad = (kind == "notebook") & (F.try_parse_json(only("notebook", folded)).isNull()
                                      | ~folded.rlike(r"^[ \t\n\r]*\{"))
     err_class = (F.when(pre_error, F.col("error_class"))
-                  .when(is_custom & cust["error"].isNotNull() if cust is not None else F.lit(False),
-                        F.lit("extractor_error"))
+                  .when(is_custom & cust_err.isNotNull(), F.lit("extractor_error"))
                   .when((kind == "json") & js["error"].isNotNull(), F.lit("bad_json"))
                   .when(nb_bad & ~is_custom, F.lit("bad_json")))
     err = (F.when(pre_error, F.col("error"))
-            .when(is_custom & cust["error"].isNotNull() if cust is not None else F.lit(False), cust["error"])
+            .when(is_custom & cust_err.isNotNull(), cust_err)
             .when((kind == "json") & js["error"].isNotNull(), js["error"])
             .when(nb_bad & ~is_custom, F.lit("notebook is not a JSON object")))
     keep = [c for c in routed.columns if c not in
