@@ -585,12 +585,12 @@ def q_resolve_levels(spark, sf_dir):
 
 
 def _model_calls(spark, sf_dir):
-    res, docs = _valid_resolved(spark, sf_dir)
-    model = res.where(F.col("use_model"))
-    from docweave.operators.output import resolve_target
-    model = model.withColumn("_t", resolve_target("target", "output_format"))
-    withtext = model.where(F.col("_t.error").isNull()).join(docs.select("doc_id", "text"), "doc_id")
-    return withtext.withColumn("prompt", M.build_prompt("text"))
+    # the same single-join preparation the summarize plan uses
+    from docweave.plans.summarize import prepare_requests
+    req, docs = _req_pipeline(spark, sf_dir)
+    prep = prepare_requests(req, docs)
+    calls = prep.where((F.col("route") == "model") & F.col("_t.error").isNull())
+    return calls.withColumn("prompt", M.build_prompt("_text"))
 
 
 _D_TARGET_ERR = ("(target IS NOT NULL AND regexp_extract(target, '^.+(\\.[^.]+)$', 1) <> '' "

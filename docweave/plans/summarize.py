@@ -1,17 +1,17 @@
 """M5: route every request to the local or the model summary.
 
-Plan shape (one shuffle join, no other wide operation):
+One linear plan - one scan of each input, one join, one Python stage:
 
-    requests LEFT JOIN documents(doc_id, text)      -- existence + text, once
-      -> P2/P1 validation (CASE chain)               -- rejected rows kept
+    requests LEFT JOIN documents(doc_id, text)   -- existence + text, once
+      -> P2/P1 validation (CASE chain)            -- rejected rows kept
       -> P3-P5 option resolution (literal maps)
-      -> split by route:
-           local:  T6 in-row summary                 -- no shuffle
-           model:  O2 target check, M1 prompt, M2 mapInPandas (carry columns),
-                   M4 degrade, O1 normalise
-      -> unionByName
+      -> route = rejected | local | model; O2 target check (before any call)
+      -> local rows: T6 summary (JVM); model rows: M1 prompt (JVM)
+      -> M2 mapInPandas: rows with a prompt call the provider, others pass
+      -> M4 degrade, O1 normalise
 
-Nothing is dropped: every request comes out once with its route and status.
+No union of branches, so the join is never evaluated twice.  Nothing is
+dropped: every request comes out once with its route and status.
 """
 
 from __future__ import annotations
@@ -31,16 +31,12 @@ OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_cont
             "target_path", "attempts", "status", "error_class", "error"]
 
 
-def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable | None = None,
-              config: dict | None = None, doc_key: str = "doc_id", text_col: str = "text",
-              partitions: int | None = None, initial_delay: float = 1.0,
-              sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
-              materialize: bool = False) -> DataFrame:
-    """Summaries for a request table against a document table.
+def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | None = None,
+                     doc_key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Validated, resolved requests with the document text (``_text``),
+    ``route`` and the checked target (``_t``: struct(path, error)).
 
-    ``documents`` must be unique on ``doc_key``.  ``materialize`` checkpoints
-    the model replies into the cluster's checkpoint folder so that later
-    actions never call the provider again.
+    ``documents`` must be unique on ``doc_key``.  This is the only join.
     """
     docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"))
     checked = check_allowed_values(requests)
@@ -50,50 +46,69 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
         *[c for c in checked.columns if c not in ("error", "error_class")], "_text",
         F.coalesce(F.col("error_class"), F.when(rule.isNotNull(), F.lit("rejected"))).alias("error_class"),
         F.coalesce(F.col("error"), rule).alias("error"))
+    resolved = resolve_levels(resolve_options(
+        validated.withColumn("_format_given", F.col("output_format")), config))
+    route = (F.when(F.col("error_class").isNotNull(), F.lit("rejected"))
+              .when(F.coalesce(F.col("use_model"), F.lit(False)), F.lit("model"))
+              .otherwise(F.lit("local")))
+    return (resolved.withColumn("route", route)
+                    .withColumn("_t", F.when(F.col("route") == "model",
+                                             resolve_target("target", "output_format"))))
 
-    null_s = F.lit(None).cast("string")
-    rejected = validated.where(F.col("error_class").isNotNull()).select(
-        "req_id", "doc_id", F.lit("rejected").alias("route"),
-        F.col("output_format"), null_s.alias("content"), null_s.alias("saved_content"),
-        null_s.alias("target_path"), F.lit(0).alias("attempts"), F.lit("rejected").alias("status"),
-        "error_class", "error")
-
-    valid = resolve_levels(resolve_options(
-        validated.where(F.col("error_class").isNull()).drop("error_class", "error"), config))
-    use_model = F.coalesce(F.col("use_model"), F.lit(False))
-
-    local = valid.where(~use_model).select(
-        "req_id", "doc_id", F.lit("local").alias("route"), "output_format",
-        local_summary("_text").alias("content"), null_s.alias("saved_content"),
-        null_s.alias("target_path"), F.lit(0).alias("attempts"), F.lit(M.OK).alias("status"),
-        null_s.alias("error_class"), null_s.alias("error"))
 
-    model = valid.where(use_model).withColumn("_t", resolve_target("target", "output_format"))
-    # target mismatch is a configuration error found before any paid call
-    bad_target = model.where(F.col("_t.error").isNotNull()).select(
-        "req_id", "doc_id", F.lit("model").alias("route"), "output_format",
-        M.degrade_errors(F.lit(M.CONFIG_ERROR), null_s, F.col("_t.error"), provider_name).alias("content"),
-        null_s.alias("saved_content"), null_s.alias("target_path"), F.lit(0).alias("attempts"),
-        F.lit(M.CONFIG_ERROR).alias("status"), F.lit(M.CONFIG_ERROR).alias("error_class"),
-        F.col("_t.error").alias("error"))
+def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable | None = None,
+              config: dict | None = None, doc_key: str = "doc_id", text_col: str = "text",
+              partitions: int | None = None, initial_delay: float = 1.0,
+              sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
+              materialize: bool = False) -> DataFrame:
+    """Summaries for a request table against a document table.
 
-    calls = model.where(F.col("_t.error").isNull()).select(
-        "req_id", "doc_id", "output_format", "model", "max_retries",
+    ``materialize`` checkpoints the result into the cluster's checkpoint
+    folder so that later actions never call the provider again.
+    """
+    prep = prepare_requests(requests, documents, config, doc_key, text_col)
+    route, terr = F.col("route"), F.col("_t.error")
+    null_s = F.lit(None).cast("string")
+    staged = prep.select(
+        "req_id", "doc_id", "route", "model", "max_retries",
+        # a rejected request reports the format it asked for, not the default
+        F.when(route == "rejected", F.col("_format_given")).otherwise(F.col("output_format"))
+         .alias("output_format"),
         F.col("_t.path").alias("target_path"),
-        M.build_prompt("_text").alias("prompt"))
+        F.col("error_class").alias("_vclass"), F.col("error").alias("_verror"),
+        terr.alias("_terror"),
+        F.when(route == "local", local_summary("_text")).alias("_local"),
+        F.when((route == "model") & terr.isNull(), M.build_prompt("_text")).alias("prompt"))
     if make_provider is None:
         make_provider = M.LeadProvider()
-    replies = M.infer_batch(calls, make_provider, key_cols=("req_id",),
-                            carry_cols=("doc_id", "output_format", "target_path"),
-                            partitions=partitions, initial_delay=initial_delay, sleep=sleep)
+    called = M.infer_batch(
+        staged, make_provider, key_cols=("req_id",),
+        carry_cols=("doc_id", "route", "output_format", "target_path", "_vclass", "_verror",
+                    "_terror", "_local"),
+        partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
     if materialize:
-        replies = replies.checkpoint(eager=True)
-    answered = replies.select(
-        "req_id", "doc_id", F.lit("model").alias("route"), "output_format",
-        M.degrade_errors("status", "content", "error", provider_name).alias("content"),
-        F.when((F.col("status") == M.OK) & F.col("target_path").isNotNull(),
-               normalize_output("content", "output_format")).alias("saved_content"),
-        "target_path", "attempts", "status",
-        F.when(F.col("status") != M.OK, F.col("status")).alias("error_class"), "error")
-
-    return rejected.unionByName(local).unionByName(bad_target).unionByName(answered)
+        called = called.checkpoint(eager=True)
+
+    st = F.col("status")
+    is_model_call = (route == "model") & F.col("_terror").isNull()
+    status = (F.when(route == "rejected", F.lit("rejected"))
+               .when(route == "local", F.lit(M.OK))
+               .when(F.col("_terror").isNotNull(), F.lit(M.CONFIG_ERROR))
+               .otherwise(st))
+    content = (F.when(route == "local", F.col("_local"))
+                .when(route == "model", F.when(F.col("_terror").isNotNull(), M.degrade_errors(
+                    F.lit(M.CONFIG_ERROR), null_s, F.col("_terror"), provider_name))
+                    .otherwise(M.degrade_errors("status", "content", "error", provider_name))))
+    saved = F.when(is_model_call & (st == M.OK) & F.col("target_path").isNotNull(),
+                   normalize_output("content", "output_format"))
+    error_class = (F.when(route == "rejected", F.col("_vclass"))
+                    .when(F.col("_terror").isNotNull(), F.lit(M.CONFIG_ERROR))
+                    .when(is_model_call & (st != M.OK), st))
+    error = (F.when(route == "rejected", F.col("_verror"))
+              .when(F.col("_terror").isNotNull(), F.col("_terror"))
+              .when(is_model_call, F.col("error")))
+    return called.select(
+        "req_id", "doc_id", "route", "output_format", content.alias("content"), saved.alias("saved_content"),
+        F.when(is_model_call, F.col("target_path")).alias("target_path"),
+        F.when(is_model_call, F.col("attempts")).otherwise(F.lit(0)).alias("attempts"),
+        status.alias("status"), error_class.alias("error_class"), error.alias("error"))
