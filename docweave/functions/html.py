@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.text import strip_ws
+
 SEP = "\u0001"  # text-node separator; never produced by entity decoding
 
 # Elements whose text is not visible text.  script/style hold raw text (no
@@ -22,9 +24,10 @@ _COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
 _CDATA = r"<!\[CDATA\[([\s\S]*?)\]\]>"
 _DECL = r"<[!?][^>]*>"
 # start/end tags; attribute values may be quoted and hold '>'
-_TAG = r"</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# possessive: no backtracking, and the group repeats per run (not per
+# character), so long attribute values cannot exhaust the regex stack
+_TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _WS = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{_WS}+|{_WS}+$"
 
 
 def _c(c) -> Column:
@@ -51,18 +54,22 @@ def mark_text_nodes(c) -> Column:
     return F.regexp_replace(x, _TAG, SEP)
 
 
+def unescape_one(v):
+    import html
+
+    return html.unescape(v) if isinstance(v, str) and "&" in v else v
+
+
 @F.pandas_udf("string")
 def html_unescape(s: pd.Series) -> pd.Series:
     """Decode named and numeric character references (HTML5 rules)."""
-    import html
-
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
+    return s.map(unescape_one)
 
 
 def join_text_nodes(marked) -> Column:
     """Strip each node, drop blank ones, join with newlines."""
     nodes = F.split(_c(marked), SEP)
-    stripped = F.transform(nodes, lambda n: F.regexp_replace(n, _STRIP, ""))
+    stripped = F.transform(nodes, strip_ws)
     return F.array_join(F.filter(stripped, lambda n: n != ""), "\n")
 
 

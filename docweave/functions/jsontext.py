@@ -14,23 +14,22 @@ from pyspark.sql import functions as F
 PRETTY_SCHEMA = "text string, error string"
 
 
-@F.pandas_udf(PRETTY_SCHEMA)
-def _pretty(s: pd.Series) -> pd.DataFrame:
+def pretty_one(v):
+    """(pretty text, None) or (None, error) for one JSON string."""
     import json
 
-    texts, errors = [], []
-    for v in s:
-        if v is None:
-            texts.append(None)
-            errors.append(None)
-            continue
-        try:
-            texts.append(json.dumps(json.loads(v), indent=2, ensure_ascii=False))
-            errors.append(None)
-        except (ValueError, RecursionError) as e:
-            texts.append(None)
-            errors.append(f"{type(e).__name__}: {e}")
-    return pd.DataFrame({"text": texts, "error": errors})
+    if v is None:
+        return None, None
+    try:
+        return json.dumps(json.loads(v), indent=2, ensure_ascii=False), None
+    except (ValueError, RecursionError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+@F.pandas_udf(PRETTY_SCHEMA)
+def _pretty(s: pd.Series) -> pd.DataFrame:
+    pairs = [pretty_one(v) for v in s]
+    return pd.DataFrame({"text": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
 
 def json_pretty(c) -> Column:

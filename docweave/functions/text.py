@@ -24,6 +24,8 @@ LEVEL_LABELS = {1: "brief", 2: "detailed"}  # anything else: "full"
 # ---------------------------------------------------------------------------
 
 WS_RUN = r"(?U)[\s\x1c-\x1f]+"
+# every character Python's str.isspace() accepts (derived by rule, 29 chars)
+PY_WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 SENTENCE_BREAK = r"(?<=[.!?])(?U)[\s\x1c-\x1f]+"
 
 
@@ -31,6 +33,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip_ws(c) -> Column:
+    """Python ``str.strip()``: ``btrim`` with the whitespace set (no regex)."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
+
+
 def normalize_whitespace(c) -> Column:
     """Every whitespace run becomes one space; ends stripped."""
     # after the replace the only whitespace left is U+0020, so trim() is exact

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.jsontext import json_pretty, strip_fence
+from docweave.functions.text import strip_ws
 from docweave.sources.formats import SUFFIX_PATTERN
 
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def _c(c) -> Column:
@@ -17,7 +17,7 @@ def _c(c) -> Column:
 
 def strip_text(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), _STRIP, "")
+    return strip_ws(_c(c))
 
 
 def normalize_output(content, output_format) -> Column:

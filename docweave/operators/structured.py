@@ -33,44 +33,41 @@ XML_ELEMENT = ("struct<seq:int,level:int,kind:string,tag:string,"
 XML_PARSED = f"struct<elements:array<{XML_ELEMENT}>,error:string>"
 
 
-@F.pandas_udf(XML_PARSED)
-def _xml_shred(s: pd.Series) -> pd.DataFrame:
+def xml_rows_one(raw):
+    """(element rows, error) for one XML string; malformed -> one raw row."""
     import xml.etree.ElementTree as ET
 
-    out_el, out_err = [], []
-    for raw in s:
-        if raw is None:
-            out_el.append(None)
-            out_err.append(None)
+    if raw is None:
+        return None, None
+    try:
+        root = ET.fromstring(raw)
+    except ET.ParseError as e:
+        return ([{"seq": 0, "level": 0, "kind": "raw", "tag": None, "attrs": None, "text": raw}],
+                f"ParseError: {e}")
+    rows = []
+    # iterative pre-order walk: (element, level, closing?)
+    stack = [(root, 0, False)]
+    while stack:
+        el, lvl, closing = stack.pop()
+        if closing:
+            rows.append({"seq": len(rows), "level": lvl, "kind": "close",
+                         "tag": el.tag, "attrs": None, "text": None})
             continue
-        try:
-            root = ET.fromstring(raw)
-        except ET.ParseError as e:
-            out_el.append([{"seq": 0, "level": 0, "kind": "raw", "tag": None,
-                            "attrs": None, "text": raw}])
-            out_err.append(f"ParseError: {e}")
-            continue
-        rows = []
-        # iterative pre-order walk: (element, level, closing?)
-        stack = [(root, 0, False)]
-        while stack:
-            el, lvl, closing = stack.pop()
-            if closing:
-                rows.append({"seq": len(rows), "level": lvl, "kind": "close",
-                             "tag": el.tag, "attrs": None, "text": None})
-                continue
-            rows.append({"seq": len(rows), "level": lvl, "kind": "open", "tag": el.tag,
-                         "attrs": [{"k": k, "v": v} for k, v in el.attrib.items()],
-                         "text": None})
-            if el.text and el.text.strip():
-                rows.append({"seq": len(rows), "level": lvl, "kind": "text", "tag": el.tag,
-                             "attrs": None, "text": el.text.strip()})
-            stack.append((el, lvl, True))
-            for child in reversed(list(el)):
-                stack.append((child, lvl + 1, False))
-        out_el.append(rows)
-        out_err.append(None)
-    return pd.DataFrame({"elements": out_el, "error": out_err})
+        rows.append({"seq": len(rows), "level": lvl, "kind": "open", "tag": el.tag,
+                     "attrs": [{"k": k, "v": v} for k, v in el.attrib.items()], "text": None})
+        if el.text and el.text.strip():
+            rows.append({"seq": len(rows), "level": lvl, "kind": "text", "tag": el.tag,
+                         "attrs": None, "text": el.text.strip()})
+        stack.append((el, lvl, True))
+        for child in reversed(list(el)):
+            stack.append((child, lvl + 1, False))
+    return rows, None
+
+
+@F.pandas_udf(XML_PARSED)
+def _xml_shred(s: pd.Series) -> pd.DataFrame:
+    pairs = [xml_rows_one(v) for v in s]
+    return pd.DataFrame({"elements": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
 
 def xml_parse(c) -> Column:
@@ -96,32 +93,36 @@ def _xml_line(e: Column) -> Column:
             .otherwise(e["text"]))
 
 
+def outline_of_elements(elements) -> Column:
+    return F.array_join(F.transform(elements, _xml_line), "\n")
+
+
 def xml_outline(c) -> Column:
     """Indented outline; malformed XML gives the raw text unchanged."""
-    parsed = xml_parse(c)
-    return F.array_join(F.transform(parsed["elements"], _xml_line), "\n")
+    return outline_of_elements(xml_parse(c)["elements"])
 
 
 # ---------------------------------------------------------------------------
 # S7  CSV preview over a CSV text column (one file = one row)
-@F.pandas_udf("string")
-def _csv_preview(s: pd.Series) -> pd.Series:
+def csv_preview_one(raw, n: int = PREVIEW_ROWS):
+    """First ``n`` CSV records of one text, empty cells dropped."""
     import csv
     import io
 
-    out = []
-    for raw in s:
-        if raw is None:
-            out.append(None)
-            continue
-        lines = []
-        # newline="" semantics: the csv module sees \r\n and \r itself
-        for i, row in enumerate(csv.reader(io.StringIO(raw, newline=""))):
-            lines.append(", ".join(cell for cell in row if cell != ""))
-            if i >= 19:
-                break
-        out.append("\n".join(lines))
-    return pd.Series(out, dtype=object)
+    if raw is None:
+        return None
+    lines = []
+    # newline="" semantics: the csv module sees \r\n and \r itself
+    for i, row in enumerate(csv.reader(io.StringIO(raw, newline=""))):
+        lines.append(CELL_SEP.join(cell for cell in row if cell != ""))
+        if i >= n - 1:
+            break
+    return "\n".join(lines)
+
+
+@F.pandas_udf("string")
+def _csv_preview(s: pd.Series) -> pd.Series:
+    return pd.Series([csv_preview_one(v) for v in s], dtype=object)
 
 
 def csv_preview(c) -> Column:

@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.html import html_visible_text
-from docweave.functions.jsontext import json_pretty
-from docweave.operators.structured import csv_preview, notebook_text, xml_outline, xml_parse
+from docweave.functions.html import join_text_nodes, mark_text_nodes, unescape_one
+from docweave.functions.jsontext import pretty_one
+from docweave.operators.structured import (
+    XML_ELEMENT, csv_preview_one, notebook_text, outline_of_elements, xml_parse, xml_rows_one)
 from docweave.sources.formats import FORMATS, route_by_extension
 
 TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, text string, " \
@@ -83,6 +84,30 @@ def _custom_udf(extractors: dict[str, Callable[[bytes], str]]):
     return run
 
 
+_FUSED = f"struct<text:string,error:string,elements:array<{XML_ELEMENT}>>"
+
+
+@F.pandas_udf(_FUSED)
+def _extract_py(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
+    """The Python half of every built-in format, one Arrow hop per row."""
+    texts, errors, elements = [], [], []
+    for k, v in zip(kind, payload):
+        t = e = el = None
+        if v is not None:
+            if k == "html":
+                t = unescape_one(v)
+            elif k == "json":
+                t, e = pretty_one(v)
+            elif k == "csv":
+                t = csv_preview_one(v)
+            elif k == "xml":
+                el, e = xml_rows_one(v)
+        texts.append(t)
+        errors.append(e)
+        elements.append(el)
+    return pd.DataFrame({"text": texts, "error": errors, "elements": elements})
+
+
 def extract_text(routed: DataFrame, content_col: str = "content",
                  extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """Per-format text of routed rows (output of ``route_by_extension``).
@@ -102,15 +127,21 @@ def extract_text(routed: DataFrame, content_col: str = "content",
         return F.when(kind == k, x)
 
     is_custom = ext.isin(*custom.keys()) if custom else F.lit(False)
-    js = json_pretty(only("json", folded))
     if custom:
         cust = _custom_udf(custom)(F.when(is_custom, ext), F.when(is_custom, raw_bytes))
         cust_text, cust_err = cust["text"], cust["error"]
     else:
         cust_text = cust_err = F.lit(None).cast("string")
-    html = html_visible_text(only("html", folded))
-    csvp = csv_preview(only("csv", unfolded))
-    xml = xml_outline(only("xml", folded))
+    # JVM pre-pass per format, then one Python call for all of them
+    payload = (F.when(F.col("error_class").isNotNull() | is_custom, F.lit(None).cast("string"))
+                .when(kind == "html", mark_text_nodes(folded))
+                .when(kind.isin("json", "xml"), folded)
+                .when(kind == "csv", unfolded))
+    py = _extract_py(kind, payload)
+    js = py  # .text / .error for json rows
+    html = join_text_nodes(py["text"])
+    csvp = py["text"]
+    xml = outline_of_elements(py["elements"])
     pre_error = F.col("error_class").isNotNull() & ~is_custom
     text = (F.when(pre_error, F.lit(None).cast("string"))
              .when(is_custom, cust_text)
