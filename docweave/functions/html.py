@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docweave.functions.text import strip_ws
 
@@ -60,7 +61,7 @@ def unescape_one(v):
     return html.unescape(v) if isinstance(v, str) and "&" in v else v
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """Decode named and numeric character references (HTML5 rules)."""
     return s.map(unescape_one)

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRETTY_SCHEMA = "text string, error string"
+from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
+
+PRETTY_SCHEMA = StructType([StructField("text", StringType()), StructField("error", StringType())])
 
 
 def pretty_one(v):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- fixed values ----------------------------------------------------------
 PREVIEW_ROWS = 20
@@ -28,9 +29,14 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------------------
 # S6a / S6b  XML
-XML_ELEMENT = ("struct<seq:int,level:int,kind:string,tag:string,"
-               "attrs:array<struct<k:string,v:string>>,text:string>")
-XML_PARSED = f"struct<elements:array<{XML_ELEMENT}>,error:string>"
+XML_ELEMENT = T.StructType([
+    T.StructField("seq", T.IntegerType()), T.StructField("level", T.IntegerType()),
+    T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()),
+    T.StructField("attrs", T.ArrayType(T.StructType([T.StructField("k", T.StringType()),
+                                                     T.StructField("v", T.StringType())]))),
+    T.StructField("text", T.StringType())])
+XML_PARSED = T.StructType([T.StructField("elements", T.ArrayType(XML_ELEMENT)),
+                           T.StructField("error", T.StringType())])
 
 
 def xml_rows_one(raw):
@@ -120,7 +126,7 @@ def csv_preview_one(raw, n: int = PREVIEW_ROWS):
     return "\n".join(lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _csv_preview(s: pd.Series) -> pd.Series:
     return pd.Series([csv_preview_one(v) for v in s], dtype=object)
 
@@ -152,7 +158,7 @@ def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS) -> DataFrame:
         "\n", "preview")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _csv_cells(s: pd.Series) -> pd.Series:
     import csv
 

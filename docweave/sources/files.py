@@ -16,6 +16,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.html import join_text_nodes, mark_text_nodes, unescape_one
 from docweave.functions.jsontext import pretty_one
@@ -28,23 +29,36 @@ TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, t
 
 
 def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True,
-                wanted: list[str] | None = None) -> DataFrame:
-    """``(path, modificationTime, length, content)`` per file.
+                wanted: list[str] | None = None, include_empty: bool = False) -> DataFrame:
+    """``(path, modificationTime, length, content, error_class, error)``
+    per file.
 
     ``wanted`` lists paths the caller expects; those not found come back as
     rows with null content and ``error_class='not_found'`` (left-anti join of
-    the wanted paths against the listing).
+    the wanted paths against the listing).  The ``binaryFile`` scan skips
+    zero-length files; ``include_empty`` adds them back as rows with empty
+    content (from Spark's own file listing, anti-joined with the scan) - off
+    by default because it turns the listing into a driver-built DataFrame.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(paths if isinstance(paths, str) else list(paths))
-    files = files.withColumn("error_class", F.lit(None).cast("string")).withColumn(
+    scanned = reader.load(paths if isinstance(paths, str) else list(paths))
+    files = scanned.withColumn("error_class", F.lit(None).cast("string")).withColumn(
         "error", F.lit(None).cast("string"))
+    canon = lambda c: F.regexp_replace(c, "^(file:)?/*", "file:/")
+    if include_empty:
+        listed = spark.createDataFrame([(p,) for p in scanned.inputFiles()], "path string")
+        empty = listed.select(canon(F.col("path")).alias("path")).join(
+            scanned.select(canon(F.col("path")).alias("path")), "path", "left_anti").select(
+            "path", F.lit(None).cast("timestamp").alias("modificationTime"),
+            F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content"),
+            F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
+        files = files.withColumn("path", canon(F.col("path"))).unionByName(empty)
     if wanted:
         want = spark.createDataFrame([(p,) for p in wanted], "path string") \
-            .withColumn("path", F.regexp_replace("path", "^(file:)?/*", "file:/"))
-        got = files.select(F.regexp_replace("path", "^(file:)?/*", "file:/").alias("path"))
+            .withColumn("path", canon(F.col("path")))
+        got = files.select(canon(F.col("path")).alias("path"))
         missing = want.join(got, "path", "left_anti").select(
             "path", F.lit(None).cast("timestamp").alias("modificationTime"),
             F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"),
@@ -64,7 +78,7 @@ def decode_text(content, fold_newlines: bool = True) -> Column:
 def _custom_udf(extractors: dict[str, Callable[[bytes], str]]):
     table = dict(extractors)
 
-    @F.pandas_udf("text string, error string")
+    @F.pandas_udf(_TEXT_ERROR)
     def run(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
         texts, errors = [], []
         for e, b in zip(ext, content):
@@ -84,7 +98,9 @@ def _custom_udf(extractors: dict[str, Callable[[bytes], str]]):
     return run
 
 
-_FUSED = f"struct<text:string,error:string,elements:array<{XML_ELEMENT}>>"
+_FUSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType()),
+                       T.StructField("elements", T.ArrayType(XML_ELEMENT))])
+_TEXT_ERROR = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
 @F.pandas_udf(_FUSED)
@@ -128,12 +144,16 @@ def extract_text(routed: DataFrame, content_col: str = "content",
 
     is_custom = ext.isin(*custom.keys()) if custom else F.lit(False)
     if custom:
-        cust = _custom_udf(custom)(F.when(is_custom, ext), F.when(is_custom, raw_bytes))
+        cust = _custom_udf(custom)(F.when(is_custom & F.col("error_class").isNull(), ext),
+                                   F.when(is_custom & F.col("error_class").isNull(), raw_bytes))
         cust_text, cust_err = cust["text"], cust["error"]
     else:
         cust_text = cust_err = F.lit(None).cast("string")
+    # errors found earlier (missing file, unknown type) win; routing never
+    # flags an extension that has a user extractor
+    pre_error = F.col("error_class").isNotNull()
     # JVM pre-pass per format, then one Python call for all of them
-    payload = (F.when(F.col("error_class").isNotNull() | is_custom, F.lit(None).cast("string"))
+    payload = (F.when(pre_error | is_custom, F.lit(None).cast("string"))
                 .when(kind == "html", mark_text_nodes(folded))
                 .when(kind.isin("json", "xml"), folded)
                 .when(kind == "csv", unfolded))
@@ -142,7 +162,6 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     html = join_text_nodes(py["text"])
     csvp = py["text"]
     xml = outline_of_elements(py["elements"])
-    pre_error = F.col("error_class").isNotNull() & ~is_custom
     text = (F.when(pre_error, F.lit(None).cast("string"))
              .when(is_custom, cust_text)
              .when(kind == "text", folded)
