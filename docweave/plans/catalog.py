@@ -872,3 +872,15 @@ def q_write_summaries(spark, sf_dir):
     back = spark.read.parquet(out)
     return back.select(*[F.col(c).cast("string").alias(c) if c == "output_format" else F.col(c)
                          for c in OUT_COLS])
+
+
+# ---------------------------------------------------------------------------
+# Streaming: documents written as files, summarised by an availableNow stream
+@register("stream_summaries")
+def q_stream_summaries(spark, sf_dir):
+    from docweave.sources.scratch import scratch_dir
+    from docweave.streaming.incremental import run_incremental
+    src = _write_document_files(spark, sf_dir)
+    sink = scratch_dir(spark, "stream-sink")
+    run_incremental(spark, src, sink, scratch_dir(spark, "stream-ckpt"), glob="*.txt")
+    return spark.read.parquet(sink).select("ext", "kind", "n_chars", "summary", "error_class")
