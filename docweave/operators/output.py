@@ -25,7 +25,8 @@ def normalize_output(content, output_format) -> Column:
     (with a trailing newline), else keep the cleaned text."""
     cleaned = strip_text(content)
     unfenced = strip_text(strip_fence(cleaned))
-    pretty = json_pretty(unfenced)["text"]
+    # only json rows reach the Python parser; the others send null
+    pretty = json_pretty(F.when(_c(output_format) == "json", unfenced))["text"]
     as_json = F.when(pretty.isNotNull(), F.concat(pretty, F.lit("\n"))).otherwise(unfenced)
     return F.when(_c(output_format) == "json", as_json).otherwise(cleaned)
 

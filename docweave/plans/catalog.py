@@ -620,7 +620,7 @@ _D_INFER = f"""(SELECT req_id, doc_id, output_format, target, _text, sentences,
 @register("infer_batch", f"SELECT req_id, content, attempts, status, error FROM {_D_INFER} i")
 def q_infer_batch(spark, sf_dir):
     calls = _model_calls(spark, sf_dir)
-    out = M.infer_batch(calls, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+    out = M.infer_batch(calls, M.LeadProvider(),
                         initial_delay=0.0)
     return out.select("req_id", "content", "attempts", "status", "error")
 
@@ -631,7 +631,7 @@ FROM {_D_INFER} i
 """)
 def q_degrade(spark, sf_dir):
     calls = _model_calls(spark, sf_dir)
-    out = M.infer_batch(calls, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+    out = M.infer_batch(calls, M.LeadProvider(),
                         initial_delay=0.0)
     return out.select("req_id", M.degrade_errors().alias("summary"))
 
@@ -797,7 +797,7 @@ FROM (SELECT i.*, CASE WHEN target IS NULL THEN NULL
 def q_summarize(spark, sf_dir):
     from docweave.plans.summarize import summarize
     req, docs = _req_pipeline(spark, sf_dir)
-    return summarize(req, docs, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+    return summarize(req, docs, M.LeadProvider(),
                      initial_delay=0.0)
 
 
@@ -867,7 +867,7 @@ def q_write_summaries(spark, sf_dir):
     from docweave.sources.scratch import scratch_dir
     req, docs = _req_pipeline(spark, sf_dir)
     out = scratch_dir(spark, "summaries")
-    write_summaries(summarize(req, docs, M.LeadProvider(), partitions=spark.sparkContext.defaultParallelism,
+    write_summaries(summarize(req, docs, M.LeadProvider(),
                               initial_delay=0.0), out)
     back = spark.read.parquet(out)
     return back.select(*[F.col(c).cast("string").alias(c) if c == "output_format" else F.col(c)

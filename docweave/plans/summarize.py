@@ -99,8 +99,8 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
                 .when(route == "model", F.when(F.col("_terror").isNotNull(), M.degrade_errors(
                     F.lit(M.CONFIG_ERROR), null_s, F.col("_terror"), provider_name))
                     .otherwise(M.degrade_errors("status", "content", "error", provider_name))))
-    saved = F.when(is_model_call & (st == M.OK) & F.col("target_path").isNotNull(),
-                   normalize_output("content", "output_format"))
+    to_save = is_model_call & (st == M.OK) & F.col("target_path").isNotNull()
+    saved = F.when(to_save, normalize_output(F.when(to_save, F.col("content")), "output_format"))
     error_class = (F.when(route == "rejected", F.col("_vclass"))
                     .when(F.col("_terror").isNotNull(), F.lit(M.CONFIG_ERROR))
                     .when(is_model_call & (st != M.OK), st))

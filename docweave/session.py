@@ -30,6 +30,11 @@ def get_spark(master: str | None = None, app: str = "docweave",
         # provider calls are side effects: never run a task twice on purpose
         .config("spark.speculation", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # PySpark records the Python call site of every API call for error
+        # messages (a stack walk + JVM round trips each); plans are built
+        # from hundreds of Column calls, so skip it outside debugging
+        .config("spark.python.sql.dataFrameDebugging.enabled",
+                os.environ.get("DOCWEAVE_DF_DEBUG", "false"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
