@@ -333,7 +333,7 @@ WHERE rn <= 20 GROUP BY user_id
 """)
 def q_table_preview(spark, sf_dir):
     from docweave.operators.structured import table_preview
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_by=["user_id"])
     return table_preview(ev, ["user_id"], ["event_id"], ["event_id", "event_type", "props"])
 
 
@@ -425,7 +425,7 @@ GROUP BY doc_id
 def q_assemble_sheets(spark, sf_dir):
     # workbook = customer, sheet = order status, rows = orders by key
     from docweave.operators.assemble import assemble_sheets
-    o = table(spark, sf_dir, "orders").select(
+    o = table(spark, sf_dir, "orders", spread_by=["o_custkey"]).select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("sheet"),
         F.col("o_orderstatus").alias("sheet_no"), "o_orderkey", "o_orderpriority")
     return assemble_sheets(o, ["doc_id"], "sheet", "sheet_no", ["o_orderkey"],
@@ -536,7 +536,8 @@ _D_PROMPT = (f"CASE output_format WHEN 'txt' THEN {_d_prompt_for('txt')} WHEN 'm
 
 def _req_pipeline(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    docs = table(spark, sf_dir, "documents")
+    # the document side is the join's build/shuffle side: never pre-spread
+    docs = table(spark, sf_dir, "documents", spread_by=())
     return R.requests_from_orders(orders), docs
 
 

@@ -59,6 +59,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one supplied Parquet table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# key of each supplied table: used to spread under-partitioned scans
+TABLE_KEYS = {
+    "documents": ["doc_id"], "pages": ["page_id"], "events": ["event_id"],
+    "conversations": ["conv_id"], "orders": ["o_orderkey"], "labels": ["doc_id"],
+    "benchmark": ["item_id"],
+}
+
+
+def spread(df, key_cols=()):
+    """Hash-spread ``df`` over the cluster's slots, but only when the scan
+    gave fewer partitions than slots (one small file = one task).  Inputs
+    already split into many partitions pass through: no extra shuffle.
+    Spreading by the key a later ``groupBy`` uses lets that aggregation reuse
+    the partitioning instead of shuffling again.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *key_cols) if key_cols else df.repartition(slots)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by=None):
+    """Read one supplied Parquet table, spread over the slots if the file is
+    a single split (``spread_by``: key columns; default the table key; pass
+    ``()`` to read as is)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = TABLE_KEYS.get(name) if spread_by is None else list(spread_by)
+    if keys is None:
+        return df  # dimension tables stay as they are
+    return spread(df, keys)
