@@ -67,6 +67,15 @@ TABLE_KEYS = {
 }
 
 
+def partition_counts(df):
+    """(cluster slots, partitions of df's plan); partitions is None where the
+    session cannot tell (Spark Connect) - callers then leave df as is."""
+    try:
+        return df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return None, None
+
+
 def spread(df, key_cols=()):
     """Hash-spread ``df`` over the cluster's slots, but only when the scan
     gave fewer partitions than slots (one small file = one task).  Inputs
@@ -74,8 +83,8 @@ def spread(df, key_cols=()):
     Spreading by the key a later ``groupBy`` uses lets that aggregation reuse
     the partitioning instead of shuffling again.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    slots, parts = partition_counts(df)
+    if parts is None or parts >= slots:
         return df
     return df.repartition(slots, *key_cols) if key_cols else df.repartition(slots)
 
