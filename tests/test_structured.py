@@ -147,3 +147,23 @@ def test_assembly_rules(spark):
 def test_join_parts_in_row(spark):
     df = spark.createDataFrame([(["p1", " ", "", "p2"],)], "a array<string>")
     assert df.select(A.join_parts("a").alias("t")).first().t == "p1\n\np2"
+
+
+def test_csv_file_preview_across_splits(spark, tmp_path):
+    """A file cut into many splits still yields its first 20 records."""
+    d = tmp_path / "big"
+    d.mkdir()
+    rows = [f"k{i:06d},{'x' * 40},,{i}" for i in range(3000)]
+    (d / "big.csv").write_text("\n".join(rows) + "\n")
+    (d / "small.csv").write_text("a,b\n,c\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        out = S.csv_file_preview(spark, str(d / "*.csv"))
+        got = {r.path.rsplit("/", 1)[1]: r.preview for r in out.collect()}
+        n_splits = spark.read.text(str(d / "big.csv")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert n_splits > 10
+    assert got["big.csv"] == "\n".join(f"k{i:06d}, {'x' * 40}, {i}" for i in range(20))
+    assert got["small.csv"] == "a, b\nc"
