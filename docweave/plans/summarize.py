@@ -2,6 +2,8 @@
 
 One linear plan - one scan of each input, one join, one Python stage:
 
+    documents LEFT SEMI JOIN broadcast(requested ids)  -- only if the id count
+                                                       is under a checked bound
     requests LEFT JOIN documents(doc_id, text)   -- existence + text, once
       -> P2/P1 validation (CASE chain)            -- rejected rows kept
       -> P3-P5 option resolution (literal maps)
@@ -31,14 +33,45 @@ OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_cont
             "target_path", "attempts", "status", "error_class", "error"]
 
 
+# ids are 8 bytes: 4M ids is a 32 MB broadcast, checked before it is made
+PREFILTER_MAX_IDS = 4_000_000
+
+
+def requested_documents(requests: DataFrame, docs: DataFrame, key: str = "_dk",
+                        max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
+    """Documents that some request names, filtered *before* any shuffle.
+
+    The distinct requested ids are counted first (one number to the driver);
+    only if there are at most ``max_ids`` (and they name at most half of the
+    documents) are they broadcast for a left-semi join, so the size of what
+    is broadcast is known.  Above the bound (or
+    with ``max_ids=None``) the documents pass unfiltered and the main join
+    does the work.  With a small request set this keeps a large corpus from
+    shuffling all of its text.
+    """
+    if not max_ids:
+        return docs
+    ids = requests.select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    n_ids = ids.count()
+    if n_ids > max_ids:
+        return docs
+    # when most documents are requested anyway, filtering saves little
+    if 2 * n_ids > docs.select(key).count():
+        return docs
+    return docs.join(F.broadcast(ids), key, "left_semi")
+
+
 def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | None = None,
-                     doc_key: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     doc_key: str = "doc_id", text_col: str = "text",
+                     prefilter_max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
     """Validated, resolved requests with the document text (``_text``),
     ``route`` and the checked target (``_t``: struct(path, error)).
 
-    ``documents`` must be unique on ``doc_key``.  This is the only join.
+    ``documents`` must be unique on ``doc_key``.  This is the only join; see
+    ``requested_documents`` for the size-checked prefilter before it.
     """
     docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"))
+    docs = requested_documents(requests, docs, "_dk", prefilter_max_ids)
     checked = check_allowed_values(requests)
     joined = checked.join(docs, checked["doc_id"] == docs["_dk"], "left")
     rule = validation_error(F.col("_dk").isNotNull())
@@ -60,13 +93,14 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
               config: dict | None = None, doc_key: str = "doc_id", text_col: str = "text",
               partitions: int | None = None, initial_delay: float = 1.0,
               sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
-              materialize: bool = False) -> DataFrame:
+              materialize: bool = False,
+              prefilter_max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
     """Summaries for a request table against a document table.
 
     ``materialize`` checkpoints the result into the cluster's checkpoint
     folder so that later actions never call the provider again.
     """
-    prep = prepare_requests(requests, documents, config, doc_key, text_col)
+    prep = prepare_requests(requests, documents, config, doc_key, text_col, prefilter_max_ids)
     route, terr = F.col("route"), F.col("_t.error")
     null_s = F.lit(None).cast("string")
     staged = prep.select(
