@@ -83,6 +83,11 @@ def chunk_text(c, size: int = CHUNK_SIZE) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
+def chunk_summary(chunk, per_chunk: int = SENTENCES_PER_CHUNK) -> Column:
+    """T5: the lead sentences of one chunk (placeholder if blank)."""
+    return lead_summary(chunk, per_chunk)
+
+
 def chunk_summaries(c, size: int = CHUNK_SIZE,
                     per_chunk: int = SENTENCES_PER_CHUNK) -> Column:
     """T5 (in-row): array of the lead sentences of every chunk."""

@@ -106,8 +106,7 @@ FROM (SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_no,
 """)
 def q_chunk_summary(spark, sf_dir):
     chunks = T.chunk_rows(table(spark, sf_dir, "documents"))
-    return chunks.select("doc_id", "chunk_no",
-                         T.lead_summary("chunk", T.SENTENCES_PER_CHUNK).alias("chunk_summary"))
+    return chunks.select("doc_id", "chunk_no", T.chunk_summary("chunk").alias("chunk_summary"))
 
 
 @register("local_summary_rows", f"""
@@ -712,6 +711,10 @@ def _corpus_spark(spark, sf_dir):
              c("quality").cast("string")),
         n.select(F.concat(F.lit("nation/"), c("n_nationkey").cast("string"), F.lit(".xml")).alias("path"),
                  _xml_doc_spark(n).alias("content")),
+        rows("benchmark", F.concat(F.lit("benchmark/"), c("item_id").cast("string"), F.lit(".csv")),
+             c("text")),
+        rows("conversations", F.concat(F.lit("notebooks/"), c("conv_id").cast("string"), F.lit("-"),
+                                       c("turn").cast("string"), F.lit(".ipynb")), _nb_json_spark(c("text"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -727,6 +730,17 @@ _D_XML_OUTLINE = ("CASE WHEN n_nationkey % 5 = 3 THEN " + _D_XML + " ELSE '<nati
                   "chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END || chr(10) || "
                   "'</nation>' END")
 _D_UNSUPPORTED = f"'Unsupported file type: .parquet. Supported: {FMT.supported_list()}'"
+_D_CSV_PREVIEW = """array_to_string(list_transform(
+      list_slice(CASE WHEN suffix(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2)
+                      ELSE string_split(text, chr(10)) END, 1, 20),
+      lambda l: array_to_string(list_filter(string_split(l, ','), lambda c: c <> ''), ', ')), chr(10))"""
+_D_NOTEBOOK = r"""COALESCE(array_to_string(flatten(list_transform(
+      list_filter(list_transform(string_split(text, chr(10)),
+                                 lambda l, i: {'t': CASE WHEN (i - 1) % 3 = 0 THEN 'code' ELSE 'markdown' END,
+                                               's': CASE WHEN (i - 1) % 2 = 0 THEN l || chr(10) ELSE l END}),
+                  lambda c: trim(c.s, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+      lambda c: CASE WHEN c.t = 'code' THEN ['# code cell', c.s] ELSE [c.s] END)),
+    chr(10) || chr(10)), '')"""
 
 
 @register("loader_report", f"""
@@ -742,6 +756,9 @@ WITH t AS (
   UNION ALL SELECT '.parquet', 'labels/' || doc_id || '.parquet', NULL, 'unsupported_type', {_D_UNSUPPORTED}
   FROM labels
   UNION ALL SELECT '.xml', 'nation/' || n_nationkey || '.xml', {_D_XML_OUTLINE}, NULL, NULL FROM nation
+  UNION ALL SELECT '.csv', 'benchmark/' || item_id || '.csv', {_D_CSV_PREVIEW}, NULL, NULL FROM benchmark
+  UNION ALL SELECT '.ipynb', 'notebooks/' || conv_id || '-' || turn || '.ipynb', {_D_NOTEBOOK}, NULL, NULL
+  FROM conversations
 )
 SELECT ext, count(*) AS n_files, count(*) FILTER (WHERE error_class IS NULL) AS n_ok,
        CAST(COALESCE(sum(length(text)) FILTER (WHERE error_class IS NULL), 0) AS BIGINT) AS n_chars,
