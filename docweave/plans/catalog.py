@@ -41,7 +41,8 @@ def _d_sentences(norm: str) -> str:
             f" chr(1)), lambda s: s <> '')")
 
 
-def _d_lead(x: str, n: int) -> str:
+def _d_lead(x: str, n) -> str:
+    """Lead sentences in DuckDB; ``n`` is a number or an SQL expression."""
     norm = _d_norm(x)
     return (f"CASE WHEN {x} IS NULL OR {norm} = '' THEN '{T.PLACEHOLDER}' "
             f"ELSE array_to_string(list_slice({_d_sentences(norm)}, 1, {n}), ' ') END")
@@ -271,31 +272,28 @@ def q_xml_outline(spark, sf_dir):
     return n.select(F.col("n_nationkey").alias("doc_id"), xml_outline(_xml_doc_spark(n)).alias("outline"))
 
 
+# element rows of a valid nation document; the <note> rows exist only when
+# n_nationkey % 4 <> 0, and then the closing </nation> moves from seq 4 to 7
 @register("xml_elements", f"""
-SELECT * FROM (
-  SELECT n_nationkey AS doc_id, 0 AS seq, 0 AS level, 'raw' AS kind, NULL AS tag, NULL AS attrs,
-         {_D_XML} AS text FROM nation WHERE n_nationkey % 5 = 3
-  UNION ALL
-  SELECT n_nationkey, s.seq, s.level, s.kind, s.tag, s.attrs, s.text
-  FROM nation, (SELECT unnest([
-      {{'seq': 0, 'level': 0, 'kind': 'open', 'tag': 'nation', 'attrs': 'key,region', 'text': NULL}},
-      {{'seq': 1, 'level': 1, 'kind': 'open', 'tag': 'name', 'attrs': '', 'text': NULL}},
-      {{'seq': 2, 'level': 1, 'kind': 'text', 'tag': 'name', 'attrs': NULL, 'text': 'NAME'}},
-      {{'seq': 3, 'level': 1, 'kind': 'close', 'tag': 'name', 'attrs': NULL, 'text': NULL}},
-      {{'seq': 4, 'level': 1, 'kind': 'open', 'tag': 'note', 'attrs': '', 'text': NULL}},
-      {{'seq': 5, 'level': 1, 'kind': 'text', 'tag': 'note', 'attrs': NULL, 'text': 'ok'}},
-      {{'seq': 6, 'level': 1, 'kind': 'close', 'tag': 'note', 'attrs': NULL, 'text': NULL}},
-      {{'seq': 7, 'level': 0, 'kind': 'close', 'tag': 'nation', 'attrs': NULL, 'text': NULL}}
-    ], recursive := true)) s
-  WHERE n_nationkey % 5 <> 3 AND (n_nationkey % 4 <> 0 OR s.seq NOT IN (4, 5, 6))
-) x
-""".replace("s.seq, s.level, s.kind, s.tag, s.attrs, s.text",
-            "CAST(CASE WHEN n_nationkey % 4 = 0 AND s.seq = 7 THEN 4 ELSE s.seq END AS INTEGER), "
-            "CAST(s.level AS INTEGER), s.kind, s.tag, s.attrs, "
-            "CASE WHEN s.text = 'NAME' THEN trim(n_name) ELSE s.text END")
-  .replace("SELECT n_nationkey AS doc_id, 0 AS seq, 0 AS level",
-           "SELECT n_nationkey AS doc_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS level")
-  .replace("NULL AS tag, NULL AS attrs", "CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS attrs"))
+SELECT n_nationkey AS doc_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS level, 'raw' AS kind,
+       CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS attrs, {_D_XML} AS text
+FROM nation WHERE n_nationkey % 5 = 3
+UNION ALL
+SELECT n_nationkey,
+       CAST(CASE WHEN n_nationkey % 4 = 0 AND e.seq = 7 THEN 4 ELSE e.seq END AS INTEGER),
+       CAST(e.level AS INTEGER), e.kind, e.tag, e.attrs,
+       CASE WHEN e.text = 'NAME' THEN trim(n_name) ELSE e.text END
+FROM nation, (VALUES
+    (0, 0, 'open', 'nation', 'key,region', NULL),
+    (1, 1, 'open', 'name', '', NULL),
+    (2, 1, 'text', 'name', NULL, 'NAME'),
+    (3, 1, 'close', 'name', NULL, NULL),
+    (4, 1, 'open', 'note', '', NULL),
+    (5, 1, 'text', 'note', NULL, 'ok'),
+    (6, 1, 'close', 'note', NULL, NULL),
+    (7, 0, 'close', 'nation', NULL, NULL)) AS e(seq, level, kind, tag, attrs, text)
+WHERE n_nationkey % 5 <> 3 AND (n_nationkey % 4 <> 0 OR e.seq NOT IN (4, 5, 6))
+""")
 def q_xml_elements(spark, sf_dir):
     from docweave.operators.structured import xml_elements
     n = table(spark, sf_dir, "nation")
@@ -604,7 +602,7 @@ def q_build_prompt(spark, sf_dir):
 
 
 def _d_reply() -> str:
-    lead = _d_lead("_text", 0).replace("list_slice(", "list_slice(").replace(", 1, 0)", ", 1, sentences)")
+    lead = _d_lead("_text", "sentences")
     body = f"CASE WHEN output_format = 'json' THEN '```json' || chr(10) || '{{\"full_summary\": ' || to_json({lead}) || '}}' || chr(10) || '```' ELSE {lead} END"
     return body
 
@@ -786,7 +784,7 @@ def _d_summarize() -> str:
      FROM {_D_RESOLVED} x)"""
     local = (f"array_to_string(list_transform({_d_chunks('_text')}, lambda c: {_d_lead('c', 2)}), "
              f"chr(10) || chr(10))")
-    lead = _d_lead("_text", 0).replace(", 1, 0)", ", 1, sentences)")
+    lead = _d_lead("_text", "sentences")
     norm_json = (f"'{{' || chr(10) || '  \"full_summary\": ' || to_json({lead}) || chr(10) || '}}' || chr(10)")
     return f"""
 SELECT req_id, doc_id, 'rejected' AS route, output_format, NULL AS content, NULL AS saved_content,
