@@ -157,30 +157,27 @@ def extract_text(routed: DataFrame, content_col: str = "content",
                 .when(kind == "html", mark_text_nodes(folded))
                 .when(kind.isin("json", "xml"), folded)
                 .when(kind == "csv", unfolded))
-    py = _extract_py(kind, payload)
-    js = py  # .text / .error for json rows
-    html = join_text_nodes(py["text"])
-    csvp = py["text"]
-    xml = outline_of_elements(py["elements"])
+    py = _extract_py(kind, payload)  # struct(text, error, elements)
+    # a notebook must be a JSON object (VARIANT parse is JVM-side)
+    nb_bad = (kind == "notebook") & ~is_custom & (
+        F.try_parse_json(only("notebook", folded)).isNull() | ~folded.rlike(r"^[ \t\n\r]*\{"))
+    json_bad = (kind == "json") & ~is_custom & py["error"].isNotNull()
     text = (F.when(pre_error, F.lit(None).cast("string"))
              .when(is_custom, cust_text)
              .when(kind == "text", folded)
-             .when(kind == "html", html)
-             .when(kind == "json", js["text"])
-             .when(kind == "xml", xml)
-             .when(kind == "csv", csvp)
+             .when(kind == "html", join_text_nodes(py["text"]))
+             .when(kind == "json", py["text"])
+             .when(kind == "xml", outline_of_elements(py["elements"]))
+             .when(kind == "csv", py["text"])
+             .when(nb_bad, F.lit(None).cast("string"))
              .when(kind == "notebook", notebook_text(folded)))
-    # a notebook must be a JSON object (VARIANT parse is JVM-side)
-    nb_bad = (kind == "notebook") & (F.try_parse_json(only("notebook", folded)).isNull()
-                                     | ~folded.rlike(r"^[ \t\n\r]*\{"))
     err_class = (F.when(pre_error, F.col("error_class"))
                   .when(is_custom & cust_err.isNotNull(), F.lit("extractor_error"))
-                  .when((kind == "json") & js["error"].isNotNull(), F.lit("bad_json"))
-                  .when(nb_bad & ~is_custom, F.lit("bad_json")))
+                  .when(json_bad | nb_bad, F.lit("bad_json")))
     err = (F.when(pre_error, F.col("error"))
             .when(is_custom & cust_err.isNotNull(), cust_err)
-            .when((kind == "json") & js["error"].isNotNull(), js["error"])
-            .when(nb_bad & ~is_custom, F.lit("notebook is not a JSON object")))
+            .when(json_bad, py["error"])
+            .when(nb_bad, F.lit("notebook is not a JSON object")))
     keep = [c for c in routed.columns if c not in
             ("content", content_col, "suffix", "has_extractor", "error_class", "error",
              "modificationTime", "length", "text")]

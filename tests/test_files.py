@@ -101,3 +101,13 @@ def test_decode_text_replacement(spark):
     df = spark.createDataFrame([(bytearray(raw),)], "b binary")
     got = df.select(decode_text("b").alias("t")).first().t
     assert got == raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def test_bad_notebook_is_quarantined(spark, tmp_path):
+    (tmp_path / "a.ipynb").write_text("[1, 2]")
+    (tmp_path / "b.ipynb").write_text("{not json")
+    (tmp_path / "c.ipynb").write_text('{"cells": [{"cell_type": "code", "source": "x = 1"}]}')
+    rows = {r.name: r for r in load_corpus_text(read_corpus(spark, str(tmp_path))).collect()}
+    for n in ("a.ipynb", "b.ipynb"):
+        assert rows[n].error_class == "bad_json" and rows[n].text is None
+    assert rows["c.ipynb"].text == "# code cell\n\nx = 1" and rows["c.ipynb"].error_class is None
