@@ -83,6 +83,8 @@ def spread(df, key_cols=()):
     Spreading by the key a later ``groupBy`` uses lets that aggregation reuse
     the partitioning instead of shuffling again.
     """
+    if os.environ.get("DOCWEAVE_SPREAD", "1") == "0":  # plan inspection: as a large input
+        return df
     slots, parts = partition_counts(df)
     if parts is None or parts >= slots:
         return df
@@ -91,10 +93,10 @@ def spread(df, key_cols=()):
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by=None):
     """Read one supplied Parquet table, spread over the slots if the file is
-    a single split (``spread_by``: key columns; default the table key; pass
-    ``()`` to read as is)."""
+    a single split (``spread_by``: key columns; default the table key; ``()``
+    reads the scan as is)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     keys = TABLE_KEYS.get(name) if spread_by is None else list(spread_by)
-    if keys is None:
-        return df  # dimension tables stay as they are
+    if not keys:
+        return df  # dimension tables, or the caller asked for the scan as is
     return spread(df, keys)
