@@ -20,15 +20,21 @@ def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path"
     aggregation runs map-side; the final window sees one row per extension.
     """
     ok = F.col("error_class").isNull()
-    ok_path = F.when(ok, F.col(path_col))
-    bad_path = F.when(~ok, F.col(path_col))
-    per_ext = texts.groupBy(ext_col).agg(
+    # min_by over strings is a sort-based aggregate: project the 200-char
+    # preview and the length first, so the sort never carries whole texts
+    slim = texts.select(
+        F.col(ext_col), ok.alias("_ok"),
+        F.when(ok, F.col(path_col)).alias("_ok_path"), F.when(~ok, F.col(path_col)).alias("_bad_path"),
+        F.when(ok, F.char_length("text")).alias("_chars"),
+        F.when(ok, F.substring("text", 1, PREVIEW_CHARS)).alias("_preview"),
+        "error_class", "error")
+    per_ext = slim.groupBy(ext_col).agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.count_if(ok).alias("n_ok"),
-        F.coalesce(F.sum(F.when(ok, F.char_length("text"))), F.lit(0)).alias("n_chars"),
-        F.min_by(F.substring("text", 1, PREVIEW_CHARS), ok_path).alias("preview"),
-        F.min_by("error_class", bad_path).alias("error_class"),
-        F.min_by("error", bad_path).alias("error"),
+        F.count_if("_ok").alias("n_ok"),
+        F.coalesce(F.sum("_chars"), F.lit(0)).alias("n_chars"),
+        F.min_by("_preview", "_ok_path").alias("preview"),
+        F.min_by("error_class", "_bad_path").alias("error_class"),
+        F.min_by("error", "_bad_path").alias("error"),
     )
     everything = Window.partitionBy()  # tiny: one row per extension
     return per_ext.withColumn("all_ok", F.bool_and(F.col("n_ok") == F.col("n_files")).over(everything))
