@@ -133,6 +133,28 @@ def resolve_model(effort: Column, config_model: str | None = None) -> Column:
     return F.coalesce(mapped, fallback)
 
 
+# job configuration keys read from the Spark conf (the cluster's "environment")
+CONF_KEYS = {
+    "model": ("spark.docweave.model", str),
+    "max_retries": ("spark.docweave.maxRetries", int),
+    "sentences": ("spark.docweave.sentences", int),
+    "output_format": ("spark.docweave.outputFormat", str),
+    "desc_level": ("spark.docweave.descLevel", int),
+    "sum_level": ("spark.docweave.sumLevel", int),
+}
+
+
+def config_from_session(spark) -> dict:
+    """Job-level defaults from ``spark.docweave.*`` conf keys (unset keys are
+    left out, so built-in defaults apply)."""
+    out = {}
+    for name, (key, cast) in CONF_KEYS.items():
+        value = spark.conf.get(key, None)
+        if value not in (None, ""):
+            out[name] = cast(value)
+    return out
+
+
 def resolve_options(req: DataFrame, config: dict | None = None) -> DataFrame:
     """Fill every option: explicit value > job config > default.
 

@@ -27,7 +27,7 @@ from docweave.functions.text import local_summary
 from docweave.operators import inference as M
 from docweave.operators.output import normalize_output, resolve_target
 from docweave.operators.requests import (
-    check_allowed_values, resolve_levels, resolve_options, validation_error)
+    check_allowed_values, config_from_session, resolve_levels, resolve_options, validation_error)
 
 OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_content",
             "target_path", "attempts", "status", "error_class", "error"]
@@ -70,6 +70,8 @@ def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | N
     ``documents`` must be unique on ``doc_key``.  This is the only join; see
     ``requested_documents`` for the size-checked prefilter before it.
     """
+    if config is None:  # explicit request value > job conf > built-in default
+        config = config_from_session(requests.sparkSession)
     docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"))
     docs = requested_documents(requests, docs, "_dk", prefilter_max_ids)
     checked = check_allowed_values(requests)

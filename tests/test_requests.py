@@ -68,3 +68,20 @@ def test_unknown_level_falls_back_to_level_2(spark):
 def test_effort_map_covers_efforts():
     assert set(R.EFFORT_TO_MODEL) == set(R.EFFORTS)
     assert R.EFFORT_TO_MODEL[R.DEFAULT_EFFORT] == "gemini-2.5-flash"
+
+
+def test_config_from_session(spark):
+    spark.conf.set("spark.docweave.model", "custom-model")
+    spark.conf.set("spark.docweave.maxRetries", "5")
+    try:
+        cfg = R.config_from_session(spark)
+        assert cfg == {"model": "custom-model", "max_retries": 5}
+        req = _req(spark, [(1, True, None, None, None, None, None, None),
+                           (1, True, None, "low", None, None, None, None)])
+        got = R.resolve_options(req, cfg).orderBy("req_id").collect()
+        assert (got[0].model, got[0].max_retries) == ("custom-model", 5)
+        assert got[1].model == "gemini-2.5-flash-lite"
+    finally:
+        spark.conf.unset("spark.docweave.model")
+        spark.conf.unset("spark.docweave.maxRetries")
+    assert R.config_from_session(spark) == {}
