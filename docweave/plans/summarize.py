@@ -23,9 +23,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import local_summary
+from docweave.functions.text import local_summary, shorten_title
 from docweave.operators import inference as M
 from docweave.operators.output import normalize_output, resolve_target
+from docweave.sources.formats import stem
 from docweave.operators.requests import (
     check_allowed_values, config_from_session, resolve_levels, resolve_options, validation_error)
 
@@ -63,7 +64,8 @@ def requested_documents(requests: DataFrame, docs: DataFrame, key: str = "_dk",
 
 def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | None = None,
                      doc_key: str = "doc_id", text_col: str = "text",
-                     prefilter_max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
+                     prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
+                     name_col: str | None = None) -> DataFrame:
     """Validated, resolved requests with the document text (``_text``),
     ``route`` and the checked target (``_t``: struct(path, error)).
 
@@ -72,13 +74,15 @@ def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | N
     """
     if config is None:  # explicit request value > job conf > built-in default
         config = config_from_session(requests.sparkSession)
-    docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"))
+    extra = [F.col(name_col).alias("_name")] if name_col else []
+    docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"), *extra)
     docs = requested_documents(requests, docs, "_dk", prefilter_max_ids)
     checked = check_allowed_values(requests)
     joined = checked.join(docs, checked["doc_id"] == docs["_dk"], "left")
     rule = validation_error(F.col("_dk").isNotNull())
     validated = joined.select(
         *[c for c in checked.columns if c not in ("error", "error_class")], "_text",
+        *(["_name"] if name_col else []),
         F.coalesce(F.col("error_class"), F.when(rule.isNotNull(), F.lit("rejected"))).alias("error_class"),
         F.coalesce(F.col("error"), rule).alias("error"))
     resolved = resolve_levels(resolve_options(
@@ -96,13 +100,17 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
               partitions: int | None = None, initial_delay: float = 1.0,
               sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
               materialize: bool = False,
-              prefilter_max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
+              prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
+              name_col: str | None = None) -> DataFrame:
     """Summaries for a request table against a document table.
 
+    With ``name_col`` (the documents' file names) the result also carries
+    ``name`` and ``title`` (the stem with ``_``/``-`` as spaces).
+
     ``materialize`` checkpoints the result into the cluster's checkpoint
     folder so that later actions never call the provider again.
     """
-    prep = prepare_requests(requests, documents, config, doc_key, text_col, prefilter_max_ids)
+    prep = prepare_requests(requests, documents, config, doc_key, text_col, prefilter_max_ids, name_col)
     route, terr = F.col("route"), F.col("_t.error")
     null_s = F.lit(None).cast("string")
     staged = prep.select(
@@ -113,6 +121,7 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
         F.col("_t.path").alias("target_path"),
         F.col("error_class").alias("_vclass"), F.col("error").alias("_verror"),
         terr.alias("_terror"),
+        *([F.col("_name"), shorten_title(stem("_name")).alias("_title")] if name_col else []),
         F.when(route == "local", local_summary("_text")).alias("_local"),
         F.when((route == "model") & terr.isNull(), M.build_prompt("_text")).alias("prompt"))
     if make_provider is None:
@@ -120,7 +129,7 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
     called = M.infer_batch(
         staged, make_provider, key_cols=("req_id",),
         carry_cols=("doc_id", "route", "output_format", "target_path", "_vclass", "_verror",
-                    "_terror", "_local"),
+                    "_terror", "_local") + (("_name", "_title") if name_col else ()),
         partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
     if materialize:
         called = called.checkpoint(eager=True)
@@ -143,8 +152,10 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
     error = (F.when(route == "rejected", F.col("_verror"))
               .when(F.col("_terror").isNotNull(), F.col("_terror"))
               .when(is_model_call, F.col("error")))
+    named = [F.col("_name").alias("name"), F.col("_title").alias("title")] if name_col else []
     return called.select(
-        "req_id", "doc_id", "route", "output_format", content.alias("content"), saved.alias("saved_content"),
+        "req_id", "doc_id", *named, "route", "output_format", content.alias("content"),
+        saved.alias("saved_content"),
         F.when(is_model_call, F.col("target_path")).alias("target_path"),
         F.when(is_model_call, F.col("attempts")).otherwise(F.lit(0)).alias("attempts"),
         status.alias("status"), error_class.alias("error_class"), error.alias("error"))

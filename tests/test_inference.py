@@ -161,3 +161,13 @@ def test_requested_documents_prefilter(spark):
     many = spark.range(80).select(F.col("id").alias("doc_id"))
     assert requested_documents(many, docs).count() == 100  # most requested: no filter
     assert requested_documents(few, docs, max_ids=1).count() == 100  # over the bound
+
+
+def test_summarize_attaches_name_and_title(spark):
+    docs = spark.createDataFrame([(1, "my_report-2024.txt", "Alpha. Beta. Gamma.")],
+                                 "doc_id long, name string, text string")
+    req = spark.createDataFrame([(1, 1, False, None, None, None, None, None, None)],
+                                "req_id long, doc_id long, use_model boolean, sentences int, effort string, "
+                                "output_format string, target string, desc_level int, sum_level int")
+    r = summarize(req, docs, M.LeadProvider(fail_mod=0), initial_delay=0.0, name_col="name").first()
+    assert (r.name, r.title, r.content) == ("my_report-2024.txt", "my report 2024", "Alpha. Beta.")
