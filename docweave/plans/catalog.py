@@ -240,64 +240,67 @@ def q_json_pretty(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# XML documents built from `nation` rows (every 5th key from 3 malformed,
-# tail text after <name> is dropped by the outline rule)
-def _xml_doc_spark(n):
+# One XML document per `orders` row (grows with the data).  Keys with
+# o_orderkey % 5 = 3 get an unclosed <broken> element (malformed: the raw text
+# is kept), keys with o_orderkey % 4 = 0 have no <note>; the tail text after
+# </priority> is dropped by the outline rule.
+def _xml_doc_spark(o):
+    k = o.o_orderkey
     return F.concat(
-        F.lit('<nation key="'), n.n_nationkey.cast("string"), F.lit('" region="'),
-        n.n_regionkey.cast("string"), F.lit('"><name> '), n.n_name, F.lit(' </name> and more'),
-        F.when(n.n_nationkey % 4 == 0, F.lit("")).otherwise(F.lit("<note>ok</note>")),
-        F.when(n.n_nationkey % 5 == 3, F.lit("<broken>")).otherwise(F.lit("")),
-        F.lit("</nation>"))
-
-
-_D_XML = ("'<nation key=\"' || n_nationkey || '\" region=\"' || n_regionkey || '\"><name> ' || n_name"
-          " || ' </name> and more' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '<note>ok</note>' END"
-          " || CASE WHEN n_nationkey % 5 = 3 THEN '<broken>' ELSE '' END || '</nation>'")
+        F.lit('<order key="'), k.cast("string"), F.lit('" status="'), o.o_orderstatus,
+        F.lit('"><priority> '), o.o_orderpriority, F.lit(" </priority> and more"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("<note>ok</note>")),
+        F.when(k % 5 == 3, F.lit("<broken>")).otherwise(F.lit("")),
+        F.lit("</order>"))
+
+
+_D_XML = ("'<order key=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\"><priority> ' || "
+          "o_orderpriority || ' </priority> and more' || CASE WHEN o_orderkey % 4 = 0 THEN '' "
+          "ELSE '<note>ok</note>' END || CASE WHEN o_orderkey % 5 = 3 THEN '<broken>' ELSE '' END || "
+          "'</order>'")
+_D_XML_OUTLINE = f"""CASE WHEN o_orderkey % 5 = 3 THEN {_D_XML}
+  ELSE '<order key="' || o_orderkey || '" status="' || o_orderstatus || '">' || chr(10)
+       || '  <priority>' || chr(10) || '    ' || trim(o_orderpriority) || chr(10) || '  </priority>'
+       || CASE WHEN o_orderkey % 4 = 0 THEN ''
+               ELSE chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END
+       || chr(10) || '</order>' END"""
 
 
 @register("xml_outline", f"""
-SELECT n_nationkey AS doc_id,
-  CASE WHEN n_nationkey % 5 = 3 THEN {_D_XML}
-  ELSE '<nation key="' || n_nationkey || '" region="' || n_regionkey || '">' || chr(10)
-       || '  <name>' || chr(10) || '    ' || trim(n_name) || chr(10) || '  </name>'
-       || CASE WHEN n_nationkey % 4 = 0 THEN ''
-               ELSE chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END
-       || chr(10) || '</nation>' END AS outline
-FROM nation
+SELECT o_orderkey AS doc_id, {_D_XML_OUTLINE} AS outline FROM orders
 """)
 def q_xml_outline(spark, sf_dir):
     from docweave.operators.structured import xml_outline
-    n = table(spark, sf_dir, "nation")
-    return n.select(F.col("n_nationkey").alias("doc_id"), xml_outline(_xml_doc_spark(n)).alias("outline"))
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("doc_id"), xml_outline(_xml_doc_spark(o)).alias("outline"))
 
 
-# element rows of a valid nation document; the <note> rows exist only when
-# n_nationkey % 4 <> 0, and then the closing </nation> moves from seq 4 to 7
+# element rows of a valid order document; the <note> rows exist only when
+# o_orderkey % 4 <> 0, otherwise the closing </order> moves from seq 7 to 4
 @register("xml_elements", f"""
-SELECT n_nationkey AS doc_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS level, 'raw' AS kind,
+SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS level, 'raw' AS kind,
        CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS attrs, {_D_XML} AS text
-FROM nation WHERE n_nationkey % 5 = 3
+FROM orders WHERE o_orderkey % 5 = 3
 UNION ALL
-SELECT n_nationkey,
-       CAST(CASE WHEN n_nationkey % 4 = 0 AND e.seq = 7 THEN 4 ELSE e.seq END AS INTEGER),
+SELECT o_orderkey,
+       CAST(CASE WHEN o_orderkey % 4 = 0 AND e.seq = 7 THEN 4 ELSE e.seq END AS INTEGER),
        CAST(e.level AS INTEGER), e.kind, e.tag, e.attrs,
-       CASE WHEN e.text = 'NAME' THEN trim(n_name) ELSE e.text END
-FROM nation, (VALUES
-    (0, 0, 'open', 'nation', 'key,region', NULL),
-    (1, 1, 'open', 'name', '', NULL),
-    (2, 1, 'text', 'name', NULL, 'NAME'),
-    (3, 1, 'close', 'name', NULL, NULL),
+       CASE WHEN e.text = 'PRIORITY' THEN trim(o_orderpriority) ELSE e.text END
+FROM orders, (VALUES
+    (0, 0, 'open', 'order', 'key,status', NULL),
+    (1, 1, 'open', 'priority', '', NULL),
+    (2, 1, 'text', 'priority', NULL, 'PRIORITY'),
+    (3, 1, 'close', 'priority', NULL, NULL),
     (4, 1, 'open', 'note', '', NULL),
     (5, 1, 'text', 'note', NULL, 'ok'),
     (6, 1, 'close', 'note', NULL, NULL),
-    (7, 0, 'close', 'nation', NULL, NULL)) AS e(seq, level, kind, tag, attrs, text)
-WHERE n_nationkey % 5 <> 3 AND (n_nationkey % 4 <> 0 OR e.seq NOT IN (4, 5, 6))
+    (7, 0, 'close', 'order', NULL, NULL)) AS e(seq, level, kind, tag, attrs, text)
+WHERE o_orderkey % 5 <> 3 AND (o_orderkey % 4 <> 0 OR e.seq NOT IN (4, 5, 6))
 """)
 def q_xml_elements(spark, sf_dir):
     from docweave.operators.structured import xml_elements
-    n = table(spark, sf_dir, "nation")
-    docs = n.select(F.col("n_nationkey").alias("doc_id"), _xml_doc_spark(n).alias("text"))
+    o = table(spark, sf_dir, "orders")
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), _xml_doc_spark(o).alias("text"))
     el = xml_elements(docs)
     return el.select("doc_id", "seq", "level", "kind", "tag",
                      F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attrs"), "text")
@@ -698,7 +701,7 @@ def _corpus_spark(spark, sf_dir):
         return table(spark, sf_dir, name).select(path.alias("path"), content.alias("content"))
 
     c = F.col
-    n = table(spark, sf_dir, "nation")
+    o = table(spark, sf_dir, "orders")
     parts = [
         rows("documents", F.concat(F.lit("documents/"), c("doc_id").cast("string"), F.lit(".txt")), c("text")),
         rows("pages", F.concat(F.lit("pages/"), c("page_id").cast("string"), F.lit(".html")), c("html")),
@@ -707,8 +710,8 @@ def _corpus_spark(spark, sf_dir):
                                        c("turn").cast("string"), F.lit(".docx")), c("text")),
         rows("labels", F.concat(F.lit("labels/"), c("doc_id").cast("string"), F.lit(".parquet")),
              c("quality").cast("string")),
-        n.select(F.concat(F.lit("nation/"), c("n_nationkey").cast("string"), F.lit(".xml")).alias("path"),
-                 _xml_doc_spark(n).alias("content")),
+        o.select(F.concat(F.lit("orders/"), c("o_orderkey").cast("string"), F.lit(".xml")).alias("path"),
+                 _xml_doc_spark(o).alias("content")),
         rows("benchmark", F.concat(F.lit("benchmark/"), c("item_id").cast("string"), F.lit(".csv")),
              c("text")),
         rows("conversations", F.concat(F.lit("notebooks/"), c("conv_id").cast("string"), F.lit("-"),
@@ -722,11 +725,6 @@ def _corpus_spark(spark, sf_dir):
 
 _D_HTML_TEXT = (f"array_to_string(list_filter(list_transform(string_split({_d_unescape(_D_MARKED)}, chr(1)), "
                 f"lambda n: trim(n, {_D_WS})), lambda n: n <> ''), chr(10))")
-_D_XML_OUTLINE = ("CASE WHEN n_nationkey % 5 = 3 THEN " + _D_XML + " ELSE '<nation key=\"' || n_nationkey || "
-                  "'\" region=\"' || n_regionkey || '\">' || chr(10) || '  <name>' || chr(10) || '    ' || "
-                  "trim(n_name) || chr(10) || '  </name>' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE "
-                  "chr(10) || '  <note>' || chr(10) || '    ok' || chr(10) || '  </note>' END || chr(10) || "
-                  "'</nation>' END")
 _D_UNSUPPORTED = f"'Unsupported file type: .parquet. Supported: {FMT.supported_list()}'"
 _D_CSV_PREVIEW = """array_to_string(list_transform(
       list_slice(CASE WHEN suffix(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2)
@@ -753,7 +751,7 @@ WITH t AS (
      {_sq(FMT.MISSING_DEPENDENCY_HINT['docx'])} FROM conversations
   UNION ALL SELECT '.parquet', 'labels/' || doc_id || '.parquet', NULL, 'unsupported_type', {_D_UNSUPPORTED}
   FROM labels
-  UNION ALL SELECT '.xml', 'nation/' || n_nationkey || '.xml', {_D_XML_OUTLINE}, NULL, NULL FROM nation
+  UNION ALL SELECT '.xml', 'orders/' || o_orderkey || '.xml', {_D_XML_OUTLINE}, NULL, NULL FROM orders
   UNION ALL SELECT '.csv', 'benchmark/' || item_id || '.csv', {_D_CSV_PREVIEW}, NULL, NULL FROM benchmark
   UNION ALL SELECT '.ipynb', 'notebooks/' || conv_id || '-' || turn || '.ipynb', {_D_NOTEBOOK}, NULL, NULL
   FROM conversations
