@@ -697,11 +697,12 @@ def q_normalize_output(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # G1: the supplied tables seen as a folder of files, one file per row
 def _corpus_spark(spark, sf_dir):
+    # the union is spread once as a whole (below), not source by source
     def rows(name, path, content):
-        return table(spark, sf_dir, name).select(path.alias("path"), content.alias("content"))
+        return table(spark, sf_dir, name, spread_by=()).select(path.alias("path"), content.alias("content"))
 
     c = F.col
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", spread_by=())
     parts = [
         rows("documents", F.concat(F.lit("documents/"), c("doc_id").cast("string"), F.lit(".txt")), c("text")),
         rows("pages", F.concat(F.lit("pages/"), c("page_id").cast("string"), F.lit(".html")), c("html")),
@@ -720,7 +721,10 @@ def _corpus_spark(spark, sf_dir):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # one file per row: a union of a few single-file scans is spread by path
+    # (a large corpus has far more splits and is left as it is)
+    from docweave.session import spread
+    return spread(out, ["path"], min_partitions=2 * spark.sparkContext.defaultParallelism)
 
 
 _D_HTML_TEXT = (f"array_to_string(list_filter(list_transform(string_split({_d_unescape(_D_MARKED)}, chr(1)), "

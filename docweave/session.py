@@ -76,17 +76,19 @@ def partition_counts(df):
         return None, None
 
 
-def spread(df, key_cols=()):
+def spread(df, key_cols=(), min_partitions: int | None = None):
     """Hash-spread ``df`` over the cluster's slots, but only when the scan
     gave fewer partitions than slots (one small file = one task).  Inputs
     already split into many partitions pass through: no extra shuffle.
     Spreading by the key a later ``groupBy`` uses lets that aggregation reuse
-    the partitioning instead of shuffling again.
+    the partitioning instead of shuffling again.  ``min_partitions`` raises the
+    bar for inputs whose few partitions are very unequal (a union of small
+    single-file scans).
     """
     if os.environ.get("DOCWEAVE_SPREAD", "1") == "0":  # plan inspection: as a large input
         return df
     slots, parts = partition_counts(df)
-    if parts is None or parts >= slots:
+    if parts is None or parts >= (min_partitions or slots):
         return df
     return df.repartition(slots, *key_cols) if key_cols else df.repartition(slots)
 
