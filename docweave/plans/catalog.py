@@ -184,10 +184,12 @@ def q_level_label(spark, sf_dir):
 # (the oracle decodes the references present in the supplied pages; &amp; last)
 def _d_unescape(x: str) -> str:
     for ent, ch in (("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"),
-                    ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"),
-                    ("&amp;", "'&'")):
+                    ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)")):
         x = f"replace({x}, '{ent}', {ch})"
-    return x
+    # HTML5 also decodes a bare "&amp" (no ';') before a non-name character,
+    # and the pages hold that form; then the regular "&amp;"
+    x = f"regexp_replace({x}, '&amp([^a-zA-Z0-9;]|$)', '&\\1', 'g')"
+    return f"replace({x}, '&amp;', '&')"
 
 
 _D_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"

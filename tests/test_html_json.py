@@ -67,6 +67,7 @@ CASES = [
     "<!DOCTYPE html><p>  spaced   </p><p>   </p>",
     "<P>Upper</P><SCRIPT>x</SCRIPT>done",
     "<img src='" + "A" * 50000 + "'>after",
+    "<h1>and&amp</h1><p>&am x &ampy</p>",
 ]
 
 
