@@ -11,6 +11,11 @@ from docweave.sources.formats import SUFFIX_PATTERN
 
 
 
+# ---- fixed values ----------------------------------------------------------
+MSG_TARGET_MISMATCH = "Output file extension '{suffix}' does not match requested format '{fmt}'"
+# -----------------------------------------------------------------------------
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -41,9 +46,9 @@ def resolve_target(target, output_format) -> Column:
     path = (F.when(t.isNull(), F.lit(None).cast("string"))
              .when(sfx == "", F.concat(t, want))
              .when(sfx == want, t))
-    err = F.when(t.isNotNull() & (sfx != "") & (sfx != want), F.concat(
-        F.lit("Output file extension '"), sfx, F.lit("' does not match requested format '"),
-        fmt, F.lit("'")))
+    a, b, c = MSG_TARGET_MISMATCH.format(suffix="\0", fmt="\0").split("\0")
+    err = F.when(t.isNotNull() & (sfx != "") & (sfx != want),
+                 F.concat(F.lit(a), sfx, F.lit(b), fmt, F.lit(c)))
     return F.struct(path.alias("path"), err.alias("error"))
 
 

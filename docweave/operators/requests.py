@@ -42,6 +42,10 @@ SUMMARY_LEVELS = {
     2: "The summary should be detailed, but still fit into the sentences cap",
     3: "The summary should be very detailed and in-depth, but still fit into the sentences cap",
 }
+MSG_NOT_FOUND = "File not found: {doc}"
+MSG_SENTENCES_RANGE = "Sentences cannot be less than {lo} and more than {hi}! Current amount: {n}"
+MSG_DESC_RANGE = "Description level must be between {lo} and {hi}. Got: {n}"
+MSG_SUM_RANGE = "Summary level must be between {lo} and {hi}. Got: {n}"
 # ------------------------------------------------------------------------------
 
 REQUEST_SCHEMA = ("req_id long, doc_id long, use_model boolean, sentences int, effort string, "
@@ -52,6 +56,12 @@ def _lit_map(d: dict) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
 
 
+def _message(template: str, n: Column, **fixed) -> Column:
+    """A fixed message with the value ``n`` filled in on the JVM side."""
+    head, tail = template.format(n="\0", **fixed).split("\0")
+    return F.concat(F.lit(head), n.cast("string"), F.lit(tail))
+
+
 def _needs_model(option: str) -> str:
     return f"{option} requires use_model and only works with the model route"
 
@@ -77,24 +87,19 @@ def validation_error(doc_exists: Column) -> Column:
         return c.isNotNull() & ((c < lo) | (c > hi))
 
     return (
-        F.when(~doc_exists, F.concat(F.lit("File not found: "), F.col("doc_id").cast("string")))
+        F.when(~doc_exists, _message(MSG_NOT_FOUND.replace("{doc}", "{n}"), F.col("doc_id")))
         .when(s.isNotNull() & ~model, F.lit(_needs_model("sentences")))
-        .when(out_of(s, SENTENCES_MIN, SENTENCES_MAX), F.concat(
-            F.lit(f"Sentences cannot be less than {SENTENCES_MIN} and more than {SENTENCES_MAX}! "
-                  "Current amount: "), s.cast("string")))
+        .when(out_of(s, SENTENCES_MIN, SENTENCES_MAX),
+              _message(MSG_SENTENCES_RANGE, s, lo=SENTENCES_MIN, hi=SENTENCES_MAX))
         .when(F.col("effort").isNotNull() & ~model, F.lit(_needs_model("effort")))
         .when(F.col("target").isNotNull() & ~model, F.lit(_needs_model("target")))
         .when(F.col("output_format").isNotNull() & (F.col("output_format") != DEFAULT_OUTPUT) & ~model,
               F.lit(_needs_model("output_format")))
         # an explicit level 0 skips the route rule and fails the range rule
         .when(dl.isNotNull() & (dl != 0) & ~model, F.lit(_needs_model("desc_level")))
-        .when(out_of(dl, LEVEL_MIN, LEVEL_MAX), F.concat(
-            F.lit(f"Description level must be between {LEVEL_MIN} and {LEVEL_MAX}. Got: "),
-            dl.cast("string")))
+        .when(out_of(dl, LEVEL_MIN, LEVEL_MAX), _message(MSG_DESC_RANGE, dl, lo=LEVEL_MIN, hi=LEVEL_MAX))
         .when(sl.isNotNull() & (sl != 0) & ~model, F.lit(_needs_model("sum_level")))
-        .when(out_of(sl, LEVEL_MIN, LEVEL_MAX), F.concat(
-            F.lit(f"Summary level must be between {LEVEL_MIN} and {LEVEL_MAX}. Got: "),
-            sl.cast("string")))
+        .when(out_of(sl, LEVEL_MIN, LEVEL_MAX), _message(MSG_SUM_RANGE, sl, lo=LEVEL_MIN, hi=LEVEL_MAX))
     )
 
 

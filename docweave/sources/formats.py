@@ -39,6 +39,7 @@ MISSING_DEPENDENCY_HINT = {
     "xlsx": "Install openpyxl to read .xlsx files: pip install openpyxl",
     "yaml": "Install PyYAML to read .yaml/.yml files: pip install pyyaml",
 }
+MSG_UNSUPPORTED = "Unsupported file type: {suffix}. Supported: {supported}"
 # -----------------------------------------------------------------------------
 
 # Python's pathlib suffix: text from the last dot, if that dot is neither the
@@ -102,9 +103,8 @@ def route_by_extension(df: DataFrame, path_col: str = "path", formats=FORMATS,
     joined = named.join(F.broadcast(fmt), "ext", "left")
     err_class = (F.when(F.col("kind").isNull(), F.lit("unsupported_type"))
                   .when(~F.col("has_extractor"), F.lit("missing_dependency")))
-    err = (F.when(F.col("kind").isNull(),
-                  F.concat(F.lit("Unsupported file type: "), F.col("suffix"),
-                           F.lit(". Supported: " + listed)))
+    head, tail = MSG_UNSUPPORTED.format(suffix="\0", supported=listed).split("\0")
+    err = (F.when(F.col("kind").isNull(), F.concat(F.lit(head), F.col("suffix"), F.lit(tail)))
             .when(~F.col("has_extractor"), hints[F.col("kind")]))
     if "error_class" in df.columns:  # errors found earlier (missing file) win
         err_class = F.when(F.col("error_class").isNotNull(), F.col("error_class")).otherwise(err_class)
