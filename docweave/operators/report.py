@@ -10,14 +10,13 @@ PREVIEW_CHARS = 200
 # -----------------------------------------------------------------------------
 
 
-def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path") -> DataFrame:
-    """G1: one row per extension.
+def extension_totals(texts: DataFrame, ext_col: str = "ext", path_col: str = "path") -> DataFrame:
+    """Per-extension totals (batch or streaming input).
 
     ``n_files, n_ok, n_chars`` (characters of the extracted texts),
-    ``preview`` (first 200 characters of the first ok file by path),
-    ``error_class`` / ``error`` of the first failing file by path, and
-    ``all_ok`` - true only if every file of every extension loaded.  Partial
-    aggregation runs map-side; the final window sees one row per extension.
+    ``preview`` (first 200 characters of the first ok file by path) and
+    ``error_class`` / ``error`` of the first failing file by path.  Partial
+    aggregation runs map-side.
     """
     ok = F.col("error_class").isNull()
     # min_by over strings is a sort-based aggregate: project the 200-char
@@ -28,7 +27,7 @@ def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path"
         F.when(ok, F.char_length("text")).alias("_chars"),
         F.when(ok, F.substring("text", 1, PREVIEW_CHARS)).alias("_preview"),
         "error_class", "error")
-    per_ext = slim.groupBy(ext_col).agg(
+    return slim.groupBy(ext_col).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if("_ok").alias("n_ok"),
         F.coalesce(F.sum("_chars"), F.lit(0)).alias("n_chars"),
@@ -36,5 +35,15 @@ def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path"
         F.min_by("error_class", "_bad_path").alias("error_class"),
         F.min_by("error", "_bad_path").alias("error"),
     )
-    everything = Window.partitionBy()  # tiny: one row per extension
+
+
+def with_overall_flag(per_ext: DataFrame) -> DataFrame:
+    """``all_ok``: true only if every file of every extension loaded.  The
+    window sees one row per extension (a handful of rows)."""
+    everything = Window.partitionBy()
     return per_ext.withColumn("all_ok", F.bool_and(F.col("n_ok") == F.col("n_files")).over(everything))
+
+
+def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path") -> DataFrame:
+    """G1: one row per extension with its totals and the overall flag."""
+    return with_overall_flag(extension_totals(texts, ext_col, path_col))

@@ -904,3 +904,22 @@ def q_stream_summaries(spark, sf_dir):
     sink = scratch_dir(spark, "stream-sink")
     run_incremental(spark, src, sink, scratch_dir(spark, "stream-ckpt"), glob="*.txt")
     return spark.read.parquet(sink).select("ext", "kind", "n_chars", "summary", "error_class")
+
+
+@register("stream_loader_report")
+def q_stream_loader_report(spark, sf_dir):
+    # documents as text files, orders as CSV files, events as JSON-lines files
+    # (a JSON-lines file is not one JSON value: those land in quarantine)
+    from docweave.sources.scratch import scratch_dir
+    from docweave.streaming.incremental import run_incremental_report
+    root = scratch_dir(spark, "stream-corpus")
+    (table(spark, sf_dir, "documents").select("text").write.mode("overwrite")
+     .option("maxRecordsPerFile", FILE_DOCS).text(root + "/documents"))
+    (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+     .write.mode("overwrite").option("maxRecordsPerFile", 5000).csv(root + "/orders"))
+    (table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+     .write.mode("overwrite").option("maxRecordsPerFile", 5000).json(root + "/events"))
+    report = scratch_dir(spark, "stream-report")
+    run_incremental_report(spark, root, report, scratch_dir(spark, "stream-report-ckpt"),
+                           glob="part-*")
+    return spark.read.parquet(report).select("ext", "n_files", "n_ok", "error_class", "all_ok")

@@ -61,3 +61,31 @@ def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str, checkpo
     if available_now:
         query.awaitTermination()
     return query
+
+
+def run_incremental_report(spark: SparkSession, source_dir: str, report_dir: str,
+                           checkpoint_dir: str, glob: str | None = None, extractors=None,
+                           available_now: bool = True):
+    """G1 over a folder that keeps receiving files.
+
+    A streaming aggregation per extension (complete mode; its state is one
+    row per extension, so it stays tiny however many files arrive).  Every
+    trigger rewrites the report table at ``report_dir`` with the running
+    totals and the overall ``all_ok`` flag.
+    """
+    from docweave.operators.report import extension_totals, with_overall_flag
+
+    texts = load_corpus_text(file_stream(spark, source_dir, glob), extractors=extractors)
+    per_ext = extension_totals(texts)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        # the batch is the whole report (complete mode): one row per extension
+        with_overall_flag(batch).write.mode("overwrite").parquet(report_dir)
+
+    writer = (per_ext.writeStream.outputMode("complete").foreachBatch(publish)
+              .option("checkpointLocation", checkpoint_dir))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    query = writer.start()
+    if available_now:
+        query.awaitTermination()
+    return query

@@ -24,3 +24,21 @@ def test_incremental_picks_up_new_files_once(spark, tmp_path):
     assert rows["d.bin"].error_class == "unsupported_type" and rows["d.bin"].summary is None
     want = spark.createDataFrame([('{\n  "k": 1\n}',)], "t string").select(local_summary("t")).first()[0]
     assert rows["c.json"].summary == want
+
+
+def test_incremental_loader_report(spark, tmp_path):
+    from docweave.streaming.incremental import run_incremental_report
+    src, rep, ckpt = tmp_path / "in", tmp_path / "report", tmp_path / "ckpt"
+    src.mkdir()
+    (src / "a.txt").write_text("hello")
+    (src / "b.json").write_text('{"k": 1}')
+    run_incremental_report(spark, str(src), str(rep), str(ckpt))
+    first = {r.ext: r for r in spark.read.parquet(str(rep)).collect()}
+    assert first[".txt"].n_files == 1 and first[".txt"].all_ok is True
+    (src / "c.txt").write_text("world!")
+    (src / "d.json").write_text("{broken")
+    run_incremental_report(spark, str(src), str(rep), str(ckpt))
+    rows = {r.ext: r for r in spark.read.parquet(str(rep)).collect()}
+    assert (rows[".txt"].n_files, rows[".txt"].n_chars) == (2, 11)  # running totals
+    assert rows[".json"].n_ok == 1 and rows[".json"].error_class == "bad_json"
+    assert rows[".txt"].all_ok is False
