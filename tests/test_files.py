@@ -111,3 +111,10 @@ def test_bad_notebook_is_quarantined(spark, tmp_path):
     for n in ("a.ipynb", "b.ipynb"):
         assert rows[n].error_class == "bad_json" and rows[n].text is None
     assert rows["c.ipynb"].text == "# code cell\n\nx = 1" and rows["c.ipynb"].error_class is None
+
+
+def test_user_extension_joins_supported_list(spark):
+    df = spark.createDataFrame([("a/x.rst",), ("b/y.zzz",)], "path string")
+    rows = {r.path: r for r in route_by_extension(df, extra={".rst": lambda b: b.decode()}).collect()}
+    assert rows["a/x.rst"].kind == "custom" and rows["a/x.rst"].error_class is None
+    assert ".rst" in rows["b/y.zzz"].error.split("Supported: ")[1].split(", ")

@@ -167,3 +167,13 @@ def test_csv_file_preview_across_splits(spark, tmp_path):
     assert n_splits > 10
     assert got["big.csv"] == "\n".join(f"k{i:06d}, {'x' * 40}, {i}" for i in range(20))
     assert got["small.csv"] == "a, b\nc"
+
+
+def test_assemble_pages_grouped_and_sheet_preview(spark):
+    pages = spark.createDataFrame([(1, 2, "second"), (1, 1, None), (1, 0, "first"), (1, 3, "   ")],
+                                  "doc_id int, page_no int, text string")
+    assert A.assemble_pages(pages).first().text == "first\n\nsecond"
+    rows = spark.createDataFrame([("w", "S", i, None if i == 1 else f"v{i}", i) for i in range(3)],
+                                 "doc string, sheet string, r int, a string, b int")
+    out = S.table_preview(rows, ["doc", "sheet"], ["r"], ["a", "b"], title_col="sheet", drop="null").first()
+    assert out.preview == "Sheet: S\nv0, 0\n1\nv2, 2"
