@@ -171,3 +171,24 @@ def test_summarize_attaches_name_and_title(spark):
                                 "output_format string, target string, desc_level int, sum_level int")
     r = summarize(req, docs, M.LeadProvider(fail_mod=0), initial_delay=0.0, name_col="name").first()
     assert (r.name, r.title, r.content) == ("my_report-2024.txt", "my report 2024", "Alpha. Beta.")
+
+
+def test_materialized_replies_are_not_recomputed(spark):
+    """Provider calls are side effects: after materialize=True, further
+    actions read the checkpoint instead of calling the provider again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def call(prompt, model):
+            calls.add(1)
+            return "ok"
+        return call
+
+    docs = spark.createDataFrame([(i, f"Text {i}. More.") for i in range(20)], "doc_id long, text string")
+    req = spark.createDataFrame([(i, i, True, None, None, None, None, None, None) for i in range(20)],
+                                "req_id long, doc_id long, use_model boolean, sentences int, effort string, "
+                                "output_format string, target string, desc_level int, sum_level int")
+    out = summarize(req, docs, factory, initial_delay=0.0, materialize=True)
+    assert out.where("status = 'ok'").count() == 20
+    assert out.count() == 20
+    assert calls.value == 20
