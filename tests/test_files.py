@@ -118,3 +118,31 @@ def test_user_extension_joins_supported_list(spark):
     rows = {r.path: r for r in route_by_extension(df, extra={".rst": lambda b: b.decode()}).collect()}
     assert rows["a/x.rst"].kind == "custom" and rows["a/x.rst"].error_class is None
     assert ".rst" in rows["b/y.zzz"].error.split("Supported: ")[1].split(", ")
+
+
+def test_loader_check_one_file_per_extension(spark, tmp_path):
+    """Every registered extension gets one placeholder: text-like formats a
+    two-line sample (the notebook a one-cell notebook), the others an empty
+    file; the report says per extension what loaded."""
+    text_like = {".txt", ".md", ".py", ".js", ".java", ".cpp", ".html", ".csv"}
+    for ext, _, _ in FORMATS:
+        path = tmp_path / f"w{ext}"
+        if ext == ".ipynb":
+            path.write_text(json.dumps({"cells": [{"cell_type": "markdown", "source": ["# Notebook"]}]}))
+        elif ext in text_like:
+            path.write_text(f"Sample content for w{ext}\nLine two.")
+        else:
+            path.write_bytes(b"")
+    files = read_corpus(spark, str(tmp_path), include_empty=True)
+    rep = {r.ext: r for r in loader_report(load_corpus_text(files)).collect()}
+    assert set(rep) == {ext for ext, _, _ in FORMATS}
+    for ext in text_like - {".html", ".csv"}:
+        assert rep[ext].n_ok == 1 and rep[ext].preview == f"Sample content for w{ext}\nLine two."
+    assert rep[".html"].preview == "Sample content for w.html\nLine two."
+    assert rep[".csv"].preview == "Sample content for w.csv\nLine two."
+    assert rep[".ipynb"].preview == "# Notebook"
+    assert rep[".json"].error_class == "bad_json"
+    assert rep[".xml"].n_ok == 1 and rep[".xml"].n_chars == 0  # malformed: raw text, here ""
+    for ext in (".docx", ".pdf", ".pptx", ".xlsx", ".yaml", ".yml"):
+        assert rep[ext].error_class == "missing_dependency"
+    assert all(r.all_ok is False for r in rep.values())
