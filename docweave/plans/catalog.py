@@ -3,6 +3,20 @@
 Every builder takes ``(spark, sf_dir)``, reads the supplied Parquet tables
 (whole tables, whole texts) and returns a lazy DataFrame.  Column names and
 types are aliased to match the oracle SQL exactly.
+
+Sections (in file order):
+  T1-T8, S2     text rules over `documents`; routing/titles over `pages.url`
+  S4a/S4b, S5   HTML over `pages`; JSON over `events.props`
+  S6            XML documents built from `orders` rows
+  S7-S9         CSV text, table previews over `events`, notebooks from `conversations`
+  A1-A4         assembly over `conversations`, `documents`, `orders`
+  P1-P5, M1-M4, O1-O2
+                requests derived from `orders` (each order = one request for
+                document o_custkey), prompts, batch inference, output
+  G1, M5        the supplied tables seen as files; the end-to-end summarize plan
+  S1, S3, U1, S7 files, O3
+                files written by Spark from the tables, read back
+  streaming     the same rules on streaming file sources
 """
 
 from __future__ import annotations
