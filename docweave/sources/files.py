@@ -28,8 +28,13 @@ TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, t
               "error_class string, error string"
 
 
+# larger files would fail the scan task (binaryFile reads a file into one value)
+DEFAULT_MAX_BYTES = 1 << 30
+
+
 def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True,
-                wanted: list[str] | None = None, include_empty: bool = False) -> DataFrame:
+                wanted: list[str] | None = None, include_empty: bool = False,
+                max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
     """``(path, modificationTime, length, content, error_class, error)``
     per file.
 
@@ -39,13 +44,25 @@ def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive:
     zero-length files; ``include_empty`` adds them back as rows with empty
     content (from Spark's own file listing, anti-joined with the scan) - off
     by default because it turns the listing into a driver-built DataFrame.
+    Files over ``max_bytes`` are not read: they come back as ``too_large``
+    rows from a metadata-only scan (``binaryFile`` skips the content when it
+    is not selected, and the length filter is applied while listing), so one
+    huge file cannot fail the job.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    scanned = reader.load(paths if isinstance(paths, str) else list(paths))
+    listing = reader.load(paths if isinstance(paths, str) else list(paths))
+    scanned = listing.where(F.col("length") <= max_bytes) if max_bytes else listing
     files = scanned.withColumn("error_class", F.lit(None).cast("string")).withColumn(
         "error", F.lit(None).cast("string"))
+    if max_bytes:
+        too_large = listing.where(F.col("length") > max_bytes).select(
+            "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"),
+            F.lit("too_large").alias("error_class"),
+            F.concat(F.lit(f"File is larger than {max_bytes} bytes: "),
+                     F.col("length").cast("string")).alias("error"))
+        files = files.unionByName(too_large)
     canon = lambda c: F.regexp_replace(c, "^(file:)?/*", "file:/")
     if include_empty:
         listed = spark.createDataFrame([(p,) for p in scanned.inputFiles()], "path string")

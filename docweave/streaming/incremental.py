@@ -19,23 +19,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import local_summary, shorten_title
-from docweave.sources.files import load_corpus_text
+from docweave.sources.files import DEFAULT_MAX_BYTES, load_corpus_text
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 SUMMARY_COLS = ["path", "name", "title", "ext", "kind", "n_chars", "summary", "error_class", "error"]
 
 
 def file_stream(spark: SparkSession, source_dir: str, glob: str | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true"))
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return (reader.load(source_dir)
-            .withColumn("error_class", F.lit(None).cast("string"))
-            .withColumn("error", F.lit(None).cast("string")))
+                max_files_per_trigger: int | None = None,
+                max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
+    """New files as rows.  Files over ``max_bytes`` arrive as ``too_large``
+    rows from a second, content-free stream over the same folder, so one
+    huge file neither fails the query nor disappears."""
+    def source():
+        reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                  .option("recursiveFileLookup", "true"))
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+        return reader.load(source_dir)
+
+    readable = source()
+    if max_bytes:
+        readable = readable.where(F.col("length") <= max_bytes)
+    files = (readable.withColumn("error_class", F.lit(None).cast("string"))
+                     .withColumn("error", F.lit(None).cast("string")))
+    if not max_bytes:
+        return files
+    too_large = source().where(F.col("length") > max_bytes).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"),
+        F.lit("too_large").alias("error_class"),
+        F.concat(F.lit(f"File is larger than {max_bytes} bytes: "), F.col("length").cast("string"))
+        .alias("error"))
+    return files.unionByName(too_large)
 
 
 def summarize_files(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None
@@ -51,9 +68,11 @@ def summarize_files(files: DataFrame, extractors: dict[str, Callable[[bytes], st
 
 def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                     glob: str | None = None, extractors=None,
-                    max_files_per_trigger: int | None = None, available_now: bool = True):
+                    max_files_per_trigger: int | None = None, available_now: bool = True,
+                    max_bytes: int | None = DEFAULT_MAX_BYTES):
     """Start (and with ``available_now`` wait for) the incremental job."""
-    out = summarize_files(file_stream(spark, source_dir, glob, max_files_per_trigger), extractors)
+    out = summarize_files(file_stream(spark, source_dir, glob, max_files_per_trigger, max_bytes),
+                          extractors)
     writer = (out.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

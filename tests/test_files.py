@@ -146,3 +146,25 @@ def test_loader_check_one_file_per_extension(spark, tmp_path):
     for ext in (".docx", ".pdf", ".pptx", ".xlsx", ".yaml", ".yml"):
         assert rep[ext].error_class == "missing_dependency"
     assert all(r.all_ok is False for r in rep.values())
+
+
+def test_oversized_files_are_quarantined(spark, tmp_path):
+    (tmp_path / "small.txt").write_text("tiny")
+    (tmp_path / "big.txt").write_text("x" * 5000)
+    files = read_corpus(spark, str(tmp_path), max_bytes=1000)
+    rows = {r.name: r for r in load_corpus_text(files).collect()}
+    assert rows["small.txt"].text == "tiny"
+    assert rows["big.txt"].error_class == "too_large" and rows["big.txt"].text is None
+    plan = files.where("error_class = 'too_large'")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]  # no content read
+
+
+def test_oversized_file_content_is_never_read(spark, tmp_path):
+    (tmp_path / "small.txt").write_text("tiny")
+    (tmp_path / "big.txt").write_text("x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:  # reading big.txt's content would now raise
+        rows = {r.name: r for r in load_corpus_text(read_corpus(spark, str(tmp_path), max_bytes=2000)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert rows["big.txt"].error_class == "too_large" and rows["small.txt"].text == "tiny"

@@ -42,3 +42,18 @@ def test_incremental_loader_report(spark, tmp_path):
     assert (rows[".txt"].n_files, rows[".txt"].n_chars) == (2, 11)  # running totals
     assert rows[".json"].n_ok == 1 and rows[".json"].error_class == "bad_json"
     assert rows[".txt"].all_ok is False
+
+
+def test_stream_quarantines_oversized_files(spark, tmp_path):
+    src, sink, ckpt = tmp_path / "in", tmp_path / "out", tmp_path / "ckpt"
+    src.mkdir()
+    (src / "small.txt").write_text("One. Two. Three.")
+    (src / "big.txt").write_text("x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:  # reading big.txt's content would now raise
+        run_incremental(spark, str(src), str(sink), str(ckpt), max_bytes=2000)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    rows = {r.name: r for r in spark.read.parquet(str(sink)).collect()}
+    assert rows["small.txt"].summary == "One. Two."
+    assert rows["big.txt"].error_class == "too_large" and rows["big.txt"].summary is None
