@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import local_summary, shorten_title
 from docweave.operators import inference as M
 from docweave.operators.output import normalize_output, resolve_target
+from docweave.session import ensure_checkpoint_dir
 from docweave.sources.formats import stem
 from docweave.operators.requests import (
     check_allowed_values, config_from_session, resolve_levels, resolve_options, validation_error)
@@ -132,6 +133,8 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
                     "_terror", "_local") + (("_name", "_title") if name_col else ()),
         partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
     if materialize:
+        # reliable checkpoint into the cluster's shared folder (never local)
+        ensure_checkpoint_dir(called.sparkSession)
         called = called.checkpoint(eager=True)
 
     st = F.col("status")
