@@ -192,3 +192,25 @@ def test_materialized_replies_are_not_recomputed(spark):
     assert out.where("status = 'ok'").count() == 20
     assert out.count() == 20
     assert calls.value == 20
+
+
+def test_bucketed_documents_are_not_shuffled(spark, tmp_path):
+    """With the corpus bucketed by doc_id only the request side moves."""
+    from docweave.plans.summarize import prepare_requests
+    from docweave.sources.layout import save_bucketed
+    docs = spark.createDataFrame([(i, f"Doc {i}. Text.") for i in range(200)], "doc_id long, text string")
+    bucketed = save_bucketed(docs, "docs_bucketed_test", str(tmp_path / "docs"), buckets=8)
+    req = spark.createDataFrame([(i, i % 150, False, None, None, None, None, None, None) for i in range(300)],
+                                "req_id long, doc_id long, use_model boolean, sentences int, effort string, "
+                                "output_format string, target string, desc_level int, sum_level int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prep = prepare_requests(req, bucketed, prefilter_max_ids=None)
+        plan = prep._jdf.queryExecution().executedPlan().toString()
+        assert prep.where("error_class IS NULL").count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS docs_bucketed_test")
+    assert "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the request side only
