@@ -16,8 +16,11 @@ def spark():
 
     from docweave.session import ensure_checkpoint_dir
 
+    import tempfile
+
     s = (SparkSession.builder.master("local[*]")
          .appName("docweave-tests")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="docweave-warehouse-"))
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
