@@ -102,13 +102,16 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
               sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
               materialize: bool = False,
               prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
-              name_col: str | None = None) -> DataFrame:
+              name_col: str | None = None, dedupe_calls: bool = True) -> DataFrame:
     """Summaries for a request table against a document table.
 
+    ``dedupe_calls`` sends each distinct prompt to the provider once and
+    shares the reply among the requests that produced it.
+
     With ``name_col`` (the documents' file names) the result also carries
     ``name`` and ``title`` (the stem with ``_``/``-`` as spaces).
 
-    ``materialize`` checkpoints the result into the cluster's checkpoint
+    ``materialize`` checkpoints the replies into the cluster's checkpoint
     folder so that later actions never call the provider again.
     """
     prep = prepare_requests(requests, documents, config, doc_key, text_col, prefilter_max_ids, name_col)
@@ -127,15 +130,33 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
         F.when((route == "model") & terr.isNull(), M.build_prompt("_text")).alias("prompt"))
     if make_provider is None:
         make_provider = M.LeadProvider()
-    called = M.infer_batch(
-        staged, make_provider, key_cols=("req_id",),
-        carry_cols=("doc_id", "route", "output_format", "target_path", "_vclass", "_verror",
-                    "_terror", "_local") + (("_name", "_title") if name_col else ()),
-        partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
-    if materialize:
-        # reliable checkpoint into the cluster's shared folder (never local)
-        ensure_checkpoint_dir(called.sparkSession)
-        called = called.checkpoint(eager=True)
+    if dedupe_calls:
+        # one provider call per distinct (prompt, model, retries): a document
+        # requested many times with the same options is summarised once.  The
+        # key is two independent hashes (96 bits); the dedupe pre-aggregates
+        # map-side, so a hot prompt collapses before the shuffle.
+        parts = [F.col("prompt"), F.col("model"), F.col("max_retries")]
+        staged = (staged.withColumn("_h1", F.when(F.col("prompt").isNotNull(), F.xxhash64(*parts)))
+                        .withColumn("_h2", F.when(F.col("prompt").isNotNull(), F.hash(*parts))))
+        unique = (staged.where(F.col("_h1").isNotNull())
+                        .select("_h1", "_h2", "prompt", "model", "max_retries")
+                        .dropDuplicates(["_h1", "_h2"]))
+        replies = M.infer_batch(unique, make_provider, key_cols=("_h1", "_h2"),
+                                partitions=partitions, initial_delay=initial_delay, sleep=sleep)
+        if materialize:
+            # reliable checkpoint into the cluster's shared folder (never local)
+            ensure_checkpoint_dir(replies.sparkSession)
+            replies = replies.checkpoint(eager=True)
+        called = staged.drop("prompt").join(replies, ["_h1", "_h2"], "left")
+    else:
+        called = M.infer_batch(
+            staged, make_provider, key_cols=("req_id",),
+            carry_cols=("doc_id", "route", "output_format", "target_path", "_vclass", "_verror",
+                        "_terror", "_local") + (("_name", "_title") if name_col else ()),
+            partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
+        if materialize:
+            ensure_checkpoint_dir(called.sparkSession)
+            called = called.checkpoint(eager=True)
 
     st = F.col("status")
     is_model_call = (route == "model") & F.col("_terror").isNull()

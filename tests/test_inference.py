@@ -214,3 +214,25 @@ def test_bucketed_documents_are_not_shuffled(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS docs_bucketed_test")
     assert "SortMergeJoin" in plan
     assert plan.count("Exchange hashpartitioning") == 1  # the request side only
+
+
+def test_identical_prompts_call_the_provider_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def call(prompt, model):
+            calls.add(1)
+            return "summary"
+        return call
+
+    docs = spark.createDataFrame([(1, "Hot doc. Everyone asks."), (2, "Cold doc.")], "doc_id long, text string")
+    rows = [(i, 1, True, None, None, None, None, None, None) for i in range(30)]  # hot document
+    rows += [(100, 2, True, None, None, None, None, None, None),
+             (101, 1, True, 3, None, None, None, None, None)]  # other options: another prompt
+    req = spark.createDataFrame(rows, "req_id long, doc_id long, use_model boolean, sentences int, "
+                                      "effort string, output_format string, target string, "
+                                      "desc_level int, sum_level int")
+    out = summarize(req, docs, factory, initial_delay=0.0, materialize=True)
+    got = out.collect()
+    assert len(got) == 32 and all(r.status == "ok" and r.content == "summary" for r in got)
+    assert calls.value == 3
