@@ -1,6 +1,6 @@
 """M5: route every request to the local or the model summary.
 
-One linear plan - one scan of each input, one join, one Python stage:
+Plan shape:
 
     documents LEFT SEMI JOIN broadcast(requested ids)  -- only if the id count
                                                        is under a checked bound
@@ -9,11 +9,11 @@ One linear plan - one scan of each input, one join, one Python stage:
       -> P3-P5 option resolution (literal maps)
       -> route = rejected | local | model; O2 target check (before any call)
       -> local rows: T6 summary (JVM); model rows: M1 prompt (JVM)
-      -> M2 mapInPandas: rows with a prompt call the provider, others pass
-      -> M4 degrade, O1 normalise
+      -> distinct (prompt, model, retries) by a 96-bit hash, map-side first
+      -> M2 mapInPandas: one provider call per distinct prompt
+      -> replies joined back by hash; M4 degrade, O1 normalise
 
-No union of branches, so the join is never evaluated twice.  Nothing is
-dropped: every request comes out once with its route and status.
+Nothing is dropped: every request comes out once with its route and status.
 """
 
 from __future__ import annotations
