@@ -38,7 +38,8 @@ def get_spark(master: str | None = None, app: str = "docweave",
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if master.startswith("local"):  # on a cluster the folder comes from spark.checkpoint.dir
+        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -46,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` is set by the operator and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is (unset on a cluster is an error).  Only in local mode, when it is
+    unset (tests), do we pick a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -54,7 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="docweave-ckpt-")
+    if not str(sc.master).startswith("local"):
+        # a machine-local folder is wrong on a cluster: every executor would
+        # write to its own disk and nothing could be read back after a loss
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every "
+                           "executor can reach (shared file system or object store)")
+    path = tempfile.mkdtemp(prefix="docweave-ckpt-")  # local mode only (tests, laptops)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
