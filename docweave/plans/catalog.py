@@ -414,6 +414,17 @@ def q_assemble_slides(spark, sf_dir):
     return assemble_slides(conv)
 
 
+@register("assemble_slides_rows", ORACLES["assemble_slides"])
+def q_assemble_slides_rows(spark, sf_dir):
+    # two-level form: one row per shape (a sentence of the turn), grouped into
+    # slides and then into the document; same result as the in-row form
+    from docweave.operators.assemble import assemble_slides_from_shapes
+    conv = table(spark, sf_dir, "conversations", spread_by=["conv_id"])
+    shapes = conv.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("slide_no"),
+                         F.posexplode_outer(T.split_sentences("text")).alias("shape_no", "text"))
+    return assemble_slides_from_shapes(shapes)
+
+
 @register("assemble_pages", r"""
 SELECT doc_id,
        array_to_string(list_filter(string_split(text, chr(10)),
@@ -428,6 +439,16 @@ def q_assemble_pages(spark, sf_dir):
     return docs.select("doc_id", join_parts(F.split("text", "\n")).alias("text"))
 
 
+@register("assemble_pages_rows", ORACLES["assemble_pages"])
+def q_assemble_pages_rows(spark, sf_dir):
+    # grouped form: one row per page (a line of the document), blank pages
+    # skipped, ordered concat per document; same result as the in-row form
+    from docweave.operators.assemble import assemble_pages
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
+    return assemble_pages(pages)
+
+
 @register("assemble_sheets", """
 SELECT doc_id, string_agg(preview, chr(10) || chr(10) ORDER BY sheet) AS text
 FROM (SELECT doc_id, sheet, 'Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS preview
