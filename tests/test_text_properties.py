@@ -11,7 +11,8 @@ ALPHABET = st.sampled_from(list("ab .!?,\n\t\r") + ["\xa0", " ", "\x1c", "\x85
 TEXTS = st.lists(st.text(alphabet=ALPHABET, max_size=60), min_size=1, max_size=40)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=25, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=TEXTS)
 def test_text_rules_match_python(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
