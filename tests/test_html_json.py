@@ -13,23 +13,26 @@ HIDDEN = {"script", "style", "template"}
 class _Visible(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.buf, self.hidden = [], [], 0
+        self.nodes, self.buf, self.open_hidden = [], [], []
 
     def _flush(self):
         if self.buf:
-            if not self.hidden:
+            if not self.open_hidden:
                 self.nodes.append("".join(self.buf))
             self.buf = []
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         if tag in HIDDEN:
-            self.hidden += 1
+            self.open_hidden.append(tag)
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
+        # an end tag closes the latest open element of that name; one with
+        # no open match is ignored (as a tree builder does)
+        if tag in self.open_hidden:
+            while self.open_hidden.pop() != tag:
+                pass
 
     def handle_startendtag(self, tag, attrs):
         self._flush()
@@ -115,3 +118,26 @@ def test_strip_fence(spark):
     for v, g in zip(vals, got):
         m = re.fullmatch(r"```(?:json)?\s*(.*?)\s*```", v, re.DOTALL)
         assert g.strip() == (m.group(1).strip() if m else v)
+
+
+def test_visible_text_property_on_token_soup(spark):
+    """Random markup soup (tags, comments, scripts, templates, entities,
+    stray end tags) against the stdlib-parser statement of the rule."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    tokens = st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<script>", "</script>",
+                              "<style>", "</style>", "<!-- c -->", "<br/>", "&amp;", "&lt;", "&gt;",
+                              "&nbsp;", "&copy;", " ", "\n", "word", "a", "<b>", "</b>", '<a href="x">',
+                              "</a>", "<!DOCTYPE html>", "<template>", "</template>", "&#39;", "&#x41;",
+                              "x&y", "é"])
+
+    @settings(max_examples=10, deadline=None, derandomize=True,
+              suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(docs=st.lists(st.lists(tokens, max_size=25).map("".join), min_size=1, max_size=40))
+    def check(docs):
+        df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, h string")
+        for r in df.select("id", html_visible_text("h").alias("t")).collect():
+            assert r.t == py_visible(docs[r.id]), docs[r.id]
+
+    check()
