@@ -61,3 +61,20 @@ def test_normalize_output_property(spark, rows):
     for r in df.select("id", normalize_output("c", "f").alias("o")).collect():
         c, f = rows[r.id]
         assert r.o == py_normalize(c, f), (c, f)
+
+
+@settings(**SETTINGS)
+@given(names=st.lists(st.text(alphabet=st.sampled_from(list("ab.X_- é")), min_size=1, max_size=8),
+                      min_size=1, max_size=40))
+def test_suffix_and_stem_follow_pathlib(spark, names):
+    from pathlib import PurePosixPath
+
+    from docweave.sources.formats import file_name, stem, suffix
+    df = spark.createDataFrame([(i, "dir/" + n) for i, n in enumerate(names)], "id int, p string")
+    rows = df.select("id", file_name("p").alias("n")).select(
+        "id", "n", suffix("n").alias("s"), stem("n").alias("t")).collect()
+    for r in rows:
+        p = PurePosixPath("dir/" + names[r.id])
+        if p.name != names[r.id]:  # pathlib normalises names like "." or "a/": not file names
+            continue
+        assert (r.s, r.t) == (p.suffix, p.stem), names[r.id]
