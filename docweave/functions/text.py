@@ -109,19 +109,26 @@ def chunk_rows(df, text_col: str = "text", key_cols=("doc_id",),
     """T4 (row form): one row per chunk ``(*keys, chunk_no, chunk)``.
 
     Use this when single documents are so long that one task per document
-    would straggle: chunks spread over partitions independently.
+    would straggle; ``summaries_from_chunk_rows(spread=...)`` then spreads
+    the chunks of such documents over tasks.
     """
     keys = [F.col(k) for k in key_cols]
     return df.select(*keys, F.posexplode(chunk_text(text_col, size)).alias("chunk_no", "chunk"))
 
 
 def summaries_from_chunk_rows(chunks, key_cols=("doc_id",),
-                              per_chunk: int = SENTENCES_PER_CHUNK):
+                              per_chunk: int = SENTENCES_PER_CHUNK, spread: int | None = None):
     """T5/T6 (row form): summarise chunk rows, then one ordered concat per doc.
 
-    The aggregate carries one short summary per chunk (a few hundred bytes),
-    so even a document with a third of all chunks stays a small group.
+    With ``spread=n`` the chunk rows are first hash-partitioned by
+    ``(keys, chunk_no)`` into ``n`` partitions, so the chunks of one very
+    long document are summarised by many tasks instead of the one that read
+    it (the chunk text is shuffled once).  The aggregate then carries one
+    short summary per chunk (a few hundred bytes), so even a document with a
+    third of all chunks stays a small group.
     """
+    if spread:
+        chunks = chunks.repartition(int(spread), *key_cols, "chunk_no")
     keyed = chunks.withColumn("chunk_summary", lead_summary("chunk", per_chunk))
     agg = keyed.groupBy(*key_cols).agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_summary"))).alias("_parts")

@@ -126,3 +126,11 @@ def test_plan_stays_in_codegen(spark):
         or "doc_id" in plan
     assert "Exchange" not in plan  # in-row form: no shuffle
     assert "WholeStageCodegen" in plan or "*(" in plan
+
+
+def test_row_form_spread_gives_same_summaries(spark):
+    long_doc = " ".join(f"Sentence number {i} is here." for i in range(3000))  # ~90k chars, 45 chunks
+    df = spark.createDataFrame([(1, long_doc), (2, "Short one. Two.")], "doc_id long, text string")
+    spread = {r.doc_id: r.summary for r in
+              T.summaries_from_chunk_rows(T.chunk_rows(df), spread=8).collect()}
+    assert spread == {1: py_local(long_doc), 2: py_local("Short one. Two.")}
