@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from docweave.functions.html import join_text_nodes, mark_text_nodes, unescape_one
 from docweave.functions.jsontext import pretty_one
 from docweave.operators.structured import (
-    XML_ELEMENT, csv_preview_one, notebook_text, outline_of_elements, xml_parse, xml_rows_one)
+    XML_ELEMENT, csv_preview_one, notebook_text, outline_of_elements, xml_rows_one)
 from docweave.sources.formats import FORMATS, route_by_extension
 
 TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, text string, " \
@@ -209,4 +209,4 @@ def load_corpus_text(files: DataFrame, path_col: str = "path", content_col: str
     return extract_text(routed, content_col, extractors)
 
 
-__all__ = ["read_corpus", "decode_text", "extract_text", "load_corpus_text", "xml_parse"]
+__all__ = ["read_corpus", "decode_text", "extract_text", "load_corpus_text"]
