@@ -78,3 +78,32 @@ def test_suffix_and_stem_follow_pathlib(spark, names):
         if p.name != names[r.id]:  # pathlib normalises names like "." or "a/": not file names
             continue
         assert (r.s, r.t) == (p.suffix, p.stem), names[r.id]
+
+
+_names = st.sampled_from(["a", "b", "item", "x-y"])
+_texts = st.sampled_from(["", " ", "v", " t e ", "é", "&amp;", "\n  ", "1 &lt; 2"])
+_attrs = st.dictionaries(st.sampled_from(["id", "k", "z"]), st.sampled_from(["1", "v w", "é", "&quot;q&quot;"]),
+                         max_size=2)
+
+
+def _render(tree):
+    tag, attrs, text, kids, tail = tree
+    a = "".join(f' {k}="{v}"' for k, v in attrs.items())
+    return f"<{tag}{a}>{text}{''.join(_render(k) for k in kids)}</{tag}>{tail}"
+
+
+_tree = st.recursive(st.tuples(_names, _attrs, _texts, st.just([]), _texts),
+                     lambda kids: st.tuples(_names, _attrs, _texts, st.lists(kids, max_size=3), _texts),
+                     max_leaves=8)
+_xml_doc = st.one_of(_tree.map(lambda t: _render((t[0], t[1], t[2], t[3], ""))),
+                     st.sampled_from(["<a><b></a>", "plain", "<a>"]))
+
+
+@settings(**SETTINGS)
+@given(docs=st.lists(_xml_doc, min_size=1, max_size=30))
+def test_xml_outline_property(spark, docs):
+    from docweave.operators.structured import xml_outline
+    from tests.test_structured import py_xml
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, x string")
+    for r in df.select("id", xml_outline("x").alias("o")).collect():
+        assert r.o == py_xml(docs[r.id]), docs[r.id]
