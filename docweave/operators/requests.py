@@ -103,6 +103,34 @@ def validation_error(doc_exists: Column) -> Column:
     )
 
 
+# ids are 8 bytes: 4M ids is a 32 MB broadcast, checked before it is made
+PREFILTER_MAX_IDS = 4_000_000
+
+
+def requested_documents(requests: DataFrame, docs: DataFrame, key: str = "_dk",
+                        max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
+    """Documents that some request names, filtered *before* any shuffle.
+
+    The distinct requested ids are counted first (one number to the driver);
+    only if there are at most ``max_ids`` (and they name at most half of the
+    documents) are they broadcast for a left-semi join, so the size of what
+    is broadcast is known.  Above the bound (or
+    with ``max_ids=None``) the documents pass unfiltered and the main join
+    does the work.  With a small request set this keeps a large corpus from
+    shuffling all of its text.
+    """
+    if not max_ids:
+        return docs
+    ids = requests.select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    n_ids = ids.count()
+    if n_ids > max_ids:
+        return docs
+    # when most documents are requested anyway, filtering saves little
+    if 2 * n_ids > docs.select(key).count():
+        return docs
+    return docs.join(F.broadcast(ids), key, "left_semi")
+
+
 def validate_requests(req: DataFrame, doc_keys: DataFrame | None = None,
                       key: str = "doc_id") -> DataFrame:
     """P2 then P1.  Adds ``error_class`` (``invalid_value`` / ``rejected``)
@@ -114,7 +142,9 @@ def validate_requests(req: DataFrame, doc_keys: DataFrame | None = None,
         exists = F.lit(True)
         joined = checked
     else:
-        present = doc_keys.select(F.col(key).alias("_k")).distinct().withColumn("_present", F.lit(True))
+        # only the keys some request names (size-checked broadcast), then distinct
+        keys = requested_documents(req, doc_keys.select(F.col(key).alias("_k")), "_k")
+        present = keys.distinct().withColumn("_present", F.lit(True))
         joined = checked.join(present, checked[key] == present["_k"], "left").drop("_k")
         exists = F.coalesce(F.col("_present"), F.lit(False))
     rule = validation_error(exists)

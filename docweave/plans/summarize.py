@@ -29,40 +29,13 @@ from docweave.operators.output import normalize_output, resolve_target
 from docweave.session import ensure_checkpoint_dir
 from docweave.sources.formats import stem
 from docweave.operators.requests import (
-    check_allowed_values, config_from_session, resolve_levels, resolve_options, validation_error)
+    PREFILTER_MAX_IDS, check_allowed_values, config_from_session, requested_documents, resolve_levels,
+    resolve_options, validation_error)
 
 OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_content",
             "target_path", "attempts", "status", "error_class", "error"]
 
 
-# ids are 8 bytes: 4M ids is a 32 MB broadcast, checked before it is made
-PREFILTER_MAX_IDS = 4_000_000
-
-
-def requested_documents(requests: DataFrame, docs: DataFrame, key: str = "_dk",
-                        max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
-    """Documents that some request names, filtered *before* any shuffle.
-
-    The distinct requested ids are counted first (one number to the driver);
-    only if there are at most ``max_ids`` (and they name at most half of the
-    documents) are they broadcast for a left-semi join, so the size of what
-    is broadcast is known.  Above the bound (or
-    with ``max_ids=None``) the documents pass unfiltered and the main join
-    does the work.  With a small request set this keeps a large corpus from
-    shuffling all of its text.
-    """
-    if not max_ids:
-        return docs
-    ids = requests.select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
-    n_ids = ids.count()
-    if n_ids > max_ids:
-        return docs
-    # when most documents are requested anyway, filtering saves little
-    if 2 * n_ids > docs.select(key).count():
-        return docs
-    return docs.join(F.broadcast(ids), key, "left_semi")
-
-
 def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | None = None,
                      doc_key: str = "doc_id", text_col: str = "text",
                      prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
