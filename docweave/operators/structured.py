@@ -136,15 +136,23 @@ def csv_preview(c) -> Column:
     return _csv_preview(_c(c))
 
 
-def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS) -> DataFrame:
-    """S7 for large CSV files: a text scan split across tasks.
-
-    Records are ordered by (file block start, position within the split), the
-    first ``n`` per file are kept with a window group limit (so only ``n`` rows
-    per file and split are shuffled), and only those records are parsed.
-    Quoted line breaks inside one record are not supported on this path; use
-    ``csv_preview`` over ``binaryFile`` content for such files.
+def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, exact_quotes: bool = False) -> DataFrame:
+    """S7 for CSV files: ``(path, preview)`` per file.
+
+    Default: a text scan split across tasks.  Records are ordered by (file
+    block start, position within the split), the first ``n`` per file are
+    kept with a window group limit (so only ``n`` rows per file and split are
+    shuffled), and only those records are parsed.  A quoted line break
+    inside one record is not seen on this path.
+
+    ``exact_quotes=True`` reads each file whole (``binaryFile``, bounded by
+    ``read_corpus``'s size limit) and parses it with the csv module, which
+    follows quoted line breaks; one task per file.
     """
+    if exact_quotes:
+        from docweave.sources.files import decode_text, read_corpus
+        files = read_corpus(spark, paths)
+        return files.select("path", csv_preview(decode_text("content", fold_newlines=False)).alias("preview"))
     lines = (spark.read.text(paths)
              .select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("_blk"),

@@ -177,3 +177,11 @@ def test_assemble_pages_grouped_and_sheet_preview(spark):
                                  "doc string, sheet string, r int, a string, b int")
     out = S.table_preview(rows, ["doc", "sheet"], ["r"], ["a", "b"], title_col="sheet", drop="null").first()
     assert out.preview == "Sheet: S\nv0, 0\n1\nv2, 2"
+
+
+def test_csv_file_preview_exact_quotes(spark, tmp_path):
+    raw = 'a,"multi\nline",b\r\nc,,d\n' + "\n".join(f"r{i},x" for i in range(30))
+    (tmp_path / "q.csv").write_text(raw, newline="")
+    got = S.csv_file_preview(spark, str(tmp_path / "q.csv"), exact_quotes=True).first().preview
+    assert got == py_csv(raw)
+    assert got.startswith("a, multi\nline, b\nc, d\nr0, x")
