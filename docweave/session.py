@@ -14,6 +14,11 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, app: str = "docweave",
               shuffle_partitions: int | None = None) -> SparkSession:
+    """A session for scripts, tests and the bench: AQE with skew-join
+    splitting, Arrow, UI off, speculation off.  The default master is
+    ``local[$BENCH_CPUS]`` with one shuffle partition per core; on a cluster
+    pass the master and size ``shuffle_partitions`` to the data (AQE then
+    coalesces small ones)."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     builder = (
