@@ -33,11 +33,6 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(modulus)
 
 
-def with_columns_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with the given output schema (a DDL string or StructType)."""
-    return df.mapInArrow(function, schema)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each
     piece (one row at least): memory stays bounded however long the texts are."""

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from docweave.llm.bpe import op1_bpe
+from docweave.llm.language_model import op10_language_model
+from docweave.llm.lines import ORACLE as LINES_SQL
+from docweave.llm.lines import op3_lines
+from docweave.llm.minhash import op6_minhash
 from docweave.llm.mixing import op7_mixing
 from docweave.llm.quality import op5_quality
 from docweave.llm.secrets import op9_secrets
+from docweave.llm.substrings import op4_substrings
 from docweave.llm.topk import op8_topk
 from docweave.llm.vectors import op2_vectors
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_vectors": op2_vectors, "op5_quality": op5_quality, "op7_mixing": op7_mixing,
-    "op8_topk": op8_topk, "op9_secrets": op9_secrets,
+    "op1_bpe": op1_bpe, "op2_vectors": op2_vectors, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash, "op7_mixing": op7_mixing,
+    "op8_topk": op8_topk, "op9_secrets": op9_secrets, "op10_language_model": op10_language_model,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_lines": LINES_SQL}
