@@ -35,8 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates (five-word shingles, 0.8)."""
-    kept = minhash.near_duplicates(docs.withColumn("__id", F.col("doc_id")), key="__id")
-    return kept.where("kept").select(*docs.columns)
+    return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,9 +142,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     number, stays in each of them.  A column named ``removed_lines`` gives way.
     """
     gone = stash(repeated_lines(df, key, text), "gone")
-    per = gone.distinct().groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("__gone"))
+    per = gone.distinct().groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
     rest = [c for c in df.columns if c != "removed_lines"]
-    rows = df.select(*rest).join(per, F.col(key).cast("long") == F.col("doc"), "left").drop("doc")
+    rows = df.select(*rest).join(per, F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return (rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
             .withColumn("removed_lines", F.coalesce("__gone", F.expr("cast(array() as array<int>)"))).drop("__gone"))
