@@ -23,21 +23,36 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: Documents to re-read for verification are broadcast up to this many keys, and dealt beyond.
 BROADCAST_KEYS = 500_000
-BLANKS = " \t\n\r\f\u000b"
-BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, words): the lines with any word, numbered from 0."""
-    rows = df.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line", "t"))
-    return (rows.withColumn("t", F.btrim("t", F.lit(BLANKS))).where("t <> '' AND doc IS NOT NULL")
-            .select("doc", "line", F.split("t", BLANK_RUN, -1).alias("words")))
+def _spaced(text: str) -> Column:
+    """The text with other blanks than line ends as spaces: a split at one
+    character is many times cheaper than one at a pattern."""
+    t = F.col(text)
+    odd = F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\r")) | F.contains(t, F.lit("\f")) | F.contains(t, F.lit("\u000b"))
+    return F.when(odd, F.translate(t, "\t\r\f\u000b", "    ")).otherwise(t)
 
 
-def _bucket_counts(lines: DataFrame) -> DataFrame:
-    """(b, n): words counted by bucket of their hash, over all lines."""
-    return (lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def _lines(df: DataFrame, key: str, text: str, numbers: str | None = None) -> DataFrame:
+    """(doc, line, t): the lines, numbered from 0.  ``numbers``: column with the
+    line numbers to take."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), *([numbers] if numbers else []),
+                                                   F.posexplode(F.split(_spaced(text), "\n", -1)).alias("line", "t"))
+    if numbers:
+        rows = rows.where(F.array_contains(numbers, F.col("line")))
+    return rows.select("doc", "line", "t")
+
+
+def _words(line: Column) -> Column:
+    """The words of a line; may hold empty strings."""
+    return F.split(line, " ", -1)
+
+
+def _bucket_counts(df: DataFrame, text: str) -> DataFrame:
+    """(b, n): words counted by bucket of their hash, over all texts."""
+    flat = F.replace(_spaced(text), F.lit("\n"), F.lit(" "))
+    return (df.select(F.explode(F.split(flat, " ", -1)).alias("w"))
+            .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _prefix(n: Column) -> Column:
@@ -45,29 +60,36 @@ def _prefix(n: Column) -> Column:
 
 
 def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc, line, n, sig, s1, s2, prefix): distinct words, parity bits, two
-    digests of the set, and hashes of its rarest words in order."""
+    """(doc, line, n, sig, sig2, s1, s2, low, high, prefix): distinct words, 128
+    parity bits, two digests of the set, digests of the four words of smallest
+    and of largest hash, and hashes of its rarest words in order."""
     level = [0] * BUCKETS  # at most BUCKETS rows come to the driver
     for r in counts.collect():
         level[r["b"]] = round(256 * math.log2(r["n"] + 1))
-    rarity = F.split(F.lit(",".join(map(str, level))), ",").cast("array<int>")  # folded to one literal
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    # common words last: the bucket's count above 48 bits of the word's hash
-    keyed = F.transform(hashed, lambda h: F.shiftleft(F.get(rarity, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 48)
-                        + F.shiftrightunsigned(h, 16))
-    rows = lines.select("doc", "line", F.sort_array(F.array_distinct(keyed)).alias("keys")).withColumn("n", F.size("keys"))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))))
-    return rows.select("doc", "line", "n", sig.alias("sig"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"),
-                       F.when(F.col("n") > 3, F.transform(F.slice("keys", F.lit(1), _prefix(F.col("n")).cast("int")),
-                                                          lambda k: F.hash(k))).alias("prefix"))
-
-
-def _close(a: str, b: str) -> Column:
-    """Length filter, and parity bits: an odd bit is a word that one line lacks."""
-    total = F.col(f"{a}_n") + F.col(f"{b}_n")
-    return ((100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n"))
-            & (F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) * (100 + PERCENT) <= (100 - PERCENT) * total))
+    # common words last: the bucket's count above 48 bits of the word's hash (folded to one literal)
+    rarity = F.split(F.lit(",".join(str(n << 48) for n in level)), ",").cast("array<bigint>")
+
+    h = F.array_remove(F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))), F.xxhash64(F.lit("")))
+    rows = lines.select("doc", "line", h.alias("h")).withColumn("n", F.size("h"))
+    # (blank lines stay for now: a filter here would compute the hashes a second time)
+    keyed = F.transform("h", lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+                        + F.shiftrightunsigned(x, 16))
+    bit = lambda by: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
+        F.when(x.bitwiseAND(F.lit(64)) == by, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    prefix = F.transform(F.slice(F.sort_array(keyed), F.lit(1), _prefix(F.col("n")).cast("int")), lambda k: F.hash(k))
+    able = lambda c: F.when(F.col("n") > 3, c)
+    return rows.select("doc", "line", "n", bit(0).alias("sig"), bit(64).alias("sig2"), F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"),
+                       able(F.xxhash64(F.slice("h", 1, 4))).alias("low"), able(F.xxhash64(F.slice("h", -4, 4))).alias("high"), able(prefix).alias("prefix"))
+
+
+def _apart(a: str, b: str) -> Column:
+    """Words that one of two lines lacks, at least: parity bits that differ."""
+    return (F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) + F.bit_count(F.col(f"{a}_sig2").bitwiseXOR(F.col(f"{b}_sig2"))))
+
+
+def _possible(n_a: Column, n_b: Column, apart: Column) -> Column:
+    """Length filter, and the most words that one of two similar lines can lack."""
+    return ((100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (apart * (100 + PERCENT) <= (100 - PERCENT) * (n_a + n_b)))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -76,18 +98,19 @@ def _earlier(a: str, b: str) -> Column:
 
 def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line) of the later lines of the pairs whose words reach the similarity."""
-    places = stash(pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(
-        pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))).distinct(), "places")
-    keys = stash(places.select(F.col("doc").alias("__doc")).distinct(), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    docs = df.join(keys, F.col(key).cast("long") == F.col("__doc"), "left_semi")
-    sets = stash(_lines(docs, key, text).join(places, ["doc", "line"])
-                 .select("doc", "line", F.array_distinct("words").alias("words")), "sets")
+    places = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(
+        pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
+    wanted = stash(places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines")), "wanted")
+    few = wanted.count() <= BROADCAST_KEYS
+    docs = df.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key).cast("long") == F.col("__doc"))
+    sets = stash(_lines(docs, key, text, "__lines"), "sets")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
-    inner = F.size(F.array_intersect("x_words", "y_words"))
-    hit = 100 * inner >= PERCENT * (F.size("x_words") + F.size("y_words") - inner)
+    for p in ("x", "y"):
+        both = both.withColumn(f"{p}_w", F.array_remove(F.array_distinct(F.transform(_words(F.col(f"{p}_t")), lambda w: F.xxhash64(w))),
+                                                        F.xxhash64(F.lit(""))))
+    both = both.withColumn("inner", F.size(F.array_intersect("x_w", "y_w")))
+    hit = F.expr(f"100 * inner >= {PERCENT} * (size(x_w) + size(y_w) - inner)")
     return stash(both.where(hit).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct(), "later")
 
 
@@ -95,41 +118,55 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(doc, line) of the lines to remove.
 
     Equal sets collapse into one class with its earliest line.  Classes that
-    share their two rarest words are first compared with the earliest of them;
-    what finds no match there is looked up among all lines that share a word of
-    the prefix.  So a group of many near copies makes about as many comparisons
-    as it has members.
+    agree in their four words of smallest (or largest) hash are first compared
+    with the earliest of them, which settles most of a group of near copies.
+    What finds no match there is looked up among all lines that share a word of
+    the prefix; so a large group makes few more comparisons than it has members.
     """
-    counts = stash(_bucket_counts(_lines(df, key, text)), "counts")
+    counts = stash(_bucket_counts(df, text), "counts")
     lines = stash(_signed(_lines(df, key, text), counts), "lines")
-    first = F.min(F.struct("doc", "line", "n", "sig", "prefix")).alias("f")
-    classes = stash(lines.groupBy("s1", "s2").agg(first).select("s1", "s2", "f.*"), "classes")
+    body = ["doc", "line", "n", "sig", "sig2", "low", "high", "prefix"]
+    classes = stash(lines.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(*body)).alias("f")).select("s1", "s2", "f.*"), "classes")
     able = classes.where("n > 3")  # smaller sets are only similar to themselves
-    heads = able.select("doc", "line", "n", "sig", F.get("prefix", F.lit(0)).alias("t1"), F.get("prefix", F.lit(1)).alias("t2"))
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
-    leaders = stash(heads.groupBy("t1", "t2").agg(F.min(F.struct("doc", "line", "n", "sig")).alias("f"), F.count(F.lit(1)).alias("c"))
-                    .where("c > 1").select("t1", "t2", "f.*"), "leaders")
-    near = named(heads, "y").join(named(leaders, "x"), F.expr("x_t1 = y_t1 AND x_t2 <=> y_t2") & _earlier("x", "y") & _close("x", "y"))
+    heads = able.select("doc", "line", "n", "sig", "sig2", F.explode(F.array("low", "high")).alias("k"))
+    shared = stash(heads.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("d")).where("c > 1").drop("c"), "shared")
+    heads = stash(heads.join(shared, "k"), "heads")
+    leaders = heads.where("doc = d").groupBy("k").agg(F.min(F.struct("line", "doc", "n", "sig", "sig2")).alias("f")).select("k", "f.*")
+    near = named(heads.drop("d"), "y").join(named(stash(leaders, "leaders"), "x"), F.col("x_k") == F.col("y_k"))
+    near = near.where(_earlier("x", "y") & _possible(F.col("x_n"), F.col("y_n"), _apart("x", "y")))
     ends = ["x_doc", "x_line", "y_doc", "y_line"]
-    later = _verify(stash(near.select(*ends), "near"), df, key, text)
+    later = _verify(stash(near.select(*ends).distinct(), "near"), df, key, text)
 
     known = later.withColumn("done", F.lit(1))
     open_ = able.join(known, ["doc", "line"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    posts = open_.select("doc", "line", "sig", "n", "done", F.posexplode("prefix").alias("i", "word")).select(
-        "word", "doc", "line", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")).alias("m"))
+    posts = open_.select("doc", "line", "sig", "sig2", "n", "done", F.posexplode("prefix").alias("i", "word")).select(
+        "word", "doc", "line", "sig", "sig2", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")).alias("m"))
     x, y = named(posts, "x"), named(posts, "y")
     n = lambda p: F.shiftright(F.col(f"{p}_m"), 32)
     i = lambda p: F.shiftright(F.col(f"{p}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    n_after = lambda c: F.col(c) - _prefix(F.col(c))
     total = n("x") + n("y")
-    fits = ((F.col("y_m").bitwiseAND(F.lit(1)) == 0) & _earlier("x", "y")
-            & (100 * F.least(n("x"), n("y")) >= PERCENT * F.greatest(n("x"), n("y")))
-            & (F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))) * (100 + PERCENT) <= (100 - PERCENT) * total)
+    # (with a term of x, so that both sides stay one exchange)
+    fits = ((F.col("y_m").bitwiseAND(F.lit(1)) + F.col("x_m") - F.col("x_m") == 0) & _earlier("x", "y")
+            & _possible(n("x"), n("y"), _apart("x", "y"))
             & ((F.least(i("x"), i("y")) + 1 + F.least(n("x") - i("x"), n("y") - i("y")) - 1) * (100 + PERCENT) >= PERCENT * total))
-    pairs = stash(x.join(y, (F.col("x_word") == F.col("y_word")) & fits).select(*ends).distinct(), "pairs")
-    gone = later.unionByName(_verify(pairs, df, key, text)).select("doc", "line", F.lit(True).alias("gone"))
+    met = (x.join(y, (F.col("x_word") == F.col("y_word")) & fits).groupBy(*ends, n("x").alias("x_n"), n("y").alias("y_n"))
+           .agg(F.count(F.lit(1)).alias("c")))
+    # the line whose prefix ends first shares no more than what follows its prefix, and the c words met
+    after = F.greatest(n_after("x_n"), n_after("y_n"))
+    pairs = stash(met.where((F.col("c") + after) * (100 + PERCENT) >= PERCENT * (F.col("x_n") + F.col("y_n"))).select(*ends), "pairs")
+    # one match is enough: first the earliest candidate of each line, then all of those it does not settle
+    earliest = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
+        F.col("x.x_doc"), F.col("x.x_line"), "y_doc", "y_line")
+    settled = _verify(stash(earliest, "earliest"), df, key, text)
+    rest = pairs.join(settled, F.expr("y_doc = doc AND y_line = line"), "left_anti").join(
+        earliest.withColumns({c: F.col(c) for c in ends}), ends, "left_anti")
+    others = _verify(stash(rest, "rest"), df, key, text)
+    gone = later.unionByName(settled).unionByName(others).select("doc", "line", F.lit(True).alias("gone"))
     status = classes.select("s1", "s2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line")).join(
         gone, (F.col("f_doc") == F.col("doc")) & (F.col("f_line") == F.col("line")), "left").drop("doc", "line")
-    return (lines.select("doc", "line", "s1", "s2").join(stash(status, "status"), ["s1", "s2"])
+    return (lines.where("n > 0").select("doc", "line", "s1", "s2").join(stash(status, "status"), ["s1", "s2"])
             .where("gone OR doc <> f_doc OR line <> f_line").select("doc", "line"))
 
 
