@@ -4,14 +4,15 @@ verification, confirmation on full shingle sets, connected components.
 Documents with equal shingle sets collapse into one class.  In a bucket (equal
 band) every class is first compared with the smallest one; then, wherever a
 bucket still holds several components, its members of different components are
-compared.  So a group of thousands of near copies costs about its size, not its
-square, and every pair that shares a bucket is either compared or already
-connected.
+compared, block against block, each block pair returning a spanning forest.  So
+no pair is ever a row, and every pair that shares a bucket is either compared or
+already connected.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import read, slices, stash
 from docweave.llm.components import connected_components
+from docweave.llm.vectors import forest
 
 BANDS = 32
 ROWS = 5
@@ -29,6 +31,9 @@ SLACK = 5.8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 CACHE = 500_000
+#: Members of one block of a bucket, and columns of one product.
+BLOCK = 256
+COLUMNS = 4_096
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +126,26 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "s1", "s2", "s3")])
 
 
+def _texts(ids: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, t) of the wanted ids."""
+    return stash(df.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("t")).where("t IS NOT NULL")
+                 .join(stash(ids.distinct(), "ids"), F.col("__k") == F.col("id")).select("id", "t"), "texts")
+
+
 def _confirm(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = stash(df.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("t")).where("t IS NOT NULL")
-                  .join(ids, F.col("__k") == F.col("id")).select("id", "t"), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), df, key, text)
     both = (pairs.join(texts.withColumnRenamed("t", "tb"), F.col("b") == F.col("id")).drop("id")
             .join(texts.withColumnRenamed("t", "ta"), F.col("a") == F.col("id")).select("a", "b", "ta", "tb"))
 
-    def shingles(t: str) -> set:
-        w = words_of(t)
-        return {tuple(w)} if 0 < len(w) < width else set(zip(*[w[i:] for i in range(width)]))
-
     def run(batches):
         last, first = None, set()
         for batch in slices(batches, "tb", 4 << 20):
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if ta != last:
-                    last, first = ta, shingles(ta)
-                other = shingles(tb)
+                    last, first = ta, _shingles(ta, width)
+                other = _shingles(tb, width)
                 inner = len(first & other)
                 keep.append(inner > 0 and 100 * inner >= percent * (len(first) + len(other) - inner))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -148,6 +153,75 @@ def _confirm(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
     return stash(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _shingles(text: str, width: int) -> set:
+    w = words_of(text)
+    return {tuple(w)} if 0 < len(w) < width else set(zip(*[w[i:] for i in range(width)]))
+
+
+def _overlaps(left: list[set], right: list[set]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set: products
+    of 0/1 matrices over the shingles that both sides have."""
+    common = {s: k for k, s in enumerate(set().union(*left) & set().union(*right))}
+    out = np.zeros((len(left), len(right)))
+
+    def places(sets: list[set]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[common[x] for x in s if x in common] for s in sets]
+        return (np.repeat(np.arange(len(sets)), [len(f) for f in found]),
+                np.fromiter((k for f in found for k in f), np.int64))
+
+    (l_row, l_col), (r_row, r_col) = places(left), places(right)
+    for at in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - at)
+        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for m, row, col in ((a, l_row, l_col), (b, r_row, r_col)):
+            own = (col >= at) & (col < at + width)
+            m[row[own], col[own] - at] = 1
+        out += a @ b.T
+    return out
+
+
+def _across(marked: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links between members (band, rep, part) of one band that are in different
+    parts.  The commonest part of a band is its host; the other members are
+    compared with it and with one another, in blocks."""
+    parts = marked.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"))
+    bands = stash(parts.groupBy("band").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("p"))
+                  .where("p > 1").select("band", F.col("top.part").alias("host"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("n_host"),
+                                         F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("n_stray")), "mixed")
+    rows = marked.join(bands, "band").withColumn("stray", F.col("part") != F.col("host"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("n_stray")).otherwise(F.col("n_host"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    side = lambda d, left, host, a, b: d.select("band", "rep", "part", F.lit(left).alias("left"), F.lit(host).alias("host"), a.alias("a"), b.alias("b"))
+    strays, hosts = rows.where("stray"), rows.where("NOT stray")
+    among = strays.withColumn("other", F.explode(upto("n_stray")))
+    dealt = (side(strays.withColumn("other", F.explode(upto("n_host"))), True, True, F.col("block"), F.col("other"))
+             .unionByName(side(hosts.withColumn("other", F.explode(upto("n_stray"))), False, True, F.col("other"), F.col("block")))
+             .unionByName(side(among, True, False, F.col("block"), F.col("other")).where("a <= b"))
+             .unionByName(side(among, False, False, F.col("other"), F.col("block")).where("a <= b")))
+    dealt = stash(dealt, "dealt")
+    texts = _texts(dealt.select(F.col("rep").alias("id")), df, key, text)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side_of = pdf["left"].to_numpy(bool)
+        if side_of.all() or not side_of.any():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        sets = [_shingles(t, width) for t in pdf["t"]]
+        l, r = np.flatnonzero(side_of), np.flatnonzero(~side_of)
+        inner = _overlaps([sets[i] for i in l], [sets[i] for i in r])
+        size = np.array([len(s) for s in sets])
+        ids, part = pdf["rep"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64)
+        links = 100 * inner >= percent * (size[l][:, None] + size[r][None, :] - inner)
+        links &= part[l][:, None] != part[r][None, :]
+        root = forest(links, ids[l], ids[r])
+        at = np.concatenate([l, r])
+        moved = root != ids[at]
+        return pd.DataFrame({"a": ids[at][moved], "b": root[moved]}).astype("int64")
+
+    group = ["band", "host", "a", "b"]
+    return stash(dealt.join(texts, F.col("rep") == F.col("id")).select(*group, "rep", "part", "left", "t").groupBy(*group)
+                 .applyInPandas(run, "a long, b long"), "links")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """``df`` with n_shingles, component_id and kept (the smallest id of its component).
@@ -175,14 +249,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     parts = connected_components(links)
     # round 2: what still is in different components of one bucket
     marked = stash(members.join(parts, F.col("rep") == F.col("node"), "left")
-                   .select("band", "rep", "centre", F.coalesce("component", "rep").alias("part")), "marked")
-    mixed = stash(marked.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band"), "mixed")
-    left = marked.join(mixed, "band").join(short, "rep")
-    side = lambda p: left.select(*[F.col(c).alias(f"{p}_{c}") for c in ("band", "rep", "centre", "part", "n", "s1", "s2", "s3")])
-    more = side("x").join(side("y"), (F.col("x_band") == F.col("y_band")) & F.expr(
-        "x_rep < y_rep AND x_part <> y_part AND x_rep <> x_centre") & _plausible("x", "y", percent))
-    more = stash(more.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
-    links = links.unionByName(_confirm(more, df, key, text, width, percent))
+                   .select("band", "rep", F.coalesce("component", "rep").alias("part")), "marked")
+    links = links.unionByName(_across(marked, df, key, text, width, percent))
     # the nodes of one class, too: equal sets of different keys
     parts = connected_components(links.unionByName(_twins(signed, classes)))
     nodes = signed.groupBy("id").agg(F.max("n").alias("n"))

@@ -85,7 +85,7 @@ def block_links(a: np.ndarray, b: np.ndarray | None, cosine: float) -> np.ndarra
     return (a @ b.T) >= cosine * np.outer(u, np.linalg.norm(b, axis=1))
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest id reachable within the block from each left and right row."""
     low_l, low_r = left.copy(), right.copy()
     big = np.iinfo(np.int64).max
@@ -153,10 +153,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             l, r = np.flatnonzero(left), np.flatnonzero(~left)
             m = block_links(v[l], v[r], cosine)
             at, counts = np.concatenate([l, r]), np.concatenate([m @ copies[r], m.T @ copies[l]])
-            root = _forest(m, ids[l], ids[r])
+            root = forest(m, ids[l], ids[r])
         else:
             m = block_links(v, None, cosine)
-            at, counts, root = np.arange(len(ids)), m @ copies, _forest(m, ids, ids)[:len(ids)]
+            at, counts, root = np.arange(len(ids)), m @ copies, forest(m, ids, ids)[:len(ids)]
         hit = counts > 0
         return pd.DataFrame({"rep": ids[at][hit], "links": counts[hit], "root": root[hit]}).astype("int64")
 
