@@ -19,8 +19,7 @@ SEP = "\u0001"  # text-node separator; never produced by entity decoding
 
 # Elements whose text is not visible text.  script/style hold raw text (no
 # tags inside); template/rt/rp hold markup whose strings are not page text.
-_RAW_BLOCK = r"(?iu)<(script|style)\b[^>]*>[\s\S]*?(?:</\1\s*>|\z)"
-_HIDDEN_BLOCK = r"(?iu)<(template|rt|rp)\b[^>]*>[\s\S]*?(?:</\1\s*>|\z)"
+_RAW_BLOCK = r"<(script|style)\b[^>]*>[\s\S]*?(?:</\1\s*>|\z)"
 _COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
 _CDATA = r"<!\[CDATA\[([\s\S]*?)\]\]>"
 _DECL = r"<[!?][^>]*>"
@@ -29,6 +28,14 @@ _DECL = r"<[!?][^>]*>"
 # character), so long attribute values cannot exhaust the regex stack
 _TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _WS = r"[\s\x1c-\x1f]"
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_HIDDEN_START = rf"(?iu)<(?:template|rt|rp)\b{_ATTRIBUTES}>"
+_HIDDEN_END = r"(?iu)</(?:template|rt|rp)\b[^>]*+>"
+# group 2: the text of a CDATA section; group 3: a tag of a hidden element
+_NODE = (rf"(?iu)(?:{_COMMENT}|{_RAW_BLOCK}|{_CDATA}|{_DECL}"
+         rf"|(</?(?:template|rt|rp)\b{_ATTRIBUTES}>)|{_TAG})")
+OPEN, SHUT = "\u0002", "\u0003"  # marks of hidden elements
+HIDDEN_DEPTH = 4
 
 
 def _c(c) -> Column:
@@ -46,13 +53,20 @@ def html_strip_tags(c) -> Column:
 
 
 def mark_text_nodes(c) -> Column:
-    """Replace every non-text node with the separator (JVM only)."""
-    x = F.regexp_replace(_c(c), _RAW_BLOCK, SEP)
-    x = F.regexp_replace(x, _COMMENT, SEP)
-    x = F.regexp_replace(x, _HIDDEN_BLOCK, SEP)
-    x = F.regexp_replace(x, _CDATA, SEP + "$1" + SEP)
-    x = F.regexp_replace(x, _DECL, SEP)
-    return F.regexp_replace(x, _TAG, SEP)
+    """Replace every non-text node with the separator (JVM only).
+
+    One pass, leftmost first, so what a comment, a raw block or an attribute
+    value holds is never read as markup.  Only the tags of hidden elements
+    survive it, as marks; hidden elements then go from the innermost outwards,
+    ``HIDDEN_DEPTH`` levels of nesting, and one that never closes hides the rest."""
+    x = F.replace(F.replace(_c(c), F.lit(OPEN), F.lit("")), F.lit(SHUT), F.lit(""))
+    x = F.regexp_replace(x, _NODE, SEP + "$2$3" + SEP)
+    x = F.regexp_replace(x, _HIDDEN_START, OPEN)
+    x = F.regexp_replace(x, _HIDDEN_END, SHUT)
+    for _ in range(HIDDEN_DEPTH):
+        x = F.regexp_replace(x, f"{OPEN}[^{OPEN}{SHUT}]*+{SHUT}", SEP)
+    x = F.regexp_replace(x, f"(?s){OPEN}.*", SEP)
+    return F.regexp_replace(x, SHUT, SEP)
 
 
 def unescape_one(v):

@@ -16,6 +16,18 @@ from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
 PRETTY_SCHEMA = StructType([StructField("text", StringType()), StructField("error", StringType())])
 
 
+def safe_text(s):
+    """``s`` as valid Unicode: a lone surrogate, which no Arrow string can
+    hold, becomes U+FFFD.  Null stays null."""
+    if s is None:
+        return None
+    try:
+        s.encode()
+        return s
+    except UnicodeEncodeError:
+        return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def pretty_one(v):
     """(pretty text, None) or (None, error) for one JSON string."""
     import json
@@ -23,9 +35,9 @@ def pretty_one(v):
     if v is None:
         return None, None
     try:
-        return json.dumps(json.loads(v), indent=2, ensure_ascii=False), None
+        return safe_text(json.dumps(json.loads(v), indent=2, ensure_ascii=False)), None
     except (ValueError, RecursionError) as e:
-        return None, f"{type(e).__name__}: {e}"
+        return None, safe_text(f"{type(e).__name__}: {e}")
 
 
 @F.pandas_udf(PRETTY_SCHEMA)

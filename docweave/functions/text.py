@@ -116,6 +116,13 @@ def chunk_rows(df, text_col: str = "text", key_cols=("doc_id",),
     return df.select(*keys, F.posexplode(chunk_text(text_col, size)).alias("chunk_no", "chunk"))
 
 
+def all_chunk_rows(df, text_col: str = "text", key_cols=("doc_id",), size: int = CHUNK_SIZE):
+    """As ``chunk_rows``, with one row ``(*keys, null, null)`` for a document
+    without any chunk, so that summaries keep every document."""
+    keys = [F.col(k) for k in key_cols]
+    return df.select(*keys, F.posexplode_outer(chunk_text(text_col, size)).alias("chunk_no", "chunk"))
+
+
 def summaries_from_chunk_rows(chunks, key_cols=("doc_id",),
                               per_chunk: int = SENTENCES_PER_CHUNK, spread: int | None = None):
     """T5/T6 (row form): summarise chunk rows, then one ordered concat per doc.
@@ -131,7 +138,7 @@ def summaries_from_chunk_rows(chunks, key_cols=("doc_id",),
         chunks = chunks.repartition(int(spread), *key_cols, "chunk_no")
     keyed = chunks.withColumn("chunk_summary", lead_summary("chunk", per_chunk))
     agg = keyed.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_summary"))).alias("_parts")
+        F.array_sort(F.collect_list(F.when(F.col("chunk_no").isNotNull(), F.struct("chunk_no", "chunk_summary")))).alias("_parts")
     )
     return agg.select(*key_cols,
                       F.array_join(F.transform("_parts", lambda p: p["chunk_summary"]),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values ----------------------------------------------------------
@@ -38,10 +38,11 @@ def extension_totals(texts: DataFrame, ext_col: str = "ext", path_col: str = "pa
 
 
 def with_overall_flag(per_ext: DataFrame) -> DataFrame:
-    """``all_ok``: true only if every file of every extension loaded.  The
-    window sees one row per extension (a handful of rows)."""
-    everything = Window.partitionBy()
-    return per_ext.withColumn("all_ok", F.bool_and(F.col("n_ok") == F.col("n_files")).over(everything))
+    """``all_ok``: true only if every file of every extension loaded: one
+    partially aggregated row, joined to every extension's row (extensions come
+    from the data, so their rows never meet in one task)."""
+    overall = per_ext.agg(F.bool_and(F.col("n_ok") == F.col("n_files")).alias("all_ok"))
+    return per_ext.crossJoin(F.broadcast(overall))
 
 
 def loader_report(texts: DataFrame, ext_col: str = "ext", path_col: str = "path") -> DataFrame:

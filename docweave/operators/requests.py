@@ -103,21 +103,15 @@ def validation_error(doc_exists: Column) -> Column:
     )
 
 
-# ids are 8 bytes: 4M ids is a 32 MB broadcast, checked before it is made
-PREFILTER_MAX_IDS = 4_000_000
-
-
 def requested_documents(requests: DataFrame, docs: DataFrame, key: str = "_dk",
-                        max_ids: int | None = PREFILTER_MAX_IDS) -> DataFrame:
+                        max_ids: int | None = None) -> DataFrame:
     """Documents that some request names, filtered *before* any shuffle.
 
-    The distinct requested ids are counted first (one number to the driver);
-    only if there are at most ``max_ids`` (and they name at most half of the
-    documents) are they broadcast for a left-semi join, so the size of what
-    is broadcast is known.  Above the bound (or
-    with ``max_ids=None``) the documents pass unfiltered and the main join
-    does the work.  With a small request set this keeps a large corpus from
-    shuffling all of its text.
+    Off by default (``max_ids=None``): building a plan starts no job, and the
+    main join does the work.  A caller with few requests against a large corpus
+    can give ``max_ids``: the distinct requested ids are then counted at once,
+    and broadcast for a left-semi join if there are at most that many (and they
+    name at most half of the documents).
     """
     if not max_ids:
         return docs

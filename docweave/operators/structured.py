@@ -110,20 +110,27 @@ def xml_outline(c) -> Column:
 
 # ---------------------------------------------------------------------------
 # S7  CSV preview over a CSV text column (one file = one row)
-def csv_preview_one(raw, n: int = PREVIEW_ROWS):
-    """First ``n`` CSV records of one text, empty cells dropped."""
+def csv_head(raw, n: int = PREVIEW_ROWS):
+    """(preview, error) of one CSV text: its first ``n`` records without empty
+    cells.  Fields of any length are read; what the csv module refuses is the
+    error of this text alone."""
     import csv
-    import io
+    from io import StringIO
+    from itertools import islice
 
     if raw is None:
-        return None
-    lines = []
-    # newline="" semantics: the csv module sees \r\n and \r itself
-    for i, row in enumerate(csv.reader(io.StringIO(raw, newline=""))):
-        lines.append(CELL_SEP.join(cell for cell in row if cell != ""))
-        if i >= n - 1:
-            break
-    return "\n".join(lines)
+        return None, None
+    csv.field_size_limit(2 ** 31 - 1)
+    try:
+        # newline="": the reader itself ends records at \r\n and \r
+        records = list(islice(csv.reader(StringIO(raw, newline="")), n))
+    except csv.Error as e:
+        return None, f"{type(e).__name__}: {e}"
+    return "\n".join(CELL_SEP.join(filter(None, cells)) for cells in records), None
+
+
+def csv_preview_one(raw, n: int = PREVIEW_ROWS):
+    return csv_head(raw, n)[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -157,7 +164,7 @@ def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, exact_quotes: bool = F
              .select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_pos"),
-                     F.col("value").alias("line")))
+                     F.make_valid_utf8("value").alias("line")))
     w = Window.partitionBy("path").orderBy("_blk", "_pos")
     first = lines.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     cells = first.withColumn("cells", _split_csv_line("line"))
@@ -170,8 +177,15 @@ def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, exact_quotes: bool = F
 def _csv_cells(s: pd.Series) -> pd.Series:
     import csv
 
-    return pd.Series([None if v is None else (next(csv.reader([v]), []))
-                      for v in s], dtype=object)
+    csv.field_size_limit(2 ** 31 - 1)
+
+    def cells(v):
+        try:
+            return next(csv.reader([v]), [])
+        except csv.Error:
+            return [v]  # what the reader refuses stays one cell
+
+    return pd.Series([None if v is None else cells(v) for v in s], dtype=object)
 
 
 def _split_csv_line(c) -> Column:

@@ -128,11 +128,11 @@ def q_chunk_summary(spark, sf_dir):
 SELECT doc_id,
        array_to_string(list_transform({_d_chunks('text')}, lambda c: {_d_lead('c', 2)}),
                        chr(10) || chr(10)) AS summary
-FROM documents WHERE length(text) > 0
+FROM documents
 """)
 def q_local_summary_rows(spark, sf_dir):
     # row form of T6: chunks spread across tasks, one small ordered concat
-    chunks = T.chunk_rows(table(spark, sf_dir, "documents"))
+    chunks = T.all_chunk_rows(table(spark, sf_dir, "documents"))
     return T.summaries_from_chunk_rows(chunks)
 
 

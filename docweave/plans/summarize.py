@@ -2,16 +2,16 @@
 
 Plan shape:
 
-    documents LEFT SEMI JOIN broadcast(requested ids)  -- only if the id count
-                                                       is under a checked bound
-    requests LEFT JOIN documents(doc_id, text)   -- existence + text, once
+    requests LEFT JOIN documents(doc_id, text, load error)
       -> P2/P1 validation (CASE chain)            -- rejected rows kept
       -> P3-P5 option resolution (literal maps)
-      -> route = rejected | local | model; O2 target check (before any call)
+      -> route = rejected | failed (the document did not load) | local | model;
+         O2 target check (before any call)
       -> local rows: T6 summary (JVM); model rows: M1 prompt (JVM)
       -> distinct (prompt, model, retries) by a 96-bit hash, map-side first
       -> M2 mapInPandas: one provider call per distinct prompt
-      -> replies joined back by hash; M4 degrade, O1 normalise
+      -> replies joined back by hash (rows without a prompt bypass the join);
+         M4 degrade, O1 normalise.  Building the plan starts no job.
 
 Nothing is dropped: every request comes out once with its route and status.
 """
@@ -29,7 +29,7 @@ from docweave.operators.output import normalize_output, resolve_target
 from docweave.session import ensure_checkpoint_dir
 from docweave.sources.formats import stem
 from docweave.operators.requests import (
-    PREFILTER_MAX_IDS, check_allowed_values, config_from_session, requested_documents, resolve_levels,
+    check_allowed_values, config_from_session, requested_documents, resolve_levels,
     resolve_options, validation_error)
 
 OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_content",
@@ -38,7 +38,7 @@ OUT_COLS = ["req_id", "doc_id", "route", "output_format", "content", "saved_cont
 
 def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | None = None,
                      doc_key: str = "doc_id", text_col: str = "text",
-                     prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
+                     prefilter_max_ids: int | None = None,
                      name_col: str | None = None) -> DataFrame:
     """Validated, resolved requests with the document text (``_text``),
     ``route`` and the checked target (``_t``: struct(path, error)).
@@ -49,19 +49,26 @@ def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | N
     if config is None:  # explicit request value > job conf > built-in default
         config = config_from_session(requests.sparkSession)
     extra = [F.col(name_col).alias("_name")] if name_col else []
-    docs = documents.select(F.col(doc_key).alias("_dk"), F.col(text_col).alias("_text"), *extra)
+    # a document that failed to load keeps its error: no call, no summary
+    text = F.col(text_col)
+    failed = [F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in ("error_class", "error")]
+    docs = documents.select(
+        F.col(doc_key).alias("_dk"), text.alias("_text"), *extra,
+        F.coalesce(failed[0], F.when(text.isNull(), F.lit("no_text"))).alias("_xclass"),
+        F.coalesce(failed[1], F.when(text.isNull(), F.lit("the document has no text"))).alias("_xerror"))
     docs = requested_documents(requests, docs, "_dk", prefilter_max_ids)
     checked = check_allowed_values(requests)
     joined = checked.join(docs, checked["doc_id"] == docs["_dk"], "left")
     rule = validation_error(F.col("_dk").isNotNull())
     validated = joined.select(
-        *[c for c in checked.columns if c not in ("error", "error_class")], "_text",
+        *[c for c in checked.columns if c not in ("error", "error_class")], "_text", "_xclass", "_xerror",
         *(["_name"] if name_col else []),
         F.coalesce(F.col("error_class"), F.when(rule.isNotNull(), F.lit("rejected"))).alias("error_class"),
         F.coalesce(F.col("error"), rule).alias("error"))
     resolved = resolve_levels(resolve_options(
         validated.withColumn("_format_given", F.col("output_format")), config))
     route = (F.when(F.col("error_class").isNotNull(), F.lit("rejected"))
+              .when(F.col("_xclass").isNotNull(), F.lit("failed"))
               .when(F.coalesce(F.col("use_model"), F.lit(False)), F.lit("model"))
               .otherwise(F.lit("local")))
     return (resolved.withColumn("route", route)
@@ -74,7 +81,7 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
               partitions: int | None = None, initial_delay: float = 1.0,
               sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
               materialize: bool = False,
-              prefilter_max_ids: int | None = PREFILTER_MAX_IDS,
+              prefilter_max_ids: int | None = None,
               name_col: str | None = None, dedupe_calls: bool = True) -> DataFrame:
     """Summaries for a request table against a document table.
 
@@ -96,7 +103,7 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
         F.when(route == "rejected", F.col("_format_given")).otherwise(F.col("output_format"))
          .alias("output_format"),
         F.col("_t.path").alias("target_path"),
-        F.col("error_class").alias("_vclass"), F.col("error").alias("_verror"),
+        F.coalesce("error_class", "_xclass").alias("_vclass"), F.coalesce("error", "_xerror").alias("_verror"),
         terr.alias("_terror"),
         *([F.col("_name"), shorten_title(stem("_name")).alias("_title")] if name_col else []),
         F.when(route == "local", local_summary("_text")).alias("_local"),
@@ -120,7 +127,11 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
             # reliable checkpoint into the cluster's shared folder (never local)
             ensure_checkpoint_dir(replies.sparkSession)
             replies = replies.checkpoint(eager=True)
-        called = staged.drop("prompt").join(replies, ["_h1", "_h2"], "left")
+        # only rows with a prompt meet the replies: the others have no key, and
+        # a third of all rows may be of their kind
+        asked = F.col("_h1").isNotNull()
+        answered = staged.where(asked).drop("prompt").join(replies, ["_h1", "_h2"], "left")
+        called = answered.unionByName(staged.where(~asked).drop("prompt"), allowMissingColumns=True)
     else:
         called = M.infer_batch(
             staged, make_provider, key_cols=("req_id",),
@@ -133,7 +144,8 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
 
     st = F.col("status")
     is_model_call = (route == "model") & F.col("_terror").isNull()
-    status = (F.when(route == "rejected", F.lit("rejected"))
+    refused = route.isin("rejected", "failed")
+    status = (F.when(refused, route)
                .when(route == "local", F.lit(M.OK))
                .when(F.col("_terror").isNotNull(), F.lit(M.CONFIG_ERROR))
                .otherwise(st))
@@ -143,10 +155,10 @@ def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable
                     .otherwise(M.degrade_errors("status", "content", "error", provider_name))))
     to_save = is_model_call & (st == M.OK) & F.col("target_path").isNotNull()
     saved = F.when(to_save, normalize_output(F.when(to_save, F.col("content")), "output_format"))
-    error_class = (F.when(route == "rejected", F.col("_vclass"))
+    error_class = (F.when(refused, F.col("_vclass"))
                     .when(F.col("_terror").isNotNull(), F.lit(M.CONFIG_ERROR))
                     .when(is_model_call & (st != M.OK), st))
-    error = (F.when(route == "rejected", F.col("_verror"))
+    error = (F.when(refused, F.col("_verror"))
               .when(F.col("_terror").isNotNull(), F.col("_terror"))
               .when(is_model_call, F.col("error")))
     named = [F.col("_name").alias("name"), F.col("_title").alias("title")] if name_col else []

@@ -31,7 +31,6 @@ def get_spark(master: str | None = None, app: str = "docweave",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DOCWEAVE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         # provider calls are side effects: never run a task twice on purpose
         .config("spark.speculation", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -41,6 +40,8 @@ def get_spark(master: str | None = None, app: str = "docweave",
         .config("spark.python.sql.dataFrameDebugging.enabled",
                 os.environ.get("DOCWEAVE_DF_DEBUG", "false"))
     )
+    if shuffle_partitions or master.startswith("local"):  # a cluster keeps its own setting
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if master.startswith("local"):  # on a cluster the folder comes from spark.checkpoint.dir

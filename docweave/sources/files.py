@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.html import join_text_nodes, mark_text_nodes, unescape_one
-from docweave.functions.jsontext import pretty_one
+from docweave.functions.jsontext import pretty_one, safe_text
 from docweave.operators.structured import (
-    XML_ELEMENT, csv_preview_one, notebook_text, outline_of_elements, xml_rows_one)
+    XML_ELEMENT, csv_head, notebook_text, outline_of_elements, xml_rows_one)
 from docweave.sources.formats import FORMATS, route_by_extension
 
 TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, text string, " \
               "error_class string, error string"
 
 
-# larger files would fail the scan task (binaryFile reads a file into one value)
-DEFAULT_MAX_BYTES = 1 << 30
+# the longest value a Spark binary column can hold; nothing smaller is cut off
+DEFAULT_MAX_BYTES = (1 << 31) - 16
 
 
 def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True,
@@ -63,7 +63,8 @@ def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive:
             F.concat(F.lit(f"File is larger than {max_bytes} bytes: "),
                      F.col("length").cast("string")).alias("error"))
         files = files.unionByName(too_large)
-    canon = lambda c: F.regexp_replace(c, "^(file:)?/*", "file:/")
+    # only local paths have several spellings; other schemes are compared as they are
+    canon = lambda c: F.when(c.rlike("^(file:|/)"), F.regexp_replace(c, "^(file:)?/*", "file:/")).otherwise(c)
     if include_empty:
         listed = spark.createDataFrame([(p,) for p in scanned.inputFiles()], "path string")
         empty = listed.select(canon(F.col("path")).alias("path")).join(
@@ -105,11 +106,14 @@ def _custom_udf(extractors: dict[str, Callable[[bytes], str]]):
                 errors.append(None)
                 continue
             try:
-                texts.append(fn(bytes(b)))
+                got = fn(bytes(b))
+                if not isinstance(got, str):
+                    raise TypeError(f"extractor returned {type(got).__name__}, not str")
+                texts.append(safe_text(got))
                 errors.append(None)
             except Exception as exc:  # noqa: BLE001 - quarantine, never fail
                 texts.append(None)
-                errors.append(f"{type(exc).__name__}: {exc}")
+                errors.append(safe_text(f"{type(exc).__name__}: {exc}"))
         return pd.DataFrame({"text": texts, "error": errors})
 
     return run
@@ -128,11 +132,11 @@ def _extract_py(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
         t = e = el = None
         if v is not None:
             if k == "html":
-                t = unescape_one(v)
+                t = safe_text(unescape_one(v))
             elif k == "json":
                 t, e = pretty_one(v)
             elif k == "csv":
-                t = csv_preview_one(v)
+                t, e = csv_head(v)
             elif k == "xml":
                 el, e = xml_rows_one(v)
         texts.append(t)
@@ -179,6 +183,7 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     nb_bad = (kind == "notebook") & ~is_custom & (
         F.try_parse_json(only("notebook", folded)).isNull() | ~folded.rlike(r"^[ \t\n\r]*\{"))
     json_bad = (kind == "json") & ~is_custom & py["error"].isNotNull()
+    csv_bad = (kind == "csv") & ~is_custom & py["error"].isNotNull()
     text = (F.when(pre_error, F.lit(None).cast("string"))
              .when(is_custom, cust_text)
              .when(kind == "text", folded)
@@ -190,10 +195,11 @@ def extract_text(routed: DataFrame, content_col: str = "content",
              .when(kind == "notebook", notebook_text(folded)))
     err_class = (F.when(pre_error, F.col("error_class"))
                   .when(is_custom & cust_err.isNotNull(), F.lit("extractor_error"))
-                  .when(json_bad | nb_bad, F.lit("bad_json")))
+                  .when(json_bad | nb_bad, F.lit("bad_json"))
+                  .when(csv_bad, F.lit("bad_csv")))
     err = (F.when(pre_error, F.col("error"))
             .when(is_custom & cust_err.isNotNull(), cust_err)
-            .when(json_bad, py["error"])
+            .when(json_bad | csv_bad, py["error"])
             .when(nb_bad, F.lit("notebook is not a JSON object")))
     keep = [c for c in routed.columns if c not in
             ("content", content_col, "suffix", "has_extractor", "error_class", "error",

@@ -155,11 +155,11 @@ def test_requested_documents_prefilter(spark):
     from docweave.plans.summarize import requested_documents
     docs = spark.range(100).select(F.col("id").alias("_dk"), F.lit("t").alias("_text"))
     few = spark.createDataFrame([(3,), (5,), (5,), (None,)], "doc_id long")
-    kept = requested_documents(few, docs)
+    kept = requested_documents(few, docs, max_ids=1000)
     assert sorted(r._dk for r in kept.collect()) == [3, 5]
     assert "LeftSemi" in kept._jdf.queryExecution().executedPlan().toString()
     many = spark.range(80).select(F.col("id").alias("doc_id"))
-    assert requested_documents(many, docs).count() == 100  # most requested: no filter
+    assert requested_documents(many, docs, max_ids=1000).count() == 100  # most requested: no filter
     assert requested_documents(few, docs, max_ids=1).count() == 100  # over the bound
 
 
