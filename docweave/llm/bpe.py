@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Packed ids by word, merged when first asked for."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -60,7 +75,7 @@ class Vocabulary:
         self.cut_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
                                          or r"(?!)")
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.merge)
 
     def merge(self, word: bytes) -> list[int]:
         if len(word) > SHORT:
@@ -103,13 +118,7 @@ class Vocabulary:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for word in self.words.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-                if len(word) <= SHORT:
-                    known[word] = ids
-            out.append(ids)
+        out.extend(map(known.__getitem__, self.words.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit integers."""
@@ -188,9 +197,14 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
 
 def _decode_all(v: Vocabulary, column: pa.ListArray) -> list[str]:
-    flat = column.flatten().to_pylist()
+    flat = column.flatten()
+    sound = not flat.null_count and (not len(flat) or (0 <= pc.min(flat).as_py() and pc.max(flat).as_py() < len(v.bytes_of)))
+    flat = flat.to_pylist()
     ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-    return [v.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
+    if not sound:
+        return [v.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
+    of = v.bytes_of.__getitem__
+    return [b"".join(map(of, flat[a:b])).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
