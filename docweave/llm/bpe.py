@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import read, replace_column, slices
+from docweave.llm.common import map_arrow, read, replace_column, slices
 
 #: Fixed value: the pattern that cuts text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
 #: Words whose ids one worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 200_000
 _NONE = 1 << 60
 
 
@@ -173,7 +173,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
             ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([g is None for g in got]))
             yield replace_column(batch, out, ids)
 
-    return df.mapInArrow(run, _with(df.schema, out, T.ArrayType(T.IntegerType())))
+    return map_arrow(df, run, _with(df.schema, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
                 if column.null_count else _decode_all(v, column)
             yield replace_column(batch, out, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, _with(df.schema, out, T.StringType()))
+    return map_arrow(df, run, _with(df.schema, out, T.StringType()))
 
 
 def _decode_all(v: Vocabulary, column: pa.ListArray) -> list[str]:

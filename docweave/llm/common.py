@@ -33,6 +33,21 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(modulus)
 
 
+#: Rows of an Arrow batch, at most: texts can be long, and the JVM and a Python
+#: worker each hold a batch.
+BATCH_ROWS = 1_000
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (the
+    session's setting where that is smaller; it stays set for the session)."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(setting))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each
     piece (one row at least): memory stays bounded however long the texts are."""
@@ -41,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         step = max(1, int(rows * limit / size))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()  # the worker lives on; its next task may be another operator's
 
 
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import read, slices, stash
+from docweave.llm.common import map_arrow, read, slices, stash
 from docweave.llm.components import connected_components
 from docweave.llm.vectors import forest
 
@@ -109,8 +109,8 @@ def sign(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1).view(np.int64)))],
                 names=["id", "n", "d1", "d2", "s1", "s2", "s3", "keys"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, n long, d1 long, d2 long, s1 long, s2 long, s3 long, keys array<long>")
+    return map_arrow(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run,
+                     "id long, n long, d1 long, d2 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
@@ -150,7 +150,7 @@ def _confirm(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
                 keep.append(inner > 0 and 100 * inner >= percent * (len(first) + len(other) - inner))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stash(both.mapInArrow(run, "a long, b long"), "links")
+    return stash(map_arrow(both, run, "a long, b long"), "links")
 
 
 def _shingles(text: str, width: int) -> set:

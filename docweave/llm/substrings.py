@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import read, slices, stash
+from docweave.llm.common import map_arrow, read, slices, stash
 
 WINDOW = 16
 #: One end in 32 bytes, after at least 8; a chunk of MOST bytes ends anyway.
@@ -70,8 +70,8 @@ def chunk(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])],
                                              names=["id", "place", "d1", "d2"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(
-        "text IS NOT NULL AND id IS NOT NULL").mapInArrow(run, "id long, place long, d1 long, d2 long")
+    return map_arrow(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(
+        "text IS NOT NULL AND id IS NOT NULL"), run, "id long, place long, d1 long, d2 long")
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = RUN) -> DataFrame:
@@ -147,7 +147,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int
             columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return joined.mapInArrow(run, T.StructType(joined.schema.fields))
+    return map_arrow(joined, run, T.StructType(joined.schema.fields))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import read, replace_column, slices, stash
+from docweave.llm.common import map_arrow, read, replace_column, slices, stash
 from docweave.llm.components import connected_components
 
 COSINE = 0.98
@@ -72,7 +72,7 @@ def _assign(df: DataFrame, fitted: dict[int, np.ndarray], gap: float) -> DataFra
                     out[i] = c.tolist()
             yield replace_column(batch, "cells", pa.array(out, pa.list_(pa.int32())))
 
-    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", cells array<int>")
+    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", cells array<int>")
 
 
 def block_links(a: np.ndarray, b: np.ndarray | None, cosine: float) -> np.ndarray:
