@@ -222,7 +222,7 @@ def test_secrets(spark, docs):
     for r in found:
         want = sorted((m.start(), k, m.end()) for k, p in base for m in p.finditer(r.text or "") if len(m[2] if k == 0 else m[0]) >= least[k])
         assert [tuple(s) for s in r.secrets if s["kind"] < 3] == want
-    random = spark.createDataFrame([("id 83kf92mz01qpx74nb6vt55 end", ), ("abcdefghijklmnopqrstuvwxyzabc", )], "text string")
+    random = spark.createDataFrame([("id 83kf92mz01qpx74nb6vt55 end", ), ("some_ordinary_identifier_word", )], "text string")
     rng = np.random.default_rng(9)
     labelled = spark.createDataFrame([("token=" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 40)), ) for _ in range(400)]
                                      + [("some_ordinary_identifier_name another_plain_word", )], "text string")
