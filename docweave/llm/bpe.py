@@ -25,7 +25,7 @@ from docweave.llm.common import map_arrow, read, replace_column, slices
 #: Fixed value: the pattern that cuts text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 128
-#: Words whose ids one worker remembers before it starts afresh.
+#: Words whose ids one worker remembers before a new generation of them.
 CACHE = 200_000
 _NONE = 1 << 60
 
@@ -44,9 +44,17 @@ class _Known(dict):
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Start a new generation; words in use come back from the older one."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
         if len(word) <= SHORT:
             self[word] = ids
         return ids
@@ -117,7 +125,7 @@ class Vocabulary:
     def _plain(self, text: str, out: list[bytes]) -> None:
         known = self.known
         if len(known) > CACHE:
-            known.clear()
+            known.turn()
         out.extend(map(known.__getitem__, self.words.findall(text)))
 
     def encode(self, text: str) -> bytes:
