@@ -159,6 +159,29 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def _encoded(batches, path: str, text: str, out: str):
+    v = vocabulary(path)
+    for batch in slices(batches, text, 4 << 20):
+        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        got = [None if t is None else v.encode(t) for t in texts]
+        sizes = np.array([0 if g is None else len(g) // 4 for g in got], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join([g or b"" for g in got]), np.int32), pa.int32())
+        ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([g is None for g in got]))
+        yield replace_column(batch, out, ids)
+
+
+def _decoded(batches, path: str, ids: str, out: str):
+    v = vocabulary(path)
+    for batch in slices(batches, ids, 4 << 20):
+        column = batch.column(batch.schema.get_field_index(ids))
+        if column.null_count:
+            texts = [None if (x := column[i].as_py()) is None else v.decode(x) for i in range(len(column))]
+        else:
+            texts = _decode_all(v, column)
+        yield replace_column(batch, out, pa.array(texts, pa.string()))
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """Add ``out``: the token ids of each whole text (array of int).
 
@@ -169,19 +192,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     every worker.
     """
     path = path or default_path()
-
-    def run(batches):
-        v = vocabulary(path)
-        for batch in slices(batches, text, 4 << 20):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            got = [None if t is None else v.encode(t) for t in texts]
-            sizes = np.array([0 if g is None else len(g) // 4 for g in got], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join([g or b"" for g in got]), np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([g is None for g in got]))
-            yield replace_column(batch, out, ids)
-
-    return map_arrow(df, run, _with(df.schema, out, T.ArrayType(T.IntegerType())))
+    return map_arrow(df, lambda batches: _encoded(batches, path, text, out), _with(df.schema, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -191,17 +202,20 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     the vocabulary lacks give nothing; bytes that are no UTF-8 give U+FFFD.
     """
     path = path or default_path()
+    return map_arrow(df, lambda batches: _decoded(batches, path, ids, out), _with(df.schema, out, T.StringType()))
+
+
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
+    """``decode(encode(df))``, less the column ``text``, in one pass of the
+    workers: the ids do not travel to the JVM and back between the two."""
+    path = path or default_path()
 
     def run(batches):
-        v = vocabulary(path)
-        for batch in slices(batches, ids, 4 << 20):
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else v.decode(x) for x in (
-                column[i].as_py() if column.null_count else None for i in range(len(column)))] \
-                if column.null_count else _decode_all(v, column)
-            yield replace_column(batch, out, pa.array(texts, pa.string()))
+        for batch in _encoded(batches, path, text, ids):
+            rest = [n for n in batch.schema.names if n != text]
+            yield from _decoded(iter([batch.select(rest)]), path, ids, out)
 
-    return map_arrow(df, run, _with(df.schema, out, T.StringType()))
+    return map_arrow(df, run, _with(_with(df.drop(text).schema, ids, T.ArrayType(T.IntegerType())), out, T.StringType()))
 
 
 def _decode_all(v: Vocabulary, column: pa.ListArray) -> list[str]:
@@ -217,7 +231,7 @@ def _decode_all(v: Vocabulary, column: pa.ListArray) -> list[str]:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode(encode(docs).drop("text"))
+    coded = round_trip(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

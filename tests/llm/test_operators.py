@@ -51,6 +51,10 @@ def test_bpe_matches_the_tokenizers_library_and_round_trips(docs):
         else:
             assert r.ids == plain.encode(r.text, add_special_tokens=False).ids
             assert r.decoded == r.text
+    both = bpe.round_trip(df.withColumn("ids", F.lit("clash")))
+    assert both.columns == [c for c in df.columns if c != "text"] + ["ids", "decoded"]
+    two = bpe.decode(bpe.encode(df)).select(*both.columns)
+    assert sorted(both.collect(), key=repr) == sorted(two.collect(), key=repr)
     assert bpe.encode(docs).columns[-1] == "ids" and bpe.encode(empty(docs)).count() == 0
     bad = spark.createDataFrame([([1, None, 999_999],)], "ids array<int>")
     assert bpe.decode(bad).first().decoded == '"'
