@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, decoded_sha256) of every copy."""
     texts = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(texts).drop("text"))
+    coded = bpe.round_trip(texts)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
