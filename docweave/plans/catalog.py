@@ -550,25 +550,26 @@ _D_RESOLVED = f"""(SELECT req_id, doc_id, use_model, target, _text,
 _D_STRIP_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _d_prompt_for(fmt: str) -> str:
-    parts = []
-    for item in M.template(fmt):
-        k = item[0]
-        if k == "lit":
-            parts.append(_sq(item[1]))
-        elif k == "cap":
-            parts.append(f"{_sq(item[1])} || sentences || {_sq(item[2])}")
-        elif k == "desc":
-            parts.append(f"{_sq(item[1])} || desc_instruction")
-        elif k == "summ":
-            parts.append(f"{_sq(item[1])} || sum_instruction || '.'")
-        else:
-            parts.append(f"{_sq(M.TEXT_MARK)} || trim(_text, {_D_STRIP_WS})")
-    return "concat_ws(chr(10) || chr(10), " + ", ".join(parts) + ")"
-
-
-_D_PROMPT = (f"CASE output_format WHEN 'txt' THEN {_d_prompt_for('txt')} WHEN 'md' THEN {_d_prompt_for('md')} "
-             f"WHEN 'json' THEN {_d_prompt_for('json')} ELSE {_d_prompt_for('other')} END")
+# the prompts in full, stated here on their own
+_D_PROMPT = f"""concat_ws(chr(10), 'Task: summarise the document at the end of this brief',
+  CASE output_format
+    WHEN 'txt' THEN 'Form: txt - plain text, no Markdown and no JSON'
+    WHEN 'md' THEN 'Form: md - Markdown'
+    WHEN 'json' THEN 'Form: json - a single valid JSON object, neither fenced nor commented'
+    ELSE 'Form: plain text, no Markdown and no JSON (taken because the requested form is unknown)' END,
+  CASE output_format
+    WHEN 'md' THEN 'Style: polished wording, an empty line between sections, headers and bullets where useful'
+    WHEN 'json' THEN 'Style: snake_case keys, facts of the document only'
+    ELSE 'Style: polished wording, an empty line between sections, short paragraphs or simple bullet lines' END,
+  CASE output_format WHEN 'json' THEN
+    'Shape: {{"document_title": "", "short_description": "", "short_summary": "", "full_summary": ""}}' END,
+  'Length of ' || CASE output_format WHEN 'md' THEN 'summary section' WHEN 'json' THEN 'full_summary' ELSE 'summary' END
+    || ': ' || sentences || ' sentences or fewer',
+  CASE output_format WHEN 'json' THEN 'Length of short_description: exactly 3 sentences' END,
+  CASE output_format WHEN 'json' THEN 'Length of short_summary: 2 or 3 sentences' END,
+  CASE output_format WHEN 'json' THEN 'Value of document_title: the empty string where the document has no title' END,
+  'Description: ' || desc_instruction, 'Summary: ' || sum_instruction || '.',
+  'Document:' || chr(10) || trim(_text, {_D_STRIP_WS}))"""
 
 
 def _req_pipeline(spark, sf_dir):

@@ -99,15 +99,18 @@ def test_prompt_rules(spark):
                                "output_format string, sentences int, desc_instruction string, "
                                "sum_instruction string, text string")
     p = {r.output_format: r.p for r in df.select("output_format", M.build_prompt("text").alias("p")).collect()}
-    assert "plain text" in p["txt"] and "Markdown" not in p["txt"].split("Text:")[0].replace(
-        "do not use Markdown", "")
-    assert "Markdown" in p["md"] and "at most 2 sentences" in p["md"]
-    assert '"document_title": ""' in p["json"] and "exactly 3 sentences" in p["json"]
-    assert "snake_case" in p["json"] and "2 to 3 sentences" in p["json"]
-    assert "not known" in p["yaml"]
-    for v in p.values():
-        assert v.endswith("Text:\n\nThis is a long text.")
-        assert DESCRIPTION_LEVELS[1] in v and SUMMARY_LEVELS[3] + "." in v
+    lines = {f: v.split("\n") for f, v in p.items()}
+    for f, part in (("txt", "summary"), ("md", "summary section"), ("json", "full_summary"), ("yaml", "summary")):
+        assert f"Length of {part}: 2 sentences or fewer" in lines[f]
+        assert "Description: " + DESCRIPTION_LEVELS[1] in lines[f] and "Summary: " + SUMMARY_LEVELS[3] + "." in lines[f]
+        assert lines[f][-2:] == ["Document:", "This is a long text."]
+    form = {f: next(x for x in v if x.startswith("Form: ")) for f, v in lines.items()}
+    assert form["txt"] == "Form: txt - plain text, no Markdown and no JSON" and form["md"] == "Form: md - Markdown"
+    assert "unknown" in form["yaml"] and "yaml" not in form["yaml"] and "txt" not in form["yaml"]
+    shape = next(x for x in lines["json"] if x.startswith("Shape: "))
+    assert json.loads(shape[len("Shape: "):]) == dict.fromkeys(
+        ["document_title", "short_description", "short_summary", "full_summary"], "")
+    assert "Length of short_description: exactly 3 sentences" in lines["json"]
 
 
 def test_output_rules(spark, tmp_path):
