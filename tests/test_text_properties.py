@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from docweave.functions import text as T
-from tests.test_text import py_lead, py_local, py_norm, py_sentences
+from tests.test_text import lead, one_spaced, sentences, summary
 
 ALPHABET = st.sampled_from(list("ab .!?,\n\t\r") + ["\xa0", " ", "\x1c", "\x85", "　",
                                                      "é", "\U0001F600", "3", "x"])
@@ -20,7 +20,7 @@ def test_text_rules_match_python(spark, texts):
                      T.lead_summary("t", 2).alias("l"), T.local_summary("t", size=7).alias("c")).collect()
     for r in rows:
         t = texts[r.id]
-        assert r.n == py_norm(t)
-        assert r.s == py_sentences(py_norm(t))
-        assert r.l == py_lead(t, 2)
-        assert r.c == py_local(t, size=7)
+        assert r.n == one_spaced(t)
+        assert r.s == sentences(t)
+        assert r.l == lead(t, 2)
+        assert r.c == summary(t, size=7)
