@@ -872,23 +872,38 @@ def _write_document_files(spark, sf_dir) -> str:
     return out
 
 
-@register("read_corpus")
+_LANG_OF_PATH = r"lang=([^/]+)/"
+
+
+@register("read_corpus", """
+SELECT lang, CAST(sum(strlen(COALESCE(text, '')) + 1) AS BIGINT) AS length, CAST(NULL AS VARCHAR) AS error_class
+FROM documents GROUP BY lang
+UNION ALL SELECT 'xx', 0, 'not_found'
+""")
 def q_read_corpus(spark, sf_dir):
+    """Bytes per language: however the writer cuts files, a document is its text and a line end."""
     from docweave.sources.files import read_corpus
     root = _write_document_files(spark, sf_dir)
     files = read_corpus(spark, root, glob="*.txt", wanted=[root + "/lang=xx/missing.txt"])
-    return files.select(F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"),
-                        "length", "error_class")
+    return files.groupBy(F.regexp_extract("path", _LANG_OF_PATH, 1).alias("lang"), "error_class").agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
 
 
-@register("decode_text")
+@register("decode_text", """
+SELECT lang, line, count(*) AS n FROM (
+  SELECT lang, unnest(string_split(left(t, length(t) - 1), chr(10))) AS line FROM (
+    SELECT lang, replace(replace(COALESCE(text, '') || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t
+    FROM documents))
+GROUP BY lang, line
+""")
 def q_decode_text(spark, sf_dir):
+    """How often each line of the decoded files stands in a language."""
     from docweave.sources.files import decode_text, read_corpus
     files = read_corpus(spark, _write_document_files(spark, sf_dir), glob="*.txt")
     text = decode_text("content")
-    return files.select(F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"),
-                        F.char_length(text).alias("n_chars"),
-                        F.size(T.split_sentences(text)).alias("n_sentences"))
+    lines = files.select(F.regexp_extract("path", _LANG_OF_PATH, 1).alias("lang"),
+                         F.explode(F.split(F.left(text, F.char_length(text) - 1), "\n")).alias("line"))
+    return lines.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _word_join(b: bytes) -> str:
@@ -896,12 +911,19 @@ def _word_join(b: bytes) -> str:
     return " ".join(b.decode("utf-8", "replace").split())
 
 
-@register("custom_extractor")
+@register("custom_extractor", f"""
+SELECT lang, '.txt' AS ext, 'custom' AS kind, CAST(sum(length(t) + 1) AS BIGINT) AS n_chars,
+       CAST(NULL AS VARCHAR) AS error_class
+FROM (SELECT lang, {_d_norm("COALESCE(text, '')")} AS t FROM documents) WHERE t <> '' GROUP BY lang
+""")
 def q_custom_extractor(spark, sf_dir):
+    """Characters of all words per language, each with one that ends it."""
     from docweave.sources.files import load_corpus_text, read_corpus
     files = read_corpus(spark, _write_document_files(spark, sf_dir), glob="*.txt")
     texts = load_corpus_text(files, extractors={".txt": _word_join})
-    return texts.select("ext", "kind", F.char_length("text").alias("n_chars"), "error_class")
+    return texts.where("text <> '' OR error_class IS NOT NULL").groupBy(
+        F.regexp_extract("path", _LANG_OF_PATH, 1).alias("lang"), "ext", "kind", "error_class").agg(
+        F.sum(F.char_length("text") + 1).alias("n_chars"))
 
 
 @register("csv_file_preview")
