@@ -23,6 +23,9 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-][A-Za-z0-9_-]{11,}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: A word is frequent in this share of the texts, and in LEAST of them at least.
+FREQUENT = 1e-4
+LEAST = 2
 #: Added to every count of character pairs.
 SMOOTHING = 0.5
 #: Log odds (natural) that a string needs to be called a secret.
@@ -74,19 +77,40 @@ def _pairs(strings: DataFrame) -> dict[tuple[int, int], float]:
             if r["p"] is not None and r["p"] // 128 in known and r["p"] % 128 in known}
 
 
+def _ordinary(strings: DataFrame) -> DataFrame:
+    """Distinct identifiers (column ``s``) outside every pattern whose words, cut
+    at _ and -, are all frequent by document count.  A random string is in one
+    text and its copies, so however many there are, they stay out: at most
+    1 / FREQUENT times the words of a text can be frequent at any size."""
+    free = F.regexp_replace("t", ASSIGN, "=")  # "=": what stands beside a match is no identifier either
+    names = F.array_distinct(F.filter(F.regexp_extract_all(free, F.lit(IDENTIFIER), F.lit(0)),
+                                      lambda s: ~s.rlike(f"(?:{HEX})|(?:{ACCESS})")))
+    words = lambda s: F.array_distinct(F.filter(F.split(s, "[_-]+"), lambda w: w != ""))
+    tagged = lambda values, kind: F.transform(values, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+    seen = strings.select(names.alias("names")).select(F.explode(F.concat(
+        tagged(F.col("names"), 0), tagged(F.array_distinct(F.flatten(F.transform("names", words))), 1),
+        tagged(F.array(F.lit("")), 2))).alias("x"))
+    counts = stash(seen.groupBy("x.kind", "x.s").agg(F.count(F.lit(1)).alias("n")), "identifiers")
+    texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where((F.col("kind") == 1) & (F.col("n") >= max(LEAST, math.ceil(FREQUENT * texts)))).select(F.col("s").alias("w"))
+    parts = counts.where("kind = 0").select("s", words(F.col("s")).alias("ws")).where(F.size("ws") > 0)
+    found = parts.select("s", F.size("ws").alias("k"), F.explode("ws").alias("w")).join(frequent, "w")
+    return found.groupBy("s", "k").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("s")
+
+
 def train(df: DataFrame, text: str = "text") -> dict[tuple[int, int], float]:
     """Log ratios by character pair.  Labelled samples: values that the base
     patterns mark are random strings; words of 12 characters or more outside
-    every pattern are ordinary identifiers.  Every distinct sample counts once,
-    over all rows.  Without samples a model is uniform."""
+    every pattern, made of words that are frequent by document count, are
+    ordinary identifiers.  Every distinct sample counts once, over all rows.
+    Without samples a model is uniform."""
     strings = df.select(F.col(text).alias("t")).where("t IS NOT NULL")
     random = strings.where(F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX)).select(
         F.explode(F.concat(
             F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda s: F.char_length(s) >= 8),
             F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)),
             F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))).alias("s")).distinct()
-    ordinary = (strings.select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0))).alias("s"))
-                .where(~F.col("s").rlike(f"(?:{HEX})|(?:{ACCESS})")).distinct())
+    ordinary = _ordinary(strings)
     models = []
     for sample in (random, ordinary):
         counts, size = _pairs(sample), len(ALPHABET)

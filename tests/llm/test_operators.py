@@ -235,6 +235,23 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty(docs)).count() == 0
 
 
+def test_secrets_recall_does_not_fall_with_unlabelled_strings(spark):
+    rng = np.random.default_rng(10)
+    letters, syllables = list("abcdefghijklmnopqrstuvwxyz0123456789"), [a + b for a in "bdfgklmnprstv" for b in ("a", "en", "i", "or", "u")]
+    random = lambda n: "".join(rng.choice(letters, n))
+    words = ["".join(rng.choice(syllables, 6)) for _ in range(1_000)]
+    plain = [" ".join(rng.choice(words, 10)) for _ in range(2_000)]
+    labelled = [f"token = '{random(40)}'" for _ in range(1_000)]
+    fresh = [random(n) for n in (24, 40) for _ in range(200)]
+    names = ["_".join(rng.choice(words, 2)) for _ in range(200)]
+    judged = spark.createDataFrame([(s,) for s in fresh + names], "text string")
+    for unlabelled in (0, 12_000):
+        rows = plain + labelled + ["x" + random(31) for _ in range(unlabelled)]
+        ratios = secrets.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+        got = [len(r.secrets) for r in secrets.scan(judged, ratios).collect()]
+        assert sum(got[:400]) >= 392 and sum(got[400:]) <= 2, (unlabelled, sum(got[:200]), sum(got[200:400]), sum(got[400:]))
+
+
 def test_language_model(docs):
     held = F.col("doc_id") % 5 == 2
     rows = language_model.score(docs, held_out=held).collect()
