@@ -1,10 +1,10 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated
-by digest.
+"""Substring dedup: every repeated passage of ``WORDS`` words, exactly.
 
-A chunk ends where some bits of the hash of the last ``WINDOW`` bytes are all
-zero, so an insertion moves the ends near it and no others.  The first copy of
-a chunk, by key and place, stays.  Later copies go where enough of them stand in
-a row to make a repeated passage.
+Anchors are word grams that are the smallest by hash in some stretch of grams as
+long as a passage holds, so two copies of a passage always share one (winnowing).
+Around the anchors that occur more than once, every window of ``WORDS`` words is
+compared by digest; the first copy of a window, by key and place, stays.  What
+later windows cover, to the word, goes.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ WINDOW = 16
 BITS = 5
 LEAST = 8
 MOST = 1_024
-#: Bytes that neighbouring repeated chunks must cover to be removed.
-RUN = 128
+#: Words of the shortest passage that is removed, and of an anchor.
+WORDS = 50
+GRAM = 8
+#: Words whose hashes a worker keeps.
+CACHE = 500_000
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _GEAR = np.random.default_rng(4_096).integers(0, 1 << 16, 256, dtype=np.uint16)
 _MASK = np.uint16(((1 << BITS) - 1) << (16 - BITS))
 
@@ -53,66 +57,128 @@ def boundaries(data: bytes) -> list[int]:
     return ends
 
 
-def chunk(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, place, d1, d2): place is start << 24 | length, in bytes."""
+class _Words(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_128_digest(word)
+        return h
+
+
+def hashes(data: bytes, known: dict) -> np.ndarray:
+    """Two 64-bit hashes of every word (a run of bytes that are not ASCII white space)."""
+    return np.frombuffer(b"".join(map(known.__getitem__, data.split())), np.uint64).reshape(-1, 2)
+
+
+def _grams(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    out, n = np.zeros(len(h) - width + 1, np.uint64), len(h) - width + 1
+    for k in range(width):
+        out *= base
+        out += h[k:k + n]
+    return (out ^ (out >> np.uint64(29))) * base
+
+
+def anchors(h: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of every window of ``words`` words, which nothing
+    outside the window decides, and the hashes of all grams."""
+    gram = min(GRAM, words)
+    if len(h) < words:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    g = _grams(np.ascontiguousarray(h[:, 0]), gram, _BASES[0])
+    view = np.lib.stride_tricks.sliding_window_view(g, words - gram + 1)
+    at = np.concatenate([view[k:k + 65_536].argmin(axis=1) + np.arange(k, min(k + 65_536, len(view))) for k in range(0, len(view), 65_536)])
+    return at, g
+
+
+def _anchor_rows(docs: DataFrame, words: int) -> DataFrame:
+    """(id, place, d), place in words."""
     def run(batches):
+        known = _Words()
         for batch in slices(batches, "text", 2 << 20):
-            ids, places, digests = [], [], []
+            ids, places, digests = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                at = 0
-                for end in boundaries(data):
-                    ids.append(i)
-                    places.append(at << 24 | (end - at))
-                    digests.append(xxhash.xxh3_128_digest(data[at:end]))
-                    at = end
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                                             names=["id", "place", "d1", "d2"])
-
-    return map_arrow(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(
-        "text IS NOT NULL AND id IS NOT NULL"), run, "id long, place long, d1 long, d2 long")
-
-
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = RUN) -> DataFrame:
+                at, g = anchors(hashes(t.encode("utf-8", "surrogatepass"), known), words)
+                at = np.unique(at)
+                ids.append(np.full(len(at), i, np.int64))
+                places.append(at)
+                digests.append(g[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *ids])), pa.array(np.concatenate(places)),
+                                              pa.array(np.concatenate(digests).view(np.int64))], names=["id", "place", "d"])
+
+    return map_arrow(docs, run, "id long, place long, d long")
+
+
+def _windows(docs: DataFrame, words: int) -> DataFrame:
+    """(id, a, b, d1, d2, own): bytes [a, b) and digest of every window of
+    ``words`` words whose anchor is one of ``places``; own: the text has the
+    window before, and the first such copy ends before this one begins."""
+    def of(i: int, t: str, places: np.ndarray, known: dict):
+        data = t.encode("utf-8", "surrogatepass")
+        h = hashes(data, known)
+        s = np.flatnonzero(np.isin(anchors(h, words)[0], places))
+        if not len(s):
+            return None
+        raw = np.frombuffer(data, np.uint8)
+        gap = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
+        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        d = [_grams(np.ascontiguousarray(h[:, k]), words, _BASES[k])[s].view(np.int64) for k in (0, 1)]
+        a, b = starts[s], ends[s + words - 1]
+        order = np.lexsort((d[1], d[0]))  # stable: equal windows by place
+        new = np.append(True, (np.diff(d[0][order]) != 0) | (np.diff(d[1][order]) != 0))
+        own = np.empty(len(s), bool)
+        own[order] = a[order] >= b[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        return np.full(len(s), i, np.int64), a, b, *d, own
+
+    def run(batches):
+        known = _Words()
+        for batch in slices(batches, "text", 1 << 20):
+            rows = [of(i, t, np.array(p, np.int64), known) for i, t, p in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            rows = [r for r in rows if r is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["id", "a", "b", "d1", "d2", "own"])
+
+    return map_arrow(docs, run, "id long, a long, b long, d1 long, d2 long, own boolean")
+
+
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, spans, firsts): byte spans [start, end) to remove from each text, in
     order, and the keys that hold the first copies; only rows with any.
 
-    The first copy of a chunk is in the row with the smallest key; what a text
-    repeats of itself stays.  A common chunk is pre-aggregated before it is
-    dealt, and the join back is a plain join, which AQE can split.
+    The first copy of a window is the one with the smallest key, then place; a
+    later one in the same text goes where it does not overlap the first.  Words
+    count, not the white space between them.  Digests are pre-aggregated before
+    they are dealt, and the joins back are plain joins, which AQE can split.
     """
-    chunks = chunk(df, key, text)
-    firsts = (chunks.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-              .where("first < last").drop("last"))
-    later = chunks.join(stash(firsts, "firsts"), ["d1", "d2"]).where("id > first")
-    per_row = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "first"))).alias("hits"))
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
+    found = stash(_anchor_rows(docs, words), "anchors")
+    again = found.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
+    places = found.join(again, "d").groupBy("id").agg(F.collect_list("place").alias("places"))
+    windows = stash(_windows(docs.join(places, "id").select("id", "text", "places"), words), "windows")
+    firsts = (windows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("own").alias("twice"))
+              .where("first < last OR twice").select("d1", "d2", "first"))
+    later = windows.join(stash(firsts, "firsts"), ["d1", "d2"]).where("id > first OR own")
+    per_row = later.groupBy("id").agg(F.collect_list(F.struct("a", "b", "first")).alias("hits"))
 
     def run(batches):
         for batch in batches:
-            ids, spans, sources = [], [], []
-            for i, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                merged: list[list] = []
-                for hit in hits:
-                    start, length = hit["place"] >> 24, hit["place"] & 0xFFFFFF
-                    if merged and merged[-1][1] == start:
-                        merged[-1][1] = start + length
-                        merged[-1][2].add(hit["first"])
-                    else:
-                        merged.append([start, start + length, {hit["first"]}])
-                long = [m for m in merged if m[1] - m[0] >= run_bytes]
-                if long:
-                    ids.append(i)
-                    spans.append([{"start": a, "end": b} for a, b, _ in long])
-                    sources.append(sorted(set().union(*(s for _, _, s in long))))
+            ids, spans, sources = batch.column(0).to_pylist(), [], []
+            for k in range(batch.num_rows):
+                hits = batch.column(1)[k].values
+                a, b, first = (hits.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+                spans.append([{"start": x, "end": y} for x, y in zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist())])
+                sources.append(np.unique(first).tolist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(sources, pa.list_(pa.int64()))], names=["id", "spans", "firsts"])
 
-    return stash(per_row.mapInArrow(run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>"), "spans")
+    return stash(map_arrow(per_row, run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>"), "spans")
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = RUN) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``df`` with its texts less their repeated passages, and ``spans`` (byte
     spans of the old text) and ``firsts`` (keys that keep the passages); both
     null where nothing goes.
@@ -122,7 +188,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int
     copy, unequal ones should be given keys of their own.  Cuts keep whole
     characters.  Columns named ``spans`` or ``firsts`` give way.
     """
-    marks = repeats(df, key, text, run_bytes).withColumnRenamed("id", "__id")
+    marks = repeats(df, key, text, words).withColumnRenamed("id", "__id")
     rest = [c for c in df.columns if c not in ("spans", "firsts")]
     joined = df.select(*rest).join(marks, F.col(key).cast("long") == F.col("__id"), "left").drop("__id")
     place = joined.columns.index(text)

@@ -144,6 +144,43 @@ def test_substrings_resist_shifts(docs):
         assert ends == sorted(set(ends)) and (not n or ends[-1] == n)
 
 
+def _repeated(texts, width=50):
+    """Byte spans of the words that lie in a window of ``width`` words with an
+    earlier copy (in an earlier text, or before it in its own)."""
+    first, spans = {}, {}
+    for i, t in sorted(texts.items()):
+        at = [m.span() for m in re.finditer(rb"[^ \t-\r]+", t.encode())]
+        words = t.encode().split()
+        for s in range(len(words) - width + 1):
+            f = first.setdefault(tuple(words[s:s + width]), (i, s))
+            if f[0] < i or s >= f[1] + width:
+                a, b = at[s][0], at[s + width - 1][1]
+                mine = spans.setdefault(i, [])
+                if mine and a <= mine[-1][1]:
+                    mine[-1][1] = b
+                else:
+                    mine.append([a, b])
+    return spans
+
+
+def test_substrings_find_every_passage_of_50_words(spark):
+    rng = np.random.default_rng(15)
+    common = "the of and to in a is that for it was on are as with his they at be this".split()
+    texts, n = {}, 0
+    for words in [51] * 60 + [50] * 20 + [49] * 20:
+        passage = " ".join(rng.choice(common, words))
+        for _ in range(2):
+            texts[n] = f"{text_of(rng, 30)} s{n} {passage} e{n} {text_of(rng, 30)}"
+            n += 1
+    letters = " ".join(rng.choice(list("abcdefgh"), 51))
+    own = text_of(rng, 60)
+    texts |= {n: f"x {letters} y", n + 1: f"é z {letters}", n + 2: f"{own} between {own}", n + 3: "a " * 200, n + 4: "b\n" * 49}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [[s["start"], s["end"]] for s in r.spans] for r in substrings.dedup(df).where("spans IS NOT NULL").collect()}
+    assert got == _repeated(texts)
+    assert sum(i < 160 for i in got) == 80 and not any(160 <= i < 200 for i in got) and {n + 1, n + 2, n + 3} <= set(got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
