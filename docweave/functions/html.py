@@ -29,13 +29,13 @@ _DECL = r"<[!?][^>]*>"
 _TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _WS = r"[\s\x1c-\x1f]"
 _ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-_HIDDEN_START = rf"(?iu)<(?:template|rt|rp)\b{_ATTRIBUTES}>"
-_HIDDEN_END = r"(?iu)</(?:template|rt|rp)\b[^>]*+>"
-# group 2: the text of a CDATA section; group 3: a tag of a hidden element
+_STACKED = "template|rt|rp|ruby"
+_STACKED_TAG = rf"(?iu)<(/?)({_STACKED})\b{_ATTRIBUTES}>"
+_EMPTY_TAG = rf"(?iu)<(?:{_STACKED})(?:[\s/]{_ATTRIBUTES})?(?<=/)>"
+# group 2: the text of a CDATA section; group 3: a tag that shows or hides text
 _NODE = (rf"(?iu)(?:{_COMMENT}|{_RAW_BLOCK}|{_CDATA}|{_DECL}"
-         rf"|(</?(?:template|rt|rp)\b{_ATTRIBUTES}>)|{_TAG})")
-OPEN, SHUT = "\u0002", "\u0003"  # marks of hidden elements
-HIDDEN_DEPTH = 4
+         rf"|(</?(?:{_STACKED})\b{_ATTRIBUTES}>)|{_TAG})")
+OPEN, SHUT = "\u0002", "\u0003"  # around the names of stacked tags
 
 
 def _c(c) -> Column:
@@ -57,16 +57,36 @@ def mark_text_nodes(c) -> Column:
 
     One pass, leftmost first, so what a comment, a raw block or an attribute
     value holds is never read as markup.  Only the tags of hidden elements
-    survive it, as marks; hidden elements then go from the innermost outwards,
-    ``HIDDEN_DEPTH`` levels of nesting, and one that never closes hides the rest."""
+    and of ruby survive it, as marks, for ``shown``."""
     x = F.replace(F.replace(_c(c), F.lit(OPEN), F.lit("")), F.lit(SHUT), F.lit(""))
     x = F.regexp_replace(x, _NODE, SEP + "$2$3" + SEP)
-    x = F.regexp_replace(x, _HIDDEN_START, OPEN)
-    x = F.regexp_replace(x, _HIDDEN_END, SHUT)
-    for _ in range(HIDDEN_DEPTH):
-        x = F.regexp_replace(x, f"{OPEN}[^{OPEN}{SHUT}]*+{SHUT}", SEP)
-    x = F.regexp_replace(x, f"(?s){OPEN}.*", SEP)
-    return F.regexp_replace(x, SHUT, SEP)
+    x = F.regexp_replace(x, _EMPTY_TAG, SEP)
+    return F.regexp_replace(x, _STACKED_TAG, f"{OPEN}$1$2{SHUT}")
+
+
+def shown(v):
+    """Marked text less what template, rt and rp hold, at any depth.  An end tag
+    closes the latest open element of its name and all that is open inside it
+    (so ``</ruby>`` ends an open rt or rp); without one it is ignored."""
+    if not isinstance(v, str) or OPEN not in v:
+        return v
+    head, *rest = v.split(OPEN)
+    out, stack, held, hiding = [head], [], dict.fromkeys(_STACKED.split("|"), 0), 0
+    for piece in rest:
+        name, _, text = piece.partition(SHUT)
+        name = name.lower()
+        if name[0] != "/":
+            stack.append(name)
+            held[name] += 1
+            hiding += name != "ruby"
+        elif held[name[1:]]:
+            top = None
+            while top != name[1:]:
+                top = stack.pop()
+                held[top] -= 1
+                hiding -= top != "ruby"
+        out.append("" if hiding else text)
+    return SEP.join(out)
 
 
 def unescape_one(v):
@@ -77,8 +97,8 @@ def unescape_one(v):
 
 @F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
-    """Decode named and numeric character references (HTML5 rules)."""
-    return s.map(unescape_one)
+    """Drop hidden elements, then decode named and numeric character references (HTML5 rules)."""
+    return s.map(lambda v: unescape_one(shown(v)))
 
 
 def join_text_nodes(marked) -> Column:

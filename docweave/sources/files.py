@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.html import join_text_nodes, mark_text_nodes, unescape_one
+from docweave.functions.html import join_text_nodes, mark_text_nodes, shown, unescape_one
 from docweave.functions.jsontext import pretty_one, safe_text
 from docweave.operators.structured import (
     XML_ELEMENT, csv_head, notebook_text, outline_of_elements, xml_rows_one)
@@ -132,7 +132,7 @@ def _extract_py(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
         t = e = el = None
         if v is not None:
             if k == "html":
-                t = safe_text(unescape_one(v))
+                t = safe_text(unescape_one(shown(v)))
             elif k == "json":
                 t, e = pretty_one(v)
             elif k == "csv":

@@ -138,3 +138,13 @@ def test_visible_text_property_on_token_soup(spark):
             assert r.t == py_visible(docs[r.id]), docs[r.id]
 
     check()
+
+
+def test_hidden_elements_at_any_depth_and_without_end_tags(spark):
+    cases = {"a" + "<template>" * n + "x" + "</template>" * n + "b": "a\nb" for n in (1, 4, 5, 40)}
+    cases |= {"<ruby>x<rt>y</ruby> rest": "x\nrest", "<ruby>x<rp>(<rt>y<rp>)</ruby> rest": "x\nrest",
+              "<ruby>x<RT class='>'>y</rt>z</ruby> rest": "x\nz\nrest", "<ruby>a<rt><ruby>b<rt>c</ruby>d</rt>e</ruby>f": "a\ne\nf",
+              "a<rt/>b<template />c": "a\nb\nc", "a</ruby>b<template>c</ruby>d": "a\nb", "<template><rt>a</template>b": "b"}
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    for r in df.select("h", html_visible_text("h").alias("t")).collect():
+        assert r.t == cases[r.h], r.h
