@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from docweave.llm.bpe import op1_bpe
+from docweave.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from docweave.llm.decontaminate import op13_decontaminate
 from docweave.llm.language_model import op10_language_model
 from docweave.llm.lines import ORACLE as LINES_SQL
 from docweave.llm.lines import op3_lines
@@ -18,5 +20,6 @@ QUERIES = {
     "op1_bpe": op1_bpe, "op2_vectors": op2_vectors, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op5_quality": op5_quality,
     "op6_minhash": op6_minhash, "op7_mixing": op7_mixing,
     "op8_topk": op8_topk, "op9_secrets": op9_secrets, "op10_language_model": op10_language_model,
+    "op13_decontaminate": op13_decontaminate,
 }
-ORACLES: dict[str, str] = {"op3_lines": LINES_SQL}
+ORACLES: dict[str, str] = {"op3_lines": LINES_SQL, "op13_decontaminate": DECONTAMINATE_SQL}
