@@ -25,7 +25,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables from ``stash`` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(key: Column, modulus: int) -> Column:

@@ -5,11 +5,13 @@ one window).  Of the six 5-word hashes inside a window the smallest, the last of
 equal ones, is its fingerprint, so the same ten words have the same fingerprint
 wherever they stand: a shared span of ten words or more cannot be missed.
 
-Fingerprints of documents pass a bit filter of bounded size, are joined with
-those of the items, and each hit is extended to the windows it stands for, whose
-words are compared in full.  Every join has one row per key on the items' side,
-so a passage that many items and documents share multiplies nothing; documents
-with equal sets of hit windows share one list of items.
+Fingerprints of documents pass a bit filter of bounded size, and each hit is
+extended, first by the filter, to the run of windows around it.  Documents whose
+runs read the same share one shape; the fingerprints of the shapes are joined
+with those of the items, and the words of their windows compared in full.  Every
+join has one row per key on the items' side, so a passage that many items and
+documents share multiplies nothing; shapes with equal sets of hit windows share
+one list of items.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.llm.common import map_arrow, read, slices, stash
 
 WINDOW = 10
 GRAM = 5
-#: The bit filter has 32 bits a fingerprint, rounded up, and no more than this
+#: The bit filter has 32 bits a hash, rounded up, and no more than this
 #: many in all (8 MB); beyond, it lets more through, and the join decides.
 FILTER_BITS = 1 << 26
 #: Word hashes that a worker remembers.
@@ -84,8 +88,8 @@ def _read_words(batch: pa.RecordBatch, column: str, known: _Hashes) -> tuple[lis
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item string, window, fp long, m int): the windows of every item, with
-    their fingerprint and length in words."""
+    """(item string, window, fp long, code long, m int): the windows of every
+    item, with their fingerprint, the hash of all their words, and their length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in slices(batches, "text", 1 << 20):
@@ -94,27 +98,29 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
             for item, words in zip(batch.column(0).to_pylist(), texts):
                 own, m = h[at:at + len(words)], min(len(words), WINDOW)
                 at += len(words)
-                fps = _winnow(own)[0] if m == WINDOW else _grams(own, m) if m else own
+                codes = _grams(own, m) if m else own
+                fps = _winnow(own)[0] if m == WINDOW else codes
                 for start in range(0, len(fps), 10_000):  # a long item in bounded pieces
-                    part = fps[start:start + 10_000]
-                    shown = [b" ".join(words[s:s + m]) for s in range(start, start + len(part))]
+                    part = slice(start, min(start + 10_000, len(fps)))
+                    shown = [b" ".join(words[s:s + m]) for s in range(part.start, part.stop)]
+                    n = len(shown)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([item] * len(part), pa.string()), pa.array(shown, pa.binary()),
-                         pa.array(part.view(np.int64)), pa.array([m] * len(part), pa.int32())], names=["item", "window", "fp", "m"])
+                        [pa.array([item] * n, pa.string()), pa.array(shown, pa.binary()), pa.array(fps[part].view(np.int64)),
+                         pa.array(codes[part].view(np.int64)), pa.array([m] * n, pa.int32())], names=["item", "window", "fp", "code", "m"])
 
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).cast("binary").alias("text"))
-    return map_arrow(rows, run, "item string, window binary, fp long, m int")
+    return map_arrow(rows, run, "item string, window binary, fp long, code long, m int")
 
 
-def _bit_filter(fps: DataFrame) -> np.ndarray:
-    """Two bits a fingerprint; the driver gets the words of the filter that are
-    not 0, at most ``FILTER_BITS`` / 64 of them."""
-    size, wanted = 1 << 16, 32 * fps.count()
+def _bit_filter(codes: DataFrame) -> np.ndarray:
+    """Two bits a value; the driver gets the words of the filter that are not 0,
+    at most ``FILTER_BITS`` / 64 of them."""
+    size, wanted = 1 << 16, 32 * codes.count()
     while size < min(wanted, FILTER_BITS):
         size *= 2
-    bit = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(size - 1))))
+    bit = F.explode(F.array(F.col("code").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("code", 32).bitwiseAND(F.lit(size - 1))))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
-    words = (fps.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("bits"))).toPandas()
+    words = (codes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("bits"))).toPandas()
     out = np.zeros(size // 64, np.uint64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
@@ -128,46 +134,62 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-_CANDIDATE = pa.struct([("fp", pa.int64()), ("starts", pa.list_(pa.int64())), ("n", pa.int32()), ("words", pa.binary())])
+_SPAN = pa.struct([("starts", pa.list_(pa.int64())), ("words", pa.binary()), ("fps", pa.list_(pa.int64()))])
 
 
-def _candidates(texts: list[list[bytes]], h: np.ndarray, bits: np.ndarray, short: list[int]) -> list[list[dict]]:
-    """Per document: runs of ``n`` windows that share a fingerprint the filter
-    lets through, with their words; and short windows, with all places."""
+def _spans(texts: list[list[bytes]], h: np.ndarray, bits: np.ndarray, short: list[int]) -> list[list[dict]]:
+    """Per document, what may be hit: runs of windows whose fingerprint and words
+    the filter lets through (``fps``: one a window), and short windows with all
+    their places."""
     out: list[list[dict]] = [[] for _ in texts]
     ends = np.cumsum([len(t) for t in texts])
     begins = ends - [len(t) for t in texts]
 
-    def left(places: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    def inside(places: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         doc = np.searchsorted(ends, places, "right")
-        return doc, places + m <= ends[doc]
+        keep = places + m <= ends[doc]
+        return places[keep], doc[keep]
 
     best, place = _winnow(h)
     if len(best):
         runs = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
-        for r in np.flatnonzero(_passes(bits, best[runs[:-1]])):
-            windows = np.arange(runs[r], runs[r + 1])
-            doc, inside = left(windows, WINDOW)
-            for d in np.unique(doc[inside]):
-                mine = windows[inside & (doc == d)]
-                first, n = int(mine[0] - begins[d]), len(mine)
-                out[d].append({"fp": int(best[mine[0]].view(np.int64)), "starts": [first], "n": n,
-                               "words": b" ".join(texts[d][first:first + n - 1 + WINDOW])})
+        at = np.flatnonzero(np.repeat(_passes(bits, best[runs[:-1]]), np.diff(runs)))
+        at = at[_passes(bits, _grams(h, WINDOW)[at])]
+        at, doc = inside(at, WINDOW)
+        cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(doc) != 0)) + 1
+        for windows in np.split(at, cuts) if len(at) else ():
+            d = int(np.searchsorted(ends, windows[0], "right"))
+            first = int(windows[0] - begins[d])
+            out[d].append({"starts": [first], "words": b" ".join(texts[d][first:first + len(windows) - 1 + WINDOW]),
+                           "fps": best[windows].view(np.int64).tolist()})
     for m in short:
         g = _grams(h, m)
-        places = np.flatnonzero(_passes(bits, g))
-        doc, inside = left(places, m)
         seen: dict = {}
-        for p, d in zip(places[inside].tolist(), doc[inside].tolist()):
+        for p, d in zip(*(a.tolist() for a in inside(np.flatnonzero(_passes(bits, g)), m))):
             first = p - int(begins[d])
             shown = b" ".join(texts[d][first:first + m])
             if (d, shown) not in seen:
-                seen[d, shown] = {"fp": int(g[p].view(np.int64)), "starts": [], "n": 1, "words": shown}
+                seen[d, shown] = {"starts": [], "words": shown, "fps": [int(g[p].view(np.int64))]}
                 out[d].append(seen[d, shown])
             seen[d, shown]["starts"].append(first)
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def _merged(starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """The union of spans, in order; none where there are none."""
+    out = []
+    for a, b in zip(starts, stops):
+        if a is None or not len(a):
+            out.append([])
+            continue
+        order = np.argsort(a, kind="stable")
+        a, top = a[order], np.maximum.accumulate(b[order])
+        new = np.flatnonzero(np.concatenate(([True], a[1:] > top[:-1])))
+        out.append(np.stack([a[new], top[np.append(new[1:], len(a)) - 1]], axis=1).tolist())
+    return pd.Series(out)
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its key, n_words, n_hit (words inside an
@@ -180,47 +202,45 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits words but is in no list; items that share a key count once.  With empty
     tables nothing is hit.  Further columns are not looked at.
     """
-    windows = stash(item_windows(items, item_key, item_text).groupBy("window").agg(
-        F.min("fp").alias("fp"), F.min("m").alias("m"), F.sort_array(F.collect_set("item")).alias("items"))
+    windows = stash(item_windows(items, item_key, item_text).groupBy("fp", "window").agg(
+        F.min("code").alias("code"), F.min("m").alias("m"), F.sort_array(F.collect_set("item")).alias("items"))
         .withColumn("set", F.md5(F.to_json("items").cast("binary"))), "windows")
-    fps = stash(windows.select("fp").distinct(), "fingerprints")
-    bits = _bit_filter(fps)
+    bits = _bit_filter(windows.select(F.explode(F.array("fp", "code")).alias("code")).distinct())
     short = [r["m"] for r in windows.where(F.col("m") < WINDOW).select("m").distinct().collect()]  # at most 9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in slices(batches, "text", 4 << 20):
             texts, h = _read_words(batch, "text", known)
-            found = _candidates(texts, h, bits, short)
+            found = _spans(texts, h, bits, short)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, pa.list_(_CANDIDATE))],
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, pa.list_(_SPAN))],
                 names=["key", "n_words", "found"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    scanned = stash(map_arrow(rows, run, f"key {kind}, n_words long, found array<struct<fp: long, starts: array<long>, n: int, words: binary>>")
-                    .withColumn("row", F.monotonically_increasing_id()), "scanned")
-
-    hits = (scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
-            .join(fps, "fp", "left_semi")
-            .withColumn("w", F.split(F.col("words").cast("string"), " ", -1)).withColumn("m", F.size("w") - F.col("n") + 1)
-            .select("row", "m", "w", "starts", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-            .select("row", "m", F.expr("cast(array_join(slice(w, i + 1, m), ' ') as binary)").alias("window"),
-                    F.expr("transform(starts, s -> s + i)").alias("starts"))
-            .join(windows.select("window", "set"), "window"))
-    spans = F.expr("""aggregate(array_sort(flatten(collect_list(transform(starts, s -> struct(s as start, s + m as stop))))),
-        cast(array() as array<struct<start: bigint, stop: bigint>>),
-        (done, x) -> if(size(done) > 0 and element_at(done, -1).stop >= x.start,
-            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).stop, x.stop) as stop))),
-            concat(done, array(x))))""")
-    per = stash(hits.groupBy("row").agg(spans.alias("spans"), F.sort_array(F.collect_set("set")).alias("sets"))
+    scanned = map_arrow(rows, run, f"key {kind}, n_words long, found array<struct<starts: array<long>, words: binary, fps: array<long>>>")
+    # documents with the same possible spans, wherever they stand, share a shape
+    scanned = stash(scanned.select("key", "n_words", F.expr("transform(found, x -> x.starts)").alias("starts"),
+                                   F.expr("transform(found, x -> struct(x.words, x.fps))").alias("shape"))
+                    .withColumn("shape_id", F.when(F.size("shape") > 0, F.md5(F.to_json("shape").cast("binary")))), "scanned")
+
+    shapes = scanned.where("shape_id IS NOT NULL").groupBy("shape_id").agg(F.min("shape").alias("shape"))
+    hits = (shapes.select("shape_id", F.posexplode("shape").alias("span", "x"))
+            .select("shape_id", "span", F.split(F.col("x.words").cast("string"), " ", -1).alias("w"), "x.fps")
+            .select("shape_id", "span", "w", (F.size("w") - F.size("fps") + 1).alias("m"), F.posexplode("fps").alias("i", "fp"))
+            .select("shape_id", "span", "m", "i", "fp", F.expr("cast(array_join(slice(w, i + 1, m), ' ') as binary)").alias("window"))
+            .join(windows.select("fp", "window", "set"), ["fp", "window"]))
+    per = stash(hits.groupBy("shape_id").agg(F.collect_list(F.struct("span", "i", "m")).alias("hits"), F.sort_array(F.collect_set("set")).alias("sets"))
                 .withColumn("sets_id", F.md5(F.to_json("sets").cast("binary"))), "hits")
     lists = (per.groupBy("sets_id").agg(F.min("sets").alias("sets")).select("sets_id", F.explode("sets").alias("set"))
              .join(windows.groupBy("set").agg(F.min("items").alias("items")), "set")
              .groupBy("sets_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
-    found = per.join(lists, "sets_id", "left").select("row", "spans", "items")
-    return (scanned.select("row", "key", "n_words").join(found, "row", "left")
-            .withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")))
+    found = per.join(lists, "sets_id", "left").select("shape_id", "hits", "items")
+    ends = F.expr("flatten(transform(hits, x -> transform(starts[x.span], s -> struct(s + x.i as start, s + x.i + x.m as stop))))")
+    spans = F.transform(_merged(F.expr("ends.start"), F.expr("ends.stop")), lambda x: F.struct(x[0].alias("start"), x[1].alias("stop")))
+    return (scanned.select("key", "n_words", "starts", "shape_id").join(found, "shape_id", "left")
+            .withColumn("ends", ends).withColumn("spans", spans)
             .select(F.col("key").alias(key), "n_words",
                     F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)").alias("n_hit"), "spans",
                     F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")))
