@@ -2,18 +2,20 @@
 
 Plan shape:
 
-    requests LEFT JOIN documents(doc_id, text, load error)
-      -> P2/P1 validation (CASE chain)            -- rejected rows kept
-      -> P3-P5 option resolution (literal maps)
-      -> route = rejected | failed (the document did not load) | local | model;
-         O2 target check (before any call)
-      -> local rows: T6 summary (JVM); model rows: M1 prompt (JVM)
-      -> distinct (prompt, model, retries) by a 96-bit hash, map-side first
-      -> M2 mapInPandas: one provider call per distinct prompt
-      -> replies joined back by hash (rows without a prompt bypass the join);
-         M4 degrade, O1 normalise.  Building the plan starts no job.
-
-Nothing is dropped: every request comes out once with its route and status.
+    requests -> P2/P1 rules that need no document, P3-P5 options, O2 target
+      -> an ask per request: (document, what is wanted of it, its options)
+    distinct asks (small rows, pre-aggregated) LEFT JOIN documents(doc_id, text)
+      -> local asks: T6 summary (JVM); model asks: M1 prompt (JVM)
+      -> M2 mapInPandas where the join left the rows: one call per ask; the text
+         ends here
+    requests LEFT JOIN answered asks, by a 128-bit digest of the ask
+      -> P1 with the document's existence, route = rejected | failed (the
+         document did not load) | local | model; M4 degrade, O1 normalise
+
+Two joins, the corpus in one of them; texts and prompts move once.  A document
+requested by a third of all requests with the same options is one ask.  Nothing
+is dropped: every request comes out once with its route and status.  Building
+the plan starts no job.
 """
 
 from __future__ import annotations
@@ -43,19 +45,12 @@ def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | N
     """Validated, resolved requests with the document text (``_text``),
     ``route`` and the checked target (``_t``: struct(path, error)).
 
-    ``documents`` must be unique on ``doc_key``.  This is the only join; see
-    ``requested_documents`` for the size-checked prefilter before it.
+    ``documents`` must be unique on ``doc_key``; one join, with the text on every
+    row.  ``summarize`` itself joins distinct asks instead.
     """
     if config is None:  # explicit request value > job conf > built-in default
         config = config_from_session(requests.sparkSession)
-    extra = [F.col(name_col).alias("_name")] if name_col else []
-    # a document that failed to load keeps its error: no call, no summary
-    text = F.col(text_col)
-    failed = [F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in ("error_class", "error")]
-    docs = documents.select(
-        F.col(doc_key).alias("_dk"), text.alias("_text"), *extra,
-        F.coalesce(failed[0], F.when(text.isNull(), F.lit("no_text"))).alias("_xclass"),
-        F.coalesce(failed[1], F.when(text.isNull(), F.lit("the document has no text"))).alias("_xerror"))
+    docs = _documents(documents, doc_key, text_col, name_col)
     docs = requested_documents(requests, docs, "_dk", prefilter_max_ids)
     checked = check_allowed_values(requests)
     joined = checked.join(docs, checked["doc_id"] == docs["_dk"], "left")
@@ -76,72 +71,104 @@ def prepare_requests(requests: DataFrame, documents: DataFrame, config: dict | N
                                              resolve_target("target", "output_format"))))
 
 
+def _documents(documents: DataFrame, doc_key: str, text_col: str, name_col: str | None) -> DataFrame:
+    """(_dk, _text, _xclass, _xerror): a document that failed to load keeps its
+    error - no call, no summary."""
+    text = F.col(text_col)
+    failed = [F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in ("error_class", "error")]
+    return documents.select(
+        F.col(doc_key).alias("_dk"), text.alias("_text"), *([F.col(name_col).alias("_name")] if name_col else []),
+        F.coalesce(failed[0], F.when(text.isNull(), F.lit("no_text"))).alias("_xclass"),
+        F.coalesce(failed[1], F.when(text.isNull(), F.lit("the document has no text"))).alias("_xerror"))
+
+
+def _asks(requests: DataFrame, config: dict | None, dedupe: bool) -> tuple[DataFrame, DataFrame]:
+    """The requests with their options and the digest of what they ask for, and
+    the distinct asks.  A request that fails a rule, or whose target is wrong,
+    asks only whether the document exists and loads."""
+    if config is None:  # explicit request value > job conf > built-in default
+        config = config_from_session(requests.sparkSession)
+    checked = check_allowed_values(requests)
+    ruled = checked.withColumns({"_bad": F.coalesce(F.col("error"), validation_error(F.lit(True)))}).select(
+        *[c for c in requests.columns], F.col("error_class").alias("_bad_class"), F.col("error").alias("_own"), "_bad")
+    options = ("sentences", "output_format", "desc_level", "sum_level")
+    resolved = resolve_levels(resolve_options(ruled.withColumns({f"_{c}_given": F.col(c) for c in options}), config))
+    fine, model = F.col("_bad").isNull(), F.coalesce(F.col("use_model"), F.lit(False))
+    resolved = resolved.withColumn("_t", F.when(fine & model, resolve_target("target", "output_format")))
+    want = F.when(~fine, F.lit(None).cast("string")).when(~model, F.lit("local")).when(F.col("_t.error").isNull(), F.lit("model"))
+    asking = ["model", "max_retries", "output_format", "sentences", "desc_instruction", "sum_instruction"]
+    ask = F.struct(F.col("doc_id").alias("_doc"), want.alias("_want"),
+                   *[F.when(want == "model", F.col(c)).alias(c) for c in asking],
+                   *([] if dedupe else [F.col("req_id")]))
+    asked = resolved.withColumn("_a", ask).withColumn("_ask", F.md5(F.to_json("_a").cast("binary")))
+    asks = asked.select("_ask", "_a").dropDuplicates(["_ask"]).select(
+        "_ask", *[F.col(f"_a.{c}").alias(c) for c in ("_doc", "_want", *asking)])
+    kept = asked.select("req_id", "doc_id", "use_model", "effort", "target", "_bad_class", F.col("_own").alias("_bad"),
+                        *[F.col(f"_{c}_given").alias(c) for c in options], F.col("output_format").alias("_format"),
+                        F.col("_t.path").alias("target_path"), F.col("_t.error").alias("_terror"), "_ask")
+    return kept, asks
+
+
 def summarize(requests: DataFrame, documents: DataFrame, make_provider: Callable | None = None,
               config: dict | None = None, doc_key: str = "doc_id", text_col: str = "text",
               partitions: int | None = None, initial_delay: float = 1.0,
               sleep: Callable[[float], None] | None = None, provider_name: str = "Model",
               materialize: bool = False,
               prefilter_max_ids: int | None = None,
-              name_col: str | None = None, dedupe_calls: bool = True) -> DataFrame:
+              name_col: str | None = None, dedupe_calls: bool = True,
+              ledger: M.ReplyLedger | None = None) -> DataFrame:
     """Summaries for a request table against a document table.
 
-    ``dedupe_calls`` sends each distinct prompt to the provider once and
-    shares the reply among the requests that produced it.
+    ``documents`` must be unique on ``doc_key``.  ``dedupe_calls`` answers each
+    distinct ask (document and options) once and shares the reply among the
+    requests that make it; without it every request is an ask of its own.
 
     With ``name_col`` (the documents' file names) the result also carries
     ``name`` and ``title`` (the stem with ``_``/``-`` as spaces).
 
     ``materialize`` checkpoints the replies into the cluster's checkpoint
-    folder so that later actions never call the provider again.
+    folder so that later actions never call the provider again.  ``ledger``
+    keeps each reply as it is paid for, through lost tasks and failed jobs, and
+    spares later jobs the prompts it holds.
     """
-    prep = prepare_requests(requests, documents, config, doc_key, text_col, prefilter_max_ids, name_col)
-    route, terr = F.col("route"), F.col("_t.error")
-    null_s = F.lit(None).cast("string")
-    staged = prep.select(
-        "req_id", "doc_id", "route", "model", "max_retries",
-        # a rejected request reports the format it asked for, not the default
-        F.when(route == "rejected", F.col("_format_given")).otherwise(F.col("output_format"))
-         .alias("output_format"),
-        F.col("_t.path").alias("target_path"),
-        F.coalesce("error_class", "_xclass").alias("_vclass"), F.coalesce("error", "_xerror").alias("_verror"),
-        terr.alias("_terror"),
-        *([F.col("_name"), shorten_title(stem("_name")).alias("_title")] if name_col else []),
-        F.when(route == "local", local_summary("_text")).alias("_local"),
-        F.when((route == "model") & terr.isNull(), M.build_prompt("_text")).alias("prompt"))
+    spark = requests.sparkSession
     if make_provider is None:
         make_provider = M.LeadProvider()
-    if dedupe_calls:
-        # one provider call per distinct (prompt, model, retries): a document
-        # requested many times with the same options is summarised once.  The
-        # key is two independent hashes (96 bits); the dedupe pre-aggregates
-        # map-side, so a hot prompt collapses before the shuffle.
-        parts = [F.col("prompt"), F.col("model"), F.col("max_retries")]
-        staged = (staged.withColumn("_h1", F.when(F.col("prompt").isNotNull(), F.xxhash64(*parts)))
-                        .withColumn("_h2", F.when(F.col("prompt").isNotNull(), F.hash(*parts))))
-        unique = (staged.where(F.col("_h1").isNotNull())
-                        .select("_h1", "_h2", "prompt", "model", "max_retries")
-                        .dropDuplicates(["_h1", "_h2"]))
-        replies = M.infer_batch(unique, make_provider, key_cols=("_h1", "_h2"),
-                                partitions=partitions, initial_delay=initial_delay, sleep=sleep)
-        if materialize:
-            # reliable checkpoint into the cluster's shared folder (never local)
-            ensure_checkpoint_dir(replies.sparkSession)
-            replies = replies.checkpoint(eager=True)
-        # only rows with a prompt meet the replies: the others have no key, and
-        # a third of all rows may be of their kind
-        asked = F.col("_h1").isNotNull()
-        answered = staged.where(asked).drop("prompt").join(replies, ["_h1", "_h2"], "left")
-        called = answered.unionByName(staged.where(~asked).drop("prompt"), allowMissingColumns=True)
-    else:
-        called = M.infer_batch(
-            staged, make_provider, key_cols=("req_id",),
-            carry_cols=("doc_id", "route", "output_format", "target_path", "_vclass", "_verror",
-                        "_terror", "_local") + (("_name", "_title") if name_col else ()),
-            partitions=partitions, initial_delay=initial_delay, sleep=sleep, pass_null_prompts=True)
-        if materialize:
-            ensure_checkpoint_dir(called.sparkSession)
-            called = called.checkpoint(eager=True)
-
+    asked, asks = _asks(requests, config, dedupe_calls)
+    slots = int(partitions or M.provider_slots(spark))
+    docs = requested_documents(requests, _documents(documents, doc_key, text_col, name_col), "_dk", prefilter_max_ids)
+    # a caller who gives as many partitions as a bucketed corpus has buckets moves no text at all
+    met = asks.repartition(slots, "_doc").join(docs, F.col("_doc") == F.col("_dk"), "left")
+    loaded = F.col("_dk").isNotNull() & F.col("_xclass").isNull()
+    prepared = met.select(
+        "_ask", F.col("_dk").isNotNull().alias("_exists"), "_xclass", "_xerror", *(["_name"] if name_col else []),
+        F.when(loaded & (F.col("_want") == "local"), local_summary("_text")).alias("_local"),
+        F.when(loaded & (F.col("_want") == "model"), M.build_prompt("_text")).alias("prompt"), "model", "max_retries")
+    carried = ("_exists", "_xclass", "_xerror", "_local") + (("_name",) if name_col else ())
+    answers = M.infer_batch(prepared, make_provider, key_cols=("_ask",), carry_cols=carried, deal=False,
+                            partitions=partitions, initial_delay=initial_delay, sleep=sleep,
+                            pass_null_prompts=True, ledger=ledger)
+    if materialize:
+        # reliable checkpoint into the cluster's shared folder (never local)
+        ensure_checkpoint_dir(spark)
+        answers = answers.checkpoint(eager=True)
+        if ledger is not None:
+            ledger.settle(spark)
+    joined = asked.join(answers, "_ask", "left")
+    rule = validation_error(F.col("_exists"))
+    called = joined.withColumns({
+        "_vclass": F.coalesce("_bad_class", F.when(rule.isNotNull(), F.lit("rejected"))),
+        "_verror": F.coalesce(F.col("_bad"), rule)})
+    called = called.withColumns({
+        "route": F.when(F.col("_vclass").isNotNull(), F.lit("rejected")).when(F.col("_xclass").isNotNull(), F.lit("failed"))
+                  .when(F.coalesce(F.col("use_model"), F.lit(False)), F.lit("model")).otherwise(F.lit("local")),
+        "_vclass": F.coalesce("_vclass", "_xclass"), "_verror": F.coalesce("_verror", "_xerror")})
+    # a rejected request reports the format it asked for, not the default
+    called = called.withColumn("output_format", F.when(F.col("route") == "rejected", F.col("output_format")).otherwise(F.col("_format")))
+    if name_col:
+        called = called.withColumn("_title", shorten_title(stem("_name")))
+
+    route, null_s = F.col("route"), F.lit(None).cast("string")
     st = F.col("status")
     is_model_call = (route == "model") & F.col("_terror").isNull()
     refused = route.isin("rejected", "failed")

@@ -52,3 +52,10 @@ def test_summarize_join_prunes_and_pushes(large):
 def test_grouped_assembly_aggregates_partially(large):
     p = plan(large, "assemble_paragraphs")
     assert p.count("ObjectHashAggregate") == 2 and p.count("Exchange") == 1
+
+
+def test_summarize_joins_the_corpus_once(large):
+    p = plan(large, "summarize")
+    assert p.count("SortMergeJoin") == 2  # asks with documents, requests with answers
+    assert "Union" not in p
+    assert p.count("doc_id:bigint,text:string") == 1  # one scan that reads texts
