@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.jsontext import json_pretty, strip_fence
 from docweave.functions.text import strip_ws
 from docweave.sources.formats import SUFFIX_PATTERN
-
+from docweave.sources.scratch import scratch_dir
 
 
 # ---- fixed values ----------------------------------------------------------
@@ -61,28 +61,55 @@ def write_summaries(df: DataFrame, path: str, fmt: str = "parquet",
     w.format(fmt).save(path)
 
 
-def export_files(df: DataFrame, path_col: str = "target_path", text_col: str = "saved_content") -> int:
-    """O3 (file form): write each row's text to its own file, from executors.
+WRITTEN, CONFLICT, FAILED = "written", "conflict", "failed"
+
+
+def export_report(df: DataFrame, path_col: str = "target_path", text_col: str = "saved_content") -> DataFrame:
+    """O3 (file form): write each row's text to its own file, from executors;
+    ``(path, n_rows, status, error)`` per target.
 
-    Parent folders are created; files are overwritten.  Paths must be on a
-    file system every executor can reach.  Returns the number of files.
+    A file appears whole or not at all, and replaces an older one: a killed task
+    leaves no half file, and its next attempt writes the same again.  Rows with
+    the same target and text are one file; a target with different texts is a
+    ``conflict``: reported, not written.  A file that cannot be written is
+    ``failed``.  Missing folders are made.  Rows without a target or a text are
+    left out.  Targets are paths or URIs on storage that every executor reaches
+    (``sources/storage.py``).  The export runs at once; the report is a table in
+    the scratch folder, so reading it writes nothing again.
     """
+    spark = df.sparkSession
     rows = df.where(F.col(path_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(path_col).alias("p"), F.col(text_col).alias("t"))
-    acc = df.sparkSession.sparkContext.accumulator(0)
-
-    def write_part(it):
-        import os
-
-        n = 0
-        for r in it:
-            parent = os.path.dirname(r["p"])
-            if parent:
-                os.makedirs(parent, exist_ok=True)
-            with open(r["p"], "w", encoding="utf-8") as fh:
-                fh.write(r["t"])
-            n += 1
-        acc.add(n)
-
-    rows.foreachPartition(write_part)
-    return acc.value
+        F.col(path_col).alias("path"), F.col(text_col).alias("t"))
+    # one text a target, map-side first; its digests tell whether there were others
+    one = rows.withColumn("d", F.sha2(F.col("t").cast("binary"), 256)).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("d").alias("low"), F.max("d").alias("high"), F.first("t").alias("t"))
+    targets = one.select("path", "n_rows", (F.col("low") != F.col("high")).alias("conflict"),
+                         F.when(F.col("low") == F.col("high"), F.col("t")).alias("t"))
+
+    def write(batches):
+        from docweave.sources.storage import open_store, put
+
+        for pdf in batches:
+            found = []
+            for path, text, conflict in zip(pdf["path"], pdf["t"], pdf["conflict"]):
+                if conflict:
+                    found.append((CONFLICT, "rows with different texts name this target"))
+                    continue
+                try:
+                    put(*open_store(path), text.encode())
+                    found.append((WRITTEN, None))
+                except (OSError, ValueError) as e:
+                    found.append((FAILED, f"{type(e).__name__}: {e}"))
+            out = pdf[["path", "n_rows"]].copy()
+            out["status"], out["error"] = [f[0] for f in found], [f[1] for f in found]
+            yield out
+
+    report = scratch_dir(spark, "export")
+    schema = "path string, n_rows long, status string, error string"
+    targets.mapInPandas(write, schema).write.parquet(report)
+    return spark.read.schema(schema).parquet(report)
+
+
+def export_files(df: DataFrame, path_col: str = "target_path", text_col: str = "saved_content") -> int:
+    """``export_report`` in short: the number of files written."""
+    return export_report(df, path_col, text_col).where(F.col("status") == WRITTEN).count()

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.jsontext import safe_text
+
 # ---- fixed values ----------------------------------------------------------
 PREVIEW_ROWS = 20
 CELL_SEP = ", "
@@ -143,53 +145,55 @@ def csv_preview(c) -> Column:
     return _csv_preview(_c(c))
 
 
-def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, exact_quotes: bool = False) -> DataFrame:
-    """S7 for CSV files: ``(path, preview)`` per file.
-
-    Default: a text scan split across tasks.  Records are ordered by (file
-    block start, position within the split), the first ``n`` per file are
-    kept with a window group limit (so only ``n`` rows per file and split are
-    shuffled), and only those records are parsed.  A quoted line break
-    inside one record is not seen on this path.
-
-    ``exact_quotes=True`` reads each file whole (``binaryFile``, bounded by
-    ``read_corpus``'s size limit) and parses it with the csv module, which
-    follows quoted line breaks; one task per file.
-    """
-    if exact_quotes:
-        from docweave.sources.files import decode_text, read_corpus
-        files = read_corpus(spark, paths)
-        return files.select("path", csv_preview(decode_text("content", fold_newlines=False)).alias("preview"))
-    lines = (spark.read.text(paths)
-             .select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("_pos"),
-                     F.make_valid_utf8("value").alias("line")))
-    w = Window.partitionBy("path").orderBy("_blk", "_pos")
-    first = lines.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    cells = first.withColumn("cells", _split_csv_line("line"))
-    return _ordered_concat(cells.select("path", "_rn", F.array_join(
-        F.filter("cells", lambda x: x != ""), CELL_SEP).alias("line")), ["path"], "_rn", "line",
-        "\n", "preview")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _csv_cells(s: pd.Series) -> pd.Series:
+def read_csv_head(file, n: int = PREVIEW_ROWS):
+    """(preview, error) of an open binary file, read block by block until its
+    first ``n`` records are complete; quoted line breaks are part of a record."""
     import csv
+    from io import TextIOWrapper
+    from itertools import islice
 
     csv.field_size_limit(2 ** 31 - 1)
+    # newline="": the csv reader itself ends records at \r\n and \r
+    text = TextIOWrapper(file, encoding="utf-8", errors="replace", newline="")
+    try:
+        records = list(islice(csv.reader(text), n))
+    except csv.Error as e:
+        return None, f"{type(e).__name__}: {e}"
+    return safe_text("\n".join(CELL_SEP.join(filter(None, cells)) for cells in records)), None
 
-    def cells(v):
-        try:
-            return next(csv.reader([v]), [])
-        except csv.Error:
-            return [v]  # what the reader refuses stays one cell
-
-    return pd.Series([None if v is None else cells(v) for v in s], dtype=object)
 
+def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, glob: str | None = None) -> DataFrame:
+    """S7 for CSV files: ``(path, preview, error)`` per file, of any size.
 
-def _split_csv_line(c) -> Column:
-    return _csv_cells(_c(c))
+    Spark lists the files (their content is not read); each task opens its files
+    one after the other and stops at record ``n``, so a file costs a block or
+    two, or its first ``n`` records where those are longer.  A file that cannot
+    be opened, or that the csv module refuses, has its error and no preview; a
+    file without records has an empty preview.
+    """
+    from docweave.sources.listing import empty_files
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    listed = reader.load(paths).select("path").unionByName(empty_files(spark, paths, glob).select("path"))
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def heads(batches):
+        from docweave.sources.storage import open_store
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    store, at = open_store(path)
+                    with store.open_input_stream(at, buffer_size=1 << 16) as file:
+                        rows.append((path, *read_csv_head(file, n)))
+                except OSError as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "preview", "error"])
+
+    return listed.repartition(slots, "path").mapInPandas(heads, "path string, preview string, error string")
 
 
 # ---------------------------------------------------------------------------

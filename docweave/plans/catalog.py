@@ -926,16 +926,64 @@ def q_custom_extractor(spark, sf_dir):
         F.sum(F.char_length("text") + 1).alias("n_chars"))
 
 
-@register("csv_file_preview")
+@register("read_corpus_files", """
+SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(CASE WHEN doc_id % 50 = 0 THEN 0 ELSE strlen(COALESCE(text, '')) END AS BIGINT) AS length,
+       CAST(NULL AS VARCHAR) AS error_class FROM documents
+UNION ALL SELECT 'missing', 0, 'not_found'
+""")
+def q_read_corpus_files(spark, sf_dir):
+    """A file per document, every 50th one empty: all of them are rows."""
+    from docweave.sources.files import read_corpus
+    root = _write_one_file_each(spark, sf_dir)
+    files = read_corpus(spark, root, glob="*.txt", wanted=[root + "/missing.txt"])
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("doc"), F.coalesce("length", F.lit(0)).alias("length"), "error_class")
+
+
+def _write_one_file_each(spark, sf_dir) -> str:
+    """documents as one text file each, every 50th one of no length."""
+    from docweave.operators.output import export_files
+    from docweave.sources.scratch import scratch_dir
+    root = scratch_dir(spark, "files")
+    text = F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    export_files(table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(f"{root}/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("target_path"), text.alias("saved_content")))
+    return root
+
+
+@register("csv_file_preview", """
+SELECT o_orderpriority AS priority, string_agg(line, chr(10) ORDER BY o_orderkey) AS preview, CAST(NULL AS VARCHAR) AS error FROM (
+  SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r,
+         o_orderkey || ', said "now,"' || chr(10) || 'on two lines' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ', ' || o_orderstatus END AS line
+  FROM orders) WHERE r <= 20 GROUP BY o_orderpriority
+""")
 def q_csv_file_preview(spark, sf_dir):
+    """A file per priority, with quotes, line breaks and empty cells in its records."""
     from docweave.operators.structured import csv_file_preview
     from docweave.sources.scratch import scratch_dir
     out = scratch_dir(spark, "csv")
-    (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-     .write.mode("overwrite").option("maxRecordsPerFile", 5000).csv(out))
-    return csv_file_preview(spark, out + "/*.csv").select(
-        F.char_length("preview").alias("n_chars"),
-        F.size(F.split("preview", "\n")).alias("n_lines"))
+    key = F.col("o_orderkey")
+    (table(spark, sf_dir, "orders").select(
+        "o_orderpriority", key, F.lit('said "now,"\non two lines').alias("note"),
+        F.when(key % 3 != 0, F.col("o_orderstatus")).alias("status"))
+     .repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+     .write.partitionBy("o_orderpriority").option("escape", '"').csv(out))
+    return csv_file_preview(spark, out, glob="*.csv").select(
+        F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1).alias("priority"), "preview", "error")
+
+
+@register("export_files", f"SELECT target_path, saved_content FROM ({_d_summarize()}) s WHERE saved_content IS NOT NULL")
+def q_export_files(spark, sf_dir):
+    """Every summary with a target in a file of its own, read back."""
+    from docweave.operators.output import export_files
+    from docweave.plans.summarize import summarize
+    from docweave.sources.files import decode_text, read_corpus
+    from docweave.sources.scratch import scratch_dir
+    req, docs = _req_pipeline(spark, sf_dir)
+    root = scratch_dir(spark, "exported")
+    out = summarize(req, docs, M.LeadProvider(), initial_delay=0.0)
+    export_files(out.withColumn("target_path", F.concat(F.lit(f"{root}/"), "target_path")))
+    return read_corpus(spark, root).select(
+        F.substring_index("path", "/", -2).alias("target_path"), decode_text("content", fold_newlines=False).alias("saved_content"))
 
 
 @register("write_summaries", _d_summarize())
@@ -954,30 +1002,46 @@ def q_write_summaries(spark, sf_dir):
 
 # ---------------------------------------------------------------------------
 # Streaming: documents written as files, summarised by an availableNow stream
-@register("stream_summaries")
+@register("stream_summaries", f"""
+SELECT CAST(doc_id AS VARCHAR) AS title, '.txt' AS ext, 'text' AS kind, CAST(length(t) AS BIGINT) AS n_chars,
+       array_to_string(list_transform({_d_chunks('t')}, lambda c: {_d_lead('c', 2)}), chr(10) || chr(10)) AS summary,
+       CAST(NULL AS VARCHAR) AS error_class
+FROM (SELECT doc_id, replace(replace(CASE WHEN doc_id % 50 = 0 THEN '' ELSE COALESCE(text, '') END,
+                                     chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)
+""")
 def q_stream_summaries(spark, sf_dir):
     from docweave.sources.scratch import scratch_dir
     from docweave.streaming.incremental import run_incremental
-    src = _write_document_files(spark, sf_dir)
+    src = _write_one_file_each(spark, sf_dir)
     sink = scratch_dir(spark, "stream-sink")
     run_incremental(spark, src, sink, scratch_dir(spark, "stream-ckpt"), glob="*.txt")
-    return spark.read.parquet(sink).select("ext", "kind", "n_chars", "summary", "error_class")
+    return spark.read.parquet(sink).select("title", "ext", "kind", F.col("n_chars").cast("long").alias("n_chars"), "summary", "error_class")
 
 
-@register("stream_loader_report")
+@register("stream_loader_report", """
+SELECT ext, count(*) AS n_files, count(*) FILTER (WHERE error_class IS NULL) AS n_ok, max(error_class) AS error_class,
+       bool_and(bool_and(error_class IS NULL)) OVER () AS all_ok
+FROM (SELECT '.txt' AS ext, CAST(NULL AS VARCHAR) AS error_class FROM documents
+      UNION ALL SELECT '.html', NULL FROM pages
+      UNION ALL SELECT '.json', CASE WHEN c_custkey % 10 = 0 THEN 'bad_json' END FROM customer
+      UNION ALL SELECT '.part', 'unsupported_type' FROM supplier) GROUP BY ext
+""")
 def q_stream_loader_report(spark, sf_dir):
-    # documents as text files, orders as CSV files, events as JSON-lines files
-    # (a JSON-lines file is not one JSON value: those land in quarantine)
+    """Documents, pages, customers and suppliers as files of four kinds; a tenth
+    of the customers is no JSON."""
+    from docweave.operators.output import export_files
     from docweave.sources.scratch import scratch_dir
     from docweave.streaming.incremental import run_incremental_report
-    root = scratch_dir(spark, "stream-corpus")
-    (table(spark, sf_dir, "documents").select("text").write.mode("overwrite")
-     .option("maxRecordsPerFile", FILE_DOCS).text(root + "/documents"))
-    (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-     .write.mode("overwrite").option("maxRecordsPerFile", 5000).csv(root + "/orders"))
-    (table(spark, sf_dir, "events").select("event_id", "event_type", "props")
-     .write.mode("overwrite").option("maxRecordsPerFile", 5000).json(root + "/events"))
+    root = _write_one_file_each(spark, sf_dir)
+
+    def write(name, key, ext, text):
+        rows = table(spark, sf_dir, name)
+        target = F.concat(F.lit(f"{root}/{name}/"), F.col(key).cast("string"), F.lit(ext))
+        export_files(rows.select(target.alias("target_path"), text.alias("saved_content")))
+
+    write("pages", "page_id", ".html", F.coalesce("html", F.lit("")))
+    write("customer", "c_custkey", ".json", F.when(F.col("c_custkey") % 10 == 0, F.lit('{"broken": ')).otherwise(F.to_json(F.struct("c_custkey"))))
+    write("supplier", "s_suppkey", ".part", F.lit("not a known kind"))
     report = scratch_dir(spark, "stream-report")
-    run_incremental_report(spark, root, report, scratch_dir(spark, "stream-report-ckpt"),
-                           glob="part-*")
+    run_incremental_report(spark, root, report, scratch_dir(spark, "stream-report-ckpt"))
     return spark.read.parquet(report).select("ext", "n_files", "n_ok", "error_class", "all_ok")

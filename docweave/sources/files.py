@@ -23,6 +23,7 @@ from docweave.functions.jsontext import pretty_one, safe_text
 from docweave.operators.structured import (
     XML_ELEMENT, csv_head, notebook_text, outline_of_elements, xml_rows_one)
 from docweave.sources.formats import FORMATS, route_by_extension
+from docweave.sources.listing import empty_files
 
 TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, text string, " \
               "error_class string, error string"
@@ -33,7 +34,7 @@ DEFAULT_MAX_BYTES = (1 << 31) - 16
 
 
 def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True,
-                wanted: list[str] | None = None, include_empty: bool = False,
+                wanted: list[str] | None = None, include_empty: bool = True,
                 max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
     """``(path, modificationTime, length, content, error_class, error)``
     per file.
@@ -41,10 +42,9 @@ def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive:
     ``wanted`` lists paths the caller expects; those not found come back as
     rows with null content and ``error_class='not_found'`` (left-anti join of
     the wanted paths against the listing).  The ``binaryFile`` scan skips
-    zero-length files; ``include_empty`` adds them back as rows with empty
-    content (from Spark's own file listing, anti-joined with the scan) - off
-    by default because it turns the listing into a driver-built DataFrame.
-    Files over ``max_bytes`` are not read: they come back as ``too_large``
+    zero-length files; they come as rows with empty content from a listing on
+    the executors (``sources/listing.py``).  ``include_empty=False`` leaves them
+    out, for a store that only Spark's own readers can open.  Files over ``max_bytes`` are not read: they come back as ``too_large``
     rows from a metadata-only scan (``binaryFile`` skips the content when it
     is not selected, and the length filter is applied while listing), so one
     huge file cannot fail the job.
@@ -66,13 +66,9 @@ def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive:
     # only local paths have several spellings; other schemes are compared as they are
     canon = lambda c: F.when(c.rlike("^(file:|/)"), F.regexp_replace(c, "^(file:)?/*", "file:/")).otherwise(c)
     if include_empty:
-        listed = spark.createDataFrame([(p,) for p in scanned.inputFiles()], "path string")
-        empty = listed.select(canon(F.col("path")).alias("path")).join(
-            scanned.select(canon(F.col("path")).alias("path")), "path", "left_anti").select(
-            "path", F.lit(None).cast("timestamp").alias("modificationTime"),
-            F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content"),
-            F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
-        files = files.withColumn("path", canon(F.col("path"))).unionByName(empty)
+        empty = empty_files(spark, paths, glob, recursive).withColumns(
+            {"error_class": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+        files = files.unionByName(empty)
     if wanted:
         want = spark.createDataFrame([(p,) for p in wanted], "path string") \
             .withColumn("path", canon(F.col("path")))

@@ -7,8 +7,9 @@ extracts text, summarises it and appends to a Parquet sink.  Progress lives
 in the checkpoint folder, so a restarted or failed job resumes where it
 stopped and never re-reads a file it has committed.
 
-No aggregation is involved, so no watermark or state store is needed: the
-query is a stateless map from file to summary row.
+No aggregation is involved, so no watermark is needed: the query maps a file to
+its summary row.  The one state is the set of zero-length files seen, which the
+file source does not deliver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import local_summary, shorten_title
 from docweave.sources.files import DEFAULT_MAX_BYTES, load_corpus_text
+from docweave.sources.listing import empty_files
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 SUMMARY_COLS = ["path", "name", "title", "ext", "kind", "n_chars", "summary", "error_class", "error"]
@@ -30,7 +32,9 @@ def file_stream(spark: SparkSession, source_dir: str, glob: str | None = None,
                 max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
     """New files as rows.  Files over ``max_bytes`` arrive as ``too_large``
     rows from a second, content-free stream over the same folder, so one
-    huge file neither fails the query nor disappears."""
+    huge file neither fails the query nor disappears.  Files of no length, which
+    the file source leaves out, arrive from a listing of their own, once each
+    (state: the paths of the empty files seen)."""
     def source():
         reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
                   .option("recursiveFileLookup", "true"))
@@ -45,6 +49,8 @@ def file_stream(spark: SparkSession, source_dir: str, glob: str | None = None,
         readable = readable.where(F.col("length") <= max_bytes)
     files = (readable.withColumn("error_class", F.lit(None).cast("string"))
                      .withColumn("error", F.lit(None).cast("string")))
+    files = files.unionByName(empty_files(spark, source_dir, glob, stream=True).withColumns(
+        {"error_class": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}))
     if not max_bytes:
         return files
     too_large = source().where(F.col("length") > max_bytes).select(
