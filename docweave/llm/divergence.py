@@ -34,6 +34,8 @@ TILE = 64
 #: Terms of a class (log2 of the occurrences) up to this one are taken a slot at
 #: a time, others 64 at a time.
 RARE = 6
+#: The groups' totals are broadcast up to this many bytes, and dealt beyond.
+BROADCAST_BYTES = 16 << 20
 #: Counts a worker holds before it passes them on.
 HELD = 400_000
 
@@ -185,7 +187,7 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("held"))
     groups = stash(cells.where(F.length("term") == 0).select("lang", "source").distinct()
                    .join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
-                   .select("lang", "source", (F.coalesce("held", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("whole"),
+                   .select("lang", "source", "v", "t_whole", (F.coalesce("held", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("whole"),
                            (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("gid"))
                    .withColumn("tile", F.floor(F.col("gid") / TILE)), "groups")
 
@@ -211,7 +213,10 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
     p, q = _share(F.col("n"), F.col("whole")), _share(F.col("t_n"), F.col("v") + F.col("t_whole"))
-    over = (kept.join(groups.select("lang", "source", "whole"), ["lang", "source"]).join(langs, "lang")
+    totals = groups.select("lang", "source", "v", "t_whole", "whole")
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
+    # broadcast, the cells stay where they are, and each task cuts a group to its top before they meet
+    over = (kept.join(F.broadcast(totals) if size <= BROADCAST_BYTES else totals, ["lang", "source"])
             .select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), p.alias("p"), q.alias("q"))
             .where("p > q").select("lang", "source", "part", "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
