@@ -1,6 +1,6 @@
 """Part assembly (A1-A4): document text from ordered parts.
 
-Two forms of every rule:
+Three forms of the rules:
 
 * in-row, over an ``array<string>`` column of parts already inside the
   document row - no shuffle;
@@ -9,12 +9,14 @@ Two forms of every rule:
   text that survives *before* the shuffle, and every concat sorts on an
   explicit position (``collect_list`` order is never relied on).  The
   aggregated value is the document's own text, so its size is bounded by
-  the document, not by the data set.
+  the document, not by the data set;
+* as rows (``part_rows``), for documents that fit no row: every part with its
+  place in the document's text, in blocks that many tasks share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators.structured import PREVIEW_ROWS, _ordered_concat, table_preview
@@ -63,6 +65,49 @@ def assemble_pages(pages: DataFrame, key_cols=("doc_id",), order_col: str = "pag
     return assemble_paragraphs(pages, key_cols, order_col, text_col, out)
 
 
+#: Parts of one block of a document.
+BLOCK_PARTS = 1_024
+
+
+def part_rows(parts: DataFrame, key_cols=("doc_id",), order_col: str = "part_no", text_col: str = "text",
+              sep: str = PART_SEP, block_parts: int = BLOCK_PARTS) -> DataFrame:
+    """A1/A3 as rows: ``(*keys, order, start, text)`` of the parts that are not
+    blank; ``start`` is the place of the part's first character in the text that
+    ``assemble_paragraphs`` would give, ``sep`` between parts counted.
+
+    Blocks are ``block_parts`` consecutive part numbers.  Their lengths, one row
+    a block, are summed up along a document, and the places within a block on
+    their own, so no task sees more than a block of any document.  Equal numbers
+    go by their text, parts without a number come first, in one block.
+    """
+    keys = list(key_cols)
+    block = F.coalesce(F.floor(F.col(order_col) / block_parts), F.lit(-(1 << 62))).cast("long")
+    kept = parts.where(~is_blank(text_col)).select(*keys, order_col, F.col(text_col).alias("text"), block.alias("_block"),
+                                                   (F.char_length(text_col) + len(sep)).cast("long").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept.groupBy(*keys, "_block").agg(F.sum("_n").alias("_sum")).select(
+        *keys, "_block", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    for c in keys:  # null keys are documents too
+        blocks = blocks.withColumnRenamed(c, f"_k_{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [kept["_block"] == blocks["_block"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    within = Window.partitionBy(*keys, kept["_block"]).orderBy(F.col(order_col).asc_nulls_first(), "text").rowsBetween(Window.unboundedPreceding, -1)
+    return kept.join(blocks, on, "left").select(
+        *keys, order_col, (F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("start"), "text")
+
+
+def write_part_rows(rows: DataFrame, path: str, key_cols=("doc_id",), files: int | None = None) -> None:
+    """Write ``part_rows`` as Parquet whose files, and rows within, follow the
+    order of the texts: ranges of (keys, start), so a large document is written
+    by many tasks."""
+    order = [*key_cols, "start"]
+    spark = rows.sparkSession
+    n = int(files or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def slide_text(slide_no, shape_texts) -> Column:
     """A2 in-row: ``Slide n: `` + shape texts joined by newline.
 

@@ -13,6 +13,7 @@ from docweave.sources.scratch import scratch_dir
 
 # ---- fixed values ----------------------------------------------------------
 MSG_TARGET_MISMATCH = "Output file extension '{suffix}' does not match requested format '{fmt}'"
+REPLY_KEYS = ("document_title", "short_description", "short_summary", "full_summary")
 # -----------------------------------------------------------------------------
 
 
@@ -36,6 +37,28 @@ def normalize_output(content, output_format) -> Column:
     return F.when(_c(output_format) == "json", as_json).otherwise(cleaned)
 
 
+def json_reply(content) -> Column:
+    """The json reply as columns: struct(document_title, short_description,
+    short_summary, full_summary, status, error).
+
+    The reply is stripped and one code fence removed, as for saving.  It is
+    ``ok`` if it is a JSON object that has the four keys; a value that is no
+    string is its JSON text, a further key is let be.  Otherwise the status is
+    ``bad_reply`` and the error says what is wrong; keys that are there keep
+    their values.  A null reply is ``bad_reply`` too.  Both feed ``degrade_errors``.
+    """
+    clean = strip_text(strip_fence(strip_text(content)))
+    fields = ", ".join(f"{k} string" for k in REPLY_KEYS)
+    read = F.from_json(clean, f"{fields}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    is_object = clean.startswith("{") & read.isNotNull() & read["_corrupt"].isNull()
+    lacking = F.array_compact(F.array(*[F.when(read[k].isNull(), F.lit(k)) for k in REPLY_KEYS]))
+    error = (F.when(clean.isNull() | (clean == ""), F.lit("the reply is empty"))
+              .when(~F.coalesce(is_object, F.lit(False)), F.lit("the reply is not a JSON object"))
+              .when(F.size(lacking) > 0, F.concat(F.lit("the reply lacks "), F.array_join(lacking, ", "))))
+    return F.struct(*[F.when(is_object, read[k]).alias(k) for k in REPLY_KEYS],
+                    F.when(error.isNull(), F.lit("ok")).otherwise(F.lit("bad_reply")).alias("status"), error.alias("error"))
+
+
 def resolve_target(target, output_format) -> Column:
     """O2: struct(path, error).  No suffix: the format's is appended; another
     suffix (exact, case-sensitive compare) is an error."""

@@ -31,83 +31,139 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------------------
 # S6a / S6b  XML
-XML_ELEMENT = T.StructType([
-    T.StructField("seq", T.IntegerType()), T.StructField("level", T.IntegerType()),
-    T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()),
-    T.StructField("attrs", T.ArrayType(T.StructType([T.StructField("k", T.StringType()),
-                                                     T.StructField("v", T.StringType())]))),
-    T.StructField("text", T.StringType())])
-XML_PARSED = T.StructType([T.StructField("elements", T.ArrayType(XML_ELEMENT)),
-                           T.StructField("error", T.StringType())])
-
-
-def xml_rows_one(raw):
-    """(element rows, error) for one XML string; malformed -> one raw row."""
+#: Characters given to a parser at a time, and rows of a batch, at most.
+FED = 1 << 16
+BATCH = 2_048
+
+
+class _Ignore:
+    """A parser target that keeps nothing: what remains is the check."""
+
+    def close(self):
+        return None
+
+
+def _fed(parser, raw: str):
+    for at in range(0, len(raw), FED):
+        parser.feed(raw[at:at + FED])
+        yield
+    parser.close()
+    yield
+
+
+def xml_error(raw: str) -> str | None:
+    """Why ``raw`` is no XML document; nothing of it is kept in memory."""
     import xml.etree.ElementTree as ET
 
-    if raw is None:
-        return None, None
     try:
-        root = ET.fromstring(raw)
+        for _ in _fed(ET.XMLParser(target=_Ignore()), raw):
+            pass
     except ET.ParseError as e:
-        return ([{"seq": 0, "level": 0, "kind": "raw", "tag": None, "attrs": None, "text": raw}],
-                f"ParseError: {e}")
-    rows = []
-    # iterative pre-order walk: (element, level, closing?)
-    stack = [(root, 0, False)]
-    while stack:
-        el, lvl, closing = stack.pop()
-        if closing:
-            rows.append({"seq": len(rows), "level": lvl, "kind": "close",
-                         "tag": el.tag, "attrs": None, "text": None})
-            continue
-        rows.append({"seq": len(rows), "level": lvl, "kind": "open", "tag": el.tag,
-                     "attrs": [{"k": k, "v": v} for k, v in el.attrib.items()], "text": None})
-        if el.text and el.text.strip():
-            rows.append({"seq": len(rows), "level": lvl, "kind": "text", "tag": el.tag,
-                         "attrs": None, "text": el.text.strip()})
-        stack.append((el, lvl, True))
-        for child in reversed(list(el)):
-            stack.append((child, lvl + 1, False))
-    return rows, None
-
-
-@F.pandas_udf(XML_PARSED)
-def _xml_shred(s: pd.Series) -> pd.DataFrame:
-    pairs = [xml_rows_one(v) for v in s]
-    return pd.DataFrame({"elements": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
-
-
-def xml_parse(c) -> Column:
-    """S6a (in-row): struct(elements array, error) per document."""
-    return _xml_shred(_c(c))
+        return f"ParseError: {e}"
+    return None
+
+
+def xml_steps(raw: str):
+    """(kind, level, tag, attributes, text) of a well-formed document in order:
+    'open', the element's leading text, 'close'.  Elements are let go as they
+    end, so memory is that of the open ones; a malformed document raises."""
+    import xml.etree.ElementTree as ET
+
+    parser = ET.XMLPullParser(("start", "end"))
+    above: list = []  # the open elements; whether their leading text is out
+
+    def leading():
+        if above and not above[-1][1]:
+            above[-1][1] = True
+            el = above[-1][0]
+            if el.text and el.text.strip():
+                yield "text", len(above) - 1, el.tag, None, el.text.strip()
+
+    for _ in _fed(parser, raw):
+        for event, el in parser.read_events():
+            yield from leading()
+            if event == "start":
+                yield "open", len(above), el.tag, el.attrib, None
+                above.append([el, False])
+            else:
+                above.pop()
+                yield "close", len(above), el.tag, None, None
+                if above:
+                    above[-1][0].remove(el)
 
 
 def xml_elements(df: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    """S6a (row form): ``(*keys, seq, level, kind, tag, attrs map, text)``."""
-    parsed = df.select(*key_cols, xml_parse(text_col).alias("_x"))
-    rows = parsed.select(*key_cols, F.explode("_x.elements").alias("e"))
-    return rows.select(*key_cols, "e.seq", "e.level", "e.kind", "e.tag",
-                       F.map_from_entries("e.attrs").alias("attrs"), "e.text")
+    """``(*keys, seq, level, kind, tag, attrs map, text)``, a row an element
+    part; a malformed document is one ``raw`` row, a null one none.
 
+    A document is checked first and then walked by a pull parser; its rows leave
+    in bounded batches, however many elements it has.
+    """
+    import pyarrow as pa
+
+    keys = list(key_cols)
+    schema = pa.schema([("seq", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+                        ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            of, rows = [], []  # the documents of the rows, and the rows
+
+            def out():
+                parts = zip(*rows)
+                columns = [pa.array(list(c), f.type) for c, f in zip(parts, schema)]
+                taken = batch.select(keys).take(pa.array(of, pa.int64()))
+                return pa.RecordBatch.from_arrays(taken.columns + columns, names=keys + schema.names)
+
+            texts = batch.column(batch.schema.names.index("__xml"))
+            for i in range(batch.num_rows):
+                raw = texts[i].as_py()
+                if raw is None:
+                    continue
+                bad = xml_error(raw) is not None
+                steps = [("raw", 0, None, None, raw)] if bad else xml_steps(raw)
+                for seq, (kind, level, tag, attrs, text) in enumerate(steps):
+                    of.append(i)
+                    rows.append((seq, level, kind, tag, None if attrs is None else list(attrs.items()), text))
+                    if len(rows) >= BATCH:
+                        yield out()
+                        of, rows = [], []
+            if rows:
+                yield out()
+
+    kept = df.select(*keys, F.col(text_col).alias("__xml"))
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return kept.mapInArrow(run, f"{key_schema}, seq int, level int, kind string, tag string, attrs map<string,string>, text string")
+
+
+def xml_outline_one(raw: str | None) -> str | None:
+    """S6b of one document; malformed XML is its own outline."""
+    import xml.etree.ElementTree as ET
 
-def _xml_line(e: Column) -> Column:
-    indent = F.repeat(F.lit("  "), e["level"])
-    attrs = F.array_join(F.transform(e["attrs"], lambda a: F.concat(
-        F.lit(" "), a["k"], F.lit('="'), a["v"], F.lit('"'))), "")
-    return (F.when(e["kind"] == "open", F.concat(indent, F.lit("<"), e["tag"], attrs, F.lit(">")))
-            .when(e["kind"] == "text", F.concat(indent, F.lit("  "), e["text"]))
-            .when(e["kind"] == "close", F.concat(indent, F.lit("</"), e["tag"], F.lit(">")))
-            .otherwise(e["text"]))
+    if raw is None:
+        return None
+    lines = []
+    try:
+        for kind, level, tag, attrs, text in xml_steps(raw):
+            if kind == "open":
+                lines.append("  " * level + "<" + tag + "".join(f' {k}="{v}"' for k, v in attrs.items()) + ">")
+            elif kind == "text":
+                lines.append("  " * level + "  " + text)
+            else:
+                lines.append("  " * level + "</" + tag + ">")
+    except ET.ParseError:
+        return raw
+    return "\n".join(lines)
 
 
-def outline_of_elements(elements) -> Column:
-    return F.array_join(F.transform(elements, _xml_line), "\n")
+@F.pandas_udf(T.StringType())
+def _xml_outline(s: pd.Series) -> pd.Series:
+    return pd.Series([xml_outline_one(v) for v in s], dtype=object)
 
 
 def xml_outline(c) -> Column:
     """Indented outline; malformed XML gives the raw text unchanged."""
-    return outline_of_elements(xml_parse(c)["elements"])
+    return _xml_outline(_c(c))
 
 
 # ---------------------------------------------------------------------------
@@ -176,7 +232,12 @@ def csv_file_preview(spark, paths, n: int = PREVIEW_ROWS, glob: str | None = Non
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(paths).select("path").unionByName(empty_files(spark, paths, glob).select("path"))
+    return csv_heads(reader.load(paths).select("path").unionByName(empty_files(spark, paths, glob).select("path")), n)
+
+
+def csv_heads(listed: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
+    """``(path, preview, error)`` of the CSV files that ``listed`` (path) names."""
+    spark = listed.sparkSession
     slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def heads(batches):
@@ -242,13 +303,98 @@ _NB_LIST = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"
 _NB_STR = "struct<cells:array<struct<cell_type:string,source:string>>>"
 
 
+#: Notebooks above so many characters are read in Python: the JVM's JSON reader
+#: refuses strings that are longer than 20 million.
+LARGE_NOTEBOOK = 8_000_000
+
+
+def notebook_cells_one(raw: str):
+    """(cell type, source) of a notebook's cells, blank ones included; ValueError
+    where it is no JSON object."""
+    import json
+
+    try:
+        nb = json.loads(raw)
+    except RecursionError as e:
+        raise ValueError(str(e)) from e
+    if not isinstance(nb, dict):
+        raise ValueError("notebook is not a JSON object")
+    plain = lambda x: x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    cells = nb.get("cells")
+    for cell in cells if isinstance(cells, list) else ():
+        source = cell.get("source") if isinstance(cell, dict) else None
+        kind = cell.get("cell_type") if isinstance(cell, dict) else None
+        if isinstance(source, list):
+            source = "".join(plain(x) for x in source if x is not None)
+        yield (None if kind is None else plain(kind)), ("" if source is None else plain(source))
+
+
+def notebook_text_one(raw: str | None):
+    """(text, error) of one notebook."""
+    if raw is None:
+        return None, None
+    try:
+        parts = [[CODE_CELL_MARK, s] if kind == "code" else [s] for kind, s in notebook_cells_one(raw) if s.strip()]
+    except ValueError as e:
+        return None, safe_text(str(e))
+    return safe_text("\n\n".join(x for p in parts for x in p)), None
+
+
+@F.pandas_udf(T.StringType())
+def _large_notebook(s: pd.Series) -> pd.Series:
+    return pd.Series([notebook_text_one(v)[0] for v in s], dtype=object)
+
+
+def notebook_cells(df: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """S9 as rows: ``(*keys, cell_no, cell_type, text)`` of the non-blank cells,
+    in bounded batches; cells keep the numbers they have in the notebook.  What
+    is no notebook has no rows."""
+    import pyarrow as pa
+
+    keys = list(key_cols)
+    schema = pa.schema([("cell_no", pa.int32()), ("cell_type", pa.string()), ("text", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("__nb"))
+            for i in range(batch.num_rows):
+                raw, rows, size = texts[i].as_py(), [], 0
+                if raw is None:
+                    continue
+                try:
+                    cells = list(notebook_cells_one(raw))
+                except ValueError:
+                    continue
+                del raw
+                for n, (kind, source) in enumerate(cells):
+                    if source.strip():
+                        rows.append((n, kind, safe_text(source)))
+                        size += len(source)
+                    if rows and (len(rows) >= BATCH or size >= 1 << 22 or n == len(cells) - 1):
+                        columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)]
+                        taken = batch.select(keys).take(pa.array([i] * len(rows), pa.int64()))
+                        yield pa.RecordBatch.from_arrays(taken.columns + columns, names=keys + schema.names)
+                        rows, size = [], 0
+
+    kept = df.select(*keys, F.col(text_col).alias("__nb"))
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return kept.mapInArrow(run, f"{key_schema}, cell_no int, cell_type string, text string")
+
+
 def notebook_text(c) -> Column:
     """Non-blank cells; code cells preceded by '# code cell'; blank-line join.
 
-    A cell's source may be a list of strings or one string: the JSON is read
-    under both schemas and the non-null reading is used.
+    A notebook of ordinary size stays in the JVM (``_notebook_text``), a large
+    one is read in Python; the rule is the same.
     """
     col = _c(c)
+    large = F.char_length(col) > LARGE_NOTEBOOK
+    return F.when(large, _large_notebook(F.when(large, col))).otherwise(_notebook_text(F.when(~large, col)))
+
+
+def _notebook_text(col: Column) -> Column:
+    """A cell's source may be a list of strings or one string: the JSON is read
+    under both schemas and the non-null reading is used."""
     as_list = F.from_json(col, _NB_LIST)["cells"]
     as_str = F.from_json(col, _NB_STR)["cells"]
     cells = F.zip_with(as_list, as_str, lambda a, b: F.struct(

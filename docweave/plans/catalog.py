@@ -857,6 +857,82 @@ def q_summarize(spark, sf_dir):
                      initial_delay=0.0)
 
 
+# ---------------------------------------------------------------------------
+# Documents as rows, for those that fit no row; the reply contract as columns
+
+# a language's documents as the parts of one text
+@register("part_rows", """
+SELECT lang, doc_id, text, CAST(coalesce(sum(length(text) + 2) OVER (
+         PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')
+""")
+def q_part_rows(spark, sf_dir):
+    """Written in order by many tasks, and read back."""
+    from docweave.operators.assemble import part_rows, write_part_rows
+    from docweave.sources.scratch import scratch_dir
+    out = scratch_dir(spark, "parts")
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    write_part_rows(part_rows(docs, ("lang",), "doc_id", block_parts=64), out, ("lang",))
+    return spark.read.parquet(out)
+
+
+# one notebook per conversation turn, as in notebook_text; its cells as rows
+@register("notebook_cells", r"""
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS cell_no, CASE WHEN (i - 1) % 3 = 0 THEN 'code' ELSE 'markdown' END AS cell_type,
+       CASE WHEN (i - 1) % 2 = 0 THEN l || chr(10) ELSE l END AS text
+FROM (SELECT conv_id, turn, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i
+      FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations))
+WHERE trim(l, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+""")
+def q_notebook_cells(spark, sf_dir):
+    from docweave.operators.structured import notebook_cells
+    conv = table(spark, sf_dir, "conversations")
+    return notebook_cells(conv.select("conv_id", "turn", _nb_json_spark(F.col("text")).alias("nb")), "nb", ("conv_id", "turn"))
+
+
+# each language's documents in one text file, cut into small blocks
+@register("big_text_summaries", f"""
+SELECT lang, CAST(length(t) AS BIGINT) AS n_chars,
+       array_to_string(list_transform({_d_chunks('t')}, lambda c: {_d_lead('c', 2)}), chr(10) || chr(10)) AS summary
+FROM (SELECT lang, string_agg(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10), '' ORDER BY doc_id) AS t
+      FROM documents GROUP BY lang)
+""")
+def q_big_text_summaries(spark, sf_dir):
+    from docweave.sources.bigtext import big_text_summaries
+    from docweave.sources.files import read_corpus
+    from docweave.sources.scratch import scratch_dir
+    out = scratch_dir(spark, "bigtext")
+    (table(spark, sf_dir, "documents").select("lang", "doc_id", "text").repartition("lang").sortWithinPartitions("lang", "doc_id")
+     .select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(out))
+    files = read_corpus(spark, out, glob="*.txt").select("path", "length")
+    return big_text_summaries(files, block_bytes=1 << 16).select(
+        F.regexp_extract("path", _LANG_OF_PATH, 1).alias("lang"), "n_chars", "summary")
+
+
+# replies made of the documents: fenced and bare, whole, lacking a key, broken
+_REPLY_TEXT = "substring(COALESCE(text, ''), 1, 200)"
+
+
+@register("json_reply", f"""
+SELECT doc_id, CASE WHEN kind <> 4 THEN lang END AS document_title, CASE WHEN kind <> 4 THEN t END AS short_description,
+       CASE WHEN kind IN (0, 1, 3) THEN source WHEN kind = 2 THEN CAST(doc_id AS VARCHAR) END AS short_summary,
+       CASE WHEN kind IN (0, 1, 2) THEN t END AS full_summary,
+       CASE WHEN kind <= 2 THEN 'ok' ELSE 'bad_reply' END AS status,
+       CASE kind WHEN 3 THEN 'the reply lacks full_summary' WHEN 4 THEN 'the reply is not a JSON object' END AS error
+FROM (SELECT doc_id, lang, source, doc_id % 5 AS kind, {_REPLY_TEXT} AS t FROM documents)
+""")
+def q_json_reply(spark, sf_dir):
+    from docweave.operators.output import json_reply
+    t, kind = F.substring(F.coalesce("text", F.lit("")), 1, 200), F.col("doc_id") % 5
+    whole = [F.col("lang").alias("document_title"), t.alias("short_description"), F.col("source").alias("short_summary")]
+    number = F.struct(*whole[:2], F.col("doc_id").alias("short_summary"), t.alias("full_summary"))
+    content = (F.when(kind == 0, F.to_json(F.struct(*whole, t.alias("full_summary"))))
+                .when(kind == 1, F.concat(F.lit("```json\n"), F.to_json(F.struct(*whole, t.alias("full_summary"))), F.lit("\n```\n")))
+                .when(kind == 2, F.to_json(number)).when(kind == 3, F.to_json(F.struct(*whole)))
+                .otherwise(F.concat(F.lit('{"document_title": '), F.col("lang"))))
+    return table(spark, sf_dir, "documents").select("doc_id", json_reply(content).alias("r")).select("doc_id", "r.*")
+
+
 # ---------------------------------------------------------------------------
 # S1, S3, U1, S7 (files), O3: files written by Spark from the supplied tables
 # into the shared checkpoint folder, then read back as a corpus.

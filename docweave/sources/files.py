@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 
 from docweave.functions.html import join_text_nodes, mark_text_nodes, shown, unescape_one
 from docweave.functions.jsontext import pretty_one, safe_text
-from docweave.operators.structured import (
-    XML_ELEMENT, csv_head, notebook_text, outline_of_elements, xml_rows_one)
+from docweave.operators.structured import LARGE_NOTEBOOK, _notebook_text, csv_head, notebook_text_one, xml_outline_one
 from docweave.sources.formats import FORMATS, route_by_extension
 from docweave.sources.listing import empty_files
 
@@ -115,17 +114,15 @@ def _custom_udf(extractors: dict[str, Callable[[bytes], str]]):
     return run
 
 
-_FUSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType()),
-                       T.StructField("elements", T.ArrayType(XML_ELEMENT))])
 _TEXT_ERROR = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(_FUSED)
+@F.pandas_udf(_TEXT_ERROR)
 def _extract_py(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
     """The Python half of every built-in format, one Arrow hop per row."""
-    texts, errors, elements = [], [], []
+    texts, errors = [], []
     for k, v in zip(kind, payload):
-        t = e = el = None
+        t = e = None
         if v is not None:
             if k == "html":
                 t = safe_text(unescape_one(shown(v)))
@@ -134,11 +131,12 @@ def _extract_py(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
             elif k == "csv":
                 t, e = csv_head(v)
             elif k == "xml":
-                el, e = xml_rows_one(v)
+                t = xml_outline_one(v)
+            elif k == "notebook":
+                t, e = notebook_text_one(v)
         texts.append(t)
         errors.append(e)
-        elements.append(el)
-    return pd.DataFrame({"text": texts, "error": errors, "elements": elements})
+    return pd.DataFrame({"text": texts, "error": errors})
 
 
 def extract_text(routed: DataFrame, content_col: str = "content",
@@ -156,9 +154,6 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     folded = F.regexp_replace(unfolded, "\r\n?", "\n")
     kind, ext = F.col("kind"), F.col("ext")
 
-    def only(k, x):
-        return F.when(kind == k, x)
-
     is_custom = ext.isin(*custom.keys()) if custom else F.lit(False)
     if custom:
         cust = _custom_udf(custom)(F.when(is_custom & F.col("error_class").isNull(), ext),
@@ -169,15 +164,18 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     # errors found earlier (missing file, unknown type) win; routing never
     # flags an extension that has a user extractor
     pre_error = F.col("error_class").isNotNull()
+    large = F.char_length(folded) > LARGE_NOTEBOOK  # beyond what the JVM's JSON reader takes
     # JVM pre-pass per format, then one Python call for all of them
     payload = (F.when(pre_error | is_custom, F.lit(None).cast("string"))
                 .when(kind == "html", mark_text_nodes(folded))
                 .when(kind.isin("json", "xml"), folded)
+                .when((kind == "notebook") & large, folded)
                 .when(kind == "csv", unfolded))
-    py = _extract_py(kind, payload)  # struct(text, error, elements)
+    py = _extract_py(kind, payload)  # struct(text, error)
     # a notebook must be a JSON object (VARIANT parse is JVM-side)
-    nb_bad = (kind == "notebook") & ~is_custom & (
-        F.try_parse_json(only("notebook", folded)).isNull() | ~folded.rlike(r"^[ \t\n\r]*\{"))
+    small = F.when((kind == "notebook") & ~large, folded)
+    nb_bad = (kind == "notebook") & ~is_custom & F.when(large, py["error"].isNotNull()).otherwise(
+        F.try_parse_json(small).isNull() | ~small.rlike(r"^[ \t\n\r]*\{"))
     json_bad = (kind == "json") & ~is_custom & py["error"].isNotNull()
     csv_bad = (kind == "csv") & ~is_custom & py["error"].isNotNull()
     text = (F.when(pre_error, F.lit(None).cast("string"))
@@ -185,10 +183,11 @@ def extract_text(routed: DataFrame, content_col: str = "content",
              .when(kind == "text", folded)
              .when(kind == "html", join_text_nodes(py["text"]))
              .when(kind == "json", py["text"])
-             .when(kind == "xml", outline_of_elements(py["elements"]))
+             .when(kind == "xml", py["text"])
              .when(kind == "csv", py["text"])
              .when(nb_bad, F.lit(None).cast("string"))
-             .when(kind == "notebook", notebook_text(folded)))
+             .when((kind == "notebook") & large, py["text"])
+             .when(kind == "notebook", _notebook_text(small)))
     err_class = (F.when(pre_error, F.col("error_class"))
                   .when(is_custom & cust_err.isNotNull(), F.lit("extractor_error"))
                   .when(json_bad | nb_bad, F.lit("bad_json"))

@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import local_summary, shorten_title
+from docweave.operators.structured import csv_heads
+from docweave.sources.bigtext import BLOCK_BYTES, big_text_summaries
 from docweave.sources.files import DEFAULT_MAX_BYTES, load_corpus_text
+from docweave.sources.formats import route_by_extension
 from docweave.sources.listing import empty_files
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -67,11 +70,35 @@ def summarize_files(files: DataFrame, extractors: dict[str, Callable[[bytes], st
     texts = load_corpus_text(files, extractors=extractors)
     return texts.select(
         "path", "name", shorten_title("stem").alias("title"), "ext", "kind",
-        F.char_length("text").alias("n_chars"),
+        F.char_length("text").cast("long").alias("n_chars"),
         F.when(F.col("error_class").isNull(), local_summary("text")).alias("summary"),
         "error_class", "error")
 
 
+def summarize_corpus(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None,
+                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``summarize_files`` for a batch with files of any size (``read_corpus``):
+    those too large for a cell are read in blocks where they are text, and by
+    their head where they are CSV; other formats stay ``too_large``."""
+    large = F.col("error_class") == "too_large"
+    found = summarize_files(files.where(~F.coalesce(large, F.lit(False))), extractors)
+    custom = [e.lower() for e in extractors or ()]
+    rest = route_by_extension(files.where(large).drop("content", "error_class", "error"), "path")
+    rest = rest.withColumn("how", F.when(F.col("ext").isin(*custom) if custom else F.lit(False), "none").otherwise(F.col("kind")))
+    texts = big_text_summaries(rest.where("how = 'text'").select("path", "length"), block_bytes=block_bytes)
+    heads = csv_heads(rest.where("how = 'csv'").select("path"))
+    heads = heads.select("path", F.char_length("preview").alias("n_chars"), local_summary("preview").alias("summary"),
+                         F.when(F.col("error").isNotNull(), F.lit("bad_csv")).alias("_class"), F.col("error").alias("_error"))
+    read = texts.withColumns({"_class": F.lit(None).cast("string"), "_error": F.lit(None).cast("string")}).unionByName(heads)
+    named = rest.select("path", "name", shorten_title("stem").alias("title"), "ext", "kind", "length", "how").join(read, "path", "left")
+    unread = ~F.coalesce(F.col("how").isin("text", "csv"), F.lit(False))
+    return found.unionByName(named.select(
+        "path", "name", "title", "ext", "kind", "n_chars", "summary",
+        F.when(unread, F.lit("too_large")).otherwise(F.col("_class")).alias("error_class"),
+        F.when(unread, F.concat(F.lit("File is too large for its format: "), F.col("length").cast("string"), F.lit(" bytes")))
+         .otherwise(F.col("_error")).alias("error")))
+
+
 def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                     glob: str | None = None, extractors=None,
                     max_files_per_trigger: int | None = None, available_now: bool = True,
