@@ -180,7 +180,8 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("t_n").alias("t_whole"))
     levels = terms.groupBy("lang", "level").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"))
     place = Window.partitionBy("lang", "level", "slot").orderBy(F.desc("t_n"), "term")
-    ids = (terms.join(levels, ["lang", "level"]).withColumn("slot", F.pmod(F.xxhash64("term"), F.col("slots")))
+    # dealt by slot at once: a level may hold most of a language's terms
+    ids = (terms.join(levels, ["lang", "level"]).withColumn("slot", F.pmod(F.xxhash64("term"), F.col("slots"))).repartition("lang", "level", "slot")
            .withColumn("id", F.row_number().over(place) - 1).select("lang", "term", "t_n", "level", "slot", "id"))
     kept = stash(cells.where(F.length("term") > 0).drop("d").join(ids, ["lang", "term"]), "kept")
 
