@@ -17,6 +17,7 @@ from docweave.llm.mixing import op7_mixing
 from docweave.llm.quality import op5_quality
 from docweave.llm.secrets import op9_secrets
 from docweave.llm.substrings import op4_substrings
+from docweave.llm.topk import ORACLE as TOPK_SQL
 from docweave.llm.topk import op8_topk
 from docweave.llm.vectors import op2_vectors
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op8_topk": op8_topk, "op9_secrets": op9_secrets, "op10_language_model": op10_language_model,
     "op11_divergence": op11_divergence, "op12_clusters": op12_clusters, "op13_decontaminate": op13_decontaminate,
 }
-ORACLES: dict[str, str] = {"op3_lines": LINES_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_clusters": CLUSTERS_SQL, "op13_decontaminate": DECONTAMINATE_SQL}
+ORACLES: dict[str, str] = {"op3_lines": LINES_SQL, "op8_topk": TOPK_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_clusters": CLUSTERS_SQL, "op13_decontaminate": DECONTAMINATE_SQL}

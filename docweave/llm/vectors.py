@@ -29,7 +29,14 @@ PER_CELL = 8_192
 BLOCK = 1_024
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, its largest component between 0.5 and 1:
+    exact, and no square under- or overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
+    v = _scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -77,6 +84,7 @@ def _assign(df: DataFrame, fitted: dict[int, np.ndarray], gap: float) -> DataFra
 
 def block_links(a: np.ndarray, b: np.ndarray | None, cosine: float) -> np.ndarray:
     """Which rows of a are linked with which of b (b None: of a itself)."""
+    a, b = _scaled(a), None if b is None else _scaled(b)
     u = np.linalg.norm(a, axis=1)
     if b is None:
         m = (a @ a.T) >= cosine * np.outer(u, u)
