@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import read, stash
+from docweave.llm.common import discard, read, stash
 
 PERCENT = 80
 #: Words are counted in so many buckets, which bounds what the counts take;
 #: words of one bucket go by their hash.
 BUCKETS = 1 << 16
+#: Members of a group of near copies that all others are compared with.
+LEADERS = 4
 #: Documents to re-read for verification are broadcast up to this many keys, and dealt beyond.
 BROADCAST_KEYS = 500_000
 
@@ -33,11 +35,18 @@ def _spaced(text: str) -> Column:
     return F.when(odd, F.translate(t, "\t\r\f\u000b", "    ")).otherwise(t)
 
 
+def _row_code(text: str) -> Column:
+    """31 bits of the text's hash above a line number: rows that share a key are
+    told apart by their texts."""
+    return F.shiftleft(F.xxhash64(F.col(text)).bitwiseAND(F.lit(0x7FFFFFFF)), 32)
+
+
 def _lines(df: DataFrame, key: str, text: str, numbers: str | None = None) -> DataFrame:
-    """(doc, line, t): the lines, numbered from 0.  ``numbers``: column with the
-    line numbers to take."""
+    """(doc, line, t): the lines; ``line`` is the row's code plus the number from
+    0.  ``numbers``: column with the ``line`` values to take."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), *([numbers] if numbers else []),
-                                                   F.posexplode(F.split(_spaced(text), "\n", -1)).alias("line", "t"))
+                                                   _row_code(text).alias("code"), F.posexplode(F.split(_spaced(text), "\n", -1)).alias("line", "t"))
+    rows = rows.withColumn("line", F.col("code") + F.col("line"))
     if numbers:
         rows = rows.where(F.array_contains(numbers, F.col("line")))
     return rows.select("doc", "line", "t")
@@ -56,13 +65,22 @@ def _bucket_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def _prefix(n: Column) -> Column:
+    """Words that a line shows: a similar line of no fewer words has one of its
+    own first ``_index`` words among them."""
     return n - F.ceil(n * F.lit(PERCENT) / 100) + 1
 
 
+def _index(n: Column) -> Column:
+    """The same for the line of fewer words: two similar lines share at least
+    2t / (1 + t) of the shorter one's words."""
+    return n - F.ceil(n * F.lit(2 * PERCENT) / (100 + PERCENT)) + 1
+
+
 def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc, line, n, sig, sig2, s1, s2, low, high, prefix): distinct words, 128
-    parity bits, two digests of the set, digests of the four words of smallest
-    and of largest hash, and hashes of its rarest words in order."""
+    """(doc, line, n, sig, sig2, s1, s2, heads, prefix): distinct words, 128
+    parity bits (64 of the words with a negative hash, 64 of the others), two
+    digests of the set, four digests of four words each (of the smallest and of
+    the largest hashes of either sign), and hashes of its rarest words in order."""
     level = [0] * BUCKETS  # at most BUCKETS rows come to the driver
     for r in counts.collect():
         level[r["b"]] = round(256 * math.log2(r["n"] + 1))
@@ -70,16 +88,18 @@ def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
     rarity = F.split(F.lit(",".join(str(n << 48) for n in level)), ",").cast("array<bigint>")
 
     h = F.array_remove(F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))), F.xxhash64(F.lit("")))
-    rows = lines.select("doc", "line", h.alias("h")).withColumn("n", F.size("h"))
     # (blank lines stay for now: a filter here would compute the hashes a second time)
-    keyed = F.transform("h", lambda x: F.coalesce(F.get(rarity, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
-                        + F.shiftrightunsigned(x, 16))
-    bit = lambda by: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
-        F.when(x.bitwiseAND(F.lit(64)) == by, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    rows = lines.select("doc", "line", h.alias("h")).withColumn("low", F.filter("h", lambda x: x < 0)).withColumns(
+        {"n": F.size("h"), "high": F.slice("h", F.size("low") + 1, F.size("h"))})
+    keyed = F.transform("h", lambda x: F.get(rarity, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(x, 16))
+    one = F.lit(1).cast("long")
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice(F.sort_array(keyed), F.lit(1), _prefix(F.col("n")).cast("int")), lambda k: F.hash(k))
     able = lambda c: F.when(F.col("n") > 3, c)
-    return rows.select("doc", "line", "n", bit(0).alias("sig"), bit(64).alias("sig2"), F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"),
-                       able(F.xxhash64(F.slice("h", 1, 4))).alias("low"), able(F.xxhash64(F.slice("h", -4, 4))).alias("high"), able(prefix).alias("prefix"))
+    four = [F.slice("h", 1, 4), F.slice("h", -4, 4), F.slice(F.reverse("low"), 1, 4), F.slice("high", 1, 4)]
+    heads = F.array(*[F.when(F.size(f) == 4, F.xxhash64(F.lit(i), f)) for i, f in enumerate(four)])
+    return rows.select("doc", "line", "n", bits("low").alias("sig"), bits("high").alias("sig2"), F.xxhash64("h").alias("s1"),
+                       F.xxhash64(F.lit(1), "h").alias("s2"), able(heads).alias("heads"), able(prefix).alias("prefix"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -111,51 +131,64 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
                                                         F.xxhash64(F.lit(""))))
     both = both.withColumn("inner", F.size(F.array_intersect("x_w", "y_w")))
     hit = F.expr(f"100 * inner >= {PERCENT} * (size(x_w) + size(y_w) - inner)")
-    return stash(both.where(hit).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct(), "later")
+    later = stash(both.where(hit).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct(), "later")
+    discard(wanted, sets)
+    return later
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line) of the lines to remove.
+    """(doc, line) of the lines to remove, numbered from 0."""
+    return _repeated(df, key, text).select("doc", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
+
+
+def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, line) of the lines to remove, with their row's code.
 
     Equal sets collapse into one class with its earliest line.  Classes that
-    agree in their four words of smallest (or largest) hash are first compared
-    with the earliest of them, which settles most of a group of near copies.
+    agree in the four words of one of their heads are first compared with the
+    ``LEADERS`` earliest of them, which settles most of a group of near copies.
     What finds no match there is looked up among all lines that share a word of
     the prefix; so a large group makes few more comparisons than it has members.
     """
     counts = stash(_bucket_counts(df, text), "counts")
     lines = stash(_signed(_lines(df, key, text), counts), "lines")
-    body = ["doc", "line", "n", "sig", "sig2", "low", "high", "prefix"]
+    discard(counts)
+    body = ["doc", "line", "n", "sig", "sig2", "heads", "prefix"]
     classes = stash(lines.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(*body)).alias("f")).select("s1", "s2", "f.*"), "classes")
     able = classes.where("n > 3")  # smaller sets are only similar to themselves
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
-    heads = able.select("doc", "line", "n", "sig", "sig2", F.explode(F.array("low", "high")).alias("k"))
-    shared = stash(heads.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("d")).where("c > 1").drop("c"), "shared")
+    heads = able.select("doc", "line", "n", "sig", "sig2", F.explode("heads").alias("k")).where("k IS NOT NULL")
+    shared = heads.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     heads = stash(heads.join(shared, "k"), "heads")
-    leaders = heads.where("doc = d").groupBy("k").agg(F.min(F.struct("line", "doc", "n", "sig", "sig2")).alias("f")).select("k", "f.*")
-    near = named(heads.drop("d"), "y").join(named(stash(leaders, "leaders"), "x"), F.col("x_k") == F.col("y_k"))
+    place = Window.partitionBy("k").orderBy("doc", "line")
+    leaders = heads.withColumn("r", F.row_number().over(place)).where(F.col("r") <= LEADERS).drop("r")
+    leaders = stash(leaders, "leaders")
+    near = named(heads, "y").join(named(leaders, "x"), F.col("x_k") == F.col("y_k"))
     near = near.where(_earlier("x", "y") & _possible(F.col("x_n"), F.col("y_n"), _apart("x", "y")))
     ends = ["x_doc", "x_line", "y_doc", "y_line"]
-    later = _verify(stash(near.select(*ends).distinct(), "near"), df, key, text)
+    near = stash(near.select(*ends).distinct(), "near")
+    discard(heads, leaders)
+    later = _verify(near, df, key, text)
+    discard(near)
 
     known = later.withColumn("done", F.lit(1))
     open_ = able.join(known, ["doc", "line"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
     posts = open_.select("doc", "line", "sig", "sig2", "n", "done", F.posexplode("prefix").alias("i", "word")).select(
         "word", "doc", "line", "sig", "sig2", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")).alias("m"))
-    x, y = named(posts, "x"), named(posts, "y")
     n = lambda p: F.shiftright(F.col(f"{p}_m"), 32)
     i = lambda p: F.shiftright(F.col(f"{p}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
-    n_after = lambda c: F.col(c) - _prefix(F.col(c))
-    total = n("x") + n("y")
-    # (with a term of x, so that both sides stay one exchange)
-    fits = ((F.col("y_m").bitwiseAND(F.lit(1)) + F.col("x_m") - F.col("x_m") == 0) & _earlier("x", "y")
-            & _possible(n("x"), n("y"), _apart("x", "y"))
-            & ((F.least(i("x"), i("y")) + 1 + F.least(n("x") - i("x"), n("y") - i("y")) - 1) * (100 + PERCENT) >= PERCENT * total))
-    met = (x.join(y, (F.col("x_word") == F.col("y_word")) & fits).groupBy(*ends, n("x").alias("x_n"), n("y").alias("y_n"))
-           .agg(F.count(F.lit(1)).alias("c")))
-    # the line whose prefix ends first shares no more than what follows its prefix, and the c words met
-    after = F.greatest(n_after("x_n"), n_after("y_n"))
-    pairs = stash(met.where((F.col("c") + after) * (100 + PERCENT) >= PERCENT * (F.col("x_n") + F.col("y_n"))).select(*ends), "pairs")
+    done = lambda p: F.col(f"{p}_m").bitwiseAND(F.lit(1)) == 1
+    # a is the line of fewer words (of as many: the earlier one) and shows its index words alone; whichever is later must be open
+    a, b = named(posts.where(F.shiftright(F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)), 1) < _index(F.shiftright("m", 32))), "a"), named(posts, "b")
+    first = _earlier("a", "b")
+    total = n("a") + n("b")
+    fits = (((n("a") < n("b")) | ((n("a") == n("b")) & first)) & F.when(first, ~done("b")).otherwise(~done("a") & _earlier("b", "a"))
+            & _possible(n("a"), n("b"), _apart("a", "b"))
+            & ((F.least(i("a"), i("b")) + F.least(n("a") - i("a"), n("b") - i("b"))) * (100 + PERCENT) >= PERCENT * total))
+    met = (a.join(b, (F.col("a_word") == F.col("b_word")) & fits)
+           .select(*[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{p}_{c}")
+                     for p, x, y in (("x", "a", "b"), ("y", "b", "a")) for c in ("doc", "line")]))
+    pairs = stash(met.distinct(), "pairs")
     # one match is enough: first the earliest candidate of each line, then all of those it does not settle
     earliest = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
         F.col("x.x_doc"), F.col("x.x_line"), "y_doc", "y_line")
@@ -175,15 +208,18 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     (their numbers from 0; empty where none go).
 
     Blank lines, null and empty texts and rows without a key stay as they are.
-    Rows that share a key are one document: the first copy of a line, by key and
-    number, stays in each of them.  A column named ``removed_lines`` gives way.
+    Rows that share a key and a text are one document: the first copy of a line,
+    by key and number, stays in each of them.  Rows that share a key alone are
+    documents of their own, in the order of their texts' hashes.  A column named
+    ``removed_lines`` gives way.
     """
-    gone = stash(repeated_lines(df, key, text), "gone")
-    per = gone.distinct().groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
+    gone = stash(_repeated(df, key, text), "gone")
+    per = gone.distinct().groupBy(F.col("doc").alias("__doc"), F.shiftright("line", 32).alias("__row")).agg(
+        F.array_sort(F.collect_list(F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("__gone"))
     rest = [c for c in df.columns if c != "removed_lines"]
-    rows = df.select(*rest).join(per, F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    rows = df.select(*rest).join(per, (F.col(key).cast("long") == F.col("__doc")) & (F.shiftright(_row_code(text), 32) == F.col("__row")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return (rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
+    return (rows.drop("__doc", "__row").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
             .withColumn("removed_lines", F.coalesce("__gone", F.expr("cast(array() as array<int>)"))).drop("__gone"))
 
 

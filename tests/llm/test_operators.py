@@ -128,6 +128,29 @@ def test_lines(docs):
     assert lines.dedup(docs).count() == docs.count() and lines.dedup(empty(docs)).count() == 0
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (1, "u v w x y z"), (2, "k l m n o p\nu v w x y z"), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed_lines", F.lit("clash"))
+    got = sorted((tuple(r) for r in lines.dedup(df).collect()), key=repr)
+    assert got == sorted([(0, "a b c d e f", []), (1, "", [0]), (1, "u v w x y z", []), (1, "u v w x y z", []),
+                          (2, "k l m n o p", [1]), (None, "a b c d e f", [])], key=repr)
+
+
+def test_lines_in_groups_of_near_copies(spark):
+    """Groups in which later lines are alike to some of the earlier ones only."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(int(rng.integers(5, 30)))]
+        for _ in range(60):
+            words = [w if rng.random() > 0.09 else f"z{rng.integers(0, 40)}" for w in base]
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for i, y in enumerate(sets) for x in sets[:i] if 100 * len(x & y) >= 80 * len(x | y)}
+    got = {r.doc for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 50 < len(want) < 350
+
+
 def test_substrings_resist_shifts(docs):
     spark = docs.sparkSession
     rng = np.random.default_rng(5)
