@@ -37,6 +37,17 @@ def empty(docs):
     return docs.where("false")
 
 
+def test_bpe_words_are_those_of_the_pattern():
+    import regex
+    rng = np.random.default_rng(2)
+    pattern, words = regex.compile(bpe.PATTERN), bpe._Words()
+    points = [*range(0x20, 0x7F)] * 3 + [9, 10, 13, 0x0B, 0x1C, 0x1F, 0x85, 0xA0, 0x2028, 0x3000] * 9 + list(range(0xA0, 0x600)) + \
+        [0x660, 0xBD, 0xB2, 0x2160, 0x3007, 0x4E00, 0x9FFF, 0xAC00, 0x1F600, 0x1D7CE, 0x10FFFF, 0x200B, 0x300, 0xE000, 0x1E900]
+    for _ in range(400):
+        text = "".join(chr(points[k]) for k in rng.integers(0, len(points), 60)) + " I'll 've'd  '  \n"
+        assert words.findall(text) == pattern.findall(text)
+
+
 def test_bpe_matches_the_tokenizers_library_and_round_trips(docs):
     from tokenizers import Tokenizer
 
