@@ -35,18 +35,22 @@ def _spaced(text: str) -> Column:
     return F.when(odd, F.translate(t, "\t\r\f\u000b", "    ")).otherwise(t)
 
 
-def _row_code(text: str) -> Column:
-    """31 bits of the text's hash above a line number: rows that share a key are
-    told apart by their texts."""
-    return F.shiftleft(F.xxhash64(F.col(text)).bitwiseAND(F.lit(0x7FFFFFFF)), 32)
+def _coded(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with ``__code``: 0, or, where rows of one key differ in their text,
+    31 bits of the text's hash above a line number, which tell them apart."""
+    digest = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))
+    shared = stash(df.select(F.col(key).cast("long").alias("__key"), digest.alias("__h")).groupBy("__key")
+                   .agg(F.min("__h").alias("a"), F.max("__h").alias("b")).where("a <> b").select("__key"), "clashes")
+    return df.join(shared, F.col(key).cast("long") == F.col("__key"), "left").withColumn(
+        "__code", F.when(F.col("__key").isNull(), F.lit(0).cast("long")).otherwise(F.shiftleft(digest, 32))).drop("__key")
 
 
 def _lines(df: DataFrame, key: str, text: str, numbers: str | None = None) -> DataFrame:
-    """(doc, line, t): the lines; ``line`` is the row's code plus the number from
-    0.  ``numbers``: column with the ``line`` values to take."""
+    """(doc, line, t): the lines of a ``_coded`` table; ``line`` is the row's code
+    plus the number from 0.  ``numbers``: column with the ``line`` values to take."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), *([numbers] if numbers else []),
-                                                   _row_code(text).alias("code"), F.posexplode(F.split(_spaced(text), "\n", -1)).alias("line", "t"))
-    rows = rows.withColumn("line", F.col("code") + F.col("line"))
+                                                   "__code", F.posexplode(F.split(_spaced(text), "\n", -1)).alias("line", "t"))
+    rows = rows.withColumn("line", F.col("__code") + F.col("line"))
     if numbers:
         rows = rows.where(F.array_contains(numbers, F.col("line")))
     return rows.select("doc", "line", "t")
@@ -97,7 +101,7 @@ def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
     prefix = F.transform(F.slice(F.sort_array(keyed), F.lit(1), _prefix(F.col("n")).cast("int")), lambda k: F.hash(k))
     able = lambda c: F.when(F.col("n") > 3, c)
     four = [F.slice("h", 1, 4), F.slice("h", -4, 4), F.slice(F.reverse("low"), 1, 4), F.slice("high", 1, 4)]
-    heads = F.array(*[F.when(F.size(f) == 4, F.xxhash64(F.lit(i), f)) for i, f in enumerate(four)])
+    heads = F.array(*[F.when(F.size(f) == 4, F.hash(F.lit(i), f)) for i, f in enumerate(four)])
     return rows.select("doc", "line", "n", bits("low").alias("sig"), bits("high").alias("sig2"), F.xxhash64("h").alias("s1"),
                        F.xxhash64(F.lit(1), "h").alias("s2"), able(heads).alias("heads"), able(prefix).alias("prefix"))
 
@@ -122,7 +126,7 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
         pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     wanted = stash(places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines")), "wanted")
     few = wanted.count() <= BROADCAST_KEYS
-    docs = df.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key).cast("long") == F.col("__doc"))
+    docs = df.select(key, text, "__code").join(F.broadcast(wanted) if few else wanted, F.col(key).cast("long") == F.col("__doc"))
     sets = stash(_lines(docs, key, text, "__lines"), "sets")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
@@ -138,11 +142,11 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line) of the lines to remove, numbered from 0."""
-    return _repeated(df, key, text).select("doc", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
+    return _repeated(_coded(df.select(key, text), key, text), key, text).select("doc", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
 
 
 def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line) of the lines to remove, with their row's code.
+    """(doc, line) of the lines of a ``_coded`` table to remove.
 
     Equal sets collapse into one class with its earliest line.  Classes that
     agree in the four words of one of their heads are first compared with the
@@ -158,7 +162,7 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     able = classes.where("n > 3")  # smaller sets are only similar to themselves
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     heads = able.select("doc", "line", "n", "sig", "sig2", F.explode("heads").alias("k")).where("k IS NOT NULL")
-    shared = heads.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    shared = stash(heads.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "shared")
     heads = stash(heads.join(shared, "k"), "heads")
     place = Window.partitionBy("k").orderBy("doc", "line")
     leaders = heads.withColumn("r", F.row_number().over(place)).where(F.col("r") <= LEADERS).drop("r")
@@ -179,10 +183,11 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     i = lambda p: F.shiftright(F.col(f"{p}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     done = lambda p: F.col(f"{p}_m").bitwiseAND(F.lit(1)) == 1
     # a is the line of fewer words (of as many: the earlier one) and shows its index words alone; whichever is later must be open
-    a, b = named(posts.where(F.shiftright(F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)), 1) < _index(F.shiftright("m", 32))), "a"), named(posts, "b")
+    a, b = named(posts, "a"), named(posts, "b")
     first = _earlier("a", "b")
     total = n("a") + n("b")
-    fits = (((n("a") < n("b")) | ((n("a") == n("b")) & first)) & F.when(first, ~done("b")).otherwise(~done("a") & _earlier("b", "a"))
+    # (with a term of b, so that both sides stay one exchange)
+    fits = ((i("a") + n("b") - n("b") < _index(n("a"))) & ((n("a") < n("b")) | ((n("a") == n("b")) & first)) & F.when(first, ~done("b")).otherwise(~done("a") & _earlier("b", "a"))
             & _possible(n("a"), n("b"), _apart("a", "b"))
             & ((F.least(i("a"), i("b")) + F.least(n("a") - i("a"), n("b") - i("b"))) * (100 + PERCENT) >= PERCENT * total))
     met = (a.join(b, (F.col("a_word") == F.col("b_word")) & fits)
@@ -213,11 +218,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     documents of their own, in the order of their texts' hashes.  A column named
     ``removed_lines`` gives way.
     """
-    gone = stash(_repeated(df, key, text), "gone")
-    per = gone.distinct().groupBy(F.col("doc").alias("__doc"), F.shiftright("line", 32).alias("__row")).agg(
-        F.array_sort(F.collect_list(F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("__gone"))
-    rest = [c for c in df.columns if c != "removed_lines"]
-    rows = df.select(*rest).join(per, (F.col(key).cast("long") == F.col("__doc")) & (F.shiftright(_row_code(text), 32) == F.col("__row")), "left")
+    coded = _coded(df.drop("removed_lines"), key, text)
+    gone = stash(_repeated(coded.select(key, text, "__code"), key, text), "gone")
+    low = F.col("line").bitwiseAND(F.lit(0xFFFFFFFF))
+    per = gone.distinct().groupBy(F.col("doc").alias("__doc"), (F.col("line") - low).alias("__row")).agg(
+        F.array_sort(F.collect_list(low.cast("int"))).alias("__gone"))
+    rows = coded.join(per, (F.col(key).cast("long") == F.col("__doc")) & (F.col("__code") == F.col("__row")), "left").drop("__code")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda s, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return (rows.drop("__doc", "__row").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
             .withColumn("removed_lines", F.coalesce("__gone", F.expr("cast(array() as array<int>)"))).drop("__gone"))

@@ -105,12 +105,12 @@ def _settled(base: DataFrame, key: str, source: str, targets: DataFrame, cap: fl
              .groupBy("__of", "k", "z").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("__of").agg(F.sort_array(F.collect_list(F.struct((F.col("z") * F.col("n")).alias("m"), F.xxhash64("k").alias("h"), "z", "k")), asc=False).alias("__large")))
     kind = base.schema[key].dataType.simpleString()
-    # t and s: target and words still open; x.m words are decided next
+    # t and s: target and words still open; x.m words are decided next (rounded, so that ties are ties)
     step = f"""aggregate(__large,
         struct(target as t, cast(source_size as double) as s, cast(array() as array<struct<k: {kind}, z: bigint, c: int>>) as p),
         (a, x) -> transform(
             array(array_min(transform(sequence(0, {math.ceil(cap)}), c -> struct(
-                greatest(0D, a.t - c * x.m - {float(cap)}D * (a.s - x.m)) + greatest(0D, c * x.m - a.t) as miss, abs(c - a.t / a.s) as far, c as c))).c),
+                round(greatest(0D, a.t - c * x.m - {float(cap)}D * (a.s - x.m)) + greatest(0D, c * x.m - a.t), 6) as miss, round(abs(c - a.t / a.s), 9) as far, c as c))).c),
             c -> struct(a.t - c * x.m as t, a.s - x.m as s, concat(a.p, array(struct(x.k as k, x.z as z, c as c))) as p))[0])"""
     found = targets.join(large, F.expr("source <=> __of"), "left").withColumn(
         "__large", F.coalesce("__large", F.expr(f"cast(array() as array<struct<m: bigint, h: bigint, z: bigint, k: {kind}>>)")))
