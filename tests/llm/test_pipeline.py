@@ -113,7 +113,8 @@ def plain_mix(rows, hashes):
         units = collections.Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in rows if r["source"] == s)
         t, left, copies = targets[s], sizes[s], {}
         order = sorted((z * n, hashes[k], z, (k is not None, k or 0)) for (k, z), n in units.items() if z)
-        for m, _, z, (_, k) in reversed(order):
+        for m, _, z, (named, k) in reversed(order):
+            k = k if named else None
             miss = lambda c: round(max(0, t - c * m - 2 * (left - m)) + max(0, c * m - t), 6)
             copies[k, z] = c = min(range(3), key=lambda c: (miss(c), round(abs(c - t / left), 9), c))
             t, left = t - c * m, left - m
