@@ -33,11 +33,8 @@ FORMATS = [
     (".yml", "yaml", False),
 ]
 MISSING_DEPENDENCY_HINT = {
-    "docx": "Install python-docx to read .docx files: pip install python-docx",
-    "pdf": "Install PyPDF2 to read .pdf files: pip install PyPDF2",
-    "pptx": "Install python-pptx to read .pptx files: pip install python-pptx",
-    "xlsx": "Install openpyxl to read .xlsx files: pip install openpyxl",
-    "yaml": "Install PyYAML to read .yaml/.yml files: pip install pyyaml",
+    kind: f"No built-in extractor for {kind} files: pass your own as extractors= to load_corpus_text"
+    for kind in ("docx", "pdf", "pptx", "xlsx", "yaml")
 }
 MSG_UNSUPPORTED = "Unsupported file type: {suffix}. Supported: {supported}"
 # -----------------------------------------------------------------------------
