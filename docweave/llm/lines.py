@@ -140,6 +140,20 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     return later
 
 
+def _matched(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, line) of the later lines that some pair settles.  One match is
+    enough: first the earliest candidate of each line is verified, then all those
+    of the lines that it does not settle."""
+    ends = pairs.columns
+    earliest = stash(pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
+        F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"), "y_doc", "y_line"), "earliest")
+    settled = _verify(earliest, df, key, text)
+    rest = stash(pairs.join(settled, F.expr("y_doc = doc AND y_line = line"), "left_anti").join(earliest, ends, "left_anti"), "rest")
+    others = _verify(rest, df, key, text)
+    discard(earliest, rest)
+    return settled.unionByName(others)
+
+
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line) of the lines to remove, numbered from 0."""
     return _repeated(_coded(df.select(key, text), key, text), key, text).select("doc", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
@@ -172,7 +186,7 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     ends = ["x_doc", "x_line", "y_doc", "y_line"]
     near = stash(near.select(*ends).distinct(), "near")
     discard(heads, leaders)
-    later = _verify(near, df, key, text)
+    later = _matched(near, df, key, text)
     discard(near)
 
     known = later.withColumn("done", F.lit(1))
@@ -194,14 +208,9 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
            .select(*[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{p}_{c}")
                      for p, x, y in (("x", "a", "b"), ("y", "b", "a")) for c in ("doc", "line")]))
     pairs = stash(met.distinct(), "pairs")
-    # one match is enough: first the earliest candidate of each line, then all of those it does not settle
-    earliest = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
-        F.col("x.x_doc"), F.col("x.x_line"), "y_doc", "y_line")
-    settled = _verify(stash(earliest, "earliest"), df, key, text)
-    rest = pairs.join(settled, F.expr("y_doc = doc AND y_line = line"), "left_anti").join(
-        earliest.withColumns({c: F.col(c) for c in ends}), ends, "left_anti")
-    others = _verify(stash(rest, "rest"), df, key, text)
-    gone = later.unionByName(settled).unionByName(others).select("doc", "line", F.lit(True).alias("gone"))
+    later = later.unionByName(_matched(pairs, df, key, text))
+    discard(pairs)
+    gone = later.select("doc", "line", F.lit(True).alias("gone"))
     status = classes.select("s1", "s2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line")).join(
         gone, (F.col("f_doc") == F.col("doc")) & (F.col("f_line") == F.col("line")), "left").drop("doc", "line")
     return (lines.where("n > 0").select("doc", "line", "s1", "s2").join(stash(status, "status"), ["s1", "s2"])
