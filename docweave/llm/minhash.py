@@ -113,13 +113,17 @@ def sign(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                      "id long, n long, d1 long, d2 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
+def _most_apart(percent: int) -> int:
+    """Signature bits that two similar sets differ in, at most."""
+    share = (1 - percent / 100) / 2
+    return int(HASHES * share + SLACK * (HASHES * share * (1 - share)) ** 0.5) + 1
+
+
 def _plausible(a: str, b: str, percent: int) -> Column:
     """Length and signature filters of a pair with columns a_n, a_s1.. and b_n, b_s1.."""
-    share = (1 - percent / 100) / 2
-    most = HASHES * share + SLACK * (HASHES * share * (1 - share)) ** 0.5
     apart = sum((F.bit_count(F.col(f"{a}_s{i}").bitwiseXOR(F.col(f"{b}_s{i}"))) for i in (1, 2, 3)), F.lit(0))
     return ((F.lit(100) * F.least(f"{a}_n", f"{b}_n") >= F.lit(percent) * F.greatest(f"{a}_n", f"{b}_n"))
-            & (apart <= F.lit(int(most) + 1)))
+            & (apart <= F.lit(_most_apart(percent))))
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -180,25 +184,45 @@ def _overlaps(left: list[set], right: list[set]) -> np.ndarray:
     return out
 
 
-def _across(marked: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def _plausible_matrix(l: pd.DataFrame, r: pd.DataFrame, percent: int) -> np.ndarray:
+    """``_plausible`` of every left with every right row, and of different parts."""
+    n, m = (d["n"].to_numpy(np.int64) for d in (l, r))
+    x, y = ([d[c].to_numpy(np.int64).view(np.uint64) for c in ("s1", "s2", "s3")] for d in (l, r))
+    apart = sum(np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.int16) for a, b in zip(x, y))
+    return ((100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)) & (apart <= _most_apart(percent))
+            & (l["part"].to_numpy()[:, None] != r["part"].to_numpy()))
+
+
+def _across(marked: DataFrame, short: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Links between members (band, rep, part) of one band that are in different
     parts.  The commonest part of a band is its host; the other members are
-    compared with it and with one another, in blocks."""
+    compared with it and with one another, in blocks: first by size and
+    signature alone, and only members with a plausible partner bring their texts
+    to a second round."""
     parts = marked.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"))
     bands = stash(parts.groupBy("band").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("p"))
                   .where("p > 1").select("band", F.col("top.part").alias("host"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("n_host"),
                                          F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("n_stray")), "mixed")
-    rows = marked.join(bands, "band").withColumn("stray", F.col("part") != F.col("host"))
+    rows = marked.join(bands, "band").join(short, "rep").withColumn("stray", F.col("part") != F.col("host"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("n_stray")).otherwise(F.col("n_host"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    side = lambda d, left, host, a, b: d.select("band", "rep", "part", F.lit(left).alias("left"), F.lit(host).alias("host"), a.alias("a"), b.alias("b"))
+    side = lambda d, left, host, a, b: d.select("band", "rep", "part", "n", "s1", "s2", "s3", F.lit(left).alias("left"), F.lit(host).alias("host"), a.alias("a"), b.alias("b"))
     strays, hosts = rows.where("stray"), rows.where("NOT stray")
     among = strays.withColumn("other", F.explode(upto("n_stray")))
     dealt = (side(strays.withColumn("other", F.explode(upto("n_host"))), True, True, F.col("block"), F.col("other"))
              .unionByName(side(hosts.withColumn("other", F.explode(upto("n_stray"))), False, True, F.col("other"), F.col("block")))
              .unionByName(side(among, True, False, F.col("block"), F.col("other")).where("a <= b"))
              .unionByName(side(among, False, False, F.col("other"), F.col("block")).where("a <= b")))
-    dealt = stash(dealt, "dealt")
+    group = ["band", "host", "a", "b"]
+
+    def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
+        side_of = pdf["left"].to_numpy(bool)
+        may = _plausible_matrix(pdf[side_of], pdf[~side_of], percent)
+        keep = np.zeros(len(pdf), bool)
+        keep[np.flatnonzero(side_of)], keep[np.flatnonzero(~side_of)] = may.any(1), may.any(0)
+        return pdf.loc[keep, [*group, "rep", "part", "left"]]
+
+    dealt = stash(dealt.groupBy(*group).applyInPandas(plausible, "band long, host boolean, a int, b int, rep long, part long, left boolean"), "dealt")
     texts = _texts(dealt.select(F.col("rep").alias("id")), df, key, text)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +241,6 @@ def _across(marked: DataFrame, df: DataFrame, key: str, text: str, width: int, p
         moved = root != ids[at]
         return pd.DataFrame({"a": ids[at][moved], "b": root[moved]}).astype("int64")
 
-    group = ["band", "host", "a", "b"]
     return stash(dealt.join(texts, F.col("rep") == F.col("id")).select(*group, "rep", "part", "left", "t").groupBy(*group)
                  .applyInPandas(run, "a long, b long"), "links")
 
@@ -250,7 +273,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # round 2: what still is in different components of one bucket
     marked = stash(members.join(parts, F.col("rep") == F.col("node"), "left")
                    .select("band", "rep", F.coalesce("component", "rep").alias("part")), "marked")
-    links = links.unionByName(_across(marked, df, key, text, width, percent))
+    links = links.unionByName(_across(marked, short, df, key, text, width, percent))
     # the nodes of one class, too: equal sets of different keys
     parts = connected_components(links.unionByName(_twins(signed, classes)))
     nodes = signed.groupBy("id").agg(F.max("n").alias("n"))
