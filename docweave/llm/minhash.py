@@ -34,6 +34,10 @@ CACHE = 500_000
 #: Members of one block of a bucket, and columns of one product.
 BLOCK = 256
 COLUMNS = 4_096
+#: Rows of the block pairs that are filtered in one call, about.
+CALL_ROWS = 50_000
+#: Rows whose texts meet in one call, about (a block pair has 2 * BLOCK at most).
+TEXT_ROWS = 500
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -184,13 +188,13 @@ def _overlaps(left: list[set], right: list[set]) -> np.ndarray:
     return out
 
 
-def _plausible_matrix(l: pd.DataFrame, r: pd.DataFrame, percent: int) -> np.ndarray:
+def _plausible_matrix(l: dict, r: dict, percent: int) -> np.ndarray:
     """``_plausible`` of every left with every right row, and of different parts."""
-    n, m = (d["n"].to_numpy(np.int64) for d in (l, r))
-    x, y = ([d[c].to_numpy(np.int64).view(np.uint64) for c in ("s1", "s2", "s3")] for d in (l, r))
+    n, m = l["n"], r["n"]
+    x, y = ([d[c].view(np.uint64) for c in ("s1", "s2", "s3")] for d in (l, r))
     apart = sum(np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.int16) for a, b in zip(x, y))
     return ((100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)) & (apart <= _most_apart(percent))
-            & (l["part"].to_numpy()[:, None] != r["part"].to_numpy()))
+            & (l["part"][:, None] != r["part"]))
 
 
 def _across(marked: DataFrame, short: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -216,33 +220,45 @@ def _across(marked: DataFrame, short: DataFrame, df: DataFrame, key: str, text:
     group = ["band", "host", "a", "b"]
 
     def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
-        side_of = pdf["left"].to_numpy(bool)
-        may = _plausible_matrix(pdf[side_of], pdf[~side_of], percent)
         keep = np.zeros(len(pdf), bool)
-        keep[np.flatnonzero(side_of)], keep[np.flatnonzero(~side_of)] = may.any(1), may.any(0)
+        left, columns = pdf["left"].to_numpy(bool), {c: pdf[c].to_numpy(np.int64) for c in ("n", "part", "s1", "s2", "s3")}
+        for own in pdf.groupby(group, sort=False).indices.values():
+            l, r = own[left[own]], own[~left[own]]
+            may = _plausible_matrix(*({c: v[side] for c, v in columns.items()} for side in (l, r)), percent)
+            keep[l], keep[r] = may.any(1), may.any(0)
         return pdf.loc[keep, [*group, "rep", "part", "left"]]
 
-    dealt = stash(dealt.groupBy(*group).applyInPandas(plausible, "band long, host boolean, a int, b int, rep long, part long, left boolean"), "dealt")
+    dealt = stash(dealt, "blocks")
+    # most block pairs are small: many of them are one call's work
+    calls = max(1, -(-dealt.count() // CALL_ROWS))
+    call = F.pmod(F.xxhash64(*group), F.lit(calls)).alias("call")
+    dealt = stash(dealt.groupBy(call).applyInPandas(plausible, "band long, host boolean, a int, b int, rep long, part long, left boolean"), "dealt")
     texts = _texts(dealt.select(F.col("rep").alias("id")), df, key, text)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side_of = pdf["left"].to_numpy(bool)
-        if side_of.all() or not side_of.any():
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        sets = [_shingles(t, width) for t in pdf["t"]]
-        l, r = np.flatnonzero(side_of), np.flatnonzero(~side_of)
-        inner = _overlaps([sets[i] for i in l], [sets[i] for i in r])
-        size = np.array([len(s) for s in sets])
-        ids, part = pdf["rep"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64)
-        links = 100 * inner >= percent * (size[l][:, None] + size[r][None, :] - inner)
-        links &= part[l][:, None] != part[r][None, :]
-        root = forest(links, ids[l], ids[r])
-        at = np.concatenate([l, r])
-        moved = root != ids[at]
-        return pd.DataFrame({"a": ids[at][moved], "b": root[moved]}).astype("int64")
-
-    return stash(dealt.join(texts, F.col("rep") == F.col("id")).select(*group, "rep", "part", "left", "t").groupBy(*group)
-                 .applyInPandas(run, "a long, b long"), "links")
+        ids, part, left = pdf["rep"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64), pdf["left"].to_numpy(bool)
+        known: dict[int, set] = {}  # a member stands in several bands
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for own in pdf.groupby(group, sort=False).indices.values():
+            l, r = own[left[own]], own[~left[own]]
+            if not len(l) or not len(r):
+                continue
+            for i in own:
+                if ids[i] not in known:
+                    known[ids[i]] = _shingles(pdf["t"].iat[i], width)
+            sets = {i: known[ids[i]] for i in own}
+            inner = _overlaps([sets[i] for i in l], [sets[i] for i in r])
+            n, m = (np.array([len(sets[i]) for i in at]) for at in (l, r))
+            links = (100 * inner >= percent * (n[:, None] + m - inner)) & (part[l][:, None] != part[r])
+            at, root = np.concatenate([l, r]), forest(links, ids[l], ids[r])
+            moved = root != ids[at]
+            out.append((ids[at][moved], root[moved]))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+    calls = max(1, -(-dealt.count() // TEXT_ROWS))
+    return stash(dealt.join(texts, F.col("rep") == F.col("id")).select(*group, "rep", "part", "left", "t")
+                 .groupBy(F.pmod(F.xxhash64(*group), F.lit(calls)).alias("call")).applyInPandas(run, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
