@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
@@ -1011,10 +1011,17 @@ def q_read_corpus_files(spark, sf_dir):
     """A file per document, every 50th one empty: all of them are rows."""
     from docweave.sources.files import read_corpus
     root = _write_one_file_each(spark, sf_dir)
-    files = read_corpus(spark, root, glob="*.txt", wanted=[root + "/missing.txt"])
+    files = read_corpus(spark, root, glob="*.txt", wanted=[root + "/missing.txt"], with_content=False)
     return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("doc"), F.coalesce("length", F.lit(0)).alias("length"), "error_class")
 
 
+FILE_FOLDERS = 64  # folders that files of a row each are dealt over, to be listed apart
+
+
+def _folder_of(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILE_FOLDERS)).cast("string")
+
+
 def _write_one_file_each(spark, sf_dir) -> str:
     """documents as one text file each, every 50th one of no length."""
     from docweave.operators.output import export_files
@@ -1022,7 +1029,8 @@ def _write_one_file_each(spark, sf_dir) -> str:
     root = scratch_dir(spark, "files")
     text = F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
     export_files(table(spark, sf_dir, "documents").select(
-        F.concat(F.lit(f"{root}/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("target_path"), text.alias("saved_content")))
+        F.concat(F.lit(f"{root}/"), _folder_of("doc_id"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("target_path"),
+        text.alias("saved_content")))
     return root
 
 
@@ -1112,7 +1120,7 @@ def q_stream_loader_report(spark, sf_dir):
 
     def write(name, key, ext, text):
         rows = table(spark, sf_dir, name)
-        target = F.concat(F.lit(f"{root}/{name}/"), F.col(key).cast("string"), F.lit(ext))
+        target = F.concat(F.lit(f"{root}/{name}-"), _folder_of(key), F.lit("/"), F.col(key).cast("string"), F.lit(ext))
         export_files(rows.select(target.alias("target_path"), text.alias("saved_content")))
 
     write("pages", "page_id", ".html", F.coalesce("html", F.lit("")))

@@ -1,8 +1,7 @@
 """Files in, text out: S1 read_corpus, S3 decode_text, U1 user extractors,
 and the per-format dispatch that turns routed rows into text.
 
-Files are read with the ``binaryFile`` source (one row per file, read on the
-executors; ``pathGlobFilter`` / ``recursiveFileLookup`` prune the listing).
+Files are listed and read on the executors, one row per file (``sources/listing.py``).
 Extraction is one projection over the routed rows: every format's rule is a
 branch of one ``CASE`` (only the taken branch runs for JVM rules); the Python
 helpers receive null for rows of other formats, so each row is parsed once.
@@ -22,7 +21,9 @@ from docweave.functions.html import join_text_nodes, mark_text_nodes, shown, une
 from docweave.functions.jsontext import pretty_one, safe_text
 from docweave.operators.structured import LARGE_NOTEBOOK, _notebook_text, csv_head, notebook_text_one, xml_outline_one
 from docweave.sources.formats import FORMATS, route_by_extension
-from docweave.sources.listing import empty_files
+from docweave.sources.listing import empty_files, listed_files
+from docweave.sources.listing import with_content as read_content
+from docweave.sources.storage import check_paths
 
 TEXT_SCHEMA = "path string, name string, stem string, ext string, kind string, text string, " \
               "error_class string, error string"
@@ -34,20 +35,50 @@ DEFAULT_MAX_BYTES = (1 << 31) - 16
 
 def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True,
                 wanted: list[str] | None = None, include_empty: bool = True,
-                max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
+                max_bytes: int | None = DEFAULT_MAX_BYTES, with_content: bool = True) -> DataFrame:
     """``(path, modificationTime, length, content, error_class, error)``
     per file.
 
     ``wanted`` lists paths the caller expects; those not found come back as
     rows with null content and ``error_class='not_found'`` (left-anti join of
-    the wanted paths against the listing).  The ``binaryFile`` scan skips
-    zero-length files; they come as rows with empty content from a listing on
-    the executors (``sources/listing.py``).  ``include_empty=False`` leaves them
-    out, for a store that only Spark's own readers can open.  Files over ``max_bytes`` are not read: they come back as ``too_large``
-    rows from a metadata-only scan (``binaryFile`` skips the content when it
-    is not selected, and the length filter is applied while listing), so one
-    huge file cannot fail the job.
+    the wanted paths against the listing).  Folders are listed and files read on
+    the executors (``sources/listing.py``), files of no length too; the driver
+    holds no list of them.  ``with_content=False`` leaves ``content`` null and
+    opens no file.  ``include_empty=False`` leaves out files of no length, for a
+    store that only Spark's own readers can open; that, ``recursive=False`` and a
+    ``max_bytes`` of the caller's is a ``binaryFile`` scan, listed on the driver.
+    Files over ``max_bytes`` are not read: they come back as ``too_large`` rows
+    (there from a metadata-only scan), so one huge file cannot fail the job.
     """
+    # only local paths have several spellings; other schemes are compared as they are
+    canon = lambda c: F.when(c.rlike("^(file:|/)"), F.regexp_replace(c, "^(file:)?/*", "file:/")).otherwise(c)
+    if include_empty and recursive and max_bytes == DEFAULT_MAX_BYTES:
+        check_paths(spark, paths)
+        listed = listed_files(spark, paths, glob)
+        got = listed.select(canon(F.col("path")).alias("path"))
+        files = read_content(listed, max_bytes) if with_content else listed.withColumn("content", F.lit(None).cast("binary"))
+        large = F.col("length") > max_bytes
+        files = files.withColumns({
+            "error_class": F.when(large, F.lit("too_large")),
+            "error": F.when(large, F.concat(F.lit(f"File is larger than {max_bytes} bytes: "), F.col("length").cast("string")))})
+    else:
+        files = _scanned_files(spark, paths, glob, recursive, include_empty, max_bytes)
+        got = files.select(canon(F.col("path")).alias("path"))
+    if wanted:
+        want = spark.createDataFrame([(p,) for p in wanted], "path string") \
+            .withColumn("path", canon(F.col("path")))
+        missing = want.join(got, "path", "left_anti").select(
+            "path", F.lit(None).cast("timestamp").alias("modificationTime"),
+            F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"),
+            F.lit("not_found").alias("error_class"),
+            F.concat(F.lit("File not found: "), F.col("path")).alias("error"))
+        files = files.unionByName(missing)
+    return files
+
+
+def _scanned_files(spark: SparkSession, paths, glob: str | None, recursive: bool, include_empty: bool,
+                   max_bytes: int | None) -> DataFrame:
+    """``read_corpus`` by Spark's own reader, which lists on the driver."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -62,22 +93,10 @@ def read_corpus(spark: SparkSession, paths, glob: str | None = None, recursive:
             F.concat(F.lit(f"File is larger than {max_bytes} bytes: "),
                      F.col("length").cast("string")).alias("error"))
         files = files.unionByName(too_large)
-    # only local paths have several spellings; other schemes are compared as they are
-    canon = lambda c: F.when(c.rlike("^(file:|/)"), F.regexp_replace(c, "^(file:)?/*", "file:/")).otherwise(c)
     if include_empty:
         empty = empty_files(spark, paths, glob, recursive).withColumns(
             {"error_class": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
         files = files.unionByName(empty)
-    if wanted:
-        want = spark.createDataFrame([(p,) for p in wanted], "path string") \
-            .withColumn("path", canon(F.col("path")))
-        got = files.select(canon(F.col("path")).alias("path"))
-        missing = want.join(got, "path", "left_anti").select(
-            "path", F.lit(None).cast("timestamp").alias("modificationTime"),
-            F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"),
-            F.lit("not_found").alias("error_class"),
-            F.concat(F.lit("File not found: "), F.col("path")).alias("error"))
-        files = files.unionByName(missing)
     return files
 
 

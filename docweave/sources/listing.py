@@ -1,10 +1,12 @@
-"""Files of no length, as rows.
+"""Files as rows, listed on the executors.
 
-Spark's file sources drop zero-length files before they are read.  This source
-lists folders - their sub-folders in parallel, on the executors - and yields the
-zero-length files alone, in the columns of ``binaryFile``; what has content is
-left to ``binaryFile``.  Hidden names (``_`` or ``.`` in front) are skipped as
-there, ``_`` not where the name is a partition folder's.
+Spark's file sources list every file on the driver, hold the list there, and drop
+zero-length files.  These sources list folders - their sub-folders in parallel,
+on the executors - so that no list of files comes to the driver: ``listed_files``
+has files of any length, ``with_content`` reads them where they were dealt, and
+``empty_files`` has the zero-length files alone, in the columns of ``binaryFile``.
+Hidden names (``_`` or ``.`` in front) are skipped as in Spark's sources, ``_``
+not where the name is a partition folder's.
 
 As a stream, every trigger lists again and yields all of them: the caller keeps
 one of each path (``dropDuplicates``), so a file that is moved in with an old
@@ -16,14 +18,18 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+LISTED = "path string, modificationTime timestamp, length long"
+SCHEMA = f"{LISTED}, content binary"
 #: Folders are opened until there are so many to list apart.
 FOLDERS = 64
+#: Bytes of content that a task hands on at a time (one file at least).
+CONTENT_BYTES = 8 << 20
 
 
 def glob_pattern(glob: str) -> re.Pattern:
@@ -52,6 +58,49 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or name.startswith("_") and "=" not in name
 
 
+class _Entry(NamedTuple):
+    path: str
+    base_name: str
+    is_dir: bool
+    size: int
+    mtime: object
+
+
+def _entries(store, folder: str) -> Iterator[_Entry]:
+    """What a folder holds; a local one is read as it is listed, however full."""
+    import os
+    from datetime import datetime, timezone
+
+    from pyarrow import fs
+
+    if store.type_name == "local":
+        try:
+            found = os.scandir(folder)
+        except FileNotFoundError:
+            return
+        with found:
+            for e in found:
+                try:
+                    is_dir, is_file, stat = e.is_dir(), e.is_file(), e.stat()
+                except FileNotFoundError:  # gone since, or a link to nothing
+                    continue
+                if is_dir or is_file:
+                    yield _Entry(posixpath.join(folder, e.name), e.name, is_dir, stat.st_size,
+                                 datetime.fromtimestamp(stat.st_mtime_ns // 1_000_000 / 1000, timezone.utc))
+        return
+    for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if i.type in (fs.FileType.Directory, fs.FileType.File):
+            yield _Entry(i.path, i.base_name, i.type == fs.FileType.Directory, i.size or 0, i.mtime)
+
+
+def _uri(root: str, path: str) -> str:
+    """A path of ``root``'s store as Spark spells it, and ``open_store`` reads it."""
+    if "://" not in root or root.startswith("file:"):
+        return "file:" + path
+    scheme, rest = root.split("://", 1)
+    return f"{scheme}://{rest.split('/', 1)[0] if path.startswith('/') else ''}{path}"
+
+
 class _Folder(InputPartition):
     """A folder, or files, of the store that ``uri`` names."""
 
@@ -66,6 +115,7 @@ class _Listing:
         self.paths = json.loads(options["paths"])
         self.recursive = options.get("recursive", "true") == "true"
         self.glob = options.get("glob")
+        self.empty = options.get("empty", "true") == "true"
 
     def folders(self) -> list[_Folder]:
         """Where to list; a folder is opened here as long as there are few."""
@@ -83,8 +133,7 @@ class _Listing:
                     found.append(_Folder(uri, folder, self.recursive, False))
                     info = store.get_file_info(folder)
                     if info.type == fs.FileType.Directory:
-                        queue += [i.path for i in store.get_file_info(fs.FileSelector(folder))
-                                  if i.type == fs.FileType.Directory and self._enters(i.base_name)]
+                        queue += [i.path for i in _entries(store, folder) if i.is_dir and self._enters(i.base_name)]
                 found += [_Folder(uri, folder, self.recursive, True) for folder in queue]
         return found
 
@@ -115,19 +164,19 @@ class _Listing:
 
         store, _ = open_store(part.uri)
         fits = glob_pattern(self.glob) if self.glob else None
-        scheme = "file:" if "://" not in part.uri or part.uri.startswith("file:") else part.uri.split("://", 1)[0] + "://"
         queue = [part.path]
         while queue:
             at = queue.pop()
             info = store.get_file_info(at)
-            infos = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at, allow_not_found=True))
-            for i in infos:
-                if i.type == fs.FileType.Directory:
+            named = info.type == fs.FileType.File
+            for i in [_Entry(info.path, info.base_name, False, info.size, info.mtime)] if named else _entries(store, at):
+                if i.is_dir:
                     if part.deep and self._enters(i.base_name):
                         queue.append(i.path)
-                elif i.type == fs.FileType.File and i.size == 0 and (i is info or not _hidden(i.base_name)):
+                elif (i.size == 0 or not self.empty) and (named or not _hidden(i.base_name)):
                     if fits is None or fits.match(posixpath.basename(i.path)):
-                        yield scheme + i.path, i.mtime or datetime.fromtimestamp(0, timezone.utc), 0, b""
+                        row = _uri(part.uri, i.path), i.mtime or datetime.fromtimestamp(0, timezone.utc), i.size
+                        yield (*row, b"") if self.empty else row
 
 
 class _Batch(DataSourceReader):
@@ -177,16 +226,75 @@ class EmptyFiles(DataSource):
         return _Stream(self.options)
 
 
-def empty_files(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True, stream: bool = False) -> DataFrame:
-    """The zero-length files below ``paths``, one row a path."""
+class ListedFiles(EmptyFiles):
+    """The same options; files of any length, without their content."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__({**options, "empty": "false"})
+
+    @classmethod
+    def name(cls) -> str:
+        return "docweave_listed_files"
+
+    def schema(self) -> str:
+        return LISTED
+
+
+def _rows(spark: SparkSession, source, paths, glob: str | None, recursive: bool, stream: bool) -> DataFrame:
     import json
 
-    spark.dataSource.register(EmptyFiles)
-    reader = (spark.readStream if stream else spark.read).format(EmptyFiles.name()).option(
+    spark.dataSource.register(source)
+    reader = (spark.readStream if stream else spark.read).format(source.name()).option(
         "paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("recursive", str(recursive).lower())
     if glob:
         reader = reader.option("glob", glob)
-    rows = reader.load()
+    return reader.load()
+
+
+def empty_files(spark: SparkSession, paths, glob: str | None = None, recursive: bool = True, stream: bool = False) -> DataFrame:
+    """The zero-length files below ``paths``, one row a path."""
+    rows = _rows(spark, EmptyFiles, paths, glob, recursive, stream)
     # paths that overlap, and every trigger of a stream, list a file again
     return rows.dropDuplicates(["path"]) if stream else rows.groupBy("path").agg(
         *[F.min(c).alias(c) for c in ("modificationTime", "length", "content")])
+
+
+def listed_files(spark: SparkSession, paths, glob: str | None = None, stream: bool = False) -> DataFrame:
+    """``LISTED`` of the files below ``paths``, one row a path, dealt by path: what
+    follows (reading them) is spread however the folders are filled.  A stream
+    keeps the paths that it has seen as its state, on the executors."""
+    rows = _rows(spark, ListedFiles, paths, glob, True, stream)
+    if stream:
+        return rows.dropDuplicates(["path"])
+    slots = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(slots, "path").groupBy("path").agg(*[F.min(c).alias(c) for c in ("modificationTime", "length")])
+
+
+def with_content(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``SCHEMA`` of listed files: each is read by the task that has its row, some
+    ``CONTENT_BYTES`` at a time; one above ``max_bytes`` has null content."""
+    def run(batches):
+        import pyarrow as pa
+
+        from docweave.sources.storage import open_store
+
+        def cut(batch, start, stop, data):
+            piece = batch.slice(start, stop - start)
+            return pa.RecordBatch.from_arrays([*piece.columns, pa.array(data, pa.binary())], names=[*piece.schema.names, "content"])
+
+        for batch in batches:
+            start, data, held = 0, [], 0
+            for at, (path, length) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if data and held + length > CONTENT_BYTES:
+                    yield cut(batch, start, at, data)
+                    start, data, held = at, [], 0
+                if max_bytes and length > max_bytes:
+                    data.append(None)
+                    continue
+                store, place = open_store(path)
+                with store.open_input_file(place) as file:
+                    data.append(file.read())
+                held += length
+            yield cut(batch, start, batch.num_rows, data)
+
+    return files.select("path", "modificationTime", "length").mapInArrow(run, SCHEMA)

@@ -54,3 +54,13 @@ def exists(spark, uri: str) -> bool:
 def remove(spark, uri: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def check_paths(spark, paths) -> None:
+    """Fail as Spark's readers do where a path, or a glob, stands for nothing (driver)."""
+    from pyspark.errors import AnalysisException
+
+    for uri in [paths] if isinstance(paths, str) else paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+            raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {uri}.")

@@ -1,15 +1,13 @@
 """Incremental summaries of a folder that keeps receiving files.
 
 The reference handles one file per run; on Spark the same column rules run
-on a streaming ``binaryFile`` source: each trigger picks up only new files,
-routes them (stream-static broadcast join to the 17-row format table),
+on a stream of listed files: each trigger picks up only new files, routes them (stream-static broadcast join to the 17-row format table),
 extracts text, summarises it and appends to a Parquet sink.  Progress lives
 in the checkpoint folder, so a restarted or failed job resumes where it
 stopped and never re-reads a file it has committed.
 
 No aggregation is involved, so no watermark is needed: the query maps a file to
-its summary row.  The one state is the set of zero-length files seen, which the
-file source does not deliver.
+its summary row.  The one state is the set of paths seen, spread over the executors.
 """
 
 from __future__ import annotations
@@ -24,7 +22,7 @@ from docweave.operators.structured import csv_heads
 from docweave.sources.bigtext import BLOCK_BYTES, big_text_summaries
 from docweave.sources.files import DEFAULT_MAX_BYTES, load_corpus_text
 from docweave.sources.formats import route_by_extension
-from docweave.sources.listing import empty_files
+from docweave.sources.listing import empty_files, listed_files, with_content
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 SUMMARY_COLS = ["path", "name", "title", "ext", "kind", "n_chars", "summary", "error_class", "error"]
@@ -33,35 +31,30 @@ SUMMARY_COLS = ["path", "name", "title", "ext", "kind", "n_chars", "summary", "e
 def file_stream(spark: SparkSession, source_dir: str, glob: str | None = None,
                 max_files_per_trigger: int | None = None,
                 max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
-    """New files as rows.  Files over ``max_bytes`` arrive as ``too_large``
-    rows from a second, content-free stream over the same folder, so one
-    huge file neither fails the query nor disappears.  Files of no length, which
-    the file source leaves out, arrive from a listing of their own, once each
-    (state: the paths of the empty files seen)."""
+    """New files as rows.  Every trigger lists the folder on the executors; the
+    paths seen are state there, and the driver holds no list of files.  Files of
+    no length are rows too.  Files over ``max_bytes`` arrive as ``too_large``
+    rows without content, so one huge file neither fails the query nor disappears.
+    ``max_files_per_trigger`` needs Spark's own source, which lists on the driver."""
+    no_error = {"error_class": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+    too_large = F.col("length") > max_bytes if max_bytes else F.lit(False)
+    large = {"error_class": F.when(too_large, F.lit("too_large")),
+             "error": F.when(too_large, F.concat(F.lit(f"File is larger than {max_bytes} bytes: "), F.col("length").cast("string")))}
+    if not max_files_per_trigger:
+        return with_content(listed_files(spark, source_dir, glob, stream=True), max_bytes).withColumns(large)
+
     def source():
         reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-                  .option("recursiveFileLookup", "true"))
+                  .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", int(max_files_per_trigger)))
         if glob:
             reader = reader.option("pathGlobFilter", glob)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
         return reader.load(source_dir)
 
-    readable = source()
-    if max_bytes:
-        readable = readable.where(F.col("length") <= max_bytes)
-    files = (readable.withColumn("error_class", F.lit(None).cast("string"))
-                     .withColumn("error", F.lit(None).cast("string")))
-    files = files.unionByName(empty_files(spark, source_dir, glob, stream=True).withColumns(
-        {"error_class": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}))
+    readable = source().where(~too_large).withColumns(no_error)
+    files = readable.unionByName(empty_files(spark, source_dir, glob, stream=True).withColumns(no_error))
     if not max_bytes:
         return files
-    too_large = source().where(F.col("length") > max_bytes).select(
-        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"),
-        F.lit("too_large").alias("error_class"),
-        F.concat(F.lit(f"File is larger than {max_bytes} bytes: "), F.col("length").cast("string"))
-        .alias("error"))
-    return files.unionByName(too_large)
+    return files.unionByName(source().where(too_large).withColumn("content", F.lit(None).cast("binary")).withColumns(large))
 
 
 def summarize_files(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None

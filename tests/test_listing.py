@@ -90,3 +90,29 @@ def test_streaming_report_counts_empty_files(spark, tmp_path):
     rows = {r.ext: r for r in spark.read.parquet(str(tmp_path / "rep")).collect()}
     assert (rows[".txt"].n_files, rows[".txt"].n_ok, rows[".txt"].n_chars) == (2, 2, 5)
     assert (rows[".json"].n_files, rows[".json"].n_ok, rows[".json"].error_class) == (1, 0, "bad_json")
+
+
+def test_no_list_of_files_on_the_driver(spark, tmp_path):
+    for i in range(70):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"{i}.txt").write_text("" if i % 10 == 0 else f"Text {i}.")
+    (tmp_path / "d1" / "_left.txt").write_text("hidden")
+    files = read_corpus(spark, [str(tmp_path), str(tmp_path / "d3")], glob="*.txt")
+    assert files.inputFiles() == []  # Spark's own reader would hold them all
+    got = {os.path.basename(r.path): r for r in files.collect()}
+    assert len(got) == 70 and files.count() == 70
+    assert all(bytes(got[f"{i}.txt"].content) == (b"" if i % 10 == 0 else f"Text {i}.".encode()) for i in range(70))
+    assert got["7.txt"].length == 7 and got["7.txt"].path == f"file:{tmp_path}/d7/7.txt"
+    slim = read_corpus(spark, str(tmp_path), wanted=[str(tmp_path / "gone")], with_content=False)
+    assert slim.where("content IS NOT NULL").count() == 0 and slim.where("length = 7").count() == 9
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_corpus(spark, str(tmp_path / "none"))
+
+
+def test_contents_leave_a_task_in_pieces(spark, tmp_path, monkeypatch):
+    for i in range(9):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * (i * 1000))
+    monkeypatch.setattr(listing, "CONTENT_BYTES", 5000)
+    rows = listing.with_content(listing.listed_files(spark, str(tmp_path)).coalesce(1), max_bytes=7000).collect()
+    assert {os.path.basename(r.path): r.content and bytes(r.content) for r in rows} == {
+        f"{i}.bin": None if i == 8 else bytes([i]) * (i * 1000) for i in range(9)}

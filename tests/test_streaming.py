@@ -57,3 +57,10 @@ def test_stream_quarantines_oversized_files(spark, tmp_path):
     rows = {r.name: r for r in spark.read.parquet(str(sink)).collect()}
     assert rows["small.txt"].summary == "One. Two."
     assert rows["big.txt"].error_class == "too_large" and rows["big.txt"].summary is None
+
+
+def test_the_stream_lists_on_executors(spark, tmp_path):
+    from docweave.streaming.incremental import file_stream
+    (tmp_path / "a.txt").write_text("One.")
+    plan = file_stream(spark, str(tmp_path))._jdf.queryExecution().logical().toString()
+    assert "FileSource" not in plan and "binaryFile" not in plan  # these list, and keep every path, on the driver
