@@ -890,7 +890,7 @@ def q_notebook_cells(spark, sf_dir):
     return notebook_cells(conv.select("conv_id", "turn", _nb_json_spark(F.col("text")).alias("nb")), "nb", ("conv_id", "turn"))
 
 
-# each language's documents in one text file, cut into small blocks
+# each language's documents as one text, in files that many tasks write, cut into small blocks
 @register("big_text_summaries", f"""
 SELECT lang, CAST(length(t) AS BIGINT) AS n_chars,
        array_to_string(list_transform({_d_chunks('t')}, lambda c: {_d_lead('c', 2)}), chr(10) || chr(10)) AS summary
@@ -902,11 +902,12 @@ def q_big_text_summaries(spark, sf_dir):
     from docweave.sources.files import read_corpus
     from docweave.sources.scratch import scratch_dir
     out = scratch_dir(spark, "bigtext")
-    (table(spark, sf_dir, "documents").select("lang", "doc_id", "text").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    # in order by many tasks: a language's text is the files of its folder, one after the other
+    (table(spark, sf_dir, "documents").select("lang", "doc_id", "text").repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
      .select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(out))
-    files = read_corpus(spark, out, glob="*.txt").select("path", "length")
-    return big_text_summaries(files, block_bytes=1 << 16).select(
-        F.regexp_extract("path", _LANG_OF_PATH, 1).alias("lang"), "n_chars", "summary")
+    files = read_corpus(spark, out, glob="*.txt", with_content=False).select(
+        "path", "length", F.regexp_extract("path", _LANG_OF_PATH, 1).alias("text"), F.regexp_extract("path", "([^/]+)$", 1).alias("part"))
+    return big_text_summaries(files, block_bytes=1 << 16).select(F.col("path").alias("lang"), "n_chars", "summary")
 
 
 # replies made of the documents: fenced and bare, whole, lacking a key, broken

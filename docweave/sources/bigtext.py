@@ -7,6 +7,9 @@ same place, and the blocks decode and fold as the whole would.  A first pass
 counts each block's characters; their prefix sums say where a block starts in
 the text, so a second pass cuts the same 2,000-character chunks that the whole
 text has.  Only the chunks that a cut runs through meet in a shuffle.
+
+A text may lie in several files, as many tasks write it: each file then names its
+``text`` and its ``part``, in whose order they follow; a part ends with a line.
 """
 
 from __future__ import annotations
@@ -65,32 +68,35 @@ def _slots(df: DataFrame) -> int:
 
 
 def text_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(path, block, n_chars, start): the blocks of ``files`` (path, length),
-    their characters, and the place of the first one in the text.  A file without
-    bytes has one block."""
+    """(path, block, text, n_chars, start): the blocks of ``files`` (path, length,
+    and text and part where a text has several files), their characters, and the
+    place of the first one in the text.  A file without bytes has one block."""
+    if "text" not in files.columns:
+        files = files.withColumns({"text": F.col("path"), "part": F.lit("")})
     last = F.greatest(F.ceil(F.col("length") / block_bytes), F.lit(1)) - 1
-    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition(_slots(files), "path", "block")
-    counted = _read(blocks, block_bytes, lambda row, text: [pd.DataFrame({"path": [row.path], "block": [row.block], "n_chars": [len(text)]})],
-                    "path string, block long, n_chars long")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
+    blocks = files.select("path", "text", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition(_slots(files), "path", "block")
+    counted = _read(blocks, block_bytes, lambda row, text: [pd.DataFrame({
+        "path": [row.path], "block": [row.block], "text": [row.text], "part": [row.part], "n_chars": [len(text)]})],
+                    "path string, block long, text string, part string, n_chars long")
+    before = Window.partitionBy("text").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0))).drop("part")
 
 
 def text_pieces(blocks: DataFrame, size: int = CHUNK_SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """T4 of ``text_blocks``: (path, chunk_no, inside, piece).  A chunk that no
+    """T4 of ``text_blocks``: (path - the text's -, chunk_no, inside, piece).  A chunk that no
     cut runs through is one piece from place 0; other pieces say where in their
     chunk they begin."""
     def cut(row, text):
         start, at, rows = int(row.start), 0, []
         while at < len(text):
             no, inside = divmod(start + at, size)
-            rows.append((row.path, no, inside, text[at:at + size - inside]))
+            rows.append((row.text, no, inside, text[at:at + size - inside]))
             at += size - inside
             if len(rows) == 2_000 or at >= len(text):
                 yield pd.DataFrame(rows, columns=["path", "chunk_no", "inside", "piece"])
                 rows = []
 
-    dealt = blocks.select("path", "block", "start").repartition(_slots(blocks), "path", "block")
+    dealt = blocks.select("path", "block", "text", "start").repartition(_slots(blocks), "path", "block")
     return _read(dealt, block_bytes, cut, "path string, chunk_no long, inside long, piece string")
 
 
@@ -107,12 +113,12 @@ def chunk_summaries(pieces: DataFrame, size: int = CHUNK_SIZE, per_chunk: int =
 
 def big_text_summaries(files: DataFrame, size: int = CHUNK_SIZE, per_chunk: int = SENTENCES_PER_CHUNK,
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(path, n_chars, summary) of text files (path, length) of any size, the
-    summary as ``local_summary`` has it of the whole text; '' for an empty file.
+    """(path, n_chars, summary) of text files (path, length) of any size, or of
+    texts in several files (``text``, ``part`` too; path is the text then), the summary as ``local_summary`` has it of the whole text; '' for an empty file.
     The one row that a file ends in holds its summary, not its text."""
     blocks = text_blocks(files, block_bytes)
     parts = chunk_summaries(text_pieces(blocks, size, block_bytes), size, per_chunk)
     joined = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "summary"))).alias("p")).select(
         "path", F.array_join(F.transform("p", lambda x: x["summary"]), CHUNK_SEP).alias("summary"))
-    return (blocks.groupBy("path").agg(F.sum("n_chars").alias("n_chars")).join(joined, "path", "left")
+    return (blocks.groupBy(F.col("text").alias("path")).agg(F.sum("n_chars").alias("n_chars")).join(joined, "path", "left")
             .select("path", "n_chars", F.coalesce("summary", F.lit("")).alias("summary")))

@@ -181,3 +181,29 @@ def test_json_replies(spark):
     assert {got[i].error for i in (10, 11, 12)} == {"the reply is empty"} and got[13].error == "the reply lacks short_summary"
     told = df.select(json_reply("c").alias("r")).select(degrade_errors("r.status", "r.full_summary", "r.error").alias("s")).collect()
     assert told[0].s == "f" and told[8].s == "Model summarization failed: the reply is not a JSON object"
+
+
+def test_a_text_in_several_files_is_one_text(spark, tmp_path):
+    lines = [f"Sentence {i} of the text. Ünd more {'x' * (i % 37)}!\n" for i in range(200)]
+    for k in range(5):
+        (tmp_path / f"part-{k}.txt").write_text("".join(lines[40 * k:40 * k + 40]))
+    (tmp_path / "whole.txt").write_text("".join(lines))
+    files = read_corpus(spark, str(tmp_path)).select("path", "length")
+    parts = files.where("path LIKE '%part-%'").withColumns({"text": F.lit("t"), "part": F.substring_index("path", "/", -1)})
+    got = bigtext.big_text_summaries(parts, size=50, block_bytes=300).collect()
+    want = bigtext.big_text_summaries(files.where("path LIKE '%whole%'"), size=50, block_bytes=1 << 20).collect()
+    assert [(r.path, r.n_chars, r.summary) for r in got] == [("t", want[0].n_chars, want[0].summary)]
+
+
+def test_python_stages_take_bounded_batches(spark, tmp_path):
+    from docweave.operators.inference import infer_batch
+    from docweave.sources.files import load_corpus_text
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.createDataFrame([("a.txt", "One.")], "path string, content string")
+    for plan in (lambda: load_corpus_text(rows), lambda: infer_batch(rows.selectExpr("path AS req_id", "content AS prompt", "'m' AS model", "1 AS max_retries"), lambda: None)):
+        spark.conf.set(setting, "10000")
+        try:
+            plan()
+            assert int(spark.conf.get(setting)) == 1_000  # a worker holds a batch of whole texts several times over
+        finally:
+            spark.conf.unset(setting)
