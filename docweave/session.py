@@ -72,6 +72,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+#: Rows of an Arrow batch, at most: the JVM and a Python worker each hold a batch
+#: of whole texts, several times over while it is worked on.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_ROWS`` rows for Python stages (the session's
+    setting where that is smaller; it stays set for the session)."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 # key of each supplied table: used to spread under-partitioned scans
 TABLE_KEYS = {
     "documents": ["doc_id"], "pages": ["page_id"], "events": ["event_id"],

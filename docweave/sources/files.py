@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from docweave.functions.html import join_text_nodes, mark_text_nodes, shown, unescape_one
 from docweave.functions.jsontext import pretty_one, safe_text
 from docweave.operators.structured import LARGE_NOTEBOOK, _notebook_text, csv_head, notebook_text_one, xml_outline_one
+from docweave.session import bound_batches
 from docweave.sources.formats import FORMATS, route_by_extension
 from docweave.sources.listing import empty_files, listed_files
 from docweave.sources.listing import with_content as read_content
@@ -166,6 +167,7 @@ def extract_text(routed: DataFrame, content_col: str = "content",
     table).  Returns ``TEXT_SCHEMA`` columns plus any key columns kept by the
     caller.
     """
+    bound_batches(routed.sparkSession)
     custom = {k.lower(): v for k, v in (extractors or {}).items()}
     ctype = dict(routed.dtypes)[content_col]
     raw_bytes = F.col(content_col) if ctype == "binary" else F.col(content_col).cast("binary")
