@@ -255,7 +255,7 @@ def _total(rows: DataFrame, f) -> dict:
             if len(parts) == 16:
                 sums, parts = _add([sums, *parts]), []
         for name, (k, v) in _add([sums, *parts]).items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k, pa.int64()), pa.array(v, pa.float64())], names=["name", "k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(v, pa.float64())], names=["name", "k", "v"])
 
     found = (map_arrow(rows, run, "name string, k long, v double").groupBy("name", "k")
              .agg(F.when(F.col("name").startswith("max"), F.max("v")).otherwise(F.sum("v")).alias("v"))
