@@ -110,26 +110,29 @@ def export_report(df: DataFrame, path_col: str = "target_path", text_col: str =
                          F.when(F.col("low") == F.col("high"), F.col("t")).alias("t"))
 
     def write(batches):
-        from docweave.sources.storage import open_store, put
-
-        for pdf in batches:
-            found = []
-            for path, text, conflict in zip(pdf["path"], pdf["t"], pdf["conflict"]):
-                if conflict:
-                    found.append((CONFLICT, "rows with different texts name this target"))
-                    continue
-                try:
-                    put(*open_store(path), text.encode())
-                    found.append((WRITTEN, None))
-                except (OSError, ValueError) as e:
-                    found.append((FAILED, f"{type(e).__name__}: {e}"))
-            out = pdf[["path", "n_rows"]].copy()
-            out["status"], out["error"] = [f[0] for f in found], [f[1] for f in found]
-            yield out
-
+        from docweave.sources.storage import Writer
+
+        with Writer() as files:
+            for pdf in batches:
+                found = []
+                for path, text, conflict in zip(pdf["path"], pdf["t"], pdf["conflict"]):
+                    if conflict:
+                        found.append((CONFLICT, "rows with different texts name this target"))
+                        continue
+                    try:
+                        files.put(path, text.encode())
+                        found.append((WRITTEN, None))
+                    except (OSError, ValueError) as e:
+                        found.append((FAILED, f"{type(e).__name__}: {e}"))
+                out = pdf[["path", "n_rows"]].copy()
+                out["status"], out["error"] = [f[0] for f in found], [f[1] for f in found]
+                yield out
+
+    # files take their time by number, not by size: dealt over all slots, where AQE would join small partitions
+    slots = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     report = scratch_dir(spark, "export")
     schema = "path string, n_rows long, status string, error string"
-    targets.mapInPandas(write, schema).write.parquet(report)
+    targets.repartition(slots, "path").mapInPandas(write, schema).write.parquet(report)
     return spark.read.schema(schema).parquet(report)
 
 

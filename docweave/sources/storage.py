@@ -24,17 +24,24 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
-def put(store: fs.FileSystem, path: str, data: bytes) -> None:
+def _grows(store: fs.FileSystem) -> bool:
+    """Whether a file system shows files as they grow."""
+    return store.type_name in ("local", "hdfs")
+
+
+def put(store: fs.FileSystem, path: str, data: bytes, parts: str | None = None) -> None:
     """Write a whole file or none: where a file system shows files as they grow,
     they grow under a hidden name and are renamed; objects appear when complete.
-    An existing file is replaced, missing folders are made."""
+    An existing file is replaced, missing folders are made.  ``parts``: an
+    existing folder to grow in, on the same file system."""
     folder, name = posixpath.split(path)
-    if store.type_name not in ("local", "hdfs"):
+    if not _grows(store):
         with store.open_output_stream(path) as out:
             out.write(data)
         return
-    store.create_dir(folder, recursive=True)
-    part = posixpath.join(folder, f".{name}.{uuid.uuid4().hex[:12]}.part")
+    if parts is None:
+        store.create_dir(folder, recursive=True)
+    part = posixpath.join(parts or folder, f".{name}.{uuid.uuid4().hex[:12]}.part")
     try:
         with store.open_output_stream(part) as out:
             out.write(data)
@@ -45,6 +52,40 @@ def put(store: fs.FileSystem, path: str, data: bytes) -> None:
         raise
 
 
+class Writer:
+    """``put`` for the many files of a task.  Tasks that fill one folder wait for
+    each other with every name that they make or change in it: from the second
+    file of a folder on, files grow in a hidden folder of the task's own below it
+    and only their renaming is left.  Those folders go when the writer closes."""
+
+    def __init__(self) -> None:
+        self.stores: dict[str, fs.FileSystem] = {}
+        self.parts: dict[tuple[str, str], str | None] = {}
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def put(self, uri: str, data: bytes) -> None:
+        store, path = open_store(uri)
+        root = uri.split("://", 1)[0] + "://" + uri.split("://", 1)[1].split("/", 1)[0] if "://" in uri else ""
+        store = self.stores.setdefault(root, store)
+        key = root, posixpath.dirname(path)
+        if _grows(store) and key in self.parts and self.parts[key] is None:
+            own = posixpath.join(key[1], f".{uuid.uuid4().hex[:12]}.parts")
+            store.create_dir(own)
+            self.parts[key] = own
+        put(store, path, data, self.parts.get(key))
+        self.parts.setdefault(key, None)
+
+    def __exit__(self, *_) -> None:
+        for (root, _), own in self.parts.items():
+            if own is not None:
+                try:
+                    self.stores[root].delete_dir(own)
+                except FileNotFoundError:
+                    pass
+
+
 def exists(spark, uri: str) -> bool:
     """Whether a path exists, as Spark's file system layer sees it (driver)."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)

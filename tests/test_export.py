@@ -49,6 +49,26 @@ def test_a_write_that_dies_leaves_no_half_file(tmp_path, monkeypatch):
     assert target.read_text() == "new text" and os.listdir(tmp_path) == ["s.md"]
 
 
+def test_files_of_one_folder_grow_apart(tmp_path, monkeypatch):
+    grown = []
+    plain = storage.put
+    monkeypatch.setattr(storage, "put", lambda store, path, data, parts=None: (grown.append(parts), plain(store, path, data, parts)))
+    folders = [tmp_path / "full", tmp_path / "file:x", tmp_path / "lone"]
+    with storage.Writer() as first, storage.Writer() as second:
+        for k in range(4):
+            first.put(f"{folders[0]}/a{k}.md", b"a")
+            second.put(f"file:{folders[0]}/b{k}.md", b"b")
+        first.put(f"{folders[1]}/c.md", b"c")
+        first.put(f"{folders[2]}/d.md", b"d")
+        first.put(f"{folders[0]}/a0.md", b"new")
+        with pytest.raises(OSError):
+            first.put(f"{folders[0]}/a1.md/below.md", b"x")
+    own = [g for g in grown if g]
+    assert len(set(own)) == 2 and len(own) == 7 and all(os.path.dirname(g) == str(folders[0]) for g in own)
+    assert sorted(os.listdir(folders[0])) == [f"{c}{k}.md" for c in "ab" for k in range(4)]
+    assert (folders[0] / "a0.md").read_bytes() == b"new" and os.listdir(folders[1]) == ["c.md"] and os.listdir(folders[2]) == ["d.md"]
+
+
 def test_stores_of_paths_and_uris(tmp_path):
     for spelling in (f"{tmp_path}/x y.md", f"file:{tmp_path}/x y.md", f"file://{tmp_path}/x y.md"):
         store, path = storage.open_store(spelling)
