@@ -1,25 +1,28 @@
 """Language-model scoring: a hierarchical Pitman-Yor model of words.
 
 Restaurants: one root over the vocabulary, with a uniform base, and one
-restaurant per class of the previous word (``CONTEXTS`` classes by hash), all
-with the root as parent.  A customer of a context restaurant is a training
-token; a table of it is a customer of the root.  Gibbs sweeps reseat all
-customers of a dish given the rest; the predictive probability of a token is
-averaged over the sweeps after the first, and perplexity follows from its logs.
+restaurant per distinct previous word (and one for a text's start), all with the
+root as parent.  A customer of a context restaurant is a training token; a table
+of it is a customer of the root.  Gibbs sweeps reseat all customers of a dish
+given the rest; the predictive probability of a token is averaged over the
+sweeps after the first, and perplexity follows from its logs.
 
 The work is dealt by word into blocks.  Each batch of texts packs, per block,
 what it counts (word, context, document, times) into compressed arrays; a block
-gathers them once and keeps them as a table in the shared folder.  What a sweep
-needs from elsewhere - tables and customers of each context, and of the words so
-common that they are spread over all blocks - are sums of bounded number, taken
-from one sweep to the next (so blocks sample in parallel, each against the last
-sweep of the others).  Sweeps are seeded and repeated where needed instead of
-kept, so a lost task changes nothing.
+gathers them once and keeps them in a table bucketed by block.  What a sweep
+needs from elsewhere is taken from one sweep to the next (so blocks sample in
+parallel, each against the last sweep of the others).  The tables and customers
+of a context are summed where the context is dealt to: a block sends those of its
+contexts in an order settled beforehand, and gets the sums back in the same
+order, so a sweep shuffles a few bytes per block and context.  Words so common
+that they are spread over all blocks, and the totals, are sums of bounded number.
+Sweeps are seeded, so a lost task changes nothing.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -29,9 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import read, remainder, slices, stash
+from docweave.llm.common import map_arrow, read, remainder, slices, stash
+from docweave.sources.layout import save_bucketed
+from docweave.sources.scratch import scratch_dir
 
-CONTEXTS = 4_096
 #: Gibbs sweeps; the first only settles the seating.
 SWEEPS = 4
 BURN_IN = 1
@@ -40,16 +44,20 @@ STRENGTH = (1.0, 1.0)
 #: Bytes of text per block, and blocks at least.
 BLOCK_BYTES = 16 << 20
 MIN_BLOCKS = 64
+#: Bytes of text that are packed at a time.
+BATCH_BYTES = 4 << 20
+#: Blocks of text per place that sums the tables of contexts.
+PLACE_BLOCKS = 4
 #: Words of at least a (4 x blocks)-th of all tokens are spread over all blocks;
 #: at most so many words can be.
 SPREAD_WORDS = 1 << 16
 #: Customers seated one by one; from then on a 16th of those seated at a time.
 SINGLE = 64
 END = np.uint64(0x7E5D0F1C3B2A4968)
-START = 0
+START = np.uint64(0)  # the first by hash, as it is by place in a batch: entries are in order of their types
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-CACHE = 500_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -69,11 +77,10 @@ def tokens(text: str | None, known: dict) -> np.ndarray:
     return out
 
 
-def _context(h: np.ndarray) -> np.ndarray:
-    """Class of the previous token; 0 at a text's start."""
-    out = np.zeros(len(h), np.uint16)
-    out[1:] = ((h[:-1] * _ODD) >> np.uint64(40)) % np.uint64(CONTEXTS - 1) + np.uint64(1)
-    return out
+def _place(contexts: np.ndarray, places: int) -> np.ndarray:
+    """Where the tables of each context are summed."""
+    mixed = (contexts ^ (contexts >> np.uint64(31))) * _MIX
+    return ((mixed >> np.uint64(33)) % np.uint64(places)).astype(np.int64)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -94,12 +101,27 @@ def _batches(batches):
     from pyspark import TaskContext
 
     n = TaskContext.get().partitionId() << 32
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(_merged(batches, "text"), "text", BATCH_BYTES):
         for at in range(0, batch.num_rows, 50_000):
             yield n, batch.slice(at, 50_000)
             n += 1
 
 
+def _merged(batches, column: str):
+    """Neighbouring record batches as one while ``column`` holds at most
+    ``BATCH_BYTES``: Spark sends few rows at a time, a batch's words repeat."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(batch.schema.get_field_index(column)).nbytes
+        if held and size + more > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _common_words(docs: DataFrame, share: float) -> np.ndarray:
     """Hashes of the words with at least ``share`` of all tokens: batches report
     the words that reach half of it among their own."""
@@ -114,7 +136,7 @@ def _common_words(docs: DataFrame, share: float) -> np.ndarray:
                 [pa.array(np.append(words[top].view(np.int64), 0)), pa.array(np.append(n[top], total)),
                  pa.array(np.append(np.zeros(top.sum(), bool), True))], names=["w", "n", "all"])
 
-    sums = stash(docs.select("text").mapInArrow(run, "w long, n long, all boolean").groupBy("w", "all").agg(F.sum("n").alias("n")), "common")
+    sums = stash(map_arrow(docs.select("text"), run, "w long, n long, all boolean").groupBy("w", "all").agg(F.sum("n").alias("n")), "common")
     total = sums.where("all").agg(F.sum("n")).first()[0] or 0
     rows = sums.where(~F.col("all") & (F.col("n") >= max(1.0, share * total))).orderBy(F.desc("n"), "w").limit(SPREAD_WORDS).collect()
     return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
@@ -129,16 +151,20 @@ def _deal(docs: DataFrame, blocks: int, common: np.ndarray) -> DataFrame:
             parts = [tokens(t, known) for t in batch.column(2).to_pylist()]
             sizes = [len(p) for p in parts]
             h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            u = np.concatenate([_context(p) for p in parts]) if parts else np.empty(0, np.uint16)
             doc = np.repeat(np.arange(len(parts), dtype=np.uint16), sizes)
             words, at = np.unique(h, return_inverse=True)
-            width = np.uint64(1 << 16)
-            entry, times = np.unique((at.astype(np.uint64) * np.uint64(CONTEXTS) + u) * width + doc, return_counts=True)
+            u = np.zeros(len(h), np.uint64)  # the previous word, from 1; 0 at a text's start
+            u[1:] = at[:-1] + 1
+            u[np.cumsum([0, *sizes[:-1]])[:len(parts)]] = 0
+            contexts = np.append(START, words)
+            width, wide = np.uint64(max(1, len(parts))), np.uint64(len(contexts))
+            entry, times = np.unique((at.astype(np.uint64) * wide + u) * width + doc, return_counts=True)
             e_doc, rest = (entry % width).astype(np.uint16), entry // width
-            e_u, e_w = (rest % np.uint64(CONTEXTS)).astype(np.uint16), (rest // np.uint64(CONTEXTS)).astype(np.int64)
+            e_u, e_w = (rest % wide).astype(np.int64), (rest // wide).astype(np.int64)
+            del entry, rest, u, doc, at, h, parts
             key = words * _MIX
             spread = np.isin(words, common)
-            e_key = key[e_w] + np.where(spread[e_w], e_u.astype(np.uint64) * _ODD, np.uint64(0))
+            e_key = key[e_w] + np.where(spread[e_w], contexts[e_u] * _ODD, np.uint64(0))
             e_key = (e_key ^ (e_key >> np.uint64(31))) * _MIX
             block = ((e_key >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
@@ -147,53 +173,64 @@ def _deal(docs: DataFrame, blocks: int, common: np.ndarray) -> DataFrame:
             for piece in np.split(order, cuts) if len(order) else []:
                 w = e_w[piece]
                 starts = np.flatnonzero(np.diff(w, prepend=-1))
+                met, e_met = np.unique(e_u[piece], return_inverse=True)
                 rows.append((int(block[piece[0]]), _pack(words[w[starts]]), _pack(np.diff(np.append(starts, len(w))).astype(np.uint32)),
-                             _pack(e_u[piece]), _pack(e_doc[piece]), _pack(times[piece].astype(np.uint32))))
+                             _pack(contexts[met]), _pack(e_met.astype(np.uint32)), _pack(e_doc[piece]), _pack(times[piece].astype(np.uint32))))
             learn = np.packbits(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)).tobytes()
             n = len(rows)
             block_of = [r[0] for r in rows] + [int(number % blocks)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block_of, pa.int32()), pa.array([number] * (n + 1), pa.int64()),
-                 *(pa.array([r[k] for r in rows] + [None], pa.binary()) for k in range(1, 6)),
+                 *(pa.array([r[k] for r in rows] + [None], pa.binary()) for k in range(1, 7)),
                  pa.array([learn] * (n + 1), pa.binary()),
                  pa.array([None] * n + [batch.column(0).to_pylist()], pa.list_(pa.int64())),
                  pa.array([None] * n + [sizes], pa.list_(pa.int64())),
                  pa.array([None] * n + [batch.column(1).to_pylist()], pa.list_(pa.bool_()))],
-                names=["block", "batch", "words", "per", "u", "doc", "times", "learn", "keys", "sizes", "held"])
+                names=["block", "batch", "words", "per", "contexts", "u", "doc", "times", "learn", "keys", "sizes", "held"])
 
-    return docs.select("key", "held", "text").mapInArrow(
-        run, "block int, batch long, words binary, per binary, u binary, doc binary, times binary, learn binary, "
+    return map_arrow(
+        docs.select("key", "held", "text"), run, "block int, batch long, words binary, per binary, contexts binary, u binary, doc binary, times binary, learn binary, "
              "keys array<long>, sizes array<long>, held array<boolean>")
 
 
-_TABLE = ("block int, m_words binary, m_types binary, m_u binary, m_c binary, o_batch array<long>, o_type array<binary>, "
+_TABLE = ("block int, m_words binary, m_contexts binary, m_types binary, m_u binary, m_c binary, o_batch array<long>, o_type array<binary>, "
           "o_doc array<binary>, o_times array<binary>, h_batch array<long>, h_keys array<array<long>>, "
           "h_sizes array<array<long>>, h_held array<array<boolean>>")
 
 
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per block: its words, the types (word, context) with their
-    training counts, per batch the entries by type, and headers."""
+def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of some arrays, and of each array the places there."""
+    values, at = np.unique(np.concatenate([np.empty(0, np.uint64), *arrays]), return_inverse=True)
+    return values, np.split(at, np.cumsum([len(a) for a in arrays])[:-1]) if arrays else []
+
+
+def _gather(pdf: pd.DataFrame, places: int) -> pd.DataFrame:
+    """One row per block: its words, its contexts in the order of their places,
+    the types (word, context) with their training counts, per batch the entries
+    by type, and headers."""
     head = pdf[pdf["keys"].notna()]
     rows = pdf[pdf["words"].notna()].sort_values("batch")
-    words = [_unpack(b, np.uint64) for b in rows["words"]]
     per = [_unpack(b, np.uint32) for b in rows["per"]]
-    all_words, at = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
-    at = np.split(at, np.cumsum([len(w) for w in words])[:-1]) if words else []
+    all_words, at = _joined([_unpack(b, np.uint64) for b in rows["words"]])
+    contexts, met = _joined([_unpack(b, np.uint64) for b in rows["contexts"]])
+    order = np.lexsort((contexts, _place(contexts, places)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    wide = max(1, len(order))
     keys, docs, times, learned = [], [], [], []
-    for w, p, u, d, t, learn in zip(at, per, rows["u"], rows["doc"], rows["times"], rows["learn"]):
+    for w, m, p, u, d, t, learn in zip(at, met, per, rows["u"], rows["doc"], rows["times"], rows["learn"]):
         doc, n = _unpack(d, np.uint16), _unpack(t, np.uint32)
-        keys.append(np.repeat(w.astype(np.int64), p) * CONTEXTS + _unpack(u, np.uint16))
+        keys.append(np.repeat(w.astype(np.int64), p) * wide + m[_unpack(u, np.uint32)])
         docs.append(doc)
         times.append(n)
         learned.append(np.where(np.unpackbits(np.frombuffer(learn, np.uint8))[doc] == 1, n, 0))
     types, of = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
     counts = np.bincount(of, weights=np.concatenate(learned) if learned else None, minlength=len(types)).astype(np.int64)
     of = np.split(of, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
-    w = types // CONTEXTS
+    w = types // wide
     return pd.DataFrame([{
-        "block": int(pdf["block"].iloc[0]), "m_words": all_words.tobytes(), "m_types": np.diff(np.searchsorted(w, np.arange(len(all_words) + 1))).astype(np.uint32).tobytes(),
-        "m_u": (types % CONTEXTS).astype(np.uint16).tobytes(), "m_c": _pack(counts.astype(np.uint32)) if counts.max(initial=0) < 1 << 32 else _pack(counts),
+        "block": int(pdf["block"].iloc[0]), "m_words": all_words.tobytes(), "m_contexts": contexts[order].tobytes(), "m_types": np.diff(np.searchsorted(w, np.arange(len(all_words) + 1))).astype(np.uint32).tobytes(),
+        "m_u": _pack(rank[types % wide].astype(np.uint32)), "m_c": _pack(counts.astype(np.uint32)) if counts.max(initial=0) < 1 << 32 else _pack(counts),
         "o_batch": rows["batch"].tolist(), "o_type": [_pack(np.diff(k, prepend=0).astype(np.uint32)) for k in of],
         "o_doc": [_pack(d) for d in docs], "o_times": [_pack(t) for t in times],
         "h_batch": head["batch"].tolist(), "h_keys": head["keys"].tolist(), "h_sizes": head["sizes"].tolist(), "h_held": head["held"].tolist()}])
@@ -229,15 +266,18 @@ def seat(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, streng
 
 
 class _Block:
-    """The model of one block, swept up to the last of the given states."""
+    """The model of one block after a sweep; ``tables`` and ``seated`` are those
+    of all blocks' restaurants for its contexts, once they are known."""
 
-    def __init__(self, row: dict, common: np.ndarray, states: list[dict]):
+    def __init__(self, row: dict, common: np.ndarray):
         self.words = np.frombuffer(row["m_words"], np.uint64)
+        self.contexts = np.frombuffer(row["m_contexts"], np.uint64)
         self.word = np.repeat(np.arange(len(self.words)), np.frombuffer(row["m_types"], np.uint32))
-        self.u = np.frombuffer(row["m_u"], np.uint16).astype(np.int64)
+        self.u = _unpack(row["m_u"], np.uint32).astype(np.int64)
         raw = zstandard.ZstdDecompressor().decompress(row["m_c"]) if row["m_c"] else b""
         kind = np.uint32 if len(raw) == 4 * len(self.u) else np.int64
         self.c = _unpack(row["m_c"], kind).astype(np.int64)
+        self.many = np.flatnonzero(self.c > 1)  # only these can have more than a table
         self.number = row["block"]
         place = np.searchsorted(common, self.words)
         self.spread = np.full(len(self.words), -1)
@@ -248,12 +288,15 @@ class _Block:
         self.count = np.bincount(self.word, weights=self.c, minlength=len(self.words))
         self.t = np.minimum(self.c, 1).astype(float)
         self.top = (self.count > 0).astype(float)  # tables of each word at the root
-        self.samples: list[np.ndarray] = []
-        for s, state in enumerate(states):
-            if s:
-                self._sweep(s, states[s - 1])
-            if s > BURN_IN or s == len(states) - 1 == BURN_IN:
-                self.samples.append(self._predict(state))
+        self.tables = self.seated = None
+
+    def resume(self, kept: list[dict], step: int) -> None:
+        """The seating after a step, and the sums of that step."""
+        parts = {k: sorted((r["place"], r["data"]) for r in kept if r["name"] == k and r["step"] == (0 if k == "seated" else step))
+                 for k in ("t", "top", "tables", "seated")}
+        t, top, self.tables, self.seated = (np.concatenate([np.empty(0, np.int64), *(_unpack(b, np.int64) for _, b in parts[k])]).astype(float)
+                                            for k in ("t", "top", "tables", "seated"))
+        self.t[self.many], self.top = t, top
 
     def guests(self) -> np.ndarray:
         """Customers of each word at the root."""
@@ -266,57 +309,142 @@ class _Block:
         guests[held], top[held] = state["guests"][self.spread[held]], state["top"][self.spread[held]]
         return _root_probability(guests, top, state)
 
-    def _sweep(self, s: int, state: dict) -> None:
+    def sweep(self, s: int, state: dict) -> None:
         rng = np.random.default_rng([s, self.number])
-        base = self._root(state)
-        many = np.flatnonzero(self.c > 1)
-        others = np.maximum(state["tables"][self.u[many]] - self.t[many], 0)
+        base, many = self._root(state), self.many
+        others = np.maximum(self.tables[self.u[many]] - self.t[many], 0)
         self.t[many] = seat(self.c[many], base[self.word[many]], others, state["d1"], STRENGTH[1], rng)
         guests = self.guests().astype(np.int64)
         own = np.flatnonzero(self.own & (guests > 1))
         others = np.maximum(state["all_top"] - self.top[own], 0)
         self.top[own] = seat(guests[own], np.full(len(own), state["base"]), others, state["d0"], STRENGTH[0], rng)
 
-    def _predict(self, state: dict) -> np.ndarray:
+    def predict(self, state: dict) -> np.ndarray:
         base = self._root(state)[self.word]
-        tables, seated = state["tables"][self.u], state["seated"][self.u]
+        tables, seated = self.tables[self.u], self.seated[self.u]
         stay = np.where(self.c > 0, self.c - state["d1"] * self.t, 0.0)
         return (stay + (STRENGTH[1] + state["d1"] * tables) * base) / (STRENGTH[1] + seated)
 
     def sums(self) -> list[tuple[str, int, float]]:
-        """What the other blocks and the root need of this one."""
-        out = []
-        for name, w in (("tables", self.t), ("seated", self.c)):
-            total = np.bincount(self.u, weights=w, minlength=CONTEXTS)
-            out += [(name, int(k), float(total[k])) for k in np.flatnonzero(total)]
+        """What the root needs of this block, and all blocks of the common words."""
         guests, held = self.guests(), np.flatnonzero(~self.own)
-        out += [("guests", int(self.spread[k]), float(guests[k])) for k in held]
+        out = [("guests", int(self.spread[k]), float(guests[k])) for k in held]
         out += [("count", int(self.spread[k]), float(self.count[k])) for k in held]
         own, g = self.own & (self.count > 0), guests
-        for name, x in (("words", own.sum()), ("all_guests", guests[self.own].sum()), ("all_top", self.top[self.own].sum()),
+        for name, x in (("words", own.sum()), ("all_guests", guests[self.own].sum()), ("all_top", self.top[self.own].sum()), ("tokens", self.c.sum()),
                         ("n1", (self.c == 1).sum()), ("n2", (self.c == 2).sum()), ("g1", (g[own] == 1).sum()), ("g2", (g[own] == 2).sum())):
             out.append((name, 0, float(x)))
         return out
 
+    def parts(self, names, places: int) -> list[tuple[str, int, bytes]]:
+        """The seating, and the tables and customers of its contexts by place."""
+        out = [("t", 0, _pack(self.t[self.many].astype(np.int64))), ("top", 0, _pack(self.top.astype(np.int64)))]
+        cuts = np.searchsorted(_place(self.contexts, places), np.arange(places + 1))
+        for name in names:
+            total = np.bincount(self.u, weights=self.t if name == "tables" else self.c, minlength=len(self.contexts)).astype(np.int64)
+            out += [(name, k, _pack(total[cuts[k]:cuts[k + 1]])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        return out
+
 
 def _root_probability(guests, top, state: dict):
     stay = np.where(guests > 0, guests - state["d0"] * top, 0.0)
     return (stay + (STRENGTH[0] + state["d0"] * state["all_top"]) * state["base"]) / (STRENGTH[0] + state["all_guests"])
 
 
-def _state(table: DataFrame, common: np.ndarray, states: list[dict]) -> dict:
-    """Run one more sweep and sum what it leaves: CONTEXTS x 2 numbers, two per
-    spread word, and a few totals - bounded whatever the corpus."""
+_MODEL = ["block", "m_words", "m_contexts", "m_types", "m_u", "m_c"]
+_PARTS = "block int, step int, name string, place int, data binary"
+
+
+def _rows(batches):
+    """The rows of record batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+
+
+def _with_parts(table: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """The blocks with ``kept``: their parts (the table is not shuffled)."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.groupBy("block").agg(F.collect_list(F.struct("step", "name", "place", "data")).alias("kept"))
+    return table.join(rows, "block")
+
+
+def _sweep(table: DataFrame, common: np.ndarray, places: int, states: list[dict], parts: list[DataFrame]) -> DataFrame:
+    """``_PARTS`` and (name, k, x) sums of each block after one more sweep; of the
+    first seating where no state is known."""
+    step = len(states)
+    last = states[-1] if states else None
+
+    def run(batches):
+        for row in _rows(batches):
+            block = _Block(row, common)
+            if step:
+                block.resume(row["kept"], step - 1)
+                block.sweep(step, last)
+            sums, kept = block.sums(), block.parts(("tables",) if step else ("tables", "seated"), places)
+            n, m = len(sums), len(kept)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.number] * (n + m), pa.int32()), pa.array([step] * (n + m), pa.int32()), pa.array([x[0] for x in sums + kept]),
+                 pa.array([None] * n + [x[1] for x in kept], pa.int32()), pa.array([None] * n + [x[2] for x in kept], pa.binary()),
+                 pa.array([x[1] for x in sums] + [None] * m, pa.int64()), pa.array([x[2] for x in sums] + [None] * m, pa.float64())],
+                names=["block", "step", "name", "place", "data", "k", "x"])
+
+    rows = _with_parts(table.select(*_MODEL), parts) if parts else table.select(*_MODEL)
+    return stash(rows.mapInArrow(run, f"{_PARTS}, k long, x double"), "sweep")
+
+
+def _sent(table: DataFrame, places: int) -> DataFrame:
+    """Per place and block the contexts that the block sends there."""
+    def send(batches):
+        for row in _rows(batches):
+            contexts = np.frombuffer(row["m_contexts"], np.uint64)
+            cuts = np.searchsorted(_place(contexts, places), np.arange(places + 1))
+            to = np.flatnonzero(np.diff(cuts)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([row["block"]] * len(to), pa.int32()),
+                                              pa.array([contexts[cuts[k]:cuts[k + 1]].tobytes() for k in to], pa.binary())], names=["place", "block", "contexts"])
+
+    return table.select("block", "m_contexts").mapInArrow(send, "place int, block int, contexts binary")
+
+
+_MEETINGS = "place int, size long, blocks array<int>, at array<binary>"
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A place: its ``size`` contexts, and of each block which of them it sends."""
+    contexts, at = _joined([np.frombuffer(b, np.uint64) for b in pdf["contexts"]])
+    return pd.DataFrame([{"place": int(pdf["place"].iloc[0]), "size": len(contexts), "blocks": pdf["block"].tolist(),
+                          "at": [_pack(a.astype(np.uint32)) for a in at]}])
+
+
+def _totals(sent: DataFrame, meetings: DataFrame) -> DataFrame:
+    """``_PARTS``: what the blocks sent of their contexts, summed over all blocks,
+    for each block in the order in which it sent them."""
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                out = _swept(row, common, states).sums()
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) for k in range(3)], names=["name", "k", "x"])
-
-    rows = (table.select("block", "m_words", "m_types", "m_u", "m_c").mapInArrow(run, "name string, k long, x double")
-            .groupBy("name", "k").agg(F.sum("x").alias("x")).collect())
-    state = {"tables": np.zeros(CONTEXTS), "seated": np.zeros(CONTEXTS), "guests": np.zeros(len(common)), "count": np.zeros(len(common))}
+        for row in _rows(batches):
+            at = {b: _unpack(a, np.uint32) for b, a in zip(row["blocks"], row["at"])}
+            by_name: dict[tuple, list] = {}
+            for r in row["sent"]:
+                by_name.setdefault((r["step"], r["name"]), []).append(r)
+            for (step, name), some in by_name.items():
+                total = np.zeros(row["size"], np.int64)
+                for r in some:
+                    total[at[r["block"]]] += _unpack(r["data"], np.int64)  # a block names a context once
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["block"] for r in some], pa.int32()), pa.array([step] * n, pa.int32()), pa.array([name] * n), pa.array([row["place"]] * n, pa.int32()),
+                     pa.array([_pack(total[at[r["block"]]]) for r in some], pa.binary())], names=["block", "step", "name", "place", "data"])
+
+    rows = sent.groupBy("place").agg(F.collect_list(F.struct("block", "step", "name", "data")).alias("sent"))
+    return stash(meetings.join(rows, "place").mapInArrow(run, _PARTS), "totals")
+
+
+def _state(sums: DataFrame, common: np.ndarray, states: list[dict]) -> dict:
+    """The sums of a sweep: two per common word, and a few totals - bounded
+    whatever the corpus."""
+    rows = sums.groupBy("name", "k").agg(F.sum("x").alias("x")).collect()
+    state = {"guests": np.zeros(len(common)), "count": np.zeros(len(common))}
     total: dict[str, float] = {}
     for r in rows:
         if r["name"] in state:
@@ -326,7 +454,7 @@ def _state(table: DataFrame, common: np.ndarray, states: list[dict]) -> dict:
     get = lambda k: total.get(k, 0.0)
     used = state["count"] > 0
     state["words"] = get("words") + used.sum()
-    state["tokens"] = state["seated"].sum()
+    state["tokens"] = get("tokens")
     state["base"] = 1 / (state["words"] + 1)
     state["all_guests"] = get("all_guests") + state["guests"].sum()
     if not states:
@@ -343,36 +471,30 @@ def _state(table: DataFrame, common: np.ndarray, states: list[dict]) -> dict:
     return state
 
 
-def _swept(row: dict, common: np.ndarray, states: list[dict]) -> _Block:
-    """A block after as many sweeps as states are known (no prediction)."""
-    block = _Block(row, common, [])
-    for s, state in enumerate(states):
-        block._sweep(s + 1, state)
-    return block
-
-
-def _score(table: DataFrame, common: np.ndarray, states: list[dict]) -> DataFrame:
+def _score(table: DataFrame, common: np.ndarray, states: list[dict], parts: list[DataFrame]) -> DataFrame:
     """Sums per batch and block: known tokens, log10(count + 1), log10 probability."""
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                block = _Block(row, common, states)
-                count = block.count.copy()
-                held = ~block.own
-                count[held] = states[0]["count"][block.spread[held]]
-                count = count[block.word]
-                base, known = np.log10(count + 1), (count > 0).astype(float)
-                chance = np.log10(np.mean(block.samples, axis=0)) if len(block.u) else np.empty(0)
-                for number, of, doc, times in zip(row["o_batch"], row["o_type"], row["o_doc"], row["o_times"]):
-                    of, doc, times = np.cumsum(_unpack(of, np.uint32).astype(np.int64)), _unpack(doc, np.uint16), _unpack(times, np.uint32)
-                    docs, at = np.unique(doc, return_inverse=True)
-                    sums = [np.bincount(at, weights=times * x[of], minlength=len(docs)) for x in (known, base, chance)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number], pa.int64()), pa.array([_pack(docs)], pa.binary()), pa.array([_pack(sums[0].astype(np.uint32))], pa.binary()),
-                         pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["batch", "doc", "known", "base", "chance"])
-
-    return table.select("block", "m_words", "m_types", "m_u", "m_c", "o_batch", "o_type", "o_doc", "o_times").mapInArrow(
+        for row in _rows(batches):
+            block = _Block(row, common)
+            chance = np.zeros(len(block.u))
+            for step in range(BURN_IN + 1, len(states)):
+                block.resume(row["kept"], step)
+                chance += block.predict(states[step])
+            count = block.count.copy()
+            held = ~block.own
+            count[held] = states[0]["count"][block.spread[held]]
+            count = count[block.word]
+            base, known = np.log10(count + 1), (count > 0).astype(float)
+            chance = np.log10(chance / (len(states) - BURN_IN - 1))
+            for number, of, doc, times in zip(row["o_batch"], row["o_type"], row["o_doc"], row["o_times"]):
+                of, doc, times = np.cumsum(_unpack(of, np.uint32).astype(np.int64)), _unpack(doc, np.uint16), _unpack(times, np.uint32)
+                docs, at = np.unique(doc, return_inverse=True)
+                sums = [np.bincount(at, weights=times * x[of], minlength=len(docs)) for x in (known, base, chance)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([_pack(docs)], pa.binary()), pa.array([_pack(sums[0].astype(np.uint32))], pa.binary()),
+                     pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["batch", "doc", "known", "base", "chance"])
+
+    return _with_parts(table.select(*_MODEL, "o_batch", "o_type", "o_doc", "o_times"), parts).mapInArrow(
         run, "batch long, doc binary, known binary, base binary, chance binary")
 
 
@@ -391,13 +513,35 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=None)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(MIN_BLOCKS, math.ceil(size / BLOCK_BYTES))
     common = _common_words(docs, max(1 / (4 * blocks), 1 / SPREAD_WORDS))
-    table = stash(_deal(docs, blocks, common).groupBy("block").applyInPandas(_gather, _TABLE), "blocks")
+    places = max(MIN_BLOCKS, blocks // PLACE_BLOCKS)
+    spark = df.sparkSession
+    names = [f"docweave_{n}_{uuid.uuid4().hex[:12]}" for n in ("model", "meetings")]
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucketed(rows: DataFrame, gather, schema: str, name: str, key: str) -> DataFrame:
+        out = rows.repartition(dealt, key).groupBy(key).applyInPandas(gather, schema)
+        return save_bucketed(out, name, scratch_dir(spark, name), dealt, key)
+
+    table = bucketed(_deal(docs, blocks, common), lambda pdf: _gather(pdf, places), _TABLE, names[0], "block")
+    meetings = bucketed(_sent(table, places), _meet, _MEETINGS, names[1], "place")
     states: list[dict] = []
-    for _ in range(SWEEPS + 1):
-        states.append(_state(table, common, states))
+    kept: list[DataFrame] = []  # seatings and sums that are still needed
+    parts: list[DataFrame] = []  # those of the last step, and the customers of contexts
+    for step in range(SWEEPS + 1):
+        swept = _sweep(table, common, places, states, parts)
+        states.append(_state(swept.where("k IS NOT NULL"), common, states))
+        rows = swept.where("data IS NOT NULL").drop("k", "x")
+        sums = _totals(rows.where("name IN ('tables', 'seated')"), meetings)
+        seats, tables = rows.where("name IN ('t', 'top')"), sums.where("name = 'tables'")
+        if not step:
+            seated = sums.where("name = 'seated'")
+            kept.append(seated)
+        if step > BURN_IN:
+            kept += [seats, tables]
+        parts = [seated, seats, tables]
     tokens_all, words = states[0]["tokens"], states[0]["words"]
     none = F.lit(None)
-    sums = _score(table, common, states).select(
+    sums = _score(table, common, states, kept).select(
         "batch", "doc", "known", "base", "chance", none.cast("array<long>").alias("keys"), none.cast("array<long>").alias("sizes"), none.cast("array<boolean>").alias("held"))
     heads = table.select(F.explode(F.arrays_zip("h_batch", "h_keys", "h_sizes", "h_held")).alias("h")).select(
         F.col("h.h_batch").alias("batch"), *[none.cast("binary").alias(n) for n in ("doc", "known", "base", "chance")],
@@ -418,8 +562,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=None)
                              "n_known": known.round().astype(np.int64), "train_tokens": int(tokens_all),
                              "base_score": base - sizes * log_all, "score": chance})
 
-    return sums.unionByName(heads).groupBy("batch").applyInPandas(
+    out = sums.unionByName(heads).groupBy("batch").applyInPandas(
         total, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+    for name in names:  # the files stay for the rows above
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

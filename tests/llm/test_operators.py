@@ -340,6 +340,27 @@ def test_language_model(docs):
     assert language_model.score(empty(docs)).count() == 0
 
 
+def test_language_model_has_a_restaurant_for_every_previous_word(spark):
+    # each word once: every seating is a table of one, so the model has a closed form
+    n = 5_000
+    learnt = " ".join(f"p{i} q{i}" for i in range(n))
+    rows = [(0, learnt, False)] + [(1 + i, f"p{i} q{i}", True) for i in range(0, n, 50)] + [(10_000, "p7 q8", True), (10_001, "new q8", True), (10_002, None, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in language_model.score(df, held_out=F.col("held")).collect()}
+    d, known = 0.95, 2 * n + 1  # the discounts at their bound; words with the end
+    base = 1 / (known + 1)
+    root = ((1 - d) + (1 + d * known) * base) / (1 + known)  # of each known word: one customer, one table
+    void = (1 + d * known) * base / (1 + known)
+    after = lambda p, met=True, same=False: ((1 - d) * same + (1 + d * met) * p) / (1 + met)
+    first = lambda i: after(root, same=i == 0)  # the start's restaurant has p0 alone
+    end = lambda i: after(root, same=i == n - 1)
+    for i in range(0, n, 50):
+        assert math.isclose(got[1 + i], sum(map(math.log10, (first(i), after(root, same=True), end(i)))), rel_tol=1e-9), i
+    assert math.isclose(got[10_000], sum(map(math.log10, (first(7), after(root), end(8)))), rel_tol=1e-9)
+    assert math.isclose(got[10_001], sum(map(math.log10, (after(void), after(root, met=False), end(8)))), rel_tol=1e-9)
+    assert math.isclose(got[10_002], math.log10(after(root)), rel_tol=1e-9)
+
+
 def test_seating_opens_between_one_and_all_tables():
     rng = np.random.default_rng(0)
     c = np.array([1, 2, 50, 5_000])
