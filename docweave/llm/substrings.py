@@ -2,7 +2,8 @@
 
 Anchors are word grams that are the smallest by hash in some stretch of grams as
 long as a passage holds, so two copies of a passage always share one (winnowing).
-Around the anchors that occur more than once, every window of ``WORDS`` words is
+A window of ``WORDS`` words reaches far on one side of its anchor at least; where
+the anchor and the half window on that side occur more than once, the window is
 compared by digest; the first copy of a window, by key and place, stays.  What
 later windows cover, to the word, goes.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import map_arrow, read, slices, stash
+from docweave.llm.common import discard, map_arrow, read, slices, stash
 
 WINDOW = 16
 #: One end in 32 bytes, after at least 8; a chunk of MOST bytes ends anyway.
@@ -91,18 +92,35 @@ def anchors(h: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return at, g
 
 
+def halves(h: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window the place of its half in the text, and of every place that
+    is one the digest: the anchor with the words on the side where the
+    window has more of them, as many as every such window holds.  Equal windows
+    have equal halves.  A place is twice that of the anchor, plus 1 for the left side."""
+    at, g = anchors(h, words)
+    gram = min(GRAM, words)
+    side = (words - gram + 1) // 2
+    left = at - np.arange(len(at)) >= side
+    of = 2 * at + left
+    places = np.unique(of)
+    if not len(places):
+        return of, places, np.empty(0, np.uint64)
+    runs = _grams(np.ascontiguousarray(h[:, 1]), gram + side, _BASES[1])
+    d = runs[places // 2 - np.where(places % 2 == 1, side, 0)] + g[places // 2] * _BASES[0] + (places % 2).astype(np.uint64)
+    return of, places, d
+
+
 def _anchor_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(id, place, d), place in words."""
+    """(id, place, d) of the ``halves`` of each text."""
     def run(batches):
         known = _Words()
         for batch in slices(batches, "text", 2 << 20):
             ids, places, digests = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, g = anchors(hashes(t.encode("utf-8", "surrogatepass"), known), words)
-                at = np.unique(at)
+                _, at, d = halves(hashes(t.encode("utf-8", "surrogatepass"), known), words)
                 ids.append(np.full(len(at), i, np.int64))
                 places.append(at)
-                digests.append(g[at])
+                digests.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *ids])), pa.array(np.concatenate(places)),
                                               pa.array(np.concatenate(digests).view(np.int64))], names=["id", "place", "d"])
 
@@ -111,12 +129,12 @@ def _anchor_rows(docs: DataFrame, words: int) -> DataFrame:
 
 def _windows(docs: DataFrame, words: int) -> DataFrame:
     """(id, a, b, d1, d2, own): bytes [a, b) and digest of every window of
-    ``words`` words whose anchor is one of ``places``; own: the text has the
+    ``words`` words whose half is one of ``places``; own: the text has the
     window before, and the first such copy ends before this one begins."""
     def of(i: int, t: str, places: np.ndarray, known: dict):
         data = t.encode("utf-8", "surrogatepass")
         h = hashes(data, known)
-        s = np.flatnonzero(np.isin(anchors(h, words)[0], places))
+        s = np.flatnonzero(np.isin(halves(h, words)[0], places))
         if not len(s):
             return None
         raw = np.frombuffer(data, np.uint8)
@@ -155,9 +173,11 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     again = found.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
     places = found.join(again, "d").groupBy("id").agg(F.collect_list("place").alias("places"))
     windows = stash(_windows(docs.join(places, "id").select("id", "text", "places"), words), "windows")
+    discard(found)
     firsts = (windows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("own").alias("twice"))
               .where("first < last OR twice").select("d1", "d2", "first"))
-    later = windows.join(stash(firsts, "firsts"), ["d1", "d2"]).where("id > first OR own")
+    firsts = stash(firsts, "firsts")
+    later = windows.join(firsts, ["d1", "d2"]).where("id > first OR own")
     per_row = later.groupBy("id").agg(F.collect_list(F.struct("a", "b", "first")).alias("hits"))
 
     def run(batches):
@@ -175,7 +195,9 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 [pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(sources, pa.list_(pa.int64()))], names=["id", "spans", "firsts"])
 
-    return stash(map_arrow(per_row, run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>"), "spans")
+    spans = stash(map_arrow(per_row, run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>"), "spans")
+    discard(windows, firsts)
+    return spans
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

@@ -215,6 +215,27 @@ def test_substrings_find_every_passage_of_50_words(spark):
     assert sum(i < 160 for i in got) == 80 and not any(160 <= i < 200 for i in got) and {n + 1, n + 2, n + 3} <= set(got)
 
 
+def test_substrings_halves_tell_windows_apart_before_they_are_expanded():
+    rng = np.random.default_rng(21)
+    known = substrings._Words()
+    for words in (1, 2, 7, 8, 9, 20, 50, 51):
+        for n in (0, 1, words - 1, words, words + 1, 3 * words):
+            same = [b"x%d" % k for k in rng.integers(0, 1_000, n)]
+            found = []
+            for before, after in ((5, 0), (90, 40), (0, 90)):  # equal windows have equal halves, wherever they stand
+                text = [b"a%d" % k for k in rng.integers(0, 1_000, before)] + same + [b"b%d" % k for k in rng.integers(0, 1_000, after)]
+                of, places, d = substrings.halves(substrings.hashes(b" ".join(text), known), words)
+                assert len(of) == max(0, len(text) - words + 1) and set(places) == set(of) and len(d) == len(places)
+                digest = dict(zip(places.tolist(), d.tolist()))
+                found.append([digest[p] for p in of[before:before + n - words + 1].tolist()] if n >= words else [])
+            assert found[0] == found[1] == found[2]
+    # a phrase that many texts hold, in places of its own: nothing around it repeats, so no window is expanded
+    phrase = b"the same eight words or ten of them here"
+    seen = [set(substrings.halves(substrings.hashes(b" ".join(b"%d.%d" % (t, k) for k in range(60)) + b" " + phrase + b" " + b" ".join(
+        b"%d-%d" % (t, k) for k in range(60)), known))[2].tolist()) for t in range(20)]
+    assert all(not a & b for i, a in enumerate(seen) for b in seen[:i])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
