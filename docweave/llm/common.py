@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +20,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it the shuffle files of a query go as soon as the query ends, not
+    when the driver's garbage is next collected.  Meant for writes: nothing reads
+    their shuffles again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir``
     and read it back: the lineage ends there, a lost executor costs a re-read,
-    and the planner knows the table's true size."""
+    the planner knows the table's true size, and the shuffles behind it go."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
@@ -44,6 +61,25 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % F.lit(modulus)
 
 
+def trim() -> None:
+    """Give freed memory back to the system.  A worker lives on, and what its
+    arrays took would stay with it beside its next tasks and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def trimmed(function):
+    """``function`` of an iterator, with a ``trim`` once it has let go of all it held."""
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return run
+
+
 #: Rows of an Arrow batch, at most: texts can be long, and the JVM and a Python
 #: worker each hold a batch.
 BATCH_ROWS = 1_000
@@ -56,7 +92,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     now = int(df.sparkSession.conf.get(setting))
     if now <= 0 or now > BATCH_ROWS:
         df.sparkSession.conf.set(setting, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(trimmed(function), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

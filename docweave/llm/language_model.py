@@ -27,12 +27,13 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import map_arrow, read, remainder, slices, stash
+from docweave.llm.common import map_arrow, read, remainder, shuffles_dropped, slices, stash, trim, trimmed
 from docweave.sources.layout import save_bucketed
 from docweave.sources.scratch import scratch_dir
 
@@ -200,40 +201,58 @@ _TABLE = ("block int, m_words binary, m_contexts binary, m_types binary, m_u bin
 
 def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct values of some arrays, and of each array the places there."""
-    values, at = np.unique(np.concatenate([np.empty(0, np.uint64), *arrays]), return_inverse=True)
-    return values, np.split(at, np.cumsum([len(a) for a in arrays])[:-1]) if arrays else []
+    values = np.unique(np.concatenate([np.empty(0, np.uint64), *arrays]))
+    return values, [np.searchsorted(values, a).astype(np.uint32) for a in arrays]
 
 
-def _gather(pdf: pd.DataFrame, places: int) -> pd.DataFrame:
+def _unpacked(column: pa.ChunkedArray, kind):
+    for b in column:
+        yield _unpack(b.as_py(), kind)
+
+
+def _gather(rows: pa.Table, places: int) -> pa.Table:
     """One row per block: its words, its contexts in the order of their places,
     the types (word, context) with their training counts, per batch the entries
-    by type, and headers."""
-    head = pdf[pdf["keys"].notna()]
-    rows = pdf[pdf["words"].notna()].sort_values("batch")
-    per = [_unpack(b, np.uint32) for b in rows["per"]]
-    all_words, at = _joined([_unpack(b, np.uint64) for b in rows["words"]])
-    contexts, met = _joined([_unpack(b, np.uint64) for b in rows["contexts"]])
+    by type, and headers.  The entries are unpacked a batch at a time."""
+    block = rows["block"][0].as_py()
+    head = rows.filter(pc.is_valid(rows["keys"])).select(["batch", "keys", "sizes", "held"])
+    rows = rows.filter(pc.is_valid(rows["words"])).drop_columns(["keys", "sizes", "held"]).sort_by("batch")
+    all_words, at = _joined(list(_unpacked(rows["words"], np.uint64)))
+    contexts, met = _joined(list(_unpacked(rows["contexts"], np.uint64)))
     order = np.lexsort((contexts, _place(contexts, places)))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
     wide = max(1, len(order))
-    keys, docs, times, learned = [], [], [], []
-    for w, m, p, u, d, t, learn in zip(at, met, per, rows["u"], rows["doc"], rows["times"], rows["learn"]):
-        doc, n = _unpack(d, np.uint16), _unpack(t, np.uint32)
-        keys.append(np.repeat(w.astype(np.int64), p) * wide + m[_unpack(u, np.uint32)])
-        docs.append(doc)
-        times.append(n)
-        learned.append(np.where(np.unpackbits(np.frombuffer(learn, np.uint8))[doc] == 1, n, 0))
-    types, of = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
-    counts = np.bincount(of, weights=np.concatenate(learned) if learned else None, minlength=len(types)).astype(np.int64)
-    of = np.split(of, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
-    w = types // wide
-    return pd.DataFrame([{
-        "block": int(pdf["block"].iloc[0]), "m_words": all_words.tobytes(), "m_contexts": contexts[order].tobytes(), "m_types": np.diff(np.searchsorted(w, np.arange(len(all_words) + 1))).astype(np.uint32).tobytes(),
-        "m_u": _pack(rank[types % wide].astype(np.uint32)), "m_c": _pack(counts.astype(np.uint32)) if counts.max(initial=0) < 1 << 32 else _pack(counts),
-        "o_batch": rows["batch"].tolist(), "o_type": [_pack(np.diff(k, prepend=0).astype(np.uint32)) for k in of],
-        "o_doc": [_pack(d) for d in docs], "o_times": [_pack(t) for t in times],
-        "h_batch": head["batch"].tolist(), "h_keys": head["keys"].tolist(), "h_sizes": head["sizes"].tolist(), "h_held": head["held"].tolist()}])
+
+    def keys():
+        """Of each batch the types of its entries, in order."""
+        for w, m, p, u in zip(at, met, _unpacked(rows["per"], np.uint32), _unpacked(rows["u"], np.uint32)):
+            out = np.repeat(w.astype(np.int64) * wide, p)
+            out += m[u]
+            yield out
+
+    some = [k[np.append(True, k[1:] != k[:-1])] for k in keys()]  # a batch's entries are in order of their types
+    types = np.unique(np.concatenate(some) if some else np.empty(0, np.int64))
+    del some
+    counts, packed = np.zeros(len(types), np.int64), []
+    for k, d, n, learn in zip(keys(), _unpacked(rows["doc"], np.uint16), _unpacked(rows["times"], np.uint32), rows["learn"]):
+        new = np.append(True, k[1:] != k[:-1])
+        starts = np.flatnonzero(new)
+        mine = np.searchsorted(types, k[starts])
+        learned = np.where(np.unpackbits(np.frombuffer(learn.as_py(), np.uint8))[d] == 1, n, 0)
+        counts[mine] += np.add.reduceat(learned.astype(np.int64), starts)
+        packed.append(_pack(np.diff(mine[np.cumsum(new) - 1], prepend=0).astype(np.uint32)))
+    m_types = np.diff(np.searchsorted(types, np.arange(len(all_words) + 1) * wide)).astype(np.uint32)
+    types %= wide
+    binary = lambda *x: pa.array(x, pa.binary())
+    binaries = lambda x: pa.array([x], pa.list_(pa.binary()))
+    return pa.table({
+        "block": pa.array([block], pa.int32()), "m_words": binary(all_words.tobytes()), "m_contexts": binary(contexts[order].tobytes()), "m_types": binary(m_types.tobytes()),
+        "m_u": binary(_pack(rank[types])), "m_c": binary(_pack(counts.astype(np.uint32)) if counts.max(initial=0) < 1 << 32 else _pack(counts)),
+        "o_batch": pa.array([rows["batch"].to_pylist()], pa.list_(pa.int64())), "o_type": binaries(packed),
+        "o_doc": binaries(rows["doc"].to_pylist()), "o_times": binaries(rows["times"].to_pylist()),
+        "h_batch": pa.array([head["batch"].to_pylist()], pa.list_(pa.int64())), "h_keys": pa.array([head["keys"].to_pylist()], pa.list_(pa.list_(pa.int64()))),
+        "h_sizes": pa.array([head["sizes"].to_pylist()], pa.list_(pa.list_(pa.int64()))), "h_held": pa.array([head["held"].to_pylist()], pa.list_(pa.list_(pa.bool_())))})
 
 
 def seat(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
@@ -392,7 +411,7 @@ def _sweep(table: DataFrame, common: np.ndarray, places: int, states: list[dict]
                 names=["block", "step", "name", "place", "data", "k", "x"])
 
     rows = _with_parts(table.select(*_MODEL), parts) if parts else table.select(*_MODEL)
-    return stash(rows.mapInArrow(run, f"{_PARTS}, k long, x double"), "sweep")
+    return stash(rows.mapInArrow(trimmed(run), f"{_PARTS}, k long, x double"), "sweep")
 
 
 def _sent(table: DataFrame, places: int) -> DataFrame:
@@ -405,17 +424,17 @@ def _sent(table: DataFrame, places: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([row["block"]] * len(to), pa.int32()),
                                               pa.array([contexts[cuts[k]:cuts[k + 1]].tobytes() for k in to], pa.binary())], names=["place", "block", "contexts"])
 
-    return table.select("block", "m_contexts").mapInArrow(send, "place int, block int, contexts binary")
+    return table.select("block", "m_contexts").mapInArrow(trimmed(send), "place int, block int, contexts binary")
 
 
 _MEETINGS = "place int, size long, blocks array<int>, at array<binary>"
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(rows: pa.Table) -> pa.Table:
     """A place: its ``size`` contexts, and of each block which of them it sends."""
-    contexts, at = _joined([np.frombuffer(b, np.uint64) for b in pdf["contexts"]])
-    return pd.DataFrame([{"place": int(pdf["place"].iloc[0]), "size": len(contexts), "blocks": pdf["block"].tolist(),
-                          "at": [_pack(a.astype(np.uint32)) for a in at]}])
+    contexts, at = _joined([np.frombuffer(b.as_py(), np.uint64) for b in rows["contexts"]])
+    return pa.table({"place": pa.array([rows["place"][0].as_py()], pa.int32()), "size": pa.array([len(contexts)], pa.int64()),
+                     "blocks": pa.array([rows["block"].to_pylist()], pa.list_(pa.int32())), "at": pa.array([[_pack(a) for a in at]], pa.list_(pa.binary()))})
 
 
 def _totals(sent: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -437,7 +456,7 @@ def _totals(sent: DataFrame, meetings: DataFrame) -> DataFrame:
                      pa.array([_pack(total[at[r["block"]]]) for r in some], pa.binary())], names=["block", "step", "name", "place", "data"])
 
     rows = sent.groupBy("place").agg(F.collect_list(F.struct("block", "step", "name", "data")).alias("sent"))
-    return stash(meetings.join(rows, "place").mapInArrow(run, _PARTS), "totals")
+    return stash(meetings.join(rows, "place").mapInArrow(trimmed(run), _PARTS), "totals")
 
 
 def _state(sums: DataFrame, common: np.ndarray, states: list[dict]) -> dict:
@@ -495,7 +514,7 @@ def _score(table: DataFrame, common: np.ndarray, states: list[dict], parts: list
                      pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["batch", "doc", "known", "base", "chance"])
 
     return _with_parts(table.select(*_MODEL, "o_batch", "o_type", "o_doc", "o_times"), parts).mapInArrow(
-        run, "batch long, doc binary, known binary, base binary, chance binary")
+        trimmed(run), "batch long, doc binary, known binary, base binary, chance binary")
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
@@ -519,10 +538,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=None)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def bucketed(rows: DataFrame, gather, schema: str, name: str, key: str) -> DataFrame:
-        out = rows.repartition(dealt, key).groupBy(key).applyInPandas(gather, schema)
-        return save_bucketed(out, name, scratch_dir(spark, name), dealt, key)
+        def run(group: pa.Table) -> pa.Table:
+            out = gather(group)
+            trim()
+            return out
+
+        out = rows.repartition(dealt, key).groupBy(key).applyInArrow(run, schema)
+        with shuffles_dropped(spark):
+            return save_bucketed(out, name, scratch_dir(spark, name), dealt, key)
 
-    table = bucketed(_deal(docs, blocks, common), lambda pdf: _gather(pdf, places), _TABLE, names[0], "block")
+    table = bucketed(_deal(docs, blocks, common), lambda rows: _gather(rows, places), _TABLE, names[0], "block")
     meetings = bucketed(_sent(table, places), _meet, _MEETINGS, names[1], "place")
     states: list[dict] = []
     kept: list[DataFrame] = []  # seatings and sums that are still needed
