@@ -27,6 +27,11 @@ MOST = 1_024
 #: Words of the shortest passage that is removed, and of an anchor.
 WORDS = 50
 GRAM = 8
+#: Windows are compared in so many parts, by digest, one after the other: what is
+#: shuffled of them takes a part of the disk at a time.  A power of two.
+PARTS = 2
+#: Spans and keys of first copies that are broadcast to the texts, at most (24 bytes or less each).
+BROADCAST_MARKS = 500_000
 #: Words whose hashes a worker keeps.
 CACHE = 500_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -159,6 +164,27 @@ def _windows(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, run, "id long, a long, b long, d1 long, d2 long, own boolean")
 
 
+def _spans(rows: DataFrame) -> DataFrame:
+    """(id, spans, firsts) of (id, hits, firsts): the stretches that the hits
+    cover, in order, and the distinct firsts."""
+    def run(batches):
+        for batch in batches:
+            spans, sources = [], []
+            for k in range(batch.num_rows):
+                hits = batch.column(1)[k].values
+                a, b = (hits.field(j).to_numpy(zero_copy_only=False) for j in range(2))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+                spans.append([{"start": x, "end": y} for x, y in zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist())])
+                sources.append(np.unique(batch.column(2)[k].values.to_numpy(zero_copy_only=False)).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(sources, pa.list_(pa.int64()))], names=["id", "spans", "firsts"])
+
+    return map_arrow(rows.select("id", "hits", "firsts"), run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>")
+
+
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, spans, firsts): byte spans [start, end) to remove from each text, in
     order, and the keys that hold the first copies; only rows with any.
@@ -171,32 +197,26 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     found = stash(_anchor_rows(docs, words), "anchors")
     again = found.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
-    places = found.join(again, "d").groupBy("id").agg(F.collect_list("place").alias("places"))
-    windows = stash(_windows(docs.join(places, "id").select("id", "text", "places"), words), "windows")
+    places = stash(found.join(again, "d").groupBy("id").agg(F.collect_list("place").alias("places")), "places")
     discard(found)
-    firsts = (windows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("own").alias("twice"))
-              .where("first < last OR twice").select("d1", "d2", "first"))
-    firsts = stash(firsts, "firsts")
-    later = windows.join(firsts, ["d1", "d2"]).where("id > first OR own")
-    per_row = later.groupBy("id").agg(F.collect_list(F.struct("a", "b", "first")).alias("hits"))
-
-    def run(batches):
-        for batch in batches:
-            ids, spans, sources = batch.column(0).to_pylist(), [], []
-            for k in range(batch.num_rows):
-                hits = batch.column(1)[k].values
-                a, b, first = (hits.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
-                spans.append([{"start": x, "end": y} for x, y in zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist())])
-                sources.append(np.unique(first).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(sources, pa.list_(pa.int64()))], names=["id", "spans", "firsts"])
-
-    spans = stash(map_arrow(per_row, run, "id long, spans array<struct<start:long,end:long>>, firsts array<long>"), "spans")
-    discard(windows, firsts)
+    windows = stash(_windows(docs.join(places, "id").select("id", "text", "places"), words), "windows")
+    discard(places)
+    parts = []
+    for k in range(PARTS):
+        some = windows.where(F.col("d1").bitwiseAND(F.lit(PARTS - 1)) == k)
+        firsts = stash(some.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("own").alias("twice"))
+                       .where("first < last OR twice").select("d1", "d2", "first"), "firsts")
+        later = some.join(firsts, ["d1", "d2"]).where("id > first OR own")
+        hits = later.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("hits"), F.collect_set("first").alias("firsts"))
+        parts.append(stash(_spans(hits), "part"))
+        discard(firsts)
+    discard(windows)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    spans = stash(_spans(every.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("hits"),
+                                                 F.flatten(F.collect_list("firsts")).alias("firsts"))), "spans")
+    discard(*parts)
     return spans
 
 
@@ -211,6 +231,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     characters.  Columns named ``spans`` or ``firsts`` give way.
     """
     marks = repeats(df, key, text, words).withColumnRenamed("id", "__id")
+    if (marks.agg(F.sum(F.size("spans") + F.size("firsts"))).first()[0] or 0) <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     rest = [c for c in df.columns if c not in ("spans", "firsts")]
     joined = df.select(*rest).join(marks, F.col(key).cast("long") == F.col("__id"), "left").drop("__id")
     place = joined.columns.index(text)

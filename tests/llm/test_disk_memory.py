@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docweave.llm import language_model
+from docweave.llm import language_model, substrings
 from docweave.llm.common import stash
 
 
@@ -29,6 +29,24 @@ def test_a_table_on_disk_leaves_no_shuffle_files(spark):
     assert sorted(r["count"] for r in out.collect()) == [142] * 1 + [143] * 6
 
 
+def test_substrings_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5_000)]
+    shared = [" ".join(rng.choice(words, 70)) for _ in range(4)]
+    rows = [(i, " ".join([" ".join(rng.choice(words, 30)), shared[i % 4], " ".join(rng.choice(words, 20)), shared[(i * 3 + 1) % 4]])) for i in range(24)]
+    df = spark.createDataFrame([*rows, (50, shared[0] + " " + shared[0]), (51, None), (52, "")], "doc_id long, text string")
+    got = {}
+    for parts in (1, 4):
+        monkeypatch.setattr(substrings, "PARTS", parts)
+        got[parts] = sorted((r.id, tuple(tuple(s) for s in r.spans), tuple(r.firsts)) for r in substrings.repeats(df).collect())
+    assert got[1] == got[4]
+    assert {r[0] for r in got[4]} >= {*range(4, 24), 50}
+    cut = [sorted(map(tuple, substrings.dedup(df).select("doc_id", "text", F.col("spans").cast("string")).collect()))]
+    monkeypatch.setattr(substrings, "BROADCAST_MARKS", 0)
+    cut.append(sorted(map(tuple, substrings.dedup(df).select("doc_id", "text", F.col("spans").cast("string")).collect())))
+    assert cut[0] == cut[1] and len(cut[0]) == 27
+
+
 def test_language_model_gathers_a_block_in_little_memory():
     rng = np.random.default_rng(1)
     vocabulary = np.sort(rng.integers(1, 2**63, 20_000).astype(np.uint64))
