@@ -23,10 +23,15 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: Members of a group of near copies that all others are compared with.
 LEADERS = 4
-#: Documents to re-read for verification are broadcast up to this many keys, and dealt beyond.
+#: Keys are broadcast up to this many (a few MB), and dealt beyond, with the wide rows that they meet.
 BROADCAST_KEYS = 500_000
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A table of keys from ``stash``, broadcast where it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _spaced(text: str) -> Column:
     """The text with other blanks than line ends as spaces: a split at one
     character is many times cheaper than one at a pattern."""
@@ -125,8 +130,7 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     places = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(
         pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     wanted = stash(places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines")), "wanted")
-    few = wanted.count() <= BROADCAST_KEYS
-    docs = df.select(key, text, "__code").join(F.broadcast(wanted) if few else wanted, F.col(key).cast("long") == F.col("__doc"))
+    docs = df.select(key, text, "__code").join(_few(wanted), F.col(key).cast("long") == F.col("__doc"))
     sets = stash(_lines(docs, key, text, "__lines"), "sets")
     side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns])
     both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
@@ -177,7 +181,8 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     heads = able.select("doc", "line", "n", "sig", "sig2", F.explode("heads").alias("k")).where("k IS NOT NULL")
     shared = stash(heads.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "shared")
-    heads = stash(heads.join(shared, "k"), "heads")
+    heads = stash(heads.join(_few(shared), "k"), "heads")
+    discard(shared)
     place = Window.partitionBy("k").orderBy("doc", "line")
     leaders = heads.withColumn("r", F.row_number().over(place)).where(F.col("r") <= LEADERS).drop("r")
     leaders = stash(leaders, "leaders")
@@ -189,7 +194,8 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     later = _matched(near, df, key, text)
     discard(near)
 
-    known = later.withColumn("done", F.lit(1))
+    known = stash(later, "known")
+    known = _few(known).withColumn("done", F.lit(1))
     open_ = able.join(known, ["doc", "line"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
     posts = open_.select("doc", "line", "sig", "sig2", "n", "done", F.posexplode("prefix").alias("i", "word")).select(
         "word", "doc", "line", "sig", "sig2", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")).alias("m"))

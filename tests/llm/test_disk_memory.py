@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docweave.llm import language_model, substrings
+from docweave.llm import language_model, lines, substrings
 from docweave.llm.common import stash
 
 
@@ -47,6 +47,25 @@ def test_substrings_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
     assert cut[0] == cut[1] and len(cut[0]) == 27
 
 
+def test_lines_with_keys_dealt_and_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = [[f"w{k}" for k in rng.integers(0, 300, 20)] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        line = list(base[i % 6])
+        if i % 3:
+            line[int(rng.integers(0, 20))] = f"x{i}"
+        rows.append((i, " ".join(line) + "\n" + " ".join(f"w{k}" for k in rng.integers(0, 300, 12))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = stash(df.select("doc_id"), "test")
+    assert "broadcast" in lines._few(few)._jdf.queryExecution().analyzed().toString().lower()
+    got = [sorted(map(tuple, lines.repeated_lines(df).collect()))]
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", 0)
+    assert "broadcast" not in lines._few(few)._jdf.queryExecution().analyzed().toString().lower()
+    got.append(sorted(map(tuple, lines.repeated_lines(df).collect())))
+    assert got[0] == got[1] and len(got[0]) >= 50
+
+
 def test_language_model_gathers_a_block_in_little_memory():
     rng = np.random.default_rng(1)
     vocabulary = np.sort(rng.integers(1, 2**63, 20_000).astype(np.uint64))
