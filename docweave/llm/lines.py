@@ -23,6 +23,8 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: Members of a group of near copies that all others are compared with.
 LEADERS = 4
+#: Marks a posting of a word that is none of its line's index words; above any number of words.
+OTHER = 1 << 62
 #: Keys are broadcast up to this many (a few MB), and dealt beyond, with the wide rows that they meet.
 BROADCAST_KEYS = 500_000
 
@@ -92,15 +94,21 @@ def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
     the largest hashes of either sign), and hashes of its rarest words in order."""
     level = [0] * BUCKETS  # at most BUCKETS rows come to the driver
     for r in counts.collect():
-        level[r["b"]] = round(256 * math.log2(r["n"] + 1))
-    # common words last: the bucket's count above 48 bits of the word's hash (folded to one literal)
-    rarity = F.split(F.lit(",".join(str(n << 48) for n in level)), ",").cast("array<bigint>")
-
-    h = F.array_remove(F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))), F.xxhash64(F.lit("")))
+        level[r["b"]] = min(127, round(3 * math.log2(r["n"] + 1)))
+    # (small numbers, folded to one literal: every plan of the driver holds its text)
+    rarity = F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
+
+    # distinct hashes in order; a 0 among them parts those of either sign
+    zero = F.lit(0).cast("long")
+    h = F.array_remove(F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    h = F.sort_array(F.concat(h, F.array(zero)))
     # (blank lines stay for now: a filter here would compute the hashes a second time)
-    rows = lines.select("doc", "line", h.alias("h")).withColumn("low", F.filter("h", lambda x: x < 0)).withColumns(
-        {"n": F.size("h"), "high": F.slice("h", F.size("low") + 1, F.size("h"))})
-    keyed = F.transform("h", lambda x: F.get(rarity, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(x, 16))
+    rows = lines.select("doc", "line", h.alias("all")).select(
+        "doc", "line", F.array_remove("all", zero).alias("h"), F.array_position("all", zero).cast("int").alias("place"))
+    rows = rows.withColumns({"n": F.size("h"), "low": F.slice("h", F.lit(1), F.col("place") - 1), "high": F.slice("h", F.col("place"), F.size("h"))})
+    # common words last: the bucket's count above 48 bits of the word's hash
+    # (an item that is never null: an array that may hold nulls is sorted as objects)
+    keyed = F.transform("h", lambda x: F.shiftleft(rarity[x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], 48) + F.shiftrightunsigned(x, 16))
     one = F.lit(1).cast("long")
     bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice(F.sort_array(keyed), F.lit(1), _prefix(F.col("n")).cast("int")), lambda k: F.hash(k))
@@ -147,10 +155,14 @@ def _verify(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
 def _matched(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line) of the later lines that some pair settles.  One match is
     enough: first the earliest candidate of each line is verified, then all those
-    of the lines that it does not settle."""
+    of the lines that it does not settle; but all at once where that is at most
+    twice as many."""
     ends = pairs.columns
     earliest = stash(pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
         F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"), "y_doc", "y_line"), "earliest")
+    if pairs.count() <= 2 * earliest.count():  # few others: one pass over the texts for all of them
+        discard(earliest)
+        return _verify(pairs, df, key, text)
     settled = _verify(earliest, df, key, text)
     rest = stash(pairs.join(settled, F.expr("y_doc = doc AND y_line = line"), "left_anti").join(earliest, ends, "left_anti"), "rest")
     others = _verify(rest, df, key, text)
@@ -176,7 +188,8 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = stash(_signed(_lines(df, key, text), counts), "lines")
     discard(counts)
     body = ["doc", "line", "n", "sig", "sig2", "heads", "prefix"]
-    classes = stash(lines.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(*body)).alias("f")).select("s1", "s2", "f.*"), "classes")
+    classes = stash(lines.where("n > 0").groupBy("s1", "s2").agg(
+        F.min(F.struct(*body)).alias("f"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "copies", "f.*"), "classes")
     able = classes.where("n > 3")  # smaller sets are only similar to themselves
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     heads = able.select("doc", "line", "n", "sig", "sig2", F.explode("heads").alias("k")).where("k IS NOT NULL")
@@ -197,19 +210,23 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     known = stash(later, "known")
     known = _few(known).withColumn("done", F.lit(1))
     open_ = able.join(known, ["doc", "line"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    posts = open_.select("doc", "line", "sig", "sig2", "n", "done", F.posexplode("prefix").alias("i", "word")).select(
-        "word", "doc", "line", "sig", "sig2", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")).alias("m"))
-    n = lambda p: F.shiftright(F.col(f"{p}_m"), 32)
-    i = lambda p: F.shiftright(F.col(f"{p}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
-    done = lambda p: F.col(f"{p}_m").bitwiseAND(F.lit(1)) == 1
+    posts = open_.select("doc", "line", "sig", "sig2", "n", "done", F.posexplode("prefix").alias("i", "word"))
+    m = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 1) + F.col("done")
+    posts = posts.withColumn("m", F.when(F.col("i") < _index(F.col("n")), m).otherwise(m + F.lit(OTHER)))
+    # (columns that are never null: the join tests them for each pair)
+    posts = posts.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("word", "doc", "line", "sig", "sig2", "m")])
     # a is the line of fewer words (of as many: the earlier one) and shows its index words alone; whichever is later must be open
     a, b = named(posts, "a"), named(posts, "b")
+    plain = F.col("b_m").bitwiseAND(F.lit(OTHER - 1))
+    n_a, n_b = F.shiftright("a_m", 32), F.shiftright(plain, 32)
+    i = lambda p: F.shiftright(F.col(f"{p}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    done = lambda p: F.col(f"{p}_m").bitwiseAND(F.lit(1)) == 1
     first = _earlier("a", "b")
-    total = n("a") + n("b")
-    # (with a term of b, so that both sides stay one exchange)
-    fits = ((i("a") + n("b") - n("b") < _index(n("a"))) & ((n("a") < n("b")) | ((n("a") == n("b")) & first)) & F.when(first, ~done("b")).otherwise(~done("a") & _earlier("b", "a"))
-            & _possible(n("a"), n("b"), _apart("a", "b"))
-            & ((F.least(i("a"), i("b")) + F.least(n("a") - i("a"), n("b") - i("b"))) * (100 + PERCENT) >= PERCENT * total))
+    # (the tests that are cheap and fail most come first: one comparison for an index word and the sizes' order;
+    # with a term of b, so that both sides stay one exchange)
+    fits = ((F.col("a_m") <= plain.bitwiseOR(F.lit(0xFFFFFFFF))) & _possible(n_a, n_b, _apart("a", "b"))
+            & ((n_a < n_b) | first) & F.when(first, ~done("b")).otherwise(~done("a") & _earlier("b", "a"))
+            & ((F.least(i("a"), i("b")) + F.least(n_a - i("a"), n_b - i("b"))) * (100 + PERCENT) >= PERCENT * (n_a + n_b)))
     met = (a.join(b, (F.col("a_word") == F.col("b_word")) & fits)
            .select(*[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{p}_{c}")
                      for p, x, y in (("x", "a", "b"), ("y", "b", "a")) for c in ("doc", "line")]))
@@ -217,8 +234,8 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     later = later.unionByName(_matched(pairs, df, key, text))
     discard(pairs)
     gone = later.select("doc", "line", F.lit(True).alias("gone"))
-    status = classes.select("s1", "s2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line")).join(
-        gone, (F.col("f_doc") == F.col("doc")) & (F.col("f_line") == F.col("line")), "left").drop("doc", "line")
+    status = classes.select("s1", "s2", "copies", F.col("doc").alias("f_doc"), F.col("line").alias("f_line")).join(
+        gone, (F.col("f_doc") == F.col("doc")) & (F.col("f_line") == F.col("line")), "left").where("gone OR copies > 1").drop("doc", "line", "copies")
     return (lines.where("n > 0").select("doc", "line", "s1", "s2").join(stash(status, "status"), ["s1", "s2"])
             .where("gone OR doc <> f_doc OR line <> f_line").select("doc", "line"))
 
