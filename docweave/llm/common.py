@@ -34,14 +34,15 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(setting, before)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir``
     and read it back: the lineage ends there, a lost executor costs a re-read,
-    the planner knows the table's true size, and the shuffles behind it go."""
+    the planner knows the table's true size, and the shuffles behind it go.
+    ``options``: the writer's."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out

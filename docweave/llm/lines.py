@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 LEADERS = 4
 #: Marks a posting of a word that is none of its line's index words; above any number of words.
 OTHER = 1 << 62
+#: For tables of hashes: few values come twice, so a dictionary of them is work for nothing.
+HASHES = {"parquet.enable.dictionary": "false"}
 #: Keys are broadcast up to this many (a few MB), and dealt beyond, with the wide rows that they meet.
 BROADCAST_KEYS = 500_000
 
@@ -108,7 +110,7 @@ def _signed(lines: DataFrame, counts: DataFrame) -> DataFrame:
     rows = rows.withColumns({"n": F.size("h"), "low": F.slice("h", F.lit(1), F.col("place") - 1), "high": F.slice("h", F.col("place"), F.size("h"))})
     # common words last: the bucket's count above 48 bits of the word's hash
     # (an item that is never null: an array that may hold nulls is sorted as objects)
-    keyed = F.transform("h", lambda x: F.shiftleft(rarity[x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], 48) + F.shiftrightunsigned(x, 16))
+    keyed = F.transform("h", lambda x: F.shiftleft(rarity[x.bitwiseAND(F.lit(BUCKETS - 1))], 48).bitwiseOR(F.shiftrightunsigned(x, 16)))
     one = F.lit(1).cast("long")
     bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice(F.sort_array(keyed), F.lit(1), _prefix(F.col("n")).cast("int")), lambda k: F.hash(k))
@@ -156,11 +158,11 @@ def _matched(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line) of the later lines that some pair settles.  One match is
     enough: first the earliest candidate of each line is verified, then all those
     of the lines that it does not settle; but all at once where that is at most
-    twice as many."""
+    four times as many."""
     ends = pairs.columns
     earliest = stash(pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select(
         F.col("x.x_doc").alias("x_doc"), F.col("x.x_line").alias("x_line"), "y_doc", "y_line"), "earliest")
-    if pairs.count() <= 2 * earliest.count():  # few others: one pass over the texts for all of them
+    if pairs.count() <= 4 * earliest.count():  # few others: one pass over the texts for all of them
         discard(earliest)
         return _verify(pairs, df, key, text)
     settled = _verify(earliest, df, key, text)
@@ -185,11 +187,11 @@ def _repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     the prefix; so a large group makes few more comparisons than it has members.
     """
     counts = stash(_bucket_counts(df, text), "counts")
-    lines = stash(_signed(_lines(df, key, text), counts), "lines")
+    lines = stash(_signed(_lines(df, key, text), counts), "lines", **HASHES)
     discard(counts)
     body = ["doc", "line", "n", "sig", "sig2", "heads", "prefix"]
     classes = stash(lines.where("n > 0").groupBy("s1", "s2").agg(
-        F.min(F.struct(*body)).alias("f"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "copies", "f.*"), "classes")
+        F.min(F.struct(*body)).alias("f"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "copies", "f.*"), "classes", **HASHES)
     able = classes.where("n > 3")  # smaller sets are only similar to themselves
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     heads = able.select("doc", "line", "n", "sig", "sig2", F.explode("heads").alias("k")).where("k IS NOT NULL")
