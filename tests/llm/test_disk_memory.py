@@ -91,3 +91,20 @@ def test_language_model_gathers_a_block_in_little_memory():
     assert peak < 60 * n, peak / n
     counts = language_model._unpack(out["m_c"][0].as_py(), np.uint32)
     assert counts.sum() == 64 * 4_000 and len(out["o_type"][0]) == 64
+
+
+def test_lines_put_little_text_into_plans(spark):
+    """The driver keeps the text of every plan: word counts reach it as small numbers."""
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    counts = spark.range(lines.BUCKETS).selectExpr("cast(id as int) AS b", "id * 1000 AS n")
+    signed = lines._signed(lines._lines(docs.withColumn("__code", F.lit(0).cast("long")), "doc_id", "text"), counts)
+    assert len(signed._jdf.queryExecution().executedPlan().toString()) < 500_000
+
+
+def test_lines_verify_few_candidates_in_one_pass(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(lines, "stash", lambda df, name, **options: names.append(name) or stash(df, name, **options))
+    words = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(words[:19] + [f"x{i}"])) for i in range(4)] + [(9, "quite another line of words")]
+    got = {(r.doc, r.line) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0), (3, 0)} and names.count("sets") == 2
